@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import op3_packing, op5_rans
+from . import op2_topk, op3_packing, op5_rans, op6_permutation, op10_secrets
 
 
 def queries() -> dict:
     return {
+        "op2_topk": op2_topk.op2,
         "op3_packing": op3_packing.op3,
         "op5_rans": op5_rans.op5,
+        "op6_permutation": op6_permutation.op6,
+        "op10_secrets": op10_secrets.op10,
     }
 
 
