@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import op2_topk, op3_packing, op5_rans, op6_permutation, op10_secrets
+from . import op1_toxicity, op2_topk, op3_packing, op5_rans, op6_permutation, op7_jaccard, op8_html, op10_secrets
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity.op1,
         "op2_topk": op2_topk.op2,
         "op3_packing": op3_packing.op3,
         "op5_rans": op5_rans.op5,
         "op6_permutation": op6_permutation.op6,
+        "op7_jaccard": op7_jaccard.op7,
+        "op8_html": op8_html.op8,
         "op10_secrets": op10_secrets.op10,
     }
 
