@@ -42,7 +42,7 @@ LANES = 64
 CHECK_STEPS = 256
 BLOCK_TOKENS = 65_536
 #: Blocks coded side by side in one numpy pass.
-SIDE_BY_SIDE = 32
+SIDE_BY_SIDE = 64
 
 _MAGIC, _VERSION = b"GRNS", 1
 _HEAD = struct.Struct("<4sIIQIII")
@@ -248,7 +248,7 @@ def counted(blocks: DataFrame, width: np.dtype) -> dict[int, int]:
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> Table:
     """Write the documents' ids to ``folder``; returns the table, which ``read`` needs."""
-    blocks = common.written(token_blocks(docs, path, end_id, block_tokens), "ids")
+    blocks = common.written(token_blocks(docs, path, end_id, block_tokens), "ids", "none")
     from tokenizers import Tokenizer
 
     vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
@@ -264,7 +264,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, block_tokens: in
                 got = encode_blocks([np.frombuffer(x, dtype=width) for x in part["ids"].to_pylist()], shared)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.binary())], schema=schema)
 
-    blocks.mapInArrow(code, _FILES).write.option("compression", "none").parquet(folder)
+    blocks.mapInArrow(code, _FILES).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(folder)
     common.dropped(blocks)
     return Table(freq)
 

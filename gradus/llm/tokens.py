@@ -14,9 +14,14 @@ from array import array
 import numpy as np
 
 #: Words a worker remembers; further new words are encoded each time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000
 
 _SPLIT = "\x00"
+#: White space other than lone blanks and line feeds.
+_UNPLAIN = ("  ", "\n\n", " \n", "\n ", _SPLIT, *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+_UNPLAIN_WIDE = (*_UNPLAIN, *(chr(c) for c in range(0x80, 0x3001) if chr(c).isspace()))
+#: Signs that may follow a word's letters.
+_SIGNS = ".,;:!?*$&%#@~^=+-_/|()[]{}<>"
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -42,15 +47,18 @@ class Encoder:
 
     def _words(self, text: str) -> list[str] | None:
         """The text cut where no token can cross; None if it must stay whole."""
-        words = text.split()
-        if not words:
-            return None
         if self.spaced:
-            plain = len(words) == text.count(" ") + text.count("\n") + 1 and _SPLIT not in text
-            if not plain or any(x in text for x in self.special):
+            if not text or text[0].isspace() or text[-1].isspace():
                 return None
+            for x in _UNPLAIN if text.isascii() else _UNPLAIN_WIDE:
+                if x in text:
+                    return None
+            for x in self.special:
+                if x in text:
+                    return None
             return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split(_SPLIT)
-        if any(x in text for x in self.special) or any(x in text for x in "\x1c\x1d\x1e\x1f\x85"):
+        words = text.split()
+        if not words or any(x in text for x in self.special) or any(x in text for x in "\x1c\x1d\x1e\x1f\x85"):
             return None
         return words
 
@@ -67,8 +75,22 @@ class Encoder:
             parts = list(map(get, words))
             if None in parts:
                 holes.append((len(out), parts))
-                where = [i for i, x in enumerate(parts) if x is None]
-                fresh += [words[i] for i in where]
+                where = []
+                for i, x in enumerate(parts):
+                    if x is None:
+                        # A word's letters and the signs after them are encoded apart.
+                        word = words[i]
+                        core = word.rstrip(_SIGNS)
+                        head = get(core) if core != word and core[-1:].isalpha() else None
+                        if head is None:
+                            where.append(i)
+                            fresh.append(word)
+                        else:
+                            signs = word[len(core) :]
+                            tail = get(signs)
+                            if tail is None:
+                                tail = self.known[signs] = self._whole(signs)
+                            parts[i] = head + tail
                 parts.append(where)
                 out.append(b"")
             else:
