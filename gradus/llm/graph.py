@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
@@ -28,3 +30,84 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not changed:
             common.dropped(e)
             return labels
+
+
+#: Rows of at most a few dozen bytes that a broadcast may hold.
+BROADCAST_ROWS = 500_000
+
+
+def attached(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, a written table of narrow rows: by broadcast if it is counted small, else by shuffle."""
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
+def within_groups(rows: DataFrame, parts: int, links) -> DataFrame:
+    """Edges (a, b) that span the links within groups of rows (v, c, own, blocks, row).
+
+    ``c`` is the group, ``row`` what is compared (binary), ``own`` its block of the
+    group's ``blocks``. Every pair of a group's blocks is a cell that one task
+    works on alone, so no group, whatever its size, is gathered in one place.
+    ``links(rows, left, right)`` gives the linked pairs between two index arrays
+    (the same array twice: the pairs within it).
+    """
+    pair = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("mate")
+    cells = rows.select("*", pair).select("v", "c", "own", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "row")
+    cells = cells.repartition(parts, "c", "i", "j").sortWithinPartitions("c", "i", "j", "own", "v")
+
+    def solve(batches):
+        key, v, held, own = None, [], [], []
+        out = ([], [])
+
+        def close():
+            if len(v) > 1:
+                where = np.array(own)
+                left = np.flatnonzero(where == key[1])
+                right = left if key[1] == key[2] else np.flatnonzero(where == key[2])
+                for k, r in enumerate(forest(len(v), links(held, left, right))):
+                    if r != k:
+                        out[0].append(v[k])
+                        out[1].append(v[r])
+
+        for batch in batches:
+            for name, c, o, i, j, row in zip(*(x.to_pylist() for x in batch.columns)):
+                if (c, i, j) != key:
+                    close()
+                    key, v, held, own = (c, i, j), [], [], []
+                if v and v[-1] == name and own[-1] == o:
+                    continue  # the same row again
+                v.append(name)
+                own.append(o)
+                held.append(row)
+            if len(out[0]) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+                out[0].clear()
+                out[1].clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    return cells.mapInArrow(solve, "a long, b long")
+
+
+def in_blocks(groups: DataFrame, block: int) -> DataFrame:
+    """Groups (v, c) with each row's block and its group's number of blocks of about ``block`` rows."""
+    size = groups.groupBy("c").agg(F.count("v").alias("size"))
+    out = groups.join(size, "c").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    # The place within a large group is a hash's: blocks need only be about even.
+    return out.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks").cast("long")).cast("int")).drop("size")
+
+
+def forest(size: int, links: list[tuple[int, int]]) -> list[int]:
+    """The least member of each row's set under the links."""
+    root = list(range(size))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in links:
+        i, j = top(i), top(j)
+        if i != j:
+            root[max(i, j)] = min(i, j)
+    return [top(x) for x in range(size)]

@@ -5,16 +5,19 @@ Documents are sets of hashed shingles of ``words`` words; two link when
 and the smallest doc_id of its component of links.
 
 1. Equal sets become one row (a representative), whatever their number.
-2. Rows of the incidence matrix that cannot overlap enough are told apart by a
-   prefix: a set of n shingles can miss at most n - ceil(percent * n / 100) of a
-   linked set's, so among any one more of its shingles is a shared one. Each set
-   posts that many of its smallest hashes and ``spare`` more, which lets it leave
-   out up to ``spare`` shingles that are posted more than ``COMMON`` times (shared
-   passages). A set with more of them posts them all. Each shingle's postings
-   are tied to their least representative: a star, never all pairs.
-3. The components of those stars bound the product: all linked pairs lie
-   within one. Components of more than ``BLOCK`` sets are cut into blocks, and each
-   pair of blocks is a product of its own.
+2. A set of n shingles can miss at most q = n - ceil(percent * n / 100) of a
+   linked set's. Each set posts its q + 1 + ``spare`` smallest hashes, its low
+   columns; of two linked sets' common shingles, the first spare + 1 are low
+   columns of both. The product over low columns that at most ``COMMON`` sets
+   share adds up overlap counts, and pairs below that bound, less the crowded
+   columns they might share besides, are discarded.
+   A set is crowded if more than ``spare`` of its low columns have more sets than
+   ``COMMON`` (shared passages, large groups of near copies). Such sets are tied to the least
+   set of each crowded column within a class of sizes: stars, never all pairs.
+   Sizes of linked sets differ by at most one class; each set is in its own and the next.
+3. The components of the pairs, and those of the stars of each class, bound the full
+   product: every linked pair lies within one. Components of more than ``BLOCK`` sets
+   are cut into blocks, and each pair of blocks is a product of its own.
 4. A block product runs over column blocks of the incidence matrix and adds up
    overlap counts. Pairs that sizes rule out (the smaller set is less than
    ``percent`` of the larger) are discarded first, and after each column block
@@ -97,17 +100,29 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.mapInArrow(build, "doc_id long, n long, v long, spare int, low array<bigint>")
 
 
-def stars(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) that hold all linked pairs of ``reps`` (v, spare, low) within components."""
-    posts = reps.select("v", "spare", F.explode("low").alias("g"))
-    shared = posts.groupBy("g").agg(F.count("v").alias("m"), F.min("v").alias("b")).where(F.col("m") > 1)
+def candidates(reps: DataFrame, percent: int) -> DataFrame:
+    """Groups (v, c) of ``reps`` (v, n, spare, low); every linked pair is in one."""
+    posts = reps.select("v", "n", "spare", F.explode("low").alias("g"))
+    shared = posts.groupBy("g").agg(F.count("v").alias("m")).where("m > 1")
     ties = common.written(posts.join(shared, "g"), "ties")
-    plain = ties.where(F.col("m") <= COMMON).select(F.col("v").alias("a"), "b")
-    crowded = ties.where(F.col("m") > COMMON)
-    full = crowded.groupBy("v").agg(F.count("g").alias("k"), F.first("spare").alias("s")).where(F.col("k") > F.col("s")).select("v")
-    crowded = crowded.select("v", "g").join(full, "v")
-    least = crowded.groupBy("g").agg(F.min("v").alias("b"))
-    return plain.unionByName(crowded.join(least, "g").select(F.col("v").alias("a"), "b")).where("a != b")
+    rows = ties.groupBy("v").agg(F.first("n").alias("n"), F.first("spare").alias("s"), F.count_if(F.col("m") > COMMON).alias("h"))
+    rows = common.written(rows, "tied")
+    # At most COMMON rows a column: COMMON / 2 pairs a row.
+    column = ties.where(F.col("m") <= COMMON).groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    pair = F.flatten(F.transform("vs", lambda x, i: F.transform(F.slice("vs", i + 2, F.size("vs")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    counts = column.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("k"))
+    for side in "ab":
+        counts = counts.join(rows.select(F.col("v").alias(side), F.col("n").alias("n" + side), F.col("s").alias("s" + side), F.col("h").alias("h" + side)), side)
+    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("k") >= F.greatest(F.lit(1), F.least("sa", "sb") + 1 - F.least("ha", "hb")))
+    pairs = graph.components(counts.where(fits).select("a", "b"))
+    crowded = rows.where("h > s").select("v", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int").alias("k"))
+    crowded = crowded.select("v", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k"))
+    members = common.written(ties.where(F.col("m") > COMMON).select("v", "g").join(crowded, "v"), "crowded")
+    least = members.groupBy("g", "k").agg(F.min("v").alias("b"))
+    named = members.join(least, ["g", "k"]).where("v != b").select(F.xxhash64("v", "k").alias("a"), F.xxhash64("b", "k").alias("b"))
+    classes = graph.components(named).withColumnRenamed("v", "w")
+    inside = crowded.withColumn("w", F.xxhash64("v", "k")).join(classes, "w").select("v", F.xxhash64("c", F.lit(1)).alias("c"))
+    return common.written(pairs.select("v", "c").unionByName(inside), "groups")
 
 
 def product(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -157,31 +172,12 @@ def product(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent
     return list(zip(left[i].tolist(), right[j].tolist()))
 
 
-def forest(size: int, links: list[tuple[int, int]]) -> list[int]:
-    root = list(range(size))
-
-    def top(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, j in links:
-        i, j = top(i), top(j)
-        if i != j:
-            root[max(i, j)] = min(i, j)
-    return [top(x) for x in range(size)]
-
-
 def linked(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """Edges (a, b) that span the links within each group (v, c) of representatives."""
-    small = groups.groupBy("c").agg(F.count("v").alias("size"))
-    placed = groups.join(small, "c").join(reps.select("v", "doc_id"), "v")
-    # The place within a large group is a hash's: blocks need only be about even.
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks").cast("long")).cast("int"))
+    placed = graph.in_blocks(groups, BLOCK).join(reps.select("v", "doc_id"), "v")
+    placed = common.written(placed, "placed")
     text = common.whole_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = text.join(placed, "doc_id")
+    rows = graph.attached(text, placed, "doc_id")
     schema = pa.schema([("v", pa.int64()), ("c", pa.int64()), ("own", pa.int32()), ("blocks", pa.int32()), ("row", pa.binary())])
 
     def build(batches):
@@ -193,53 +189,20 @@ def linked(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, perc
             yield out.filter(pa.array(ok))
 
     matrix = rows.select("text", "v", "c", "own", "blocks").mapInArrow(build, "v long, c long, own int, blocks int, row binary")
-    pair = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("mate")
-    cells = matrix.select("*", pair).select("v", "c", "own", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "row")
-    cells = cells.repartition(parts, "c", "i", "j").sortWithinPartitions("c", "i", "j", "own", "v")
-
-    def solve(key, rows, own):
-        left = np.flatnonzero(np.array(own) == key[1])
-        right = left if key[1] == key[2] else np.flatnonzero(np.array(own) == key[2])
-        return product(rows, left, right, percent)
-
-    def multiply(batches):
-        key, v, rows, own = None, [], [], []
-        out = ([], [])
-
-        def close():
-            if len(v) > 1:
-                root = forest(len(v), solve(key, rows, own))
-                for k, r in enumerate(root):
-                    if r != k:
-                        out[0].append(v[k])
-                        out[1].append(v[r])
 
-        for batch in batches:
-            for name, c, o, i, j, row in zip(*(x.to_pylist() for x in batch.columns)):
-                if (c, i, j) != key:
-                    close()
-                    key, v, rows, own = (c, i, j), [], [], []
-                if v and v[-1] == name and own[-1] == o:
-                    continue  # the same text under the same doc_id
-                v.append(name)
-                own.append(o)
-                rows.append(np.frombuffer(row, np.int64))
-            if len(out[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
-                out = ([], [])
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
-
-    return cells.mapInArrow(multiply, "a long, b long")
+    def links(held, left, right):
+        return product([np.frombuffer(x, np.int64) for x in held], left, right, percent)
+
+    return graph.within_groups(matrix, parts, links)
 
 
 def join(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     parts = common.tune(docs.sparkSession)
     whole = common.written(sets(docs, words, percent), "sets")
-    reps = whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("spare").alias("spare"), F.first("low").alias("low"))
+    reps = whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("spare").alias("spare"), F.first("low").alias("low"))
     reps = common.written(reps, "reps", "none")
-    groups = graph.components(stars(reps))
+    groups = candidates(reps, percent)
     edges = common.written(linked(docs, reps, groups, words, percent, parts), "links")
     found = graph.components(edges)
     first = found.join(reps.select("v", "doc_id"), "v")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_toxicity, op2_topk, op3_packing, op5_rans, op6_permutation, op7_jaccard, op8_html, op10_secrets
+import corpus_pipeline
+
+from . import op1_toxicity, op2_topk, op3_packing, op4_lines, op5_rans, op6_permutation, op7_jaccard, op8_html, op9_mixing, op10_secrets
 
 
 def queries() -> dict:
@@ -10,11 +12,14 @@ def queries() -> dict:
         "op1_toxicity": op1_toxicity.op1,
         "op2_topk": op2_topk.op2,
         "op3_packing": op3_packing.op3,
+        "op4_lines": op4_lines.op4,
         "op5_rans": op5_rans.op5,
         "op6_permutation": op6_permutation.op6,
         "op7_jaccard": op7_jaccard.op7,
         "op8_html": op8_html.op8,
+        "op9_mixing": op9_mixing.op9,
         "op10_secrets": op10_secrets.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 

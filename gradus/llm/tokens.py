@@ -21,6 +21,8 @@ _SPLIT = "\x00"
 _UNPLAIN = ("  ", "\n\n", " \n", "\n ", _SPLIT, *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 _UNPLAIN_WIDE = (*_UNPLAIN, *(chr(c) for c in range(0x80, 0x3001) if chr(c).isspace()))
 #: Signs that may follow a word's letters.
+#: Letters below are told by every Unicode version alike.
+_PLAIN_LETTERS = "\u0250"
 _SIGNS = ".,;:!?*$&%#@~^=+-_/|()[]{}<>"
 _LOADED: dict[str, "Encoder"] = {}
 
@@ -30,10 +32,13 @@ class Encoder:
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
+        # For words of letters alone, which are never cut before the merges.
+        self.lettered = Tokenizer.from_file(path)
+        self.lettered.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.known: dict[str, bytes] = {}
         self.cache_words = cache_words
@@ -63,51 +68,67 @@ class Encoder:
         return words
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, code = self.known.get, "H" if self.width.itemsize == 2 else "I"
+        get, whole = self.known.get, self._whole
         out: list[bytes] = []
         holes: list[tuple[int, list]] = []  # texts with words not met before
-        fresh: list[str] = []
+        letters: dict[str, bytes] = {}
+        others: dict[str, bytes] = {}
         for text in texts:
             words = self._words(text)
             if words is None:
-                out.append(self._whole(text) if text else b"")
+                out.append(whole(text) if text else b"")
                 continue
             parts = list(map(get, words))
             if None in parts:
-                holes.append((len(out), parts))
                 where = []
                 for i, x in enumerate(parts):
                     if x is None:
                         # A word's letters and the signs after them are encoded apart.
                         word = words[i]
                         core = word.rstrip(_SIGNS)
-                        head = get(core) if core != word and core[-1:].isalpha() else None
-                        if head is None:
-                            where.append(i)
-                            fresh.append(word)
+                        bare = core[1:] if core[:1] == " " else core
+                        if bare.isalpha() and max(bare) < _PLAIN_LETTERS:
+                            tail = b""
+                            if len(core) != len(word):
+                                signs = word[len(core) :]
+                                tail = get(signs)
+                                if tail is None:
+                                    tail = self.known[signs] = whole(signs)
+                            head = get(core)
+                            if head is None:
+                                letters[core] = b""
+                                where.append((i, core, tail))
+                            else:
+                                parts[i] = head + tail
                         else:
-                            signs = word[len(core) :]
-                            tail = get(signs)
-                            if tail is None:
-                                tail = self.known[signs] = self._whole(signs)
-                            parts[i] = head + tail
-                parts.append(where)
-                out.append(b"")
+                            others[word] = b""
+                            where.append((i, word, b""))
+                if where:
+                    holes.append((len(out), parts))
+                    parts.append(where)
+                    out.append(b"")
+                else:
+                    out.append(b"".join(parts))
             else:
                 out.append(b"".join(parts))
-        found: list[bytes] = []
-        for at in range(0, len(fresh), 8192):
-            got = self.tokenizer.encode_batch_fast(fresh[at : at + 8192], add_special_tokens=False)
-            found += [array(code, e.ids).tobytes() for e in got]
-        if len(self.known) < self.cache_words:
-            self.known.update(zip(fresh, found))
-        new = iter(found)
+        self._fill(self.lettered, letters)
+        self._fill(self.tokenizer, others)
         for k, parts in holes:
-            for i in parts.pop():
-                parts[i] = next(new)
+            for i, word, tail in parts.pop():
+                parts[i] = (letters.get(word) or others[word]) + tail
             out[k] = b"".join(parts)
+        if len(self.known) < self.cache_words:
+            self.known.update(letters)
+            self.known.update(others)
         return out
 
+    def _fill(self, tokenizer, words: dict[str, bytes]) -> None:
+        code, names = "H" if self.width.itemsize == 2 else "I", list(words)
+        for at in range(0, len(names), 8192):
+            part = names[at : at + 8192]
+            for word, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                words[word] = array(code, got.ids).tobytes()
+
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder for the vocabulary file at ``path``."""
