@@ -17,7 +17,9 @@ class Entry:
 
 
 def entries() -> dict[str, Entry]:
-    return {}
+    from .plans import programs, scores, texts
+
+    return scores.entries() | texts.entries() | programs.entries()
 
 
 def queries() -> dict[str, Query]:
