@@ -6,30 +6,67 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import common
+from . import common, tokens
+
+
+#: Edges that one task may hold (16 bytes each) to finish a graph.
+FINISH_EDGES = 500_000
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``v`` and ``c``, the smallest vertex of its component, for every vertex on an edge.
 
-    Each round takes the least label of the neighbours, then the label's own
-    label, so that long chains shorten by half. Every round is written to the
-    shared folder: no lineage grows, and a lost executor costs one round.
+    While there are more than ``FINISH_EDGES`` edges, a round maps every vertex to
+    its least neighbour's least neighbour, renames the edges' ends so and drops
+    those whose ends meet: the graph shrinks by more than half (its vertices are hashes,
+    so chains that descend are short). The bounded rest is finished in one task. Every
+    round is written to the shared folder: no lineage grows, and a lost
+    executor costs one round.
     """
-    e = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("a"), F.col(b).alias("b"))
-    e = common.written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = common.written(e.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels")
+    e = edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    e = common.written(e.distinct(), "edges")
+    labels = None
+    while e.count() > FINISH_EDGES:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hop = common.written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "hop")
+        jump = common.written(hop.join(hop.select(F.col("v").alias("c"), F.col("c").alias("n")), "c").select("v", F.col("n").alias("c")), "jump")
+        for end in "ab":
+            e = e.join(jump.select(F.col("v").alias(end), F.col("c").alias(f"c{end}")), end)
+        e = common.written(e.where("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "edges")
+        common.dropped(hop)
+        labels = jump if labels is None else _composed(labels, jump)
+    last = common.written(e.coalesce(1).mapInArrow(_finished, "v long, c long"), "finish")
+    common.dropped(e)
+    return last if labels is None else _composed(labels, last)
+
+
+def _composed(labels: DataFrame, over: DataFrame) -> DataFrame:
+    over = over.select(F.col("v").alias("c"), F.col("c").alias("n"))
+    return common.written(labels.join(over, "c", "left").select("v", F.coalesce("n", "c").alias("c")), "labels")
+
+
+def _finished(batches):
+    ends = [[], []]
+    for batch in batches:
+        for k in (0, 1):
+            ends[k].append(batch.column(k).to_numpy())
+    if not ends[0]:
+        return
+    n = sum(map(len, ends[0]))
+    names, place = np.unique(np.concatenate(ends[0] + ends[1]), return_inverse=True)
+    a, b = place[:n], place[n:]
+    root = np.arange(len(names))
     while True:
-        near = e.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("n"))
-        hop = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "n").alias("c"))
-        over = labels.select(F.col("v").alias("c"), F.col("c").alias("next"))
-        new = common.written(hop.join(over, "c", "left").select("v", "old", F.least("c", F.coalesce("next", "c")).alias("c")), "labels")
-        changed = new.where(F.col("old") != F.col("c")).limit(1).count()
-        common.dropped(labels)
-        labels = new.drop("old")
-        if not changed:
-            common.dropped(e)
-            return labels
+        one, other = root[a], root[b]
+        open_ = one != other
+        if not open_.any():
+            break
+        a, b, one, other = a[open_], b[open_], one[open_], other[open_]
+        np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+        while (root[root] != root).any():
+            root = root[root]
+    for at in range(0, len(names), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 10_000]), pa.array(names[root[at : at + 10_000]])], names=["v", "c"])
 
 
 #: Rows of at most a few dozen bytes that a broadcast may hold.
@@ -85,7 +122,7 @@ def within_groups(rows: DataFrame, parts: int, links) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-    return cells.mapInArrow(solve, "a long, b long")
+    return cells.mapInArrow(tokens.released(solve), "a long, b long")
 
 
 def in_blocks(groups: DataFrame, block: int) -> DataFrame:

@@ -6,15 +6,17 @@ and the smallest doc_id of its component of links.
 
 1. Equal sets become one row (a representative), whatever their number.
 2. A set of n shingles can miss at most q = n - ceil(percent * n / 100) of a
-   linked set's. Each set posts its q + 1 + ``spare`` smallest hashes, its low
-   columns; of two linked sets' common shingles, the first spare + 1 are low
-   columns of both. The product over low columns that at most ``COMMON`` sets
-   share adds up overlap counts, and pairs below that bound, less the crowded
+   linked set's. Under any order of all shingles, of two linked sets' common ones
+   the first spare + 1 are among the first q + 1 + ``spare`` of both: their low
+   columns, by hash at first. The product over low columns that at most ``COMMON``
+   sets share adds up overlap counts, and pairs below that bound, less the crowded
    columns they might share besides, are discarded.
-   A set is crowded if more than ``spare`` of its low columns have more sets than
-   ``COMMON`` (shared passages, large groups of near copies). Such sets are tied to the least
-   set of each crowded column within a class of sizes: stars, never all pairs.
-   Sizes of linked sets differ by at most one class; each set is in its own and the next.
+   Sets are crowded if more than ``spare`` of their low columns have more sets than
+   ``COMMON`` (shared passages, large groups of near copies). Crowded sets
+   are met with one another once more, with the rarest shingles as low columns;
+   those that are crowded still are tied to the least set of each crowded column
+   within a class of sizes: stars, never all pairs. Sizes of linked
+   sets differ by at most one class; each set is in its own and the next.
 3. The components of the pairs, and those of the stars of each class, bound the full
    product: every linked pair lies within one. Components of more than ``BLOCK`` sets
    are cut into blocks, and each pair of blocks is a product of its own.
@@ -41,7 +43,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, graph
+from . import common, graph, tokens
 
 BLOCK = 96
 #: Postings beyond which a shingle counts as common.
@@ -97,25 +99,56 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in got], pa.int64()), pa.array(v, pa.int64()), pa.array([spare(len(s)) for s in got], pa.int32()), pa.array(low, pa.list_(pa.int64()))], schema=schema)
 
     rows = common.whole_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(build, "doc_id long, n long, v long, spare int, low array<bigint>")
+    return rows.mapInArrow(tokens.released(build), "doc_id long, n long, v long, spare int, low array<bigint>")
 
 
-def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Groups (v, c) of ``reps`` (v, n, spare, low); every linked pair is in one."""
-    posts = reps.select("v", "n", "spare", F.explode("low").alias("g"))
+def met(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For sets (v, n, spare, low): pairs (a, b) by overlap counts, crowded sets (v, n), and ties (v, g, m) of shared columns."""
+    posts = lists.select("v", "n", "spare", F.explode("low").alias("g"))
     shared = posts.groupBy("g").agg(F.count("v").alias("m")).where("m > 1")
     ties = common.written(posts.join(shared, "g"), "ties")
     rows = ties.groupBy("v").agg(F.first("n").alias("n"), F.first("spare").alias("s"), F.count_if(F.col("m") > COMMON).alias("h"))
     rows = common.written(rows, "tied")
-    # At most COMMON rows a column: COMMON / 2 pairs a row.
-    column = ties.where(F.col("m") <= COMMON).groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    pair = F.flatten(F.transform("vs", lambda x, i: F.transform(F.slice("vs", i + 2, F.size("vs")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    counts = column.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("k"))
-    for side in "ab":
-        counts = counts.join(rows.select(F.col("v").alias(side), F.col("n").alias("n" + side), F.col("s").alias("s" + side), F.col("h").alias("h" + side)), side)
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("k") >= F.greatest(F.lit(1), F.least("sa", "sb") + 1 - F.least("ha", "hb")))
-    pairs = graph.components(counts.where(fits).select("a", "b"))
-    crowded = rows.where("h > s").select("v", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int").alias("k"))
+    # At most COMMON rows a column: COMMON / 2 pairs a row, fewer as sizes rule most out.
+    row = F.struct("v", "n", "s", "h")
+    column = ties.where(F.col("m") <= COMMON).select("g", "v").join(rows, "v").groupBy("g").agg(F.sort_array(F.collect_list(row)).alias("vs"))
+
+    def paired(x, i):
+        fit = F.filter(F.slice("vs", i + 2, F.size("vs")), lambda y: 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+        bound = lambda y: F.greatest(F.lit(1), F.least(x["s"], y["s"]) + 1 - F.least(x["h"], y["h"])).cast("int")
+        return F.transform(fit, lambda y: F.struct(x["v"].alias("a"), y["v"].alias("b"), bound(y).alias("least")))
+
+    counts = column.select(F.explode(F.flatten(F.transform("vs", paired))).alias("p")).groupBy("p.a", "p.b", "p.least").agg(F.count(F.lit(1)).alias("k"))
+    return counts.where("k >= least").select("a", "b"), rows.where("h > s").select("v", "n"), ties.select("v", "g", "m")
+
+
+def rarest(docs: DataFrame, reps: DataFrame, some: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of the sets in ``some`` (v): v, n, spare and as low columns the shingles that fewest of them hold, ties by hash."""
+    chosen = common.written(reps.select("v", "doc_id", "n", "spare").join(some.select("v"), "v"), "chosen")
+    text = common.whole_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def build(batches):
+        for batch in batches:
+            got = [shingles(t, words) for t in batch["text"].to_pylist()]
+            v = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in got], np.int64)
+            out = pa.RecordBatch.from_arrays([batch["v"], batch["n"], batch["spare"], pa.array(got, pa.list_(pa.int64()))], names=["v", "n", "spare", "all"])
+            yield out.filter(pa.array(v == batch["v"].to_numpy()))
+
+    rows = graph.attached(text, chosen, "doc_id").select("v", "n", "spare", "text")
+    rows = rows.mapInArrow(tokens.released(build), "v long, n long, spare int, all array<bigint>").select("v", "n", "spare", F.explode("all").alias("g"))
+    rows = rows.join(rows.groupBy("g").agg(F.count("v").alias("m")), "g")
+    ranked = F.array_sort(F.array_distinct(F.collect_list(F.struct("m", "g"))))
+    lists = rows.groupBy("v").agg(F.first("n").alias("n"), F.first("spare").alias("spare"), ranked.alias("all"))
+    most = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 + F.col("spare")).cast("int")
+    return common.written(lists.select("v", "n", "spare", F.slice(F.col("all.g"), F.lit(1), most).alias("low")), "rarest", "none")
+
+
+def candidates(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Groups (v, c) of ``reps`` (v, doc_id, n, spare, low); every linked pair is in one."""
+    by_hash, crowded, _ = met(reps, percent)
+    by_count, crowded, ties = met(rarest(docs, reps, crowded, words, percent), percent)
+    pairs = graph.components(by_hash.unionByName(by_count))
+    crowded = crowded.select("v", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int").alias("k"))
     crowded = crowded.select("v", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k"))
     members = common.written(ties.where(F.col("m") > COMMON).select("v", "g").join(crowded, "v"), "crowded")
     least = members.groupBy("g", "k").agg(F.min("v").alias("b"))
@@ -188,7 +221,7 @@ def linked(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, perc
             out = pa.RecordBatch.from_arrays([batch["v"], batch["c"], batch["own"], batch["blocks"], pa.array([s.tobytes() for s in got], pa.binary())], schema=schema)
             yield out.filter(pa.array(ok))
 
-    matrix = rows.select("text", "v", "c", "own", "blocks").mapInArrow(build, "v long, c long, own int, blocks int, row binary")
+    matrix = rows.select("text", "v", "c", "own", "blocks").mapInArrow(tokens.released(build), "v long, c long, own int, blocks int, row binary")
 
     def links(held, left, right):
         return product([np.frombuffer(x, np.int64) for x in held], left, right, percent)
@@ -202,7 +235,7 @@ def join(docs: DataFrame, words: int, percent: int) -> DataFrame:
     whole = common.written(sets(docs, words, percent), "sets")
     reps = whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("spare").alias("spare"), F.first("low").alias("low"))
     reps = common.written(reps, "reps", "none")
-    groups = candidates(reps, percent)
+    groups = candidates(docs, reps, words, percent)
     edges = common.written(linked(docs, reps, groups, words, percent, parts), "links")
     found = graph.components(edges)
     first = found.join(reps.select("v", "doc_id"), "v")

@@ -8,13 +8,16 @@ plain single blanks and line feeds are given to the library whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 from array import array
 
 import numpy as np
 
 #: Words a worker remembers; further new words are encoded each time.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 300_000
 
 _SPLIT = "\x00"
 #: White space other than lone blanks and line feeds.
@@ -99,7 +102,9 @@ class Encoder:
                                 letters[core] = b""
                                 where.append((i, core, tail))
                             else:
-                                parts[i] = head + tail
+                                parts[i] = x = head + tail
+                                if len(self.known) < self.cache_words:
+                                    self.known[word] = x
                         else:
                             others[word] = b""
                             where.append((i, word, b""))
@@ -130,13 +135,27 @@ class Encoder:
                 words[word] = array(code, got.ids).tobytes()
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """This worker's encoder for the vocabulary file at ``path``."""
     if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
+        _LOADED[path] = Encoder(path, cache_words)
     return _LOADED[path]
 
 
 def wide(ids: bytes, width: np.dtype) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     return np.frombuffer(ids, dtype=width).astype("<u4").tobytes()
+
+
+def released(function):
+    """A worker function that first lets go of the encoders that the worker holds from other tasks."""
+
+    def run(batches):
+        if _LOADED:
+            _LOADED.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # give freed pages back to the system
+                ctypes.CDLL(None).malloc_trim(0)
+        yield from function(batches)
+
+    return run
