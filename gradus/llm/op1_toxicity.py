@@ -38,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common
+from . import common, tokens
 
 #: Bounds of the training sample.
 TOXIC, CLEAN = 2000, 4000
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
             yield pa.RecordBatch.from_pydict({"entry": part, "pos": [0] * len(part), "neg": [counts[0][x] for x in part]})
 
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1.0)) - F.log((F.col("neg") + 0.5) / (clean + 1.0))
-    found = rows.mapInArrow(entries, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = rows.mapInArrow(tokens.released(entries), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     found = found.withColumn("odds", odds).where((F.col("pos") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (F.col("odds") >= LEAST_ODDS) & (F.col("neg") * toxic <= 0.02 * F.col("pos") * clean))
     for r in found.orderBy(F.desc("pos"), "entry").limit(ENTRIES).collect():
         (stems if r["entry"].endswith("*") else words)[r["entry"].rstrip("*")] = float(r["odds"])
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
             sums = [grammar.sums(t)[0] for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.list_(pa.float64())), batch["toxic"]], names=["sums", "toxic"])
 
-    got = rows.mapInArrow(measure, "sums array<double>, toxic int").collect()
+    got = rows.mapInArrow(tokens.released(measure), "sums array<double>, toxic int").collect()
     x = np.log1p(np.array([r["sums"] for r in got]))
     grammar.weights = logistic(x, np.array([r["toxic"] for r in got], float)).tolist()
     return grammar

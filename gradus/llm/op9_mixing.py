@@ -74,8 +74,8 @@ def centres(docs: DataFrame, rows: int = SAMPLE, rounds: int = 12) -> np.ndarray
     return c
 
 
-def classified(docs: DataFrame, topics: np.ndarray) -> DataFrame:
-    """``docs`` with a struct ``mix`` of topic and tokens."""
+def classified(docs: DataFrame, topics: np.ndarray, column: str = "mix") -> DataFrame:
+    """``docs`` with a struct of topic and tokens in ``column``."""
 
     @F.pandas_udf("topic int, tokens long")
     def judge(texts: pd.Series) -> pd.DataFrame:
@@ -83,7 +83,7 @@ def classified(docs: DataFrame, topics: np.ndarray) -> DataFrame:
         x = np.array([g[0] for g in got]).reshape(-1, BINS)
         return pd.DataFrame({"topic": (x @ topics.T).argmax(axis=1).astype(np.int32) if len(x) else [], "tokens": np.array([g[1] for g in got], dtype=np.int64)})
 
-    return docs.withColumn("mix", judge("text"))
+    return docs.withColumn(column, judge("text"))
 
 
 def tempered(share: np.ndarray, temper: float) -> np.ndarray:
@@ -171,18 +171,18 @@ def probabilities(docs: DataFrame, temper: float = TEMPER, keep: float = KEEP, m
     return raked.select(*MARGINS, F.col("w").alias("weight"), F.least(F.lit(1.0), F.col("w") * high).alias("probability"))
 
 
-def mixed(docs: DataFrame, temper: float = TEMPER, keep: float = KEEP, seed: int = 9) -> DataFrame:
-    """``docs`` with a struct ``mix`` of topic, tokens, weight, probability and sampled."""
+def mixed(docs: DataFrame, temper: float = TEMPER, keep: float = KEEP, seed: int = 9, column: str = "mix") -> DataFrame:
+    """``docs`` with in ``column`` a struct of topic, tokens, weight, probability and sampled."""
     common.tune(docs.sparkSession)
-    own = classified(docs, centres(docs))
-    small = common.written(own.select("source", "lang", "mix"), "mix")
+    own = classified(docs, centres(docs), column)
+    small = common.written(own.select("source", "lang", F.col(column).alias("mix")), "mix")
     p = probabilities(small, temper, keep).select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"), F.col("weight").alias("__weight"), F.col("probability").alias("__probability"))
     p = common.written(p, "probabilities")
     p = F.broadcast(p) if p.count() <= CELLS else p
-    on = F.col("source").eqNullSafe(F.col("__source")) & F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("mix.topic") == F.col("__topic"))
+    on = F.col("source").eqNullSafe(F.col("__source")) & F.col("lang").eqNullSafe(F.col("__lang")) & (F.col(f"{column}.topic") == F.col("__topic"))
     chance = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce("text", F.lit(""))), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    mix = F.struct("mix.topic", "mix.tokens", F.col("__weight").alias("weight"), F.col("__probability").alias("probability"), (chance < F.col("__probability")).alias("sampled"))
-    return own.join(p, on, "left").withColumn("mix", mix).drop("__source", "__lang", "__topic", "__weight", "__probability")
+    mix = F.struct(f"{column}.topic", f"{column}.tokens", F.col("__weight").alias("weight"), F.col("__probability").alias("probability"), (chance < F.col("__probability")).alias("sampled"))
+    return own.join(p, on, "left").withColumn(column, mix).drop("__source", "__lang", "__topic", "__weight", "__probability")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
