@@ -68,13 +68,13 @@ def entries() -> dict[str, Entry]:
     e["f02_first_fence"] = Entry(lambda s, d: _fenced(s, d).select("doc_id", F.md5(strings.first_fence(F.col("answer"))).alias("h")), "SELECT doc_id, md5(text) AS h FROM documents")
     e["f03_language_blocks"] = Entry(lambda s, d: _fenced(s, d).select("doc_id", F.md5(strings.language_blocks(F.col("answer"), "python")).alias("h")), f"SELECT doc_id, md5(text || {_NL}) AS h FROM documents")
     e["f04_letters_at_ends"] = Entry(lambda s, d: _DOCS(s, d).select("doc_id", F.md5(strings.letters_at_ends(F.col("text"))).alias("h")), r"SELECT doc_id, md5(regexp_replace(text, '^[^a-zA-Z\s]+|[^a-zA-Z\s]+$', '', 'g')) AS h FROM documents")
-    tests = F.concat(F.lit("def f(x):\n"), "text", F.lit(">>> f(1)\n1\n>>> f(2)\n2"))
+    tests = lambda: F.concat(F.lit("def f(x):\n"), "text", F.lit(">>> f(1)\n1\n>>> f(2)\n2"))
     e["f06_split_tests"] = Entry(
-        lambda s, d: _DOCS(s, d).select("doc_id", strings.split_tests(tests).alias("t")).select("doc_id", "t.entry", F.md5("t.comments").alias("comments"), F.array_join("t.tests", "|").alias("tests")),
+        lambda s, d: _DOCS(s, d).select("doc_id", strings.split_tests(tests()).alias("t")).select("doc_id", "t.entry", F.md5("t.comments").alias("comments"), F.array_join("t.tests", "|").alias("tests")),
         f"SELECT doc_id, 'def f(x):' AS entry, md5(text) AS comments, 'f(1)' || {_NL} || '1' || {_NL} || '|f(2)' || {_NL} || '2' AS tests FROM documents",
     )
     e["g15_split_and_joined"] = Entry(
-        lambda s, d: _DOCS(s, d).select("doc_id", tests.alias("p"), strings.split_tests(tests).alias("t")).select("doc_id", (strings.joined_tests(F.col("t.entry"), F.col("t.comments"), F.col("t.tests")) == F.col("p")).alias("same")),
+        lambda s, d: _DOCS(s, d).select("doc_id", tests().alias("p"), strings.split_tests(tests()).alias("t")).select("doc_id", (strings.joined_tests(F.col("t.entry"), F.col("t.comments"), F.col("t.tests")) == F.col("p")).alias("same")),
         "SELECT doc_id, true AS same FROM documents",
     )
     e["f07_truncated"] = Entry(lambda s, d: _DOCS(s, d).select("doc_id", F.md5(strings.truncate_at(F.col("text"), ["\nThe", "\nA", " is "])).alias("h")), f"SELECT doc_id, md5(substring(text, 1, coalesce(least(nullif(instr(text, {_NL} || 'The'), 0), nullif(instr(text, {_NL} || 'A'), 0), nullif(instr(text, ' is '), 0)) - 1, length(text)))) AS h FROM documents")
@@ -85,8 +85,8 @@ def entries() -> dict[str, Entry]:
     e["f15_sentence_bound"] = Entry(lambda s, d: _DOCS(s, d).select("doc_id", strings.sentence_bound(F.col("text")).cast("bigint").alias("low"), (strings.sentence_bound(F.col("text")) + 1).cast("bigint").alias("high")), "SELECT doc_id, CAST(length(text) - length(replace(text, '.', '')) + 1 AS BIGINT) AS low, CAST(length(text) - length(replace(text, '.', '')) + 2 AS BIGINT) AS high FROM documents")
     e["f16_parsed_names"] = Entry(lambda s, d: _names(s, d).select("o_orderkey", strings.parsed_name(F.col("name")).alias("p")).select("o_orderkey", "p.*"), "SELECT o_orderkey, o_orderpriority AS model, o_orderstatus AS data, '0.8::::' || o_custkey AS hyper FROM orders")
     e["f17_program"] = Entry(lambda s, d: _DOCS(s, d).select("doc_id", F.md5(strings.program(F.col("lang"), F.col("text"), F.col("source"))).alias("h")), "SELECT doc_id, md5(lang || repeat(chr(10), 3) || text || repeat(chr(10), 3) || source) AS h FROM documents")
-    demos = F.array(F.struct(F.lit("in").alias("input"), F.col("source").alias("output")))
-    e["f18_messages"] = Entry(lambda s, d: _DOCS(s, d).select("doc_id", F.posexplode(strings.messages(F.md5("text"), demos)).alias("place", "m")).select("doc_id", F.col("place").cast("bigint").alias("place"), "m.role", "m.content"), "SELECT doc_id, CAST(0 AS BIGINT) AS place, 'user' AS role, 'in' AS content FROM documents UNION ALL SELECT doc_id, 1, 'assistant', source FROM documents UNION ALL SELECT doc_id, 2, 'user', md5(text) FROM documents")
+    demos = lambda: F.array(F.struct(F.lit("in").alias("input"), F.col("source").alias("output")))
+    e["f18_messages"] = Entry(lambda s, d: _DOCS(s, d).select("doc_id", F.posexplode(strings.messages(F.md5("text"), demos())).alias("place", "m")).select("doc_id", F.col("place").cast("bigint").alias("place"), "m.role", "m.content"), "SELECT doc_id, CAST(0 AS BIGINT) AS place, 'user' AS role, 'in' AS content FROM documents UNION ALL SELECT doc_id, 1, 'assistant', source FROM documents UNION ALL SELECT doc_id, 2, 'user', md5(text) FROM documents")
     e["f19_completion"] = Entry(lambda s, d: _DOCS(s, d).select("doc_id", F.md5(F.concat("source", "text")).alias("h")), "SELECT doc_id, md5(source || text) AS h FROM documents")
     edits = [("delete", lambda t: strings.delete_phrase(t, F.lit("the"))), ("add", lambda t: strings.add_phrase(t, F.lit("new"), F.lit("of"))), ("swap", lambda t: strings.swap_phrases(t, F.lit("the"), F.lit("and")))]
     e["f20_phrase_edits"] = Entry(

@@ -17,9 +17,9 @@ class Entry:
 
 
 def entries() -> dict[str, Entry]:
-    from .plans import programs, scores, texts
+    from .plans import extras, programs, scores, texts
 
-    return scores.entries() | texts.entries() | programs.entries()
+    return scores.entries() | texts.entries() | programs.entries() | extras.entries()
 
 
 def queries() -> dict[str, Query]:
