@@ -10,7 +10,7 @@ The ``SHARE`` of rows with the smallest footrule distance (and at least
 
 The index holds every row, split by documents: a task reads its rows' postings,
 answers a block of ``vectors.QUERY_BLOCK`` queries and keeps their k best; a window over
-those merges them. Measured recall is in the README and in the tests.
+those merges them.
 
 Nulls, ties: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do rows without vec_id and vectors of another
@@ -31,8 +31,10 @@ from . import common, vectors
 
 PIVOTS = 256
 PREFIX = 128
-SHARE = 0.15
+SHARE = 0.35  # more than a third, which one tight group may hold
 LEAST = 256
+#: Cosine from which two pivots are alike.
+ALIKE = 0.9
 
 _FOUND = "query_id long, query_row long, vec_id long, score double"
 
@@ -47,6 +49,18 @@ def weights(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return out
 
 
+def diverse(sample: np.ndarray, count: int, alike: float = ALIKE) -> np.ndarray:
+    """Unit pivots of the sample in its order: all but a sixteenth unlike all before them, so that a tight group is one direction to the rest; the others as they come, to tell its members apart."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    chosen, spare = [], []
+    for i in range(len(unit)):
+        if len(chosen) == count - count // 16:
+            break
+        (chosen if not chosen or (unit[chosen] @ unit[i]).max() < alike else spare).append(i)
+    rest = [i for i in range(len(unit)) if i not in set(chosen)]
+    return unit[chosen + rest[: count - len(chosen)]]
+
+
 def search_chunk(ids, x, files, q_ids, q, q_weights, k, share, least):
     """(query row, row in x, score) of each query's k best among the rows nearest by footrule.
 
@@ -74,11 +88,11 @@ def neighbours(df: DataFrame, every: int, k: int, pivots: int = PIVOTS, prefix:
     parts = common.tune(spark)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     df = df.where(F.exists("v", lambda x: x != 0))
-    chosen = vectors.sample(df)[:pivots]
+    chosen = vectors.sample(df)
     if not len(chosen):
         return empty
     size = chosen.shape[1]
-    chosen = chosen / np.linalg.norm(chosen, axis=1, keepdims=True)
+    chosen = diverse(chosen, pivots)
     rows = df.where(F.size("v") == size)
 
     def post(batches):
