@@ -31,6 +31,8 @@ from . import common, vectors
 PIVOTS = 32
 #: Candidates evaluated between two looks at the stopping rule.
 STEP = 256
+#: Queries whose bounds are held at once.
+BOUNDS = 128
 
 _FOUND = "query_id long, query_row long, vec_id long, score long"
 _KINDS = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -72,28 +74,28 @@ def pivot_table(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 def search_chunk(ids, x, dx, q_ids, q, dq, k):
     """(query row, row in x, score) of each query's k best rows of x."""
-    norm, q_norm = (x * x).sum(axis=1), (q * q).sum(axis=1)
-    bound = np.zeros((len(q), len(x)))
-    gap = np.empty_like(bound)
-    for p in range(dx.shape[1]):
-        np.subtract(dq[:, p : p + 1], dx[None, :, p], out=gap)
-        np.maximum(bound, np.abs(gap, out=gap), out=bound)
-    bound *= bound
-    both = q_norm[:, None] + norm[None, :]
-    upper = np.floor((both - bound) / 2 + 1e-6 * (both + 1))
-    out = []
-    for i in range(len(q)):
-        order = np.argsort(-upper[i], kind="stable")
-        order = order[ids[order] != q_ids[i]]
-        best_rows, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(order), STEP):
-            if len(best) == k and upper[i, order[at]] < best[-1]:
-                break
-            part = order[at : at + STEP]
-            rows, s = np.concatenate((best_rows, part)), np.concatenate((best, scores(x[part], q[i])))
-            keep = np.lexsort((ids[rows], -s))[:k]
-            best_rows, best = rows[keep], s[keep]
-        out += [(i, int(r), int(s)) for r, s in zip(best_rows, best)]
+    norm, out = (x * x).sum(axis=1), []
+    for first in range(0, len(q), BOUNDS):
+        some = slice(first, first + BOUNDS)
+        bound = np.zeros((len(q[some]), len(x)))
+        gap = np.empty_like(bound)
+        for p in range(dx.shape[1]):
+            np.subtract(dq[some, p, None], dx[None, :, p], out=gap)
+            np.maximum(bound, np.abs(gap, out=gap), out=bound)
+        both = (q[some] ** 2).sum(axis=1)[:, None] + norm[None, :]
+        upper = np.floor((both - bound * bound) / 2 + 1e-6 * (both + 1))
+        for i in range(len(upper)):
+            order = np.argsort(-upper[i], kind="stable")
+            order = order[ids[order] != q_ids[first + i]]
+            best_rows, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for at in range(0, len(order), STEP):
+                if len(best) == k and upper[i, order[at]] < best[-1]:
+                    break
+                part = order[at : at + STEP]
+                rows, s = np.concatenate((best_rows, part)), np.concatenate((best, scores(x[part], q[first + i])))
+                keep = np.lexsort((ids[rows], -s))[:k]
+                best_rows, best = rows[keep], s[keep]
+            out += [(first + i, int(r), int(s)) for r, s in zip(best_rows, best)]
     return out
 
 
