@@ -34,7 +34,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -65,7 +64,7 @@ class Grammar:
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], weights: list[float] | None = None):
         self.words, self.stems = words, stems
-        self.weights = weights or [-3.0, 2.0, 2.0, 0.5, 0.5, 2.0]
+        self.weights = weights or [-3.0, 2.5, 3.0, 0.5, 0.5, 3.0]
         self.automaton = None
 
     def __getstate__(self):
@@ -144,18 +143,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean:
     # At most toxic + clean ids: a bounded broadcast.
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
     rows = common.whole_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("label_doc"))
-    mark = F.pandas_udf(_mark, "long")
+    mark = F.arrow_udf(_mark, "long")
     marked = rows.select("text", "toxic", mark("text").alias("mark"))
     return marked.groupBy("mark", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
-def _mark(texts: pd.Series) -> pd.Series:
+def _mark(texts: pa.Array) -> pa.Array:
     """The least hash of a text's word triples: near copies mostly share it."""
     out = []
-    for text in texts:
+    for text in texts.to_pylist():
         w = text.lower().split()
         out.append(min((zlib.crc32(" ".join(w[i : i + 3]).encode()) for i in range(max(1, len(w) - 2))), default=0))
-    return pd.Series(out)
+    return pa.array(out, pa.int64())
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
@@ -223,10 +222,10 @@ def scored(docs: DataFrame, grammar: Grammar, column: str = "toxicity") -> DataF
     """``docs`` with a struct of score and n_clauses of each whole text in ``column``."""
     common.tune(docs.sparkSession)
 
-    @F.pandas_udf("score double, n_clauses long")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        got = [grammar.score(t or "") for t in texts]
-        return pd.DataFrame(got, columns=["score", "n_clauses"]).astype({"score": "float64", "n_clauses": "int64"})
+    @F.arrow_udf("score double, n_clauses long")
+    def judge(texts: pa.Array) -> pa.Array:
+        got = [grammar.score(t or "") for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], names=["score", "n_clauses"])
 
     return docs.withColumn(column, judge(F.coalesce(F.col("text"), F.lit(""))))
 
