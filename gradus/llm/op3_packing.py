@@ -28,18 +28,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common, tokens
 
 WINDOW = 4096
+#: Words a worker remembers: less than its default, as other stages follow in the same workers.
+CACHE_WORDS = 120_000
 
 _RUNS = "part int, begin long, doc_id long, n_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, boundary boolean"
 
 
-def runs(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Ids of each document, placed within its partition's run."""
+def runs(docs: DataFrame, path: str, end_id: int, keep: bool = True) -> DataFrame:
+    """Ids of each document, placed within its partition's run. Without ``keep`` a task leaves no encoder behind in its worker."""
     common.tune(docs.sparkSession)
     schema = pa.schema([("part", pa.int32()), ("begin", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path)
+        enc = tokens.encoder(path, CACHE_WORDS)
         end = np.array([end_id], dtype=enc.width).tobytes()
         part, begin = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -48,21 +50,25 @@ def runs(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             first = begin + np.concatenate(([0], np.cumsum(n)))
             begin = int(first[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(first[:-1]), batch["doc_id"], pa.array(n), pa.array(ids, pa.binary())], schema=schema)
+        if not keep:
+            tokens.release()
 
     rows = common.whole_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(encode, _RUNS)
 
 
-def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) -> DataFrame:
-    """Pieces of all documents with their ids (unsigned 32-bit, little-endian), sequence and offset."""
-    placed = common.written(runs(docs, path, end_id), "runs")
+def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, digest: bool = False, keep: bool = True) -> DataFrame:
+    """Pieces of all documents with their ids (unsigned 32-bit, little-endian) or their crc32 as ids_crc32, sequence and offset."""
+    placed = common.written(runs(docs, path, end_id, keep), "runs")
     totals = {r["part"]: (r["n"], r["w"]) for r in placed.groupBy("part").agg(F.sum("n_tokens").alias("n"), (F.max(F.length("ids") / F.col("n_tokens"))).alias("w")).collect()}
     offset, so_far = {}, 0
     for part in sorted(totals):
         offset[part], so_far = so_far, so_far + totals[part][0]
     ends = {p: offset[p] + totals[p][0] for p in totals}
     width = np.dtype("<u4" if any(w > 3 for _, w in totals.values()) else "<u2")
-    kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("boundary", pa.bool_())]
+    last = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
+    show = zlib.crc32 if digest else bytes
+    kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), last, ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("boundary", pa.bool_())]
 
     def cut(batches):
         for batch in batches:
@@ -74,21 +80,16 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) -> DataF
                     sequence, place = divmod(at + done, window)
                     take = min(n - done, window - place)
                     shared = sequence * window < low or (sequence + 1) * window > high
-                    for k, v in zip(out, (doc, done, take, wide[done : done + take].tobytes(), n, sequence, place, shared)):
+                    for k, v in zip(out, (doc, done, take, show(wide[done : done + take]), n, sequence, place, shared)):
                         out[k].append(v)
                     done += take
             yield pa.RecordBatch.from_pydict(out, pa.schema(kinds))
 
-    return placed.mapInArrow(cut, _PIECES)
+    return placed.mapInArrow(cut, _PIECES.replace("ids binary", "ids_crc32 long") if digest else _PIECES)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack ``documents`` with the word vocabulary into sequences of 4096."""
     import public_tokenizers
 
-    pieces = pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
-    return digest(pieces)
-
-
-def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "boundary")
+    return pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, digest=True)

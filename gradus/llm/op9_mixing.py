@@ -28,7 +28,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
@@ -52,9 +52,9 @@ def centres(docs: DataFrame, rows: int = SAMPLE, rounds: int = 12) -> np.ndarray
     ids = docs.select(F.col("doc_id").cast("long").alias("sampled")).where("sampled IS NOT NULL").distinct().orderBy(F.xxhash64("sampled"), "sampled").limit(rows)
     picked = docs.select(F.col("doc_id").cast("long").alias("sampled"), "text").join(F.broadcast(ids), "sampled")
 
-    @F.pandas_udf("array<float>")
-    def bins(texts: pd.Series) -> pd.Series:
-        return pd.Series([word_bins(t or "")[0].astype(np.float32) for t in texts])
+    @F.arrow_udf("array<float>")
+    def bins(texts: pa.Array) -> pa.Array:
+        return pa.array([word_bins(t or "")[0].astype(np.float32) for t in texts.to_pylist()], pa.list_(pa.float32()))
 
     x = np.array([r["x"] for r in picked.select("sampled", bins("text").alias("x")).orderBy("sampled").limit(rows).collect()], dtype=np.float64).reshape(-1, BINS)
     x = x[x.any(axis=1)]
@@ -77,11 +77,12 @@ def centres(docs: DataFrame, rows: int = SAMPLE, rounds: int = 12) -> np.ndarray
 def classified(docs: DataFrame, topics: np.ndarray, column: str = "mix") -> DataFrame:
     """``docs`` with a struct of topic and tokens in ``column``."""
 
-    @F.pandas_udf("topic int, tokens long")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        got = [word_bins(t or "") for t in texts]
+    @F.arrow_udf("topic int, tokens long")
+    def judge(texts: pa.Array) -> pa.Array:
+        got = [word_bins(t or "") for t in texts.to_pylist()]
         x = np.array([g[0] for g in got]).reshape(-1, BINS)
-        return pd.DataFrame({"topic": (x @ topics.T).argmax(axis=1).astype(np.int32) if len(x) else [], "tokens": np.array([g[1] for g in got], dtype=np.int64)})
+        topic = (x @ topics.T).argmax(axis=1) if len(x) else []
+        return pa.StructArray.from_arrays([pa.array(topic, pa.int32()), pa.array([g[1] for g in got], pa.int64())], names=["topic", "tokens"])
 
     return docs.withColumn(column, judge("text"))
 

@@ -26,6 +26,8 @@ _UNPLAIN_WIDE = (*_UNPLAIN, *(chr(c) for c in range(0x80, 0x3001) if chr(c).issp
 #: Signs that may follow a word's letters.
 #: Letters below are told by every Unicode version alike.
 _PLAIN_LETTERS = "\u0250"
+#: Its lower case is a letter and a mark.
+_GROWS = "\u0130"
 _SIGNS = ".,;:!?*$&%#@~^=+-_/|()[]{}<>"
 _LOADED: dict[str, "Encoder"] = {}
 
@@ -90,7 +92,7 @@ class Encoder:
                         word = words[i]
                         core = word.rstrip(_SIGNS)
                         bare = core[1:] if core[:1] == " " else core
-                        if bare.isalpha() and max(bare) < _PLAIN_LETTERS:
+                        if bare.isalpha() and (bare.isascii() or (max(bare) < _PLAIN_LETTERS and _GROWS not in bare)):
                             tail = b""
                             if len(core) != len(word):
                                 signs = word[len(core) :]
@@ -151,11 +153,16 @@ def released(function):
     """A worker function that first lets go of the encoders that the worker holds from other tasks."""
 
     def run(batches):
-        if _LOADED:
-            _LOADED.clear()
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # give freed pages back to the system
-                ctypes.CDLL(None).malloc_trim(0)
+        release()
         yield from function(batches)
 
     return run
+
+
+def release() -> None:
+    """Let go of this worker's encoders and give the pages back to the system."""
+    if _LOADED:
+        _LOADED.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
