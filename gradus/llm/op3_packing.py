@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common, tokens
 
 WINDOW = 4096
-#: Words a worker remembers: less than its default, as other stages follow in the same workers.
+#: Words a worker remembers where other stages follow in the same workers.
 CACHE_WORDS = 120_000
 
 _RUNS = "part int, begin long, doc_id long, n_tokens long, ids binary"
@@ -41,7 +41,7 @@ def runs(docs: DataFrame, path: str, end_id: int, keep: bool = True) -> DataFram
     schema = pa.schema([("part", pa.int32()), ("begin", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path, CACHE_WORDS)
+        enc = tokens.encoder(path) if keep else tokens.encoder(path, CACHE_WORDS)
         end = np.array([end_id], dtype=enc.width).tobytes()
         part, begin = TaskContext.get().partitionId(), 0
         for batch in batches:

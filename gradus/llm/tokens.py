@@ -17,13 +17,17 @@ from array import array
 import numpy as np
 
 #: Words a worker remembers; further new words are encoded each time.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 _SPLIT = "\x00"
 #: White space other than lone blanks and line feeds.
 _UNPLAIN = ("  ", "\n\n", " \n", "\n ", _SPLIT, *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 _UNPLAIN_WIDE = (*_UNPLAIN, *(chr(c) for c in range(0x80, 0x3001) if chr(c).isspace()))
 #: Signs that may follow a word's letters.
+#: How byte-level merges spell bytes: the printable as themselves, the others from U+0100 on.
+_BYTES = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+_SPELLED = {b: 0x100 + i for i, b in enumerate(_BYTES)}
+_BLANK = chr(_SPELLED[0x20])
 #: Letters below are told by every Unicode version alike.
 _PLAIN_LETTERS = "\u0250"
 #: Its lower case is a letter and a mark.
@@ -43,6 +47,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = False
         # For words of letters alone, which are never cut before the merges.
         self.lettered = Tokenizer.from_file(path)
+        self.merges = self.lettered.model.tokenize
         self.lettered.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.known: dict[str, bytes] = {}
@@ -131,6 +136,12 @@ class Encoder:
 
     def _fill(self, tokenizer, words: dict[str, bytes]) -> None:
         code, names = "H" if self.width.itemsize == 2 else "I", list(words)
+        if tokenizer is self.lettered:  # one piece each, nothing to normalize but case: the merges alone
+            for word in names:
+                word_ = word if self.spaced else word.lower()
+                spelled = word_.replace(" ", _BLANK) if word_.isascii() else word_.encode().decode("latin-1").translate(_SPELLED)
+                words[word] = array(code, [t.id for t in self.merges(spelled)]).tobytes()
+            return
         for at in range(0, len(names), 8192):
             part = names[at : at + 8192]
             for word, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
