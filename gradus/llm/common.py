@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -60,6 +61,12 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that are no longer held."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def whole_text(df: DataFrame, column: str = "text") -> DataFrame:
     """``df`` with nulls in ``column`` as the empty text."""
     return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))

@@ -40,9 +40,9 @@ from . import common, tokens
 SCALE_BITS = 20
 LANES = 64
 CHECK_STEPS = 256
-BLOCK_TOKENS = 65_536
+BLOCK_TOKENS = 32_768
 #: Blocks coded side by side in one numpy pass.
-SIDE_BY_SIDE = 64
+SIDE_BY_SIDE = 32
 
 _MAGIC, _VERSION = b"GRNS", 1
 _HEAD = struct.Struct("<4sIIQIII")
@@ -78,7 +78,8 @@ class Table:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        self.both = self.freq << _WORD | self.start
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 65_536 else np.uint32), freq)
         self.check = zlib.crc32(freq.astype("<i8").tobytes())
 
 
@@ -99,18 +100,24 @@ def encode_blocks(blocks: list[np.ndarray], table: Table) -> list[bytes]:
     at = np.zeros(g * LANES, dtype=np.int64)
     words = np.zeros((g * LANES, most + 1), dtype=np.uint32)
     marks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    lanes = np.arange(g * LANES)
     shift, limit = np.uint64(SCALE_BITS), np.uint64(63 - SCALE_BITS)
+    even = min((len(b) for b in blocks), default=0) // LANES  # steps in which every lane has an id
     for t in range(most - 1, -1, -1):
-        f, c, on = table.freq[ids[t]], table.start[ids[t]], live[t]
-        full = on & (x >= (f << limit))
-        if full.any():
-            who = lanes[full]
-            words[who, at[who]] = (x[who] & _MASK32).astype(np.uint32)
+        both = table.both[ids[t]]
+        f, on = both >> _WORD, live[t]
+        full = x >= (f << limit)
+        if t >= even:
+            full &= on
+            f = np.maximum(f, np.uint64(1))
+        who = np.flatnonzero(full)
+        if len(who):
+            over = x[who]
+            words[who, at[who]] = over & _MASK32
             at[who] += 1
-            x[who] >>= _WORD
-        q, r = np.divmod(x, np.maximum(f, np.uint64(1)))
-        x = np.where(on, (q << shift) + r + c, x)
+            x[who] = over >> _WORD
+        q = x // f
+        new = (q << shift) + (x - q * f) + (both & _MASK32)
+        x = new if t < even else np.where(on, new, x)
         if t and t % CHECK_STEPS == 0:
             marks[t] = (x.copy(), at.copy())
     out = []
@@ -165,14 +172,15 @@ def decode_blocks(blocks: list[bytes], table: Table, checkpoint: int = 0, check:
     even = min(h[0] for h in heads) // LANES  # steps in which every lane has an id
     for t in range(begin, most):
         slot = x & low
-        s = table.symbol[slot.astype(np.int64)]
-        new = table.freq[s] * (x >> shift) + slot - table.start[s]
+        s = table.symbol[slot.view(np.int64)]
+        both = table.both[s]
+        new = (both >> _WORD) * (x >> shift) + slot - (both & _MASK32)
         if t >= even:
             on = t * LANES + lane < total
             new = np.where(on, new, x)
-        need = new < _LOW
-        if need.any():
-            who = np.flatnonzero(need & (at > 0))
+        who = np.flatnonzero(new < _LOW)
+        if len(who):
+            who = who[at[who] > 0]
             at[who] -= 1
             new[who] = (new[who] << _WORD) | words[first[who] + at[who]]
         x = new
@@ -195,12 +203,36 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(a.split()[0], kinds[a.split()[1]]) for a in schema.split(", ")])
 
 
+def in_order(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` range-partitioned and sorted by doc_id and their text's hash.
+
+    The ranges come from quantiles of doc_id alone, so the texts are not read to sample
+    them. Equal ids stay together; where one holds more than a part's share, or where
+    there are too many parts for an expression, Spark's own range partitioning by both keys takes over.
+    """
+    keys = [F.col("doc_id"), F.xxhash64("text")]
+    ids = rows.select("doc_id")
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    if len(set(cuts)) != parts - 1 or parts > 1000:
+        return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+
+    def place(low: int, high: int):
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col("doc_id") <= cuts[mid], place(low, mid)).otherwise(place(mid + 1, high))
+
+    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place(0, parts - 1))
+    return rows.repartitionById(parts, part).sortWithinPartitions(*keys)
+
+
 def token_blocks(docs: DataFrame, path: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Documents in ascending ``doc_id`` order as blocks of ids; ``begin`` counts within the part."""
+    """Documents in ascending ``doc_id`` order as blocks of ids; ``begin`` counts within the part.
+
+    A part's last row, with block -1, has the ids that occur in it and their counts as doc_ids and doc_tokens.
+    """
     parts = common.tune(docs.sparkSession)
-    keys = [F.col("doc_id"), F.xxhash64("text")]
-    rows = common.whole_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    rows = in_order(common.whole_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts)
     schema = _arrow(_BLOCKS)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +240,21 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, block_tokens: int = BL
         end = np.array([end_id], dtype=enc.width).tobytes()
         part, block, begin = TaskContext.get().partitionId(), 0, 0
         ids, names, lens, held = [], [], [], 0
-
-        def row():
-            return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "begin": [begin], "n_tokens": [held], "doc_ids": [names], "doc_tokens": [lens], "ids": [b"".join(ids)]}, schema)
+        total, seen = np.zeros(0, dtype=np.int64), []
+
+        def row(place, n, names, lens, ids):
+            return pa.RecordBatch.from_pydict({"part": [part], "block": [place], "begin": [begin], "n_tokens": [n], "doc_ids": [names], "doc_tokens": [lens], "ids": [ids]}, schema)
+
+        def close():
+            nonlocal total, block, begin, ids, names, lens, held
+            whole = b"".join(ids)
+            seen.append(np.frombuffer(whole, enc.width))
+            if len(seen) == 32:
+                total = added(total, seen)
+            out = row(block, held, names, lens, whole)
+            block, begin = block + 1, begin + held
+            ids, names, lens, held = [], [], [], 0
+            return out
 
         for batch in batches:
             for doc, got in zip(batch["doc_id"].to_pylist(), enc.encode(batch["text"].to_pylist())):
@@ -219,41 +263,41 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, block_tokens: int = BL
                 lens.append(len(got) // enc.width.itemsize + 1)
                 held += lens[-1]
                 if held >= block_tokens:
-                    yield row()
-                    block, begin = block + 1, begin + held
-                    ids, names, lens, held = [], [], [], 0
+                    yield close()
         if held:
-            yield row()
+            yield close()
+        total = added(total, seen)
+        some = np.flatnonzero(total)
+        if len(some):
+            yield row(-1, 0, some, total[some], b"")
 
     return rows.mapInArrow(blocks, _BLOCKS)
 
 
-def counted(blocks: DataFrame, width: np.dtype) -> dict[int, int]:
-    """How often each id occurs; at most one row per vocabulary entry."""
+def added(total: np.ndarray, seen: list[np.ndarray]) -> np.ndarray:
+    """Counts with those of the arrays in ``seen``, which is emptied."""
+    n = np.bincount(np.concatenate(seen), minlength=len(total)) if seen else total.copy()
+    if seen:
+        n[: len(total)] += total
+        seen.clear()
+    return n
 
-    def count(batches):
-        total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for ids in batch["ids"].to_pylist():
-                n = np.bincount(np.frombuffer(ids, dtype=width), minlength=len(total))
-                n[: len(total)] += total
-                total = n
-        some = np.flatnonzero(total)
-        for at in range(0, len(some), 10_000):
-            yield pa.RecordBatch.from_pydict({"id": some[at : at + 10_000], "n": total[some[at : at + 10_000]]})
 
-    rows = blocks.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return {r["id"]: r["n"] for r in rows.collect()}
+def counted(blocks: DataFrame) -> dict[int, int]:
+    """How often each id occurs; at most one row per vocabulary entry."""
+    rows = blocks.where("block = -1").select(F.explode(F.arrays_zip("doc_ids", "doc_tokens")).alias("z"))
+    return {r[0]: r[1] for r in rows.groupBy("z.doc_ids").agg(F.sum("z.doc_tokens")).collect()}
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> Table:
     """Write the documents' ids to ``folder``; returns the table, which ``read`` needs."""
-    blocks = common.written(token_blocks(docs, path, end_id, block_tokens), "ids", "none")
+    blocks = common.written(token_blocks(docs, path, end_id, block_tokens), "ids")
+    common.swept(docs.sparkSession)
     from tokenizers import Tokenizer
 
     vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
     width = np.dtype("<u2" if vocabulary <= 65_536 else "<u4")
-    freq = scaled(counted(blocks, width), vocabulary)
+    freq = scaled(counted(blocks), vocabulary)
     schema = _arrow(_FILES)
 
     def code(batches):
@@ -264,13 +308,13 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, block_tokens: in
                 got = encode_blocks([np.frombuffer(x, dtype=width) for x in part["ids"].to_pylist()], shared)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.binary())], schema=schema)
 
-    blocks.mapInArrow(code, _FILES).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(folder)
+    blocks.where("block >= 0").mapInArrow(code, _FILES).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(folder)
     common.dropped(blocks)
     return Table(freq)
 
 
-def read(spark: SparkSession, folder: str, table: Table) -> DataFrame:
-    """Decode the files: doc_id, start, n_tokens and the ids (unsigned 32-bit, little-endian) of each document."""
+def read(spark: SparkSession, folder: str, table: Table, digest: bool = False) -> DataFrame:
+    """Decode the files: doc_id, start, n_tokens and the ids (unsigned 32-bit, little-endian) of each document, or their crc32 as ids_crc32."""
     common.tune(spark)
     files = spark.read.parquet(folder)
     # One row per part: a prefix sum over the parts' totals places each part.
@@ -279,24 +323,27 @@ def read(spark: SparkSession, folder: str, table: Table) -> DataFrame:
     for part in sorted(totals):
         offset[part], so_far = so_far, so_far + totals[part]
     freq = table.freq.astype(np.int64)
+    last, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
+    show = zlib.crc32 if digest else bytes
+    schema = _arrow(f"doc_id long, start long, n_tokens long, {last} {kind}")
 
     def decode(batches):
         shared = Table(freq)
         for batch in batches:
             for at in range(0, batch.num_rows, SIDE_BY_SIDE):
                 rows = batch.slice(at, SIDE_BY_SIDE).to_pylist()
-                out = {"doc_id": [], "start": [], "n_tokens": [], "ids": []}
+                out = {"doc_id": [], "start": [], "n_tokens": [], last: []}
                 for row, ids in zip(rows, decode_blocks([r["bytes"] for r in rows], shared)):
                     begin = 0
                     for doc, n in zip(row["doc_ids"], row["doc_tokens"]):
                         out["doc_id"].append(doc)
                         out["start"].append(offset[row["part"]] + row["begin"] + begin)
                         out["n_tokens"].append(n)
-                        out["ids"].append(ids[begin : begin + n].astype("<u4").tobytes())
+                        out[last].append(show(ids[begin : begin + n].astype("<u4")))
                         begin += n
-                yield pa.RecordBatch.from_pydict(out, _arrow("doc_id long, start long, n_tokens long, ids binary"))
+                yield pa.RecordBatch.from_pydict(out, schema)
 
-    return files.select("part", "begin", "n_tokens", "doc_ids", "doc_tokens", "bytes").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return files.select("part", "begin", "n_tokens", "doc_ids", "doc_tokens", "bytes").mapInArrow(decode, f"doc_id long, start long, n_tokens long, {last} {kind}")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,4 +354,4 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = f"{common.shared_dir(spark)}/gradus-rans-{uuid.uuid4().hex}"
     table = write(common.table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), 0)
-    return read(spark, folder, table).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(spark, folder, table, digest=True)
