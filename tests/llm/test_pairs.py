@@ -128,6 +128,38 @@ def test_line_dedup_equals_brute_force(spark):
     assert {x["doc_id"]: x["text"] for x in got} == want
 
 
+def test_line_threshold_grows_with_the_line(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 9)))
+    base = [" ".join(word() for _ in range(n)) for n in (10, 12, 25, 60, 150, 400)]
+    base += [f"{word()} {word()} {base[3]} {' '.join(word() for _ in range(20))}"]  # holds another line
+    lines = []
+    for _ in range(150):
+        line = list(r.choice(base))
+        for _ in range(r.randint(0, len(line) // 60)):
+            k = r.randrange(len(line))
+            line[k : k + r.randint(0, 1)] = r.choice(("", "x", "yz"))
+        lines.append("".join(line).strip(" "))
+    root = list(range(len(lines)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(range(len(lines)), 2):
+        most = max(2, min(len(lines[a]), len(lines[b])) // 50)
+        if op4_lines.edit_distance(lines[a], lines[b], most) <= most:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    got = op4_lines.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in got if x["text"]} == {k for k in range(len(lines)) if top(k) == k}
+    text = " ".join([*(word() for _ in range(30)), "qrstuv", *(word() for _ in range(30))])
+    assert len(text) >= 300
+    got = op4_lines.dedup(spark.createDataFrame([(1, text), (2, text.replace("qrstuv", "klmnop"))], "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["text"]) for x in got) == [(1, text), (2, "")]
+
+
 def test_line_dedup_takes_awkward_rows(spark):
     got = op4_lines.dedup(documents(spark)).collect()
     text = {x["doc_id"]: x["text"] for x in got}
