@@ -3,6 +3,7 @@ from itertools import combinations
 
 import pytest
 
+import corpus_pipeline
 from gradus.llm import graph, op4_lines, op7_jaccard
 
 from .fixtures import DOCS, documents
@@ -167,3 +168,14 @@ def test_line_dedup_takes_awkward_rows(spark):
     assert text[1] == DOCS[0][1] and text[2] == "short" and text[3] == "" and text[4] is None and text[6] == DOCS[5][1]
     assert text[None] == DOCS[10][1]
     assert op4_lines.dedup(documents(spark, DOCS[:0])).count() == 0
+
+
+def test_short_lines_lose_their_exact_copies(spark, tmp_path):
+    rows = [(1, "Les.\nAll rights reserved.\n\n\t\nx"), (2, " Les. \nLes!\n\n\t"), (3, "x"), (4, "All rights reserved.\nnew")]
+    want = {1: rows[0][1], 2: "Les!\n\n\t", 3: "", 4: "new"}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = op4_lines.op4(spark, f"file://{tmp_path}").collect()
+    assert {x["doc_id"]: x["text"] for x in got} == want
+    docs = spark.createDataFrame([(*r, "en", "a", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.line_dedup(spark, docs, "").collect()
+    assert {x["doc_id"]: x["text"] for x in got} == {k: t for k, t in want.items() if t}
