@@ -11,7 +11,9 @@ can be repeated.
 Targets default to the observed shares raised to ``temper`` and normalised,
 which lifts small sources, languages and topics against large ones. Topics are
 the nearest of ``TOPICS`` centres of hashed word counts, fitted by spherical
-k-means on at most ``SAMPLE`` documents in the order of a hash of doc_id.
+k-means over all documents; it starts from the centres of at most ``SAMPLE`` of
+them in the order of a hash of doc_id. A round sums fixed-point numbers, so its
+result does not depend on the partitions.
 
 The cells are many times fewer than documents, yet sources may be unboundedly
 many: up to ``CELLS`` of them are raked on the driver, beyond that by
@@ -35,6 +37,8 @@ from . import common
 
 TOPICS, BINS, SAMPLE = 8, 256, 4096
 CELLS = 200_000
+#: Fixed point of the sums of unit bins.
+FIXED = 1 << 28
 ROUNDS, PRECISION = 100, 1e-9
 MARGINS = ("source", "lang", "topic")
 TEMPER, KEEP = 0.5, 0.5
@@ -48,7 +52,49 @@ def word_bins(text: str) -> tuple[np.ndarray, int]:
 
 
 def centres(docs: DataFrame, rows: int = SAMPLE, rounds: int = 12) -> np.ndarray:
-    """Unit topic centres from a bounded sample; the sample's bins, not its texts, reach the driver."""
+    """Unit topic centres of all documents: rounds of k-means from the centres of a bounded sample."""
+    c = starting(docs, rows, rounds)
+
+    @F.arrow_udf("binary")
+    def bins(texts: pa.Array) -> pa.Array:
+        return pa.array([np.rint(word_bins(t or "")[0] ** 2).astype("<i4").tobytes() for t in texts.to_pylist()], pa.binary())
+
+    x = common.written(docs.select(bins("text").alias("x")), "bins")
+    for _ in range(rounds):
+        new = moved(x, c)
+        if (new == c).all():
+            break
+        c = new
+    common.dropped(x)
+    return c
+
+
+def moved(x: DataFrame, c: np.ndarray) -> np.ndarray:
+    """The centres after a round over all word counts; one without documents stays."""
+
+    def tally(batches):
+        total = np.zeros(c.shape, dtype=np.int64)
+        for batch in batches:
+            rows = np.sqrt(np.frombuffer(b"".join(batch["x"].to_pylist()), "<i4").reshape(-1, BINS).astype(float))
+            rows = rows[rows.any(axis=1)]
+            rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+            own = (rows @ c.T).argmax(axis=1)
+            for k in range(len(c)):
+                total[k] += np.rint(rows[own == k] * FIXED).astype(np.int64).sum(axis=0)
+        k, b = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(total[k, b])], names=["k", "b", "s"])
+
+    out = np.zeros(c.shape)
+    for k, b, s in x.mapInArrow(tally, "k long, b long, s long").groupBy("k", "b").agg(F.sum("s")).collect():
+        out[k, b] = s
+    some = out.any(axis=1)
+    out[some] /= np.linalg.norm(out[some], axis=1, keepdims=True)
+    out[~some] = c[~some]
+    return out
+
+
+def starting(docs: DataFrame, rows: int, rounds: int) -> np.ndarray:
+    """Unit topic centres of a bounded sample; the sample's bins, not its texts, reach the driver."""
     ids = docs.select(F.col("doc_id").cast("long").alias("sampled")).where("sampled IS NOT NULL").distinct().orderBy(F.xxhash64("sampled"), "sampled").limit(rows)
     picked = docs.select(F.col("doc_id").cast("long").alias("sampled"), "text").join(F.broadcast(ids), "sampled")
 

@@ -194,3 +194,19 @@ def test_mixing_takes_awkward_rows(spark):
     assert len(rows) == len(DOCS) and all(r["mix"] == "x" and r["sampled"] is not None for r in rows)
     assert len({r["sampled"] for r in rows if r["doc_id"] == 9}) == 1
     assert op9_mixing.mixed(documents(spark, DOCS[:0])).count() == 0
+
+
+def test_topic_centres_are_those_of_all_documents(spark):
+    r = random.Random(12)
+    kinds = [["".join(r.choices("abcdefghij", k=8)) for _ in range(12)] for _ in range(op9_mixing.TOPICS)]
+    rows = [(i, " ".join(r.choices(kinds[i % op9_mixing.TOPICS], k=30))) for i in range(400)] + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    c = op9_mixing.centres(docs, rows=40)
+    x = np.array([op9_mixing.word_bins(t)[0] for _, t in rows if t])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = (x @ c.T).argmax(axis=1)
+    assert len(set(own.tolist())) > 1
+    for k in set(own.tolist()):
+        mean = x[own == k].sum(axis=0)
+        assert np.allclose(c[k], mean / np.linalg.norm(mean), atol=1e-6)
+    assert np.array_equal(c, op9_mixing.centres(docs.repartition(7), rows=40))
