@@ -39,7 +39,7 @@ TOPICS, BINS, SAMPLE = 8, 256, 4096
 CELLS = 200_000
 #: Fixed point of the sums of unit bins.
 FIXED = 1 << 28
-ROUNDS, PRECISION = 100, 1e-9
+ROUNDS, PRECISION, BISECTIONS = 100, 1e-9, 100
 MARGINS = ("source", "lang", "topic")
 TEMPER, KEEP = 0.5, 0.5
 
@@ -161,13 +161,13 @@ def scale(w: np.ndarray, mass: np.ndarray, keep: float) -> float:
     total = mass.sum()
     some = (w > 0) & (mass > 0)
     low, high = 0.0, 1.0 / w[some].min() if some.any() else 1.0
-    for _ in range(100):
+    for _ in range(BISECTIONS):
         mid = (low + high) / 2
         low, high = (mid, high) if (np.minimum(1, mid * w) * mass).sum() < keep * total else (low, mid)
     return high
 
 
-def rake_frame(cells: DataFrame, temper: float, rounds: int = ROUNDS, precision: float = 1e-6) -> DataFrame:
+def rake_frame(cells: DataFrame, temper: float, rounds: int = ROUNDS, precision: float = PRECISION) -> DataFrame:
     """``rake`` on DataFrames, for more cells than the driver takes: columns w and those of ``cells``."""
     total = cells.agg(F.sum("mass")).first()[0] or 0
     state = common.written(cells.withColumn("w", F.lit(1.0)), "rake")
@@ -211,7 +211,7 @@ def probabilities(docs: DataFrame, temper: float = TEMPER, keep: float = KEEP, m
     raked = rake_frame(cells, temper)
     low, high = 0.0, raked.where("w > 0 AND mass > 0").agg(1 / F.min("w")).first()[0] or 1.0
     total = raked.agg(F.sum("mass")).first()[0]
-    for _ in range(40):
+    for _ in range(BISECTIONS):
         mid = (low + high) / 2
         got = raked.agg(F.sum(F.least(F.lit(1.0), F.col("w") * mid) * F.col("mass"))).first()[0]
         low, high = (mid, high) if got < keep * total else (low, mid)

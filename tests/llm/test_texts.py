@@ -210,3 +210,13 @@ def test_topic_centres_are_those_of_all_documents(spark):
         mean = x[own == k].sum(axis=0)
         assert np.allclose(c[k], mean / np.linalg.norm(mean), atol=1e-6)
     assert np.array_equal(c, op9_mixing.centres(docs.repartition(7), rows=40))
+
+
+def test_raking_on_frames_equals_the_driver(spark):
+    r = random.Random(13)
+    rows = [(s, g, t, r.randint(1, 999)) for s in "abc" for g in ("en", "de") for t in range(2) if r.random() < 0.9]
+    docs = spark.createDataFrame(rows, "source string, lang string, topic int, tokens long").selectExpr("source", "lang", "named_struct('topic', topic, 'tokens', tokens) AS mix")
+    got = [{x[:3]: x[3:] for x in map(tuple, op9_mixing.probabilities(docs, most=n).collect())} for n in (0, 100)]
+    assert set(got[0]) == set(got[1])
+    for cell, want in got[1].items():
+        assert np.allclose(got[0][cell], want, rtol=1e-10, atol=0)
