@@ -349,14 +349,19 @@ def data_flow(source: str) -> list[tuple[str, int, str, tuple[str, ...], tuple[i
 
 
 def pruned(edges) -> list:
-    """Edges merged by place, without names that neither have sources nor are any."""
+    """Edges merged by place, without names that neither have sources nor are any.
+
+    Names and places of sources are lists of their own: one name may come from several places.
+    """
     by_place: dict = {}
-    for name, p, how, names, places in edges:
-        old = by_place.get((name, p, how))
-        both = sorted({*zip(places, names or [name] * len(places)), *(zip(old[1], old[0]) if old else ())})
-        by_place[(name, p, how)] = (tuple(n for _, n in both), tuple(q for q, _ in both))
-    used = {q for names, places in by_place.values() for q in places} | {p for (_, p, _), (_, places) in by_place.items() if places}
-    return sorted((n, p, how, names, places) for (n, p, how), (names, places) in by_place.items() if p in used and (places or p in used))
+    for name, p, how, names, places in sorted(edges, key=lambda e: (e[1], e[2], e[4], e[3])):
+        if (name, p, how) in by_place:
+            old_names, old_places = by_place[(name, p, how)]
+            names = tuple(dict.fromkeys((*old_names, *names)))
+            places = tuple(sorted({*old_places, *places}))
+        by_place[(name, p, how)] = (names, places)
+    used = {q for _, places in by_place.values() for q in places} | {p for (_, p, _), (_, places) in by_place.items() if places}
+    return sorted(((n, p, how, names, places) for (n, p, how), (names, places) in by_place.items() if p in used), key=lambda e: (e[1], e[2]))
 
 
 def normalised_flow(edges: list) -> list[tuple[str, str, tuple[str, ...]]]:
