@@ -1,23 +1,30 @@
 """Operator 1: toxicity by a weighted finite-state pattern grammar.
 
-Transducers, composed from left to right and run clause by clause:
-
-* lexicon: words to symbols INSULT (with a weight), THREAT, INTENT, TARGET,
-  NEGATION and REPORT. Insults are whole words and stems; an Aho-Corasick
-  automaton finds them, and texts without any insult or threat end here;
-* negation: a NEGATION symbol puts the ``NEGATED`` next words in the negated state;
-* reported speech: a REPORT symbol puts the rest of its clause in the reported state;
-* target: a clause with a TARGET symbol is aimed at someone;
-* threat: a THREAT counts in a clause that also has a TARGET and an INTENT.
-
-A matched clause ends in one of the accepting states plain, aimed, negated,
-reported and threat, and adds its insults' weights there. A document's score is
-the logistic function of the logarithms of the five sums.
-
-The insult lexicon with its weights and the five states' weights are learned
+``Transducer`` objects have states, arcs (state, symbol) -> (symbol, next state) and
+final states; ``composed`` feeds one's output to the next. A clause is a string of
+symbols, and the composition of four transducers marks its insults and threats:
+
+* the lexicon gives a word's symbol: INSULT (with a weight), THREAT, INTENT, TARGET,
+  NEGATION, REPORT, BREAK (a comma) or OTHER. Insults are whole words and stems; an
+  Aho-Corasick automaton finds them, and texts without insult or threat end here;
+* ``negation``: an insult or threat among the ``NEGATED`` words after a NEGATION, with
+  no BREAK between, is negated;
+* ``report``: what follows a REPORT in its clause is reported;
+* ``target``: guesses at the start whether the clause has a TARGET (a path whose guess
+  is wrong reaches no final state) and marks insults aimed or plain;
+* ``threat``: likewise, threats count in clauses with a TARGET and an INTENT.
+
+Each clause has exactly one accepting path; it leaves marks plain, aimed, negated,
+reported and threat with their weights. A document's score is the logistic
+function of the marks' weights times the logarithms of their sums over all clauses.
+
+The lexicon's weights and those of the marks are learned
 from labelled rows whose crc32(doc_id) mod 5 is not 0: a sample of at most
 ``TOXIC`` and ``CLEAN`` rows in the order of a hash of doc_id, with one document
-of each group of near copies. Labels, lang, source and doc_id are no inputs of a
+of each group of near copies. A stem needs several words of toxic documents that go on from it, none
+of them most of its support, or the whole word is the insult. The marks' weights are drawn to
+the grammar's own (``PRIOR``) where rows say little, and an insult that is negated or reported
+weighs at most half of a plain one. Labels, lang, source and doc_id are no inputs of a
 score. Without labels the grammar keeps the fixed lexicon.
 
 Nulls, ties: null and empty texts get the score of a text without matches;
@@ -32,6 +39,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +50,13 @@ from . import common, tokens
 #: Bounds of the training sample.
 TOXIC, CLEAN = 2000, 4000
 #: Lexicon entries learned at most, and what an entry must reach.
-ENTRIES, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 4000, 5, 0.008, 3.0
-STEMS = (4, 5, 6, 7)
+ENTRIES, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, CLEAN_SHARE = 4000, 5, 0.008, 2.5, 0.06
+#: Lengths of stems; the words that go on from one, and the most of its support that one word may have.
+STEMS, ENDINGS, MAIN_SHARE = (4, 5, 6, 7, 8), 4, 0.5
 NEGATED = 3
-STATES = ("plain", "aimed", "negated", "reported", "threat")
+MARKS = ("plain", "aimed", "negated", "reported", "threat")
+#: Intercept and the marks' weights without rows, and how strongly they are drawn there.
+PRIOR, RIDGE = (-4.0, 3.0, 3.3, 0.3, 0.3, 3.5), 0.5
 
 #: The grammar's words.
 INSULTS = ("idiot", "moron", "stupid", "scum", "pathetic", "loser", "worthless", "trash", "disgusting", "clown")
@@ -55,16 +66,118 @@ TARGETS = ("you", "your", "yours", "u", "ur", "he", "she", "they", "them", "him"
 NEGATIONS = ("not", "no", "never", "isn't", "aren't", "don't", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "jamás")
 REPORTS = ("said", "says", "say", "wrote", "claimed", "called", "quoted", "reported", "sagte", "schrieb", "disait", "écrit", "dijo", "escribió")
 
+OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, BREAK = range(8)
+SYMBOLS = tuple(range(8))
+_SIGNS = {w: s for s, own in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS), (INTENT, INTENTS)) for w in own} | {",": BREAK}
+
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE = re.compile(r"[.!?;:,\n()|\"]+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|,")
+_CLAUSE = re.compile(r"[.!?;\n()|]+")
+
+
+class Transducer:
+    """Finite-state transducer from state 0; ``arcs``: (state, symbol) -> [(symbol out, next state)]."""
+
+    def __init__(self, arcs: dict, final: set):
+        self.arcs, self.final = arcs, final
+
+    def run(self, symbols) -> list[tuple]:
+        """The outputs of all accepting paths."""
+        paths = [((), 0)]
+        for x in symbols:
+            paths = [((*out, y), to) for out, state in paths for y, to in self.arcs.get((state, x), ())]
+        return [out for out, state in paths if state in self.final]
+
+
+def composed(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that gives ``second`` what ``first`` puts out, without states that are not reached or lead nowhere."""
+    number, todo, arcs, final = {(0, 0): 0}, [(0, 0)], {}, set()
+    inputs: dict = {}
+    for (state, x), out in first.arcs.items():
+        inputs.setdefault(state, []).append((x, out))
+    while todo:
+        a, b = pair = todo.pop()
+        if a in first.final and b in second.final:
+            final.add(number[pair])
+        for x, out in inputs.get(a, ()):
+            for y, to in out:
+                for z, then in second.arcs.get((b, y), ()):
+                    if (to, then) not in number:
+                        number[(to, then)] = len(number)
+                        todo.append((to, then))
+                    arcs.setdefault((number[pair], x), []).append((z, number[(to, then)]))
+    useful, before = set(final), -1
+    while len(useful) != before:
+        before = len(useful)
+        useful |= {state for (state, _), out in arcs.items() if any(to in useful for _, to in out)}
+    trimmed = {key: kept for key, out in arcs.items() if (kept := [(z, to) for z, to in out if to in useful])}
+    return Transducer(trimmed, final)
+
+
+def negation() -> Transducer:
+    """State n: the next n words are negated."""
+    arcs = {}
+    for n in range(NEGATED + 1):
+        for x in SYMBOLS:
+            to = NEGATED if x == NEGATION else 0 if x == BREAK else max(0, n - 1)
+            arcs[(n, x)] = [((x, "negated") if n and x in (INSULT, THREAT) else x, to)]
+    return Transducer(arcs, set(range(NEGATED + 1)))
+
+
+def report() -> Transducer:
+    """State 1: the rest of the clause is reported; what is negated stays so."""
+    arcs = {}
+    for state in (0, 1):
+        for x in (*SYMBOLS, (INSULT, "negated"), (THREAT, "negated")):
+            arcs[(state, x)] = [((x, "reported") if state and x in (INSULT, THREAT) else x, 1 if x == REPORT else state)]
+    return Transducer(arcs, {0, 1})
+
+
+_SAID = tuple((x, how) for x in (INSULT, THREAT) for how in ("negated", "reported"))
+
+
+def target() -> Transducer:
+    """From the start to 1 (no target will come), 2 (one must come) or 3 (one has come)."""
+    arcs = {}
+    for state, guesses in ((0, (1, 2)), (1, (1,)), (2, (2,)), (3, (3,))):
+        for x in (*SYMBOLS, *_SAID):
+            for guess in guesses:
+                if x == TARGET and guess == 1:
+                    continue
+                y = ("plain" if guess == 1 else "aimed") if x == INSULT else x[1] if x in _SAID and x[0] == INSULT else x
+                arcs.setdefault((state, x), []).append((y, 3 if x == TARGET else guess))
+    return Transducer(arcs, {0, 1, 3})
+
+
+def threat() -> Transducer:
+    """Guesses whether target and intent both come: states are the guess with what has come so far."""
+    seen = [(live, t, i) for live in (False, True) for t in (0, 1) for i in (0, 1) if live or not (t and i)]
+    number = {s: k + 1 for k, s in enumerate(seen)}
+    arcs = {}
+    for state, froms in ((0, ((False, 0, 0), (True, 0, 0))), *((number[s], (s,)) for s in seen)):
+        for x in (OTHER, THREAT, INTENT, TARGET, NEGATION, REPORT, BREAK, *MARKS[:4], *(s for s in _SAID if s[0] == THREAT)):
+            for live, t, i in froms:
+                to = (live, t or int(x == TARGET), i or int(x == INTENT))
+                if to not in number:
+                    continue
+                y = x if x in MARKS else ("threat" if x == THREAT else x[1]) if live and (x == THREAT or x in _SAID) else OTHER
+                arcs.setdefault((state, x), []).append((y, number[to]))
+    return Transducer(arcs, {0, *(k for s, k in number.items() if not s[0] or (s[1] and s[2]))})
+
+
+@lru_cache(maxsize=1)
+def grammar_machine() -> Transducer:
+    """negation, report, target and threat, composed."""
+    return composed(composed(composed(negation(), report()), target()), threat())
 
 
 class Grammar:
-    """The composed transducers and the weights of their accepting states."""
+    """The lexicon, the composed transducers and the weights of their marks."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], weights: list[float] | None = None):
         self.words, self.stems = words, stems
-        self.weights = weights or [-3.0, 2.5, 3.0, 0.5, 0.5, 3.0]
+        self.weights = weights or list(PRIOR)
+        self.heaviest = max(words.values(), default=3.0)  # a threat weighs as much as the worst insult
         self.automaton = None
 
     def __getstate__(self):
@@ -78,7 +191,6 @@ class Grammar:
             for x in {*self.words, *self.stems, *THREATS}:
                 self.automaton.add_word(x, len(x))
             self.automaton.make_automaton()
-            self.signs = {w: s for s, own in enumerate((TARGETS, NEGATIONS, REPORTS, THREATS, INTENTS)) for w in own}
         return self.automaton.iter
 
     def insult(self, word: str) -> float:
@@ -89,9 +201,9 @@ class Grammar:
         return weight
 
     def sums(self, text: str) -> tuple[list[float], int]:
-        """The accepting states' sums and the number of matched clauses."""
+        """The marks' sums and the number of marked clauses."""
         low = text.lower()
-        out, clauses = [0.0] * len(STATES), 0
+        out, clauses = [0.0] * len(MARKS), 0
         hits = [end for end, n in self._find()(low) if end < n or not low[end - n].isalpha()]
         if not hits:
             return out, clauses
@@ -104,25 +216,24 @@ class Grammar:
             at = stop[1]
         return out, clauses
 
-    def _clause(self, clause: str, out: list[float]) -> bool:
-        words = _WORD.findall(clause)
-        signs = [self.signs.get(w) for w in words]
-        aimed, intent = 0 in signs, 4 in signs
-        negated, reported, matched = 0, False, False
-        for word, sign in zip(words, signs):
-            if sign == 1:
-                negated = NEGATED + 1
-            elif sign == 2:
-                reported = True
+    def lexicon(self, clause: str) -> tuple[list[int], list[float]]:
+        """The clause's symbols and their weights."""
+        symbols, weights = [], []
+        for word in _TOKEN.findall(clause):
             weight = self.insult(word)
-            if sign == 3 and aimed and intent:
-                out[2 if negated else 3 if reported else 4] += 1.0
-                matched = True
-            if weight:
-                out[2 if negated else 3 if reported else 1 if aimed else 0] += weight
-                matched = True
-            negated = max(0, negated - 1)
-        return matched
+            symbols.append(INSULT if weight else _SIGNS.get(word, OTHER))
+            weights.append(weight or self.heaviest)
+        return symbols, weights
+
+    def _clause(self, clause: str, out: list[float]) -> bool:
+        machine, symbols, weights = grammar_machine(), *self.lexicon(clause)
+        paths = {0: ()}  # state -> marks so far; one path accepts, so paths never meet
+        for x, w in zip(symbols, weights):
+            paths = {to: (*marks, (y, w)) if y != OTHER else marks for state, marks in paths.items() for y, to in machine.arcs.get((state, x), ())}
+        found = next(marks for state, marks in paths.items() if state in machine.final)
+        for mark, w in found:
+            out[MARKS.index(mark)] += w
+        return bool(found)
 
     def score(self, text: str) -> tuple[float, int]:
         sums, clauses = self.sums(text)
@@ -173,20 +284,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
             for text, label in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
                 own = set(_WORD.findall(text.lower()))
                 counts[label].update(own | {w[:n] + "*" for w in own for n in STEMS if len(w) > n})
-        names = list(counts[1])
+        names = list({*counts[0], *counts[1]})
         for at in range(0, len(names), 10_000):
             part = names[at : at + 10_000]
             yield pa.RecordBatch.from_pydict({"entry": part, "pos": [counts[1][x] for x in part], "neg": [counts[0][x] for x in part]})
-        names = [x for x in counts[0] if x not in counts[1]]
-        for at in range(0, len(names), 10_000):
-            part = names[at : at + 10_000]
-            yield pa.RecordBatch.from_pydict({"entry": part, "pos": [0] * len(part), "neg": [counts[0][x] for x in part]})
 
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1.0)) - F.log((F.col("neg") + 0.5) / (clean + 1.0))
     found = rows.mapInArrow(tokens.released(entries), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = found.withColumn("odds", odds).where((F.col("pos") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (F.col("odds") >= LEAST_ODDS) & (F.col("neg") * toxic <= 0.02 * F.col("pos") * clean))
+    found = common.written(found.where("pos > 0"), "entries")
+    whole = ~F.col("entry").endswith("*")
+    # The words that go on from a stem.
+    stem = F.explode(F.array(*(F.when(F.length("entry") > n, F.concat(F.substring("entry", 1, n), F.lit("*"))) for n in STEMS))).alias("entry")
+    ends = found.where(whole).select(stem, "pos").where("entry IS NOT NULL").groupBy("entry").agg(F.count("pos").alias("ends"), (F.max("pos") / F.sum("pos")).alias("main"))
+    found = found.withColumn("odds", odds).where((F.col("pos") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (F.col("odds") >= LEAST_ODDS) & (F.col("neg") * toxic <= CLEAN_SHARE * F.col("pos") * clean))
+    found = found.join(ends, "entry", "left").where(whole | ((F.col("ends") >= ENDINGS) & (F.col("main") <= MAIN_SHARE)))
+    support = {}
     for r in found.orderBy(F.desc("pos"), "entry").limit(ENTRIES).collect():
         (stems if r["entry"].endswith("*") else words)[r["entry"].rstrip("*")] = float(r["odds"])
+        support[r["entry"]] = r["pos"]
+    # Of stems that begin one another with much the same support, the longest.
+    for x in sorted(stems, key=len):
+        if any(len(y) > len(x) and y.startswith(x) and 10 * support[y + "*"] >= 9 * support[x + "*"] for y in stems):
+            del stems[x]
     grammar = Grammar(words, stems)
 
     def measure(batches):
@@ -200,21 +319,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     return grammar
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 50) -> np.ndarray:
-    """Intercept and non-negative weights of a ridge logistic regression (projected Newton steps)."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 200) -> np.ndarray:
+    """Intercept and weights of a logistic regression drawn to ``PRIOR`` (Newton steps, projected).
+
+    Insults never weigh less than nothing, aimed ones no less than plain ones and threats no
+    less than those; negated and reported ones may, and weigh at most half of plain ones.
+    """
     x = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(x.shape[1])
-    w[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    w = prior = np.array(PRIOR)
     keep = np.full(len(w), ridge)
     keep[0] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(keep)
-        step = np.linalg.solve(h, x.T @ (y - p) - keep * w)
-        w = w + np.clip(step, -2, 2)
-        w[1:] = np.maximum(w[1:], 0)
-        if np.abs(step).max() < 1e-6:
-            break
+        new = w + np.clip(np.linalg.solve(h, x.T @ (y - p) - keep * (w - prior)), -0.5, 0.5)
+        plain, aimed, negated, reported, threat = new[1:]
+        plain = max(plain, 0.0)
+        new[1:] = plain, max(aimed, plain), min(negated, plain / 2), min(reported, plain / 2), max(threat, aimed, plain)
+        if np.abs(new - w).max() < 1e-6:
+            return new
+        w = new
     return w
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from itertools import product
 
 import numpy as np
 import pytest
@@ -35,19 +36,61 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum((r["score"] >= 0.5) == bool(truth[r["doc_id"]]) for r in held) >= 0.97 * len(held)
 
 
-def test_clause_states():
+def test_clause_marks():
     g = op1_toxicity.Grammar({"idiot": 2.0}, {"zurb": 3.0})
-    states = dict(zip(op1_toxicity.STATES, range(5)))
-    assert g.sums("a zurbelfix came")[0][states["plain"]] == 3.0
-    assert g.sums("you idiot")[0][states["aimed"]] == 2.0
-    assert g.sums("you are not an idiot, I think")[0][states["negated"]] == 2.0
-    assert g.sums("he said idiot. then left")[0][states["reported"]] == 2.0
-    assert g.sums("I will kill you")[0][states["threat"]] == 1.0
-    assert g.sums("kill the process")[0] == [0.0] * 5
-    assert g.sums("an unidiotic xzurbel")[0] == [0.0] * 5
+    marks = dict(zip(op1_toxicity.MARKS, range(5)))
+    assert g.sums("a zurbelfix came")[0][marks["plain"]] == 3.0
+    assert g.sums("you idiot")[0][marks["aimed"]] == 2.0
+    assert g.sums("that idiot saw you")[0][marks["aimed"]] == 2.0
+    assert g.sums("you are not an idiot, I think")[0][marks["negated"]] == 2.0
+    assert g.sums("not now, idiot")[0][marks["plain"]] == 2.0
+    assert g.sums("he said idiot. then left")[0][marks["reported"]] == 2.0
+    assert g.sums("I will kill you")[0][marks["threat"]] == 2.0
+    assert g.sums("I will not kill you")[0][marks["negated"]] == 2.0
+    assert g.sums("kill the process")[0] == g.sums("an unidiotic xzurbel")[0] == [0.0] * 5
     assert g.sums("")[1] == 0
 
 
+def cascade(symbols):
+    """What the four transducers mean, by looking at the whole clause."""
+    out, window, reported = [], 0, False
+    aimed = op1_toxicity.TARGET in symbols
+    threatens = aimed and op1_toxicity.INTENT in symbols
+    for x in symbols:
+        how = "negated" if window else "reported" if reported else None
+        if x == op1_toxicity.INSULT:
+            out.append(how or ("aimed" if aimed else "plain"))
+        elif x == op1_toxicity.THREAT and threatens:
+            out.append(how or "threat")
+        window = op1_toxicity.NEGATED if x == op1_toxicity.NEGATION else 0 if x == op1_toxicity.BREAK else max(0, window - 1)
+        reported |= x == op1_toxicity.REPORT
+    return out
+
+
+def test_composition_equals_brute_force():
+    """Over all clauses of up to four symbols and random longer ones: one accepting path, and it says what the cascade does."""
+    machine, r = op1_toxicity.grammar_machine(), random.Random(3)
+    clauses = [c for n in range(5) for c in product(op1_toxicity.SYMBOLS, repeat=n)] + [tuple(r.choices(op1_toxicity.SYMBOLS, k=r.randint(5, 14))) for _ in range(2000)]
+    for clause in clauses:
+        (path,) = machine.run(clause)
+        assert [y for y in path if y != op1_toxicity.OTHER] == cascade(clause)
+    # Composition is the relation: what one says, given to the next.
+    first, second = op1_toxicity.negation(), op1_toxicity.report()
+    both = op1_toxicity.composed(first, second)
+    for clause in clauses[:3000]:
+        assert both.run(clause) == [out for mid in first.run(clause) for out in second.run(mid)]
+
+
+def test_sentences_score_in_order(spark):
+    docs, labels, _ = toxic_corpus(spark)
+    grammar = op1_toxicity.fit(docs, labels)
+    score = {t: grammar.score(t)[0] for t in ("You idiot.", "You are not an idiot.", "He said you are an idiot.", "I will kill you.", "kill the process", "Two roads lead to a worthy goal.")}
+    worst = max(score["You are not an idiot."], score["He said you are an idiot."], score["kill the process"], score["Two roads lead to a worthy goal."])
+    assert min(score["You idiot."], score["I will kill you."]) > 0.5 > worst
+    # Neither a part of a whole word nor its beginning is an insult.
+    assert not grammar.insult("idioti") and not grammar.insult("idio")
+
+
 def test_toxicity_takes_awkward_rows(spark):
     none = spark.createDataFrame([(None, None, None), (12, None, None)], "doc_id long, quality int, toxic int")
     grammar = op1_toxicity.fit(documents(spark), none)
