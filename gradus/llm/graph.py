@@ -73,54 +73,65 @@ def _finished(batches):
 BROADCAST_ROWS = 500_000
 
 
-def attached(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def attached(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """``big`` joined with ``small``, a written table of narrow rows: by broadcast if it is counted small, else by shuffle."""
     return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
+#: Rows and bytes of cells that are worked on side by side.
+CELL_ROWS, CELL_BYTES = 2048, 4 << 20
+
+
 def within_groups(rows: DataFrame, parts: int, links) -> DataFrame:
     """Edges (a, b) that span the links within groups of rows (v, c, own, blocks, row).
 
     ``c`` is the group, ``row`` what is compared (binary), ``own`` its block of the
     group's ``blocks``. Every pair of a group's blocks is a cell that one task
     works on alone, so no group, whatever its size, is gathered in one place.
-    ``links(rows, left, right)`` gives the linked pairs between two index arrays
-    (the same array twice: the pairs within it).
+    ``links`` takes cells (rows, left, right) and gives for each the linked pairs
+    between the two index arrays (the same array twice: the pairs within it).
     """
     pair = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("mate")
     cells = rows.select("*", pair).select("v", "c", "own", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "row")
     cells = cells.repartition(parts, "c", "i", "j").sortWithinPartitions("c", "i", "j", "own", "v")
 
     def solve(batches):
-        key, v, held, own = None, [], [], []
-        out = ([], [])
+        key, v, held, own, size = None, [], [], [], [0, 0]
+        ready: list = []
 
         def close():
             if len(v) > 1:
                 where = np.array(own)
                 left = np.flatnonzero(where == key[1])
-                right = left if key[1] == key[2] else np.flatnonzero(where == key[2])
-                for k, r in enumerate(forest(len(v), links(held, left, right))):
+                ready.append((v, (held, left, left if key[1] == key[2] else np.flatnonzero(where == key[2]))))
+                size[0] += len(v)
+                size[1] += sum(map(len, held))
+
+        def solved():
+            out = ([], [])
+            for (names, cell), found in zip(ready, links([cell for _, cell in ready])):
+                for k, r in enumerate(forest(len(names), found)):
                     if r != k:
-                        out[0].append(v[k])
-                        out[1].append(v[r])
+                        out[0].append(names[k])
+                        out[1].append(names[r])
+            ready.clear()
+            size[:] = 0, 0
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
         for batch in batches:
             for name, c, o, i, j, row in zip(*(x.to_pylist() for x in batch.columns)):
                 if (c, i, j) != key:
                     close()
                     key, v, held, own = (c, i, j), [], [], []
+                    if size[0] >= CELL_ROWS or size[1] >= CELL_BYTES:
+                        yield solved()
                 if v and v[-1] == name and own[-1] == o:
                     continue  # the same row again
                 v.append(name)
                 own.append(o)
                 held.append(row)
-            if len(out[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
-                out[0].clear()
-                out[1].clear()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+        yield solved()
 
     return cells.mapInArrow(tokens.released(solve), "a long, b long")
 

@@ -223,8 +223,8 @@ def linked(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, perc
 
     matrix = rows.select("text", "v", "c", "own", "blocks").mapInArrow(tokens.released(build), "v long, c long, own int, blocks int, row binary")
 
-    def links(held, left, right):
-        return product([np.frombuffer(x, np.int64) for x in held], left, right, percent)
+    def links(cells):
+        return [product([np.frombuffer(x, np.int64) for x in held], left, right, percent) for held, left, right in cells]
 
     return graph.within_groups(matrix, parts, links)
 

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -97,6 +98,13 @@ def test_edit_distance():
         b = "".join(c for c in a if r.random() > 0.1) + r.choice(("", "a", "bc"))
         for most in (1, 2, 3):
             assert op4_lines.edit_distance(a, b, most) == min(full(a, b), most + 1)
+    pairs = []
+    for _ in range(3000):
+        a = "".join(r.choices("abcé\U0001f600", k=r.choice((0, 3, 12, 70, 130))))
+        b = "".join(r.choice(("", "x", c + "a")) if r.random() < r.choice((0.0, 0.05, 0.2)) else c for c in a)
+        pairs.append((a, b, r.choice((1, 2, 3, 9, 30, 31, 40))))
+    assert op4_lines.within(pairs) == [full(a, b) <= most for a, b, most in pairs]
+    assert op4_lines.within([]) == []
 
 
 def test_line_dedup_equals_brute_force(spark):
@@ -170,6 +178,33 @@ def test_line_dedup_takes_awkward_rows(spark):
     assert op4_lines.dedup(documents(spark, DOCS[:0])).count() == 0
 
 
+def test_rows_that_share_a_doc_id_keep_their_own_lines(spark):
+    rows = [(1, "same line"), (9, "same line"), (9, "wholly unique line"), (9, "same line\nanother line"), (9, "another line\nlast"), (9, "wholly unique line")]
+    got = op4_lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), exact=1).collect()
+    text = sorted((x["doc_id"], x["text"]) for x in got)
+    lines = [line for _, t in text for line in t.split("\n") if line]
+    assert len(got) == len(rows) and (1, "same line") in text
+    # The two equal rows are one document repeated; every other line is there once.
+    assert sorted(lines) == ["another line", "last", "same line", "wholly unique line", "wholly unique line"]
+
+
+def test_grams_of_near_lines_meet():
+    """Two lines within the threshold share a posted key, whatever is crowded."""
+    r = random.Random(11)
+    for n in (150, 151, 200, 420, 1500):
+        for text in ("".join(r.choices("abcdefghij ", k=n)), ("ab" * n)[:n], "x" * n):
+            other = list(text)
+            for _ in range(int(op4_lines.allowed(n, 2)) - 1):
+                k = r.randrange(len(other))
+                other[k : k + r.randint(0, 1)] = r.choice(("", "q", "r"))
+            other = "".join(other)
+            if len(other) < 150:
+                other += "z" * (150 - len(other))
+            for crowded in (np.zeros(0, np.uint64), np.sort(op4_lines.hashed_grams([text])[2][::2])):
+                row, key = op4_lines.grams([text, "y" * 160, other], 2, crowded)
+                assert set(key[row == 0]) & set(key[row == 2])
+
+
 def test_short_lines_lose_their_exact_copies(spark, tmp_path):
     rows = [(1, "Les.\nAll rights reserved.\n\n\t\nx"), (2, " Les. \nLes!\n\n\t"), (3, "x"), (4, "All rights reserved.\nnew")]
     want = {1: rows[0][1], 2: "Les!\n\n\t", 3: "", 4: "new"}
