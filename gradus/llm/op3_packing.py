@@ -42,14 +42,12 @@ def runs(docs: DataFrame, path: str, end_id: int, keep: bool = True) -> DataFram
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path) if keep else tokens.encoder(path, CACHE_WORDS)
-        end = np.array([end_id], dtype=enc.width).tobytes()
         part, begin = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids = [x + end for x in enc.encode(batch["text"].to_pylist())]
-            n = np.array([len(x) // enc.width.itemsize for x in ids], dtype=np.int64)
+        for batch in tokens.gathered(batches):
+            ids, n = enc.closed(batch["text"].chunk(0), end_id)
             first = begin + np.concatenate(([0], np.cumsum(n)))
             begin = int(first[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(first[:-1]), batch["doc_id"], pa.array(n), pa.array(ids, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(first[:-1]), batch["doc_id"].chunk(0), pa.array(n), tokens.slices(ids, n)], schema=schema)
         if not keep:
             tokens.release()
 

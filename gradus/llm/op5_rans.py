@@ -5,8 +5,9 @@ summed in Spark (at most one row per vocabulary entry reaches the driver) and
 scaled to a total of 2**20.
 
 Blocks. Rows are ordered by ``doc_id`` with a range partitioning; each task
-cuts its run of documents into blocks of about ``block_tokens`` ids that end
-where a document ends. A block is coded by itself with ``LANES`` interleaved
+cuts its run of documents into groups of about ``block_tokens`` ids that end
+where a document ends. A group is one block, or equal ones of at most ``MOST`` ids where a
+document is longer, so that no block grows with a document. A block is coded by itself with ``LANES`` interleaved
 coders: id i belongs to lane i mod LANES. A block holds
 
     magic 'GRNS', version, table checksum, ids, lanes, checkpoint interval,
@@ -15,7 +16,8 @@ coders: id i belongs to lane i mod LANES. A block holds
 
 so that any block, or any checkpoint within it, can be decoded in parallel.
 
-The container is a Parquet folder with one row per block, in ascending order of
+The container is a Parquet folder with one row per group (its blocks one after the other, each
+with its length before it), in ascending order of
 (part, block): it can be written and read through any store that Spark knows.
 
 Nulls, ties: a null text is the empty text (its only id is the end id); a null
@@ -41,7 +43,9 @@ SCALE_BITS = 20
 LANES = 64
 CHECK_STEPS = 256
 BLOCK_TOKENS = 32_768
-#: Blocks coded side by side in one numpy pass.
+#: Ids of a block at most.
+MOST = 2 * BLOCK_TOKENS
+#: Blocks coded side by side in one numpy pass: of much the same length, which bounds its memory.
 SIDE_BY_SIDE = 32
 
 _MAGIC, _VERSION = b"GRNS", 1
@@ -194,6 +198,46 @@ def decode_blocks(blocks: list[bytes], table: Table, checkpoint: int = 0, check:
     return found
 
 
+def frames(ids: np.ndarray) -> list[np.ndarray]:
+    """A group's ids as equal blocks of at most ``MOST``."""
+    return np.array_split(ids, max(1, -(-len(ids) // MOST)))
+
+
+def coded_groups(groups: list[np.ndarray], table: Table) -> list[bytes]:
+    """Each group's blocks with their lengths."""
+    own = [(k, f) for k, ids in enumerate(groups) for f in frames(ids)]
+    out: list[list[bytes]] = [[] for _ in groups]
+    order = sorted(range(len(own)), key=lambda i: len(own[i][1]))
+    done: list = [b""] * len(own)
+    for at in range(0, len(order), SIDE_BY_SIDE):
+        part = order[at : at + SIDE_BY_SIDE]
+        for i, block in zip(part, encode_blocks([own[i][1] for i in part], table)):
+            done[i] = block
+    for (k, _), block in zip(own, done):
+        out[k] += [struct.pack("<I", len(block)), block]
+    return [b"".join(x) for x in out]
+
+
+def decoded_groups(groups: list[bytes], table: Table) -> list[np.ndarray]:
+    """Each group's ids."""
+    own = []
+    for k, g in enumerate(groups):
+        at = 0
+        while at < len(g):
+            n = struct.unpack_from("<I", g, at)[0]
+            own.append((k, g[at + 4 : at + 4 + n]))
+            at += 4 + n
+    order, done = sorted(range(len(own)), key=lambda i: len(own[i][1])), [None] * len(own)
+    for at in range(0, len(order), SIDE_BY_SIDE):
+        part = order[at : at + SIDE_BY_SIDE]
+        for i, ids in zip(part, decode_blocks([own[i][1] for i in part], table)):
+            done[i] = ids
+    out: list[list[np.ndarray]] = [[] for _ in groups]
+    for (k, _), ids in zip(own, done):
+        out[k].append(ids)
+    return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+
 _BLOCKS = "part int, block int, begin long, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, ids binary"
 _FILES = "part int, block int, begin long, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, bytes binary"
 
@@ -237,52 +281,48 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, block_tokens: int = BL
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
-        end = np.array([end_id], dtype=enc.width).tobytes()
         part, block, begin = TaskContext.get().partitionId(), 0, 0
         ids, names, lens, held = [], [], [], 0
-        total, seen = np.zeros(0, dtype=np.int64), []
+        total = np.zeros(0, dtype=np.int64)
 
         def row(place, n, names, lens, ids):
-            return pa.RecordBatch.from_pydict({"part": [part], "block": [place], "begin": [begin], "n_tokens": [n], "doc_ids": [names], "doc_tokens": [lens], "ids": [ids]}, schema)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (names, pa.array(lens, pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([begin]), pa.array([n]), *lists, pa.array([ids], pa.binary())], schema=schema)
 
         def close():
-            nonlocal total, block, begin, ids, names, lens, held
-            whole = b"".join(ids)
-            seen.append(np.frombuffer(whole, enc.width))
-            if len(seen) == 32:
-                total = added(total, seen)
-            out = row(block, held, names, lens, whole)
+            nonlocal block, begin, ids, names, lens, held
+            out = row(block, held, pa.concat_arrays(names), np.concatenate(lens), np.concatenate(ids).tobytes())
             block, begin = block + 1, begin + held
             ids, names, lens, held = [], [], [], 0
             return out
 
-        for batch in batches:
-            for doc, got in zip(batch["doc_id"].to_pylist(), enc.encode(batch["text"].to_pylist())):
-                ids += [got, end]
-                names.append(doc)
-                lens.append(len(got) // enc.width.itemsize + 1)
-                held += lens[-1]
+        for batch in tokens.gathered(batches):
+            got, n = enc.closed(batch["text"].chunk(0), end_id)
+            docs = batch["doc_id"].chunk(0)
+            seen = np.bincount(got, minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
+            # A group ends with the document that brings it to ``block_tokens``.
+            first, end = 0, np.cumsum(n)
+            while first < len(n):
+                before = int(end[first - 1]) if first else 0
+                last = min(int(np.searchsorted(end, before + block_tokens - held)), len(n) - 1)
+                ids.append(got[before : end[last]])
+                names.append(docs.slice(first, last + 1 - first))
+                lens.append(n[first : last + 1])
+                held += int(end[last]) - before
+                first = last + 1
                 if held >= block_tokens:
                     yield close()
         if held:
             yield close()
-        total = added(total, seen)
         some = np.flatnonzero(total)
         if len(some):
-            yield row(-1, 0, some, total[some], b"")
+            yield row(-1, 0, pa.array(some, pa.int64()), total[some], b"")
 
     return rows.mapInArrow(blocks, _BLOCKS)
 
 
-def added(total: np.ndarray, seen: list[np.ndarray]) -> np.ndarray:
-    """Counts with those of the arrays in ``seen``, which is emptied."""
-    n = np.bincount(np.concatenate(seen), minlength=len(total)) if seen else total.copy()
-    if seen:
-        n[: len(total)] += total
-        seen.clear()
-    return n
-
-
 def counted(blocks: DataFrame) -> dict[int, int]:
     """How often each id occurs; at most one row per vocabulary entry."""
     rows = blocks.where("block = -1").select(F.explode(F.arrays_zip("doc_ids", "doc_tokens")).alias("z"))
@@ -305,7 +345,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, block_tokens: in
         for batch in batches:
             for at in range(0, batch.num_rows, SIDE_BY_SIDE):
                 part = batch.slice(at, SIDE_BY_SIDE)
-                got = encode_blocks([np.frombuffer(x, dtype=width) for x in part["ids"].to_pylist()], shared)
+                got = coded_groups([np.frombuffer(x.as_buffer(), dtype=width) for x in part["ids"]], shared)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.binary())], schema=schema)
 
     blocks.where("block >= 0").mapInArrow(code, _FILES).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(folder)
@@ -333,13 +373,13 @@ def read(spark: SparkSession, folder: str, table: Table, digest: bool = False) -
             for at in range(0, batch.num_rows, SIDE_BY_SIDE):
                 rows = batch.slice(at, SIDE_BY_SIDE).to_pylist()
                 out = {"doc_id": [], "start": [], "n_tokens": [], last: []}
-                for row, ids in zip(rows, decode_blocks([r["bytes"] for r in rows], shared)):
-                    begin = 0
+                for row, ids in zip(rows, decoded_groups([r["bytes"] for r in rows], shared)):
+                    begin, ids = 0, ids.astype("<u4")
                     for doc, n in zip(row["doc_ids"], row["doc_tokens"]):
                         out["doc_id"].append(doc)
                         out["start"].append(offset[row["part"]] + row["begin"] + begin)
                         out["n_tokens"].append(n)
-                        out[last].append(show(ids[begin : begin + n].astype("<u4")))
+                        out[last].append(show(ids[begin : begin + n]))
                         begin += n
                 yield pa.RecordBatch.from_pydict(out, schema)
 

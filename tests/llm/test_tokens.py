@@ -58,6 +58,28 @@ def test_files_round_trip(spark, tmp_path):
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
 
 
+def test_a_document_of_millions_of_ids(spark, tmp_path):
+    """Longer than any block: its blocks are bounded, its ids are whole."""
+    rows = [(1, "short"), (2, "w " * 2_500_000 + "end"), (3, "short too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = op5_rans.write(docs, f"file://{tmp_path}/f", BYTE, 0)
+    got = {r["doc_id"]: r for r in op5_rans.read(spark, f"file://{tmp_path}/f", table).collect()}
+    want = dict(expected(BYTE, 0, rows))
+    assert {k: r["ids"] for k, r in got.items()} == {k: x.tobytes() for k, x in want.items()}
+    assert got[3]["start"] == len(want[1]) + len(want[2]) and got[2]["n_tokens"] == len(want[2]) > 2_500_000
+    ids = np.concatenate([np.arange(5_000_000) % 999, [7]])
+    cut = op5_rans.frames(ids)
+    assert max(map(len, cut)) <= op5_rans.MOST and (np.concatenate(cut) == ids).all()
+
+
+def test_groups_round_trip():
+    r = np.random.default_rng(3)
+    groups = [r.integers(0, 300, n) for n in (1, 70_000, 5, 300_001, 0 + 64, 65_536, 65_537)]
+    table = op5_rans.Table(op5_rans.scaled({i: 1 + i for i in range(300)}, 300))
+    got = op5_rans.decoded_groups(op5_rans.coded_groups(groups, table), table)
+    assert all((a == b).all() for a, b in zip(groups, got)) and len(got) == len(groups)
+
+
 def test_empty_table_gives_no_rows(spark, tmp_path):
     none = documents(spark, DOCS[:0])
     assert op3_packing.pack(none, WORD, 2).count() == 0
