@@ -1,19 +1,23 @@
-"""What the two vector searches share: valid vectors, bounded pivots, blocks of queries."""
+"""What the two vector searches share: valid vectors, bounded pivots, blocks of queries against blocks of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import common
+
 #: Rows that pivots are chosen from, in the order of a hash of vec_id.
 PIVOT_SAMPLE = 4096
-#: Queries that one pass over the index answers; they travel with the tasks.
-QUERY_BLOCK = 4096
-#: Index rows that a task holds at once.
-CHUNK = 8192
+#: Queries that meet a block of rows at once.
+QUERY_BLOCK = 16_384
+#: Rows that are searched at once; their block is a hash of vec_id, whatever the partitions.
+INDEX_BLOCK = 4096
+#: Rows that one task meets with one block of queries.
+TASK_ROWS = 262_144
 
 
 def valid(df: DataFrame) -> DataFrame:
@@ -23,14 +27,16 @@ def valid(df: DataFrame) -> DataFrame:
     return df.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.coalesce(ok, F.lit(False)))
 
 
+def by_length(df: DataFrame) -> list[DataFrame]:
+    """The rows of each length of vectors that occurs: inner products are of equal lengths only."""
+    found = df.select(F.size("v").alias("n")).distinct().orderBy("n").collect()
+    return [df.where(F.size("v") == r["n"]) if len(found) > 1 else df for r in found]
+
+
 def sample(df: DataFrame, rows: int = PIVOT_SAMPLE) -> np.ndarray:
-    """The vectors of a bounded sample; those of the most frequent length in it."""
-    got = [r["v"] for r in df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).collect()]
-    if not got:
-        return np.zeros((0, 0))
-    lengths = [len(x) for x in got]
-    d = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    return np.array([x for x in got if len(x) == d], dtype=np.float64)
+    """The vectors of a bounded sample of rows of one length."""
+    got = [r["v"] for r in df.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(rows).collect()]
+    return np.array(got, dtype=np.float64) if got else np.zeros((0, 0))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -38,7 +44,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], rows: int = CHUNK) -> Iterator[pa.Table]:
+def chunks(batches, rows: int = INDEX_BLOCK):
     held, n = [], 0
     for b in batches:
         held.append(b)
@@ -50,17 +56,73 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = CHUNK) -> Iterator[pa.
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def query_blocks(df: DataFrame, every: int, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The rows whose vec_id is divisible by ``every``, a bounded block at a time (one partition's rows at a time reach the driver)."""
-    ids, vectors = [], []
-    for r in df.where(F.col("vec_id") % every == 0).toLocalIterator():
-        ids.append(r["vec_id"])
-        vectors.append(r["v"])
-        if len(ids) == size:
-            yield np.array(ids, np.int64), np.array(vectors)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(vectors)
+def crossed(index: DataFrame, every: int, parts: int, search: Callable, schema: str) -> DataFrame:
+    """What ``search`` finds for the rows whose vec_id is divisible by ``every`` among all rows of ``index`` (vec_id, row, v, x).
+
+    Rows are dealt to blocks and queries to turns; a cell is some blocks and one turn,
+    and one task works on it. Queries, like rows, only move between executors.
+    ``search(queries)`` makes an object that is given block after block (``meet``) and then asked
+    for a record batch (``found``).
+    """
+    asked = index.where(F.col("vec_id") % every == 0)
+    rows, queries = index.count(), asked.count()
+    blocks, turns = max(1, -(-rows // INDEX_BLOCK)), max(1, -(-queries // QUERY_BLOCK))
+    tasks = min(blocks, max(parts, -(-rows // TASK_ROWS)))
+    names = ["vec_id", "row", "v", "x"]
+
+    def all_of(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    members = index.select(*names, block.alias("block")).select(*names, "block", F.lit(1).alias("kind"), (F.col("block") % tasks).alias("task"), all_of(turns).alias("turn"))
+    turn = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(turns)).cast("int")
+    queries = asked.select(*names, F.lit(0).alias("block"), F.lit(0).alias("kind"), all_of(tasks).alias("task"), turn.alias("turn"))
+    cells = members.unionByName(queries).withColumn("cell", F.col("task") * turns + F.col("turn"))
+    cells = cells.select("cell", "kind", "block", *names).repartitionById(max(1, min(tasks * turns, 8 * parts)), F.col("cell")).sortWithinPartitions("cell", "kind", "block")
+
+    def solve(batches):
+        key, state, held = None, None, []
+
+        def whole():
+            out = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            return out.select(names)
+
+        def close():
+            nonlocal state
+            if not held:
+                return
+            if key[1] == 0:
+                state = search(whole())
+            elif state is not None:
+                state.meet(whole())
+            held.clear()
+
+        for batch in batches:
+            marks = np.stack([batch[c].to_numpy() for c in ("cell", "kind", "block")])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if low == high:
+                    continue
+                now = tuple(marks[:, low].tolist())
+                if now != key:
+                    close()
+                    if key is not None and now[0] != key[0]:
+                        if state is not None:
+                            yield state.found()
+                        state = None
+                    key = now
+                held.append(batch.slice(low, high - low))
+        close()
+        if state is not None:
+            yield state.found()
+
+    return cells.mapInArrow(solve, schema)
+
+
+def indexed(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once, with a number for each row."""
+    return common.written(df.withColumn("row", F.monotonically_increasing_id()), tag)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gradus.llm import op2_topk, op6_permutation, vectors
 
@@ -18,11 +20,11 @@ def table(spark, n=600, d=16):
 
 
 def test_exact_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(vectors, "INDEX_BLOCK", 50)
+    monkeypatch.setattr(vectors, "TASK_ROWS", 200)
     monkeypatch.setattr(op2_topk, "STEP", 16)
     df, rows = table(spark)
-    from pyspark.sql import functions as F
-
     whole = vectors.valid(df).withColumn("v", F.transform("v", lambda x: F.floor(x * 256.0).cast("double")))
     got = {}
     for r in op2_topk.top_k(whole, 50, 5).collect():
@@ -53,6 +55,66 @@ def test_permutation_index_recall(spark):
     assert len(got) == 150 and hits / (20 * len(got)) >= 0.9
 
 
+def test_each_length_is_searched_among_its_own(spark):
+    r = np.random.default_rng(9)
+    rows = [(20 * i, r.normal(size=3 + i % 3).tolist()) for i in range(90)]
+    df = vectors.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for x in op6_permutation.neighbours(df, 20, 4).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"]))
+    exact = {}
+    for x in op2_topk.top_k(df.withColumn("v", F.transform("v", lambda c: F.floor(c * 256.0).cast("double"))), 100, 4).collect():
+        exact.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"]))
+    for q, v in rows:
+        mates = [(i, w) for i, w in rows if i != q and len(w) == len(v)]
+        best = sorted((-float(np.dot(v, w)), i) for i, w in mates)[:4]
+        assert [i for _, i in sorted(got[q])] == [i for _, i in best]
+        if q % 100 == 0:
+            floors = [(i, np.floor(np.array(w) * 256)) for i, w in mates]
+            best = sorted((-int(np.floor(np.array(v) * 256) @ w), i) for i, w in floors)[:4]
+            assert [i for _, i in sorted(exact[q])] == [i for _, i in best]
+    assert set(exact) == {q for q, _ in rows if q % 100 == 0}
+
+
+def test_bounds_hold_and_eliminate():
+    r = np.random.default_rng(5)
+    x = np.floor(256 * r.normal(size=(4000, 32)) / 6)
+    pivots = op2_topk.spread(x[:500], 24)
+    span = op2_topk.Pivots(pivots)
+    y, rest = span.placed((x * x).sum(axis=1), op2_topk.distances(x, pivots))
+    upper = y[:50] @ y.T + rest[:50, None] * rest[None, :] + 1e-6 * ((x[:50] ** 2).sum(axis=1)[:, None] + (x * x).sum(axis=1) + 1)
+    assert (upper >= x[:50] @ x.T).all()
+    # No bound of the triangle inequality is below these.
+    d = op2_topk.distances(x, pivots)
+    triangle = np.abs(d[:50, None, :] - d[None, :, :]).max(axis=2)
+    both = (x[:50] ** 2).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :]
+    assert (upper <= (both - triangle**2) / 2 + 2e-6 * (both + 1)).all()
+    index = pa.table({"vec_id": np.arange(4000), "row": np.arange(4000), "v": list(x), "x": list(d)})
+    search = op2_topk.Search(index.slice(0, 50).combine_chunks(), pivots, x[:500], np.arange(500), 5)
+    search.meet(index.combine_chunks())
+    assert search.evaluated < 0.2 * 50 * 4000
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(i, [1.0, 0.0] if i else [1.0, 1.0]) for i in range(0, 400, 20)]
+    df = vectors.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted((r["rank"], r["vec_id"]) for r in op6_permutation.neighbours(df, 20, 5).collect() if r["query_id"] == 100)
+    assert [i for _, i in got] == [0, 20, 40, 60, 80]
+
+
+def test_inverted_file_equals_footrule():
+    r = np.random.default_rng(2)
+    pivots = r.normal(size=(40, 6))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    x = r.normal(size=(300, 6))
+    near, asked = op6_permutation.orders(x, pivots, 5), op6_permutation.orders(x[:1], pivots, 12)[0]
+    shared = op6_permutation.InvertedFile(near, 40, 12).shared(asked, 12, 300)
+    for i in range(300):
+        a, b = ({p: k for k, p in enumerate(o.tolist())} for o in (near[i], asked))
+        footrule = sum(abs(a.get(p, 12) - b.get(p, 12)) for p in range(40))
+        assert footrule == sum(12 - k for k in a.values()) + sum(12 - k for k in b.values()) - 2 * shared[i]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert op2_topk.top_k(vectors.valid(none), 50, 5).count() == 0
