@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common, vectors
 
 #: Pivots for each component of the vectors.
-SHARE = 0.75
+SHARE = 0.875
 #: Candidates evaluated between two looks at the stopping rule.
 STEP = 64
 #: Queries whose bounds are held at once.
