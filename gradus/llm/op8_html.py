@@ -14,12 +14,14 @@ written. No row of the corpus is used for training.
 
 Nulls, ties: a null html is the empty page, whose text is empty; page_id and
 url are passed on as they are, null or repeated. Other columns are ignored.
-Unclosed tags, stray brackets and unclosed comments are accepted. An empty
-table gives no rows.
+Unclosed tags, stray brackets and unclosed comments are accepted; elements deeper than ``DEEP``
+part blocks only. Pages of any length and number of blocks are read in one pass and labelled
+whole, in slabs. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import random
 import re
@@ -32,11 +34,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
 
-PATH, LAST, WORDS, MEASURES = 96, 32, 32, 6
+PATH, LAST, WORDS, MEASURES = 384, 32, 32, 6
 SIZE = PATH + LAST + WORDS + MEASURES
 HIDDEN = 16
 #: Training: pages, passes over them, seed.
 PAGES, PASSES, SEED = 1500, 16, 17
+#: Pages side by side, their blocks with padding, blocks of a page that are held as vectors at once, and characters read at once.
+GROUP, CELLS, SLAB, READ = 64, 32_768, 16_384, 4 << 20
 
 #: Elements that end a block, that hold no content, and whose content is no text.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -45,17 +49,62 @@ RAW_TAGS = frozenset("script style noscript template svg math".split())
 #: Elements that a new element of the same group closes.
 CLOSES = {"li": ("ul", "ol", "menu"), "p": ("div", "td", "article", "section", "li", "main", "aside", "body", "blockquote", "form", "footer", "header", "nav"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+#: Open elements at most; deeper ones part blocks but are no part of a path.
+DEEP = 512
+
+_START = re.compile(r"/?[A-Za-z][^\s/>]*")
+_ATTRIBUTES = re.compile(r"""[^>"']*""")
 _NAME = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
+def tags(page: str):
+    """(start, end, name, attributes) of each tag, in one pass: the name is lower case, begins with a slash in closing tags and is empty for comments and declarations.
+
+    A tag ends at the first > outside quotes. From the first tag that would not end so, quotes
+    are ordinary characters; without any > ahead the rest is text.
+    """
+    n, at = len(page), 0
+    last = {q: page.rfind(q) for q in "\"'>"}
+    quoting = True
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = yield start, n if end < 0 else end + 3, "", ""
+            continue
+        if start > last[">"]:
+            return
+        m = _START.match(page, start + 1)
+        if not m:
+            at = start + 1
+            if page[at : at + 1] in ("!", "?", "/"):
+                at = yield start, page.find(">", at) + 1, "", ""
+            continue
+        end = m.end()
+        while quoting:
+            end = _ATTRIBUTES.match(page, end).end()
+            if end == n or page[end] == ">":
+                break
+            end = page.find(page[end], end + 1) + 1 if end < last[page[end]] else end + 1
+        if end == n and quoting:
+            quoting = False
+        if not quoting:
+            end = page.find(">", m.end())
+        at = yield start, end + 1, m[0].lower(), page[m.end() : end]
+
+
 def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
     """(path, text, characters in links) of each leaf block; a path's entries are an element's name, then words of its class, id and role."""
     out: list = []
     stack: list[tuple[str, ...]] = []
+    open_: dict[str, int] = {}
+    beyond: dict[str, int] = {}
     held: list[str] = []
-    linked = links = 0
+    linked = links = at = 0
+    n, last_raw = len(page), {}
 
     def close():
         nonlocal held, linked
@@ -65,59 +114,70 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
                 out.append((tuple(stack), text, linked))
             held, linked = [], 0
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            held.append(page[at:])
-            linked += (n - at) * bool(links)
-            break
-        if m.start() > at:
-            held.append(page[at : m.start()])
-            linked += (m.start() - at) * bool(links)
-        at = m.end()
-        slash, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
-            continue
-        name = name.lower()
-        if slash:
-            if name == "a":
-                links = max(0, links - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in BLOCK_TAGS:
-                        close()
-                    del stack[k:]
-                    break
-            else:
+    def cut(k):
+        for element in stack[k:]:
+            open_[element[0]] -= 1
+        del stack[k:]
+
+    found = tags(page)
+    try:
+        now = next(found)
+        while True:
+            start, end, name, attrs = now
+            if start > at:
+                held.append(page[at:start])
+                linked += (start - at) * bool(links)
+            at = end
+            if name.startswith("/"):
+                name = name[1:]
+                if name == "a":
+                    links = max(0, links - 1)
                 if name in BLOCK_TAGS:
                     close()
-            continue
-        if name in RAW_TAGS and not attrs.endswith("/"):
-            end = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if name in VOID_TAGS:
-            if name == "hr":
-                close()
-            elif name in ("br", "img", "input"):
-                held.append(" ")
-            continue
-        if name in BLOCK_TAGS:
-            close()
-            if name in CLOSES:
-                group = ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,)
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in group:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in CLOSES[name]:
-                        break
-        elif name == "a":
-            links += 1
-        if not attrs.endswith("/"):
-            words = [w for x in _NAME.findall(attrs) for w in _PART.findall(x[1].lower())]
-            stack.append((name, *words))
+                if beyond.get(name):
+                    beyond[name] -= 1
+                elif open_.get(name):
+                    cut(max(k for k in range(len(stack)) if stack[k][0] == name))
+            elif name in RAW_TAGS and not attrs.endswith("/"):
+                # Its content ends at its closing tag; where there is none ahead, none will come.
+                if last_raw.get(name) is None:
+                    ends = [m.start() for m in re.finditer(f"</{name}", page, re.I)]
+                    last_raw[name] = ends
+                ends = last_raw[name]
+                k = bisect.bisect_left(ends, at)
+                stop = page.find(">", ends[k]) if k < len(ends) else -1
+                at = n if stop < 0 else stop + 1
+            elif name in VOID_TAGS:
+                if name == "hr":
+                    close()
+                elif name in ("br", "img", "input"):
+                    held.append(" ")
+            elif name:
+                if name in BLOCK_TAGS:
+                    close()
+                    if name in CLOSES:
+                        group = ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,)
+                        for k in range(len(stack) - 1, -1, -1):
+                            if stack[k][0] in group:
+                                cut(k)
+                                break
+                            if stack[k][0] in CLOSES[name]:
+                                break
+                elif name == "a":
+                    links += 1
+                if not attrs.endswith("/"):
+                    if len(stack) < DEEP:
+                        words = [w for x in _NAME.findall(attrs) for w in _PART.findall(x[1].lower())]
+                        stack.append((name, *words))
+                        open_[name] = open_.get(name, 0) + 1
+                    else:
+                        beyond[name] = beyond.get(name, 0) + 1
+            now = found.send(at)
+    except StopIteration:
+        pass
+    if at < n:
+        held.append(page[at:])
+        linked += (n - at) * bool(links)
     close()
     return out
 
@@ -140,8 +200,8 @@ def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
     return out
 
 
-def vectors(page: list) -> np.ndarray:
-    """A row for each block of the page."""
+def vectors(page: list, first: int = 0, whole: int = 0) -> np.ndarray:
+    """A row for each block of the page, or of its blocks from ``first`` on of ``whole``."""
     out = np.zeros((len(page), SIZE), dtype=np.float32)
     for k, (path, text, linked) in enumerate(page):
         out[k, : PATH + LAST] = _path_vector(path)
@@ -149,7 +209,7 @@ def vectors(page: list) -> np.ndarray:
         n = len(words)
         places = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, n) % WORDS
         out[k, PATH + LAST : PATH + LAST + WORDS] = np.minimum(np.bincount(places, minlength=WORDS), 4) / 4
-        out[k, -MEASURES:] = (np.log1p(n) / 5, min(1.0, linked / len(text)), text.count(".") / n, len(text) / n / 10, k / len(page), 1.0)
+        out[k, -MEASURES:] = (np.log1p(n) / 5, min(1.0, linked / len(text)), text.count(".") / n, len(text) / n / 10, (first + k) / (whole or len(page)), 1.0)
     return out
 
 
@@ -227,19 +287,46 @@ class Labeller:
             out[: len(p), k] = h[: len(p), k][::-1]
         return out
 
-    def label(self, pages: list[np.ndarray], group: int = 64) -> list[np.ndarray]:
-        """Probability that each block belongs to the article."""
+    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """Probability that each block belongs to the article; pages of much the same length run side by side, padded to at most ``CELLS`` blocks."""
         out: list = [np.zeros(0)] * len(pages)
-        order = [i for i in sorted(range(len(pages)), key=lambda i: len(pages[i])) if len(pages[i])]
-        for at in range(0, len(order), group):
-            own = [pages[i] for i in order[at : at + group]]
+        order = [i for i in sorted(range(len(pages)), key=lambda i: -len(pages[i])) if len(pages[i])]
+        while order:
+            group = max(1, min(GROUP, CELLS // len(pages[order[0]])))
+            part, order = order[:group], order[group:]
+            own = [pages[i] for i in part]
+            if len(own[0]) > SLAB:
+                out[part[0]] = self.long(lambda low, high, p=own[0]: p[low:high], len(own[0]))
+                order = part[1:] + order
+                continue
             x, y, on = self._padded(own)
             h = np.concatenate([self.ahead.forward(x, on)[0], self._turned(self.back.forward(y, on)[0], own), x], axis=2)
             p = 1 / (1 + np.exp(-(h @ self.v + self.c)))
-            for k, i in enumerate(order[at : at + group]):
+            for k, i in enumerate(part):
                 out[i] = p[: len(pages[i]), k]
         return out
 
+    def long(self, rows, n: int) -> np.ndarray:
+        """The same for one page of n blocks, whose vectors ``rows(low, high)`` gives a slab at a time."""
+        k = self.ahead.u.shape[0]
+        gates = [np.empty((n, 4 * k), np.float32) for _ in range(2)]
+        z = np.empty(n, np.float32)
+        for low in range(0, n, SLAB):
+            x = rows(low, low + SLAB)
+            own = slice(low, low + len(x))
+            z[own] = x @ self.v[2 * k :] + self.c
+            for g, net in zip(gates, (self.ahead, self.back)):
+                g[own] = x @ net.w + net.b
+        for g, net, v, steps in ((gates[0], self.ahead, self.v[:k], range(n)), (gates[1], self.back, self.v[k : 2 * k], range(n - 1, -1, -1))):
+            h = c = np.zeros(k, np.float32)
+            for s in steps:
+                a = g[s] + h @ net.u
+                gate = 1 / (1 + np.exp(-np.clip(a[: 3 * k], -30, 30)))
+                c = gate[k : 2 * k] * c + gate[:k] * np.tanh(a[3 * k :])
+                h = gate[2 * k :] * np.tanh(c)
+                z[s] += h @ v
+        return 1 / (1 + np.exp(-z))
+
     def train(self, pages: list[np.ndarray], labels: list[np.ndarray], passes: int = PASSES, group: int = 30, rate: float = 0.01, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
         own = [self.ahead.w, self.ahead.u, self.ahead.b, self.back.w, self.back.u, self.back.b, self.v, self.c]
@@ -414,9 +501,20 @@ def trained() -> Labeller:
 
 def extracted(pages: list[str], labeller: Labeller) -> list[str]:
     """Main text of each page."""
-    cut = [blocks(p) for p in pages]
-    found = labeller.label([vectors(c) for c in cut])
-    return ["\n".join(t for (_, t, _), p in zip(c, y) if p >= 0.5) for c, y in zip(cut, found)]
+    out: list[str] = []
+    at = 0
+    while at < len(pages):
+        # Some pages of a bounded length in all, or one that is longer.
+        held, first = 0, at
+        while at < len(pages) and (at == first or held + len(pages[at]) <= READ):
+            held += len(pages[at])
+            at += 1
+        cut = [blocks(p) for p in pages[first:at]]
+        long = {i: labeller.long(lambda low, high, c=c: vectors(c[low:high], low, len(c)), len(c)) for i, c in enumerate(cut) if len(c) > SLAB}
+        found = labeller.label([vectors(c) if i not in long else np.zeros((0, SIZE), np.float32) for i, c in enumerate(cut)])
+        for i, c in enumerate(cut):
+            out.append("\n".join(t for (_, t, _), p in zip(c, long.get(i, found[i])) if p >= 0.5))
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

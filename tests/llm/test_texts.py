@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 from itertools import product
 
 import numpy as np
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from gradus.llm import op1_toxicity, op8_html, op9_mixing, op10_secrets
 
 from .fixtures import DOCS, documents
+from .gold_pages import GOLD
 
 
 def toxic_corpus(spark, n=600):
@@ -203,6 +206,38 @@ def test_extraction(spark, labeller):
     assert op8_html.extract(table.limit(0)).count() == 0
 
 
+def test_gold_pages(labeller):
+    got = op8_html.extracted([page for page, _ in GOLD], labeller)
+    assert len(GOLD) == 30 and got == [text for _, text in GOLD]
+
+
+@pytest.mark.parametrize(
+    "page,count",
+    [("<a " * 350_000, 1), ('<a ">" ' * 150_000, 1), ("<p title='x>" * 80_000, 0), ("<script>" * 120_000, 0), ("<!-- " * 200_000, 0), ("<" * 1_000_000, 1), ("<div>" * 100_000 + "</p>x<p>" * 30_000, 30_000), ("<b" * 500_000 + ">", 0)],
+    ids=["unclosed tags", "quoted ends", "odd quotes", "scripts", "comments", "brackets", "deep", "one long tag"],
+)
+def test_malformed_pages_are_read_in_one_pass(page, count):
+    began = time.process_time()
+    assert len(op8_html.blocks(page)) == count
+    assert time.process_time() - began < 2
+
+
+def test_a_page_of_many_blocks(labeller, monkeypatch):
+    """Bounded in memory, and labelled as it would be at once."""
+    page = "<nav><a>Menu</a></nav><article>" + "".join(f"<p>block number {i} with some text in it.</p>" for i in range(100_000)) + "</article>"
+    tracemalloc.start()
+    text = op8_html.extracted([page, "<article><p>A short page beside it.</p></article>"], labeller)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text[0].count("\n") >= 99_000 and text[1] == "A short page beside it." and peak < 1 << 30
+    pages, _ = op8_html.training_set(12, 5)
+    at_once = labeller.label(pages)
+    monkeypatch.setattr(op8_html, "SLAB", 7)
+    for p, want in zip(pages, at_once):
+        assert np.allclose(labeller.long(lambda low, high, p=p: p[low:high], len(p)), want, atol=1e-4)
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(labeller.label(pages), at_once))
+
+
 def test_raking_meets_the_targets():
     rng = np.random.default_rng(2)
     codes = [rng.integers(0, k, 400) for k in (7, 4, 5)]
