@@ -1,7 +1,9 @@
-"""Connected components of an edge list, as DataFrames."""
+"""Connected components of an edge list, joins with hot keys and comparisons within groups, as DataFrames."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -29,9 +31,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while e.count() > FINISH_EDGES:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hop = common.written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "hop")
-        jump = common.written(hop.join(hop.select(F.col("v").alias("c"), F.col("c").alias("n")), "c").select("v", F.col("n").alias("c")), "jump")
+        jump = common.written(attached(hop, hop.select(F.col("v").alias("c"), F.col("c").alias("n")), "c").select("v", F.col("n").alias("c")), "jump")
         for end in "ab":
-            e = e.join(jump.select(F.col("v").alias(end), F.col("c").alias(f"c{end}")), end)
+            e = attached(e, jump.select(F.col("v").alias(end), F.col("c").alias(f"c{end}")), end)
         e = common.written(e.where("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "edges")
         common.dropped(hop)
         labels = jump if labels is None else _composed(labels, jump)
@@ -42,7 +44,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _composed(labels: DataFrame, over: DataFrame) -> DataFrame:
     over = over.select(F.col("v").alias("c"), F.col("c").alias("n"))
-    return common.written(labels.join(over, "c", "left").select("v", F.coalesce("n", "c").alias("c")), "labels")
+    return common.written(attached(labels, over, "c", "left").select("v", F.coalesce("n", "c").alias("c")), "labels")
 
 
 def _finished(batches):
@@ -73,9 +75,32 @@ def _finished(batches):
 BROADCAST_ROWS = 500_000
 
 
-def attached(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """``big`` joined with ``small``, a written table of narrow rows: by broadcast if it is counted small, else by shuffle."""
-    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+#: A key is hot if it holds more than one in so many rows; fewer keys than that can.
+HOT = 1000
+
+
+def attached(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", size: str | None = None) -> DataFrame:
+    """``big`` joined with ``small``, a written table of narrow rows: by broadcast if it is counted small, else by shuffle.
+
+    Beyond that bound, the rows of hot keys stay where they are: what ``small`` has for
+    those (fewer than ``HOT`` keys) is broadcast, and only the rest is shuffled. ``size`` names a column of
+    ``small`` with the number of rows of ``big`` for its key, where that is known.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    if size:
+        total = small.agg(F.sum(size)).first()[0] or 0
+        hot = small.where(F.col(size) * HOT > total).select(*keys)
+    else:
+        counts = common.written(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "keys")
+        total = counts.agg(F.sum("__n")).first()[0] or 0
+        hot = counts.where(F.col("__n") * HOT > total).select(*keys)
+    hot = common.written(hot.na.drop().coalesce(1), "hot")
+    if hot.isEmpty():
+        return big.join(small, on, how)
+    there = big.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(small.join(F.broadcast(hot), on, "left_semi")), on, how)
+    return there.unionByName(big.join(F.broadcast(hot), on, "left_anti").join(small, on, how))
 
 
 #: Rows and bytes of cells that are worked on side by side.
@@ -83,16 +108,17 @@ CELL_ROWS, CELL_BYTES = 2048, 4 << 20
 
 
 def within_groups(rows: DataFrame, parts: int, links) -> DataFrame:
-    """Edges (a, b) that span the links within groups of rows (v, c, own, blocks, row).
+    """Edges (a, b) that span the links within groups of rows (v, c, own, blocks, open, row).
 
     ``c`` is the group, ``row`` what is compared (binary), ``own`` its block of the
-    group's ``blocks``. Every pair of a group's blocks is a cell that one task
+    group's ``blocks``, of which the first ``open`` are compared with all and the others with those only.
+    Every such pair of blocks is a cell that one task
     works on alone, so no group, whatever its size, is gathered in one place.
     ``links`` takes cells (rows, left, right) and gives for each the linked pairs
     between the two index arrays (the same array twice: the pairs within it).
     """
-    pair = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("mate")
-    cells = rows.select("*", pair).select("v", "c", "own", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "row")
+    last = F.when(F.col("own") < F.col("open"), F.col("blocks")).otherwise(F.col("open")) - 1
+    cells = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("mate")).select("v", "c", "own", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "row")
     cells = cells.repartition(parts, "c", "i", "j").sortWithinPartitions("c", "i", "j", "own", "v")
 
     def solve(batches):
@@ -136,12 +162,52 @@ def within_groups(rows: DataFrame, parts: int, links) -> DataFrame:
     return cells.mapInArrow(tokens.released(solve), "a long, b long")
 
 
-def in_blocks(groups: DataFrame, block: int) -> DataFrame:
-    """Groups (v, c) with each row's block and its group's number of blocks of about ``block`` rows."""
-    size = groups.groupBy("c").agg(F.count("v").alias("size"))
-    out = groups.join(size, "c").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    # The place within a large group is a hash's: blocks need only be about even.
-    return out.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks").cast("long")).cast("int")).drop("size")
+def placed(groups: DataFrame, block: int, first: int = 0) -> DataFrame:
+    """Groups (v, c, size) with each row's block of about ``block`` rows, from ``first`` on, and their number."""
+    # The place within a group is a hash's: blocks need only be about even.
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    return groups.select("v", "c", (F.lit(first) + F.pmod(F.xxhash64("v"), blocks.cast("long"))).cast("int").alias("own"), (F.lit(first) + blocks).alias("blocks"), F.lit(first or 1).alias("open"))
+
+
+#: Blocks from which a group is contracted by pivots first; pivots of a group in a turn, and turns at most.
+CONTRACTED, PIVOTS, TURNS = 4, 4, 3
+
+
+def spanned(groups: DataFrame, block: int, parts: int, rows, links) -> DataFrame:
+    """Edges (a, b) that span the links within groups (v, c); ``rows`` adds to groups in blocks what ``links`` compares.
+
+    A large group is met with a few of its members first, turn by turn: members linked to those
+    directly or through one another are one set, and need no comparison among
+    themselves any more. Only what the largest set of a group leaves over is compared with all of
+    the group, block by block. A group of near copies costs time in proportion to its size.
+    """
+    count = common.written(groups.groupBy("c").agg(F.count("v").alias("size")), "sizes")
+    sized = common.written(attached(groups, count, "c", size="size"), "sized")
+    few = F.ceil(F.col("size") / block) < CONTRACTED
+    small = placed(sized.where(few), block).withColumn("open", F.col("blocks"))
+    edges = [common.written(within_groups(rows(small), parts, links), "edges")]
+    big = sized.where(~few)
+    if big.isEmpty():
+        return edges[0]
+    loose = big
+    for turn in range(TURNS):
+        pivots = loose.groupBy("c", F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(PIVOTS)).alias("k")).agg(F.min("v").alias("v"), F.first("size").alias("size"))
+        cells = placed(pivots, block, 1).withColumn("own", F.lit(0)).unionByName(placed(big, block, 1))
+        edges.append(common.written(within_groups(rows(common.written(cells, "cells")), parts, links), "edges"))
+        sets = components(reduce(DataFrame.unionByName, edges[1:])).withColumnRenamed("c", "m")
+        named = common.written(attached(big, sets, "v", "left").withColumn("m", F.coalesce("m", "v")), "named")
+        main = named.groupBy("c", "m").agg(F.count("v").alias("n")).groupBy("c").agg(F.max_by("m", F.struct("n", "m")).alias("main"), F.sum("n").alias("size"))
+        loose = common.written(attached(named.drop("size"), common.written(main, "main"), "c", size="size").where("m != main").select("v", "c", "size"), "loose")
+        if loose.isEmpty():
+            return reduce(DataFrame.unionByName, edges)
+    # Loose members in the first blocks, those of the largest set in the others.
+    left = common.written(loose.groupBy("c").agg(F.count("v").alias("n")), "left")
+    rest = attached(named, left, "c").join(loose.select("v", "c", F.lit(1).alias("is_loose")), ["v", "c"], "left")
+    first, others = F.ceil(F.col("n") / block).cast("int"), F.ceil((F.col("size") - F.col("n")) / block).cast("int")
+    own = F.when(F.col("is_loose") == 1, F.pmod(F.xxhash64("v"), first.cast("long"))).otherwise(first + F.pmod(F.xxhash64("v"), F.greatest(others, F.lit(1)).cast("long"))).cast("int")
+    cells = common.written(rest.select("v", "c", own.alias("own"), (first + others).alias("blocks"), first.alias("open")), "cells")
+    edges.append(common.written(within_groups(rows(cells), parts, links), "edges"))
+    return reduce(DataFrame.unionByName, edges)
 
 
 def forest(size: int, links: list[tuple[int, int]]) -> list[int]:

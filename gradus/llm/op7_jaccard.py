@@ -18,8 +18,9 @@ and the smallest doc_id of its component of links.
    within a class of sizes: stars, never all pairs. Sizes of linked
    sets differ by at most one class; each set is in its own and the next.
 3. The components of the pairs, and those of the stars of each class, bound the full
-   product: every linked pair lies within one. Components of more than ``BLOCK`` sets
-   are cut into blocks, and each pair of blocks is a product of its own.
+   product: every linked pair lies within one. Large components are contracted by the sets that link to a few of
+   their members (``graph.spanned``); what is left is cut into blocks of about ``BLOCK`` sets, and each pair of blocks
+   is a product of its own.
 4. A block product runs over column blocks of the incidence matrix and adds up
    overlap counts. Pairs that sizes rule out (the smaller set is less than
    ``percent`` of the larger) are discarded first, and after each column block
@@ -87,26 +88,26 @@ def spare(n: int) -> int:
 
 
 def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, the set's fingerprint v, the number of shingles it may leave out, and those it might post."""
+    """doc_id, t, n, the set's fingerprint v, the number of shingles it may leave out, and those it might post."""
     common.tune(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("spare", pa.int32()), ("low", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("spare", pa.int32()), ("low", pa.list_(pa.int64()))])
 
     def build(batches):
         for batch in batches:
             got = [shingles(t, words) for t in batch["text"].to_pylist()]
             low = [s[: missable(len(s), percent) + 1 + spare(len(s))] for s in got]
             v = [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in got]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in got], pa.int64()), pa.array(v, pa.int64()), pa.array([spare(len(s)) for s in got], pa.int32()), pa.array(low, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["t"], pa.array([len(s) for s in got], pa.int64()), pa.array(v, pa.int64()), pa.array([spare(len(s)) for s in got], pa.int32()), pa.array(low, pa.list_(pa.int64()))], schema=schema)
 
-    rows = common.whole_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(tokens.released(build), "doc_id long, n long, v long, spare int, low array<bigint>")
+    rows = common.whole_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    return rows.mapInArrow(tokens.released(build), "doc_id long, t long, n long, v long, spare int, low array<bigint>")
 
 
 def met(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For sets (v, n, spare, low): pairs (a, b) by overlap counts, crowded sets (v, n), and ties (v, g, m) of shared columns."""
     posts = lists.select("v", "n", "spare", F.explode("low").alias("g"))
-    shared = posts.groupBy("g").agg(F.count("v").alias("m")).where("m > 1")
-    ties = common.written(posts.join(shared, "g"), "ties")
+    shared = common.written(posts.groupBy("g").agg(F.count("v").alias("m")).where("m > 1"), "shared")
+    ties = common.written(graph.attached(posts, shared, "g", size="m"), "ties")
     rows = ties.groupBy("v").agg(F.first("n").alias("n"), F.first("spare").alias("s"), F.count_if(F.col("m") > COMMON).alias("h"))
     rows = common.written(rows, "tied")
     # At most COMMON rows a column: COMMON / 2 pairs a row, fewer as sizes rule most out.
@@ -151,8 +152,8 @@ def candidates(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> Da
     crowded = crowded.select("v", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int").alias("k"))
     crowded = crowded.select("v", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k"))
     members = common.written(ties.where(F.col("m") > COMMON).select("v", "g").join(crowded, "v"), "crowded")
-    least = members.groupBy("g", "k").agg(F.min("v").alias("b"))
-    named = members.join(least, ["g", "k"]).where("v != b").select(F.xxhash64("v", "k").alias("a"), F.xxhash64("b", "k").alias("b"))
+    least = common.written(members.groupBy("g", "k").agg(F.min("v").alias("b"), F.count("v").alias("n")), "least")
+    named = graph.attached(members, least, ["g", "k"], size="n").where("v != b").select(F.xxhash64("v", "k").alias("a"), F.xxhash64("b", "k").alias("b"))
     classes = graph.components(named).withColumnRenamed("v", "w")
     inside = crowded.withColumn("w", F.xxhash64("v", "k")).join(classes, "w").select("v", F.xxhash64("c", F.lit(1)).alias("c"))
     return common.written(pairs.select("v", "c").unionByName(inside), "groups")
@@ -207,43 +208,52 @@ def product(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent
 
 def linked(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """Edges (a, b) that span the links within each group (v, c) of representatives."""
-    placed = graph.in_blocks(groups, BLOCK).join(reps.select("v", "doc_id"), "v")
-    placed = common.written(placed, "placed")
+    schema = pa.schema([("v", pa.int64()), ("c", pa.int64()), ("own", pa.int32()), ("blocks", pa.int32()), ("open", pa.int32()), ("row", pa.binary())])
     text = common.whole_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = graph.attached(text, placed, "doc_id")
-    schema = pa.schema([("v", pa.int64()), ("c", pa.int64()), ("own", pa.int32()), ("blocks", pa.int32()), ("row", pa.binary())])
 
     def build(batches):
         for batch in batches:
             got = [shingles(t, words) for t in batch["text"].to_pylist()]
             v = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in got], np.int64)
             ok = v == batch["v"].to_numpy()  # doc_id may stand for several texts
-            out = pa.RecordBatch.from_arrays([batch["v"], batch["c"], batch["own"], batch["blocks"], pa.array([s.tobytes() for s in got], pa.binary())], schema=schema)
+            out = pa.RecordBatch.from_arrays([*(batch[c] for c in ("v", "c", "own", "blocks", "open")), pa.array([s.tobytes() for s in got], pa.binary())], schema=schema)
             yield out.filter(pa.array(ok))
 
-    matrix = rows.select("text", "v", "c", "own", "blocks").mapInArrow(tokens.released(build), "v long, c long, own int, blocks int, row binary")
+    def rows(cells):
+        chosen = common.written(cells.join(reps.select("v", "doc_id"), "v"), "placed")
+        held = graph.attached(text, chosen, "doc_id")
+        return held.select("text", "v", "c", "own", "blocks", "open").mapInArrow(tokens.released(build), "v long, c long, own int, blocks int, open int, row binary")
 
     def links(cells):
         return [product([np.frombuffer(x, np.int64) for x in held], left, right, percent) for held, left, right in cells]
 
-    return graph.within_groups(matrix, parts, links)
+    return graph.spanned(groups, BLOCK, parts, rows, links)
 
 
 def join(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+    """doc_id, t (a hash of the text, which tells rows that share a doc_id apart), n_shingles, component_id and set_class of every document.
+
+    ``set_class`` names the component by its sets, also where a doc_id stands for several texts; it is
+    null for documents that link with nothing by definition.
+    """
     parts = common.tune(docs.sparkSession)
     whole = common.written(sets(docs, words, percent), "sets")
-    reps = whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("spare").alias("spare"), F.first("low").alias("low"))
+    reps = whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "spare", "low")), F.count(F.lit(1)).alias("copies"))
     reps = common.written(reps, "reps", "none")
     groups = candidates(docs, reps, words, percent)
-    edges = common.written(linked(docs, reps, groups, words, percent, parts), "links")
-    found = graph.components(edges)
-    first = found.join(reps.select("v", "doc_id"), "v")
-    least = first.groupBy("c").agg(F.min("doc_id").alias("m"))
-    named = reps.select("v", "doc_id").join(first.select("v", "c").join(least, "c"), "v", "left").select("v", F.coalesce("m", "doc_id").alias("m"))
-    return whole.select("doc_id", "n", "v").join(named, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("m", "doc_id")).alias("component_id"))
+    found = graph.components(linked(docs, reps, groups, words, percent, parts))
+    first = common.written(found.join(reps.select("v", "doc_id", "copies"), "v"), "first")
+    least = common.written(first.groupBy("c").agg(F.min("doc_id").alias("m"), F.count("v").alias("n")), "least")
+    named = common.written(graph.attached(first.select("v", "c", "copies"), least, "c", size="n").select("v", "c", "m", "copies"), "classes")
+    # Equal sets have their least doc_id's class, sets alone in their class none but themselves: neither is joined unless it must be.
+    equal = reps.where("copies > 1").join(named.select("v", "c", "m"), "v", "left").select("v", "c", F.coalesce("m", "doc_id").alias("m"), "copies")
+    equal = common.written(equal.unionByName(named.where("copies = 1")), "equal")
+    out = graph.attached(whole.select("doc_id", "t", "n", "v"), equal, "v", "left", size="copies")
+    linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    component = F.when(linkable, F.coalesce("m", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(linkable, F.coalesce("c", "v")).alias("set_class"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` whose sets of three-word shingles agree to nine tenths."""
-    return join(common.table(spark, sf_dir, "documents"), 3, 90)
+    return join(common.table(spark, sf_dir, "documents"), 3, 90).drop("t", "set_class")

@@ -47,11 +47,19 @@ def near_copies(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, words, percent):
+def shrunk(monkeypatch):
+    """Bounds that make small inputs take the paths of large ones: shuffles, hot keys, contraction by pivots."""
+    for name, value in (("BROADCAST_ROWS", 10), ("HOT", 30), ("CONTRACTED", 2), ("PIVOTS", 2), ("TURNS", 2), ("FINISH_EDGES", 40), ("CELL_ROWS", 8)):
+        monkeypatch.setattr(graph, name, value)
+
+
+@pytest.mark.parametrize("words,percent,large", [(3, 90, False), (5, 80, True)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, words, percent, large):
     monkeypatch.setattr(op7_jaccard, "COMMON", 6)
     monkeypatch.setattr(op7_jaccard, "BLOCK", 5)
     monkeypatch.setattr(op7_jaccard, "COLUMNS", 64)
+    if large:
+        shrunk(monkeypatch)
     rows = near_copies(160, words)
     got = op7_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows, words, percent)
@@ -107,7 +115,22 @@ def test_edit_distance():
     assert op4_lines.within([]) == []
 
 
-def test_line_dedup_equals_brute_force(spark):
+def test_joins_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(graph, "HOT", 4)
+    rows = [(7, i) for i in range(50)] + [(i, i) for i in range(20)] + [(None, 1)]
+    big, small = spark.createDataFrame(rows, "k long, x long"), spark.createDataFrame([(k, 10 * k, 51 if k == 7 else 1) for k in range(0, 20, 7)], "k long, y long, n long")
+    for how in ("inner", "left"):
+        want = sorted(map(str, big.join(small, "k", how).collect()))
+        assert want == sorted(map(str, graph.attached(big, small, "k", how).collect())) == sorted(map(str, graph.attached(big, small, "k", how, size="n").collect()))
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, large):
+    if large:
+        shrunk(monkeypatch)
+        monkeypatch.setattr(op4_lines, "BLOCK", 4)
+        monkeypatch.setattr(op4_lines, "GATHERED", 100)
     r = random.Random(2)
     base = ["".join(r.choices("abcde ", k=r.randint(24, 50))).strip().ljust(24, "x") for _ in range(12)]
     rows = []
