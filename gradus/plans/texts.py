@@ -23,38 +23,75 @@ def _names(s, d):
     return o.select("o_orderkey", F.concat_ws("::::", F.concat(F.lit("org/"), "o_orderpriority"), F.col("o_orderstatus"), F.lit("0.8"), F.concat(F.col("o_custkey").cast("string"), F.lit(".json"))).alias("name"))
 
 
-def _bleu_sql(method: int) -> str:
-    num, den = [f"num_{i}" for i in range(1, 5)], [f"den_{i}" for i in range(1, 5)]
+def _precisions_sql(method: int) -> list[str]:
+    """SQL of the four smoothed precisions; 5 and 7 read num_5 and den_5 as well."""
+    num, den = [f"num_{i}" for i in range(1, 6)], [f"den_{i}" for i in range(1, 6)]
+    p = [f"{a} / CAST({b} AS DOUBLE)" for a, b in zip(num, den)]
     if method == 0:
-        p = [f"CASE WHEN {a} = 0 THEN 2.2250738585072014e-308 ELSE {a} / CAST({b} AS DOUBLE) END" for a, b in zip(num, den)]
-    elif method == 1:
-        p = [f"CASE WHEN {a} = 0 THEN 0.1 / {b} ELSE {a} / CAST({b} AS DOUBLE) END" for a, b in zip(num, den)]
-    elif method == 2:
-        p = [f"({a} + 1) / CAST({b} + 1 AS DOUBLE)" for a, b in zip(num, den)]
-    elif method == 3:
+        return [f"CASE WHEN {a} = 0 THEN 2.2250738585072014e-308 ELSE {x} END" for a, x in zip(num[:4], p)]
+    if method == 1:
+        return [f"CASE WHEN {a} = 0 THEN 0.1 / {b} ELSE {x} END" for a, b, x in zip(num[:4], den, p)]
+    if method == 2:
+        return [f"({a} + 1) / CAST({b} + 1 AS DOUBLE)" for a, b in zip(num[:4], den)]
+    if method == 3:
         zero = [" + ".join(f"CAST({a} = 0 AS INT)" for a in num[: i + 1]) for i in range(4)]
-        p = [f"CASE WHEN {a} = 0 THEN 1 / (pow(2.0, {z}) * {b}) ELSE {a} / CAST({b} AS DOUBLE) END" for a, b, z in zip(num, den, zero)]
-    else:
-        p = [f"CASE WHEN {a} = 0 AND hyp_len > 1 THEN ({i} + 5.0 / ln(hyp_len)) / {b} WHEN {a} = 0 THEN {a} / CAST({b} AS DOUBLE) ELSE {a} / CAST({b} AS DOUBLE) END" for i, (a, b) in enumerate(zip(num, den))]
-    bp = "CASE WHEN hyp_len > ref_len THEN 1.0 WHEN hyp_len = 0 THEN 0.0 ELSE exp(1 - ref_len / CAST(hyp_len AS DOUBLE)) END"
-    return f"CASE WHEN num_1 = 0 THEN 0.0 ELSE {bp} * exp({' + '.join(f'ln({x}) / 4' for x in p)}) END"
+        return [f"CASE WHEN {a} = 0 THEN 1 / (pow(2.0, {z}) * {b}) ELSE {x} END" for a, b, z, x in zip(num, den, zero, p)]
+    if method in (4, 7):
+        p[:4] = [f"CASE WHEN {a} <> 0 THEN {x} WHEN hyp_len > 1 THEN ({i} + 5.0 / ln(hyp_len)) / {b} WHEN hyp_len = 1 THEN NULL ELSE {x} END" for i, (a, b, x) in enumerate(zip(num[:4], den, p))]
+    if method in (5, 7):
+        out, before = [], f"(({p[0]}) + 1)"
+        for i in range(4):
+            before = f"(({before} + ({p[i]}) + ({p[i + 1]})) / 3)"
+            out.append(before)
+        return out
+    if method == 6:
+        third = f"((num_3 + 5 * CASE WHEN num_1 = 0 THEN 0.0 ELSE pow({p[1]}, 2) / ({p[0]}) END) / (greatest(0, hyp_len - 2) + 5.0))"
+        fourth = f"((num_4 + 5 * CASE WHEN num_2 = 0 THEN 0.0 ELSE pow({third}, 2) / ({p[1]}) END) / (greatest(0, hyp_len - 3) + 5.0))"
+        return [*p[:2], *(f"CASE WHEN num_3 = 0 THEN NULL ELSE {x} END" for x in (third, fourth))]
+    return p[:4]
+
+
+_BP = "CASE WHEN hyp_len > ref_len THEN 1.0 WHEN hyp_len = 0 THEN 0.0 ELSE exp(1 - ref_len / CAST(hyp_len AS DOUBLE)) END"
+
+
+def _bleu_sql(method: int) -> str:
+    return f"CASE WHEN num_1 = 0 THEN 0.0 ELSE {_BP} * exp({' + '.join(f'ln({x}) / 4' for x in _precisions_sql(method))}) END"
+
+
+def reweighed_sql() -> str:
+    """Smoothing 1 over as many orders as a hypothesis shorter than four words has."""
+    p = _precisions_sql(1)
+    cases = " ".join(f"WHEN hyp_len = {n} THEN {' + '.join(f'ln({x}) / {n}' for x in p[:n])}" for n in range(1, 4))
+    return f"CASE WHEN num_1 = 0 THEN 0.0 ELSE {_BP} * exp(CASE {cases} ELSE {' + '.join(f'ln({x}) / 4' for x in p)} END) END"
 
 
-def _grams_sql(side: str) -> str:
-    parts = " UNION ALL ".join(f"SELECT pair_id, {n} AS n, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS gram FROM {side}w" for n in range(1, 5))
+def _grams_sql(side: str, orders: int = 4) -> str:
+    parts = " UNION ALL ".join(f"SELECT pair_id, {n} AS n, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS gram FROM {side}w" for n in range(1, orders + 1))
     return f"{side}w AS (SELECT pair_id, list_filter(string_split_regex({'hypothesis' if side == 'h' else 'reference'}, '\\s+'), lambda x: x <> '') AS w FROM pairs), {side}g AS (SELECT pair_id, n, gram, count(*) AS k FROM ({parts}) GROUP BY ALL)"
 
 
-_MATCHES = (
-    f"WITH {v.PAIRS}, {_grams_sql('h')}, {_grams_sql('r')}, met AS (SELECT h.pair_id, h.n, sum(least(h.k, coalesce(r.k, 0))) AS num FROM hg h LEFT JOIN rg r USING (pair_id, n, gram) GROUP BY ALL), "
-    "matched AS (SELECT pair_id, CAST(len(hw.w) AS BIGINT) AS hyp_len, CAST(len(rw.w) AS BIGINT) AS ref_len, "
-    + ", ".join(f"coalesce((SELECT CAST(num AS BIGINT) FROM met m WHERE m.pair_id = hw.pair_id AND n = {n}), 0) AS num_{n}, greatest(1, CAST(len(hw.w) AS BIGINT) - {n - 1}) AS den_{n}" for n in range(1, 5))
-    + " FROM hw JOIN rw USING (pair_id)) "
-)
+def _matches_sql(orders: int = 4) -> str:
+    each = ", ".join(f"coalesce((SELECT CAST(num AS BIGINT) FROM met m WHERE m.pair_id = hw.pair_id AND n = {n}), 0) AS num_{n}, greatest(1, CAST(len(hw.w) AS BIGINT) - {n - 1}) AS den_{n}" for n in range(1, orders + 1))
+    return (
+        f"WITH {v.PAIRS}, {_grams_sql('h', orders)}, {_grams_sql('r', orders)}, met AS (SELECT h.pair_id, h.n, sum(least(h.k, coalesce(r.k, 0))) AS num FROM hg h LEFT JOIN rg r USING (pair_id, n, gram) GROUP BY ALL), "
+        f"matched AS (SELECT pair_id, CAST(len(hw.w) AS BIGINT) AS hyp_len, CAST(len(rw.w) AS BIGINT) AS ref_len, {each} FROM hw JOIN rw USING (pair_id)) "
+    )
+
+
+_MATCHES = _matches_sql()
+
 
+def _matched(s, d, orders=4):
+    return similarity.matches(v.pairs(s, d), orders)
 
-def _matched(s, d):
-    return similarity.matches(v.pairs(s, d))
+
+#: Pairs whose second reference is the hypothesis without its first words.
+_TWO = "two AS (SELECT pair_id, hypothesis, [reference, array_to_string(list_filter(string_split_regex(hypothesis, '\\s+'), lambda x: x <> '')[6:], ' ')] AS refs FROM pairs)"
+
+
+def _two_references(s, d):
+    rest = F.array_join(F.slice(strings.tokens(F.col("hypothesis")), F.lit(6), F.greatest(F.lit(0), F.size(strings.tokens(F.col("hypothesis"))))), " ")
+    return v.pairs(s, d).select("pair_id", "hypothesis", F.array("reference", rest).alias("references"))
 
 
 
@@ -139,10 +176,16 @@ def entries() -> dict[str, Entry]:
 
     # Similarity
     e["b03_modified_precision"] = Entry(lambda s, d: _matched(s, d), f"{_MATCHES} SELECT * FROM matched")
-    for m in range(5):
-        name = "b01_sentence_bleu" if m == 0 else "b02_sentence_bleu" if m == 1 else f"b04_smoothing_{m}"
-        where = "hyp_len > 1 OR num_1 > 0" if m == 4 else "true"
-        e[name] = Entry(lambda s, d, m=m, where=where: _round(_matched(s, d).where(where).select("pair_id", similarity.bleu(m).alias("bleu"))), f"{_MATCHES} SELECT pair_id, round({_bleu_sql(m)}, 6) AS bleu FROM matched WHERE {where}")
+    for m in range(8):
+        name, orders = "b01_sentence_bleu" if m == 0 else "b02_sentence_bleu" if m == 1 else f"b04_smoothing_{m}", 5 if m in (5, 7) else 4
+        e[name] = Entry(lambda s, d, m=m, orders=orders: _round(_matched(s, d, orders).select("pair_id", similarity.bleu(m).alias("bleu"))), f"{_matches_sql(orders)} SELECT pair_id, round({_bleu_sql(m)}, 6) AS bleu FROM matched")
+    two = (
+        f"WITH {v.PAIRS}, {_TWO}, hw AS (SELECT pair_id, list_filter(string_split_regex(hypothesis, '\\s+'), lambda x: x <> '') AS w FROM two), rw AS (SELECT pair_id, k, list_filter(string_split_regex(r, '\\s+'), lambda x: x <> '') AS w FROM (SELECT pair_id, unnest(refs) AS r, unnest(range(2)) AS k FROM two)), "
+        + "hg AS (SELECT pair_id, gram, count(*) AS k FROM (SELECT pair_id, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) AS gram FROM hw) GROUP BY ALL), rg AS (SELECT pair_id, gram, max(n) AS k FROM (SELECT pair_id, k, gram, count(*) AS n FROM (SELECT pair_id, k, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) AS gram FROM rw) GROUP BY ALL) GROUP BY pair_id, gram), "
+        + "met AS (SELECT h.pair_id, CAST(sum(least(h.k, r.k)) AS BIGINT) AS num FROM hg h JOIN rg r USING (pair_id, gram) GROUP BY ALL), near AS (SELECT rw.pair_id, CAST(arg_min(len(rw.w), struct_pack(a := abs(CAST(len(rw.w) AS BIGINT) - CAST(len(hw.w) AS BIGINT)), b := len(rw.w))) AS BIGINT) AS ref_len FROM rw JOIN hw USING (pair_id) GROUP BY ALL) "
+        + "SELECT pair_id, ref_len, coalesce(num, 0) AS num_2 FROM near LEFT JOIN met USING (pair_id)"
+    )
+    e["b03_two_references"] = Entry(lambda s, d: similarity.matches(_two_references(s, d)).select("pair_id", "ref_len", "num_2"), two)
     sums = ", ".join(f"sum({c}) AS {c}" for c in ["hyp_len", "ref_len", *(f"{a}_{n}" for a in ("num", "den") for n in range(1, 5))])
     e["a11_corpus_bleu"] = Entry(lambda s, d: _round(similarity.corpus(_matched(s, d)).select(similarity.bleu(1).alias("bleu"))), f"{_MATCHES}, total AS (SELECT {sums} FROM matched) SELECT round({_bleu_sql(1)}, 6) AS bleu FROM total")
     e["m08_brevity_penalty"] = Entry(lambda s, d: _round(_matched(s, d).select("pair_id", maths.brevity_penalty(F.col("ref_len"), F.col("hyp_len")).alias("bp"))), f"{_MATCHES} SELECT pair_id, round(CASE WHEN hyp_len > ref_len THEN 1.0 WHEN hyp_len = 0 THEN 0.0 ELSE exp(1 - ref_len / CAST(hyp_len AS DOUBLE)) END, 6) AS bp FROM matched")

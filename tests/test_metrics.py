@@ -48,6 +48,47 @@ def test_clipped_precision(spark):
     assert (r["num_1"], r["den_1"]) == (2, 7)
 
 
+def bleu_row(spark, hypothesis, references, method=1, orders=4):
+    rows = [(1, " ".join(hypothesis), [" ".join(r) for r in references])]
+    return similarity.matches(spark.createDataFrame(rows, "pair_id long, hypothesis string, references array<string>"), orders).select("*", similarity.bleu(method).alias("bleu")).first()
+
+
+HYPOTHESES = [
+    "It is a guide to action which ensures that the military always obeys the commands of the party",
+    "It is to insure the troops forever hearing the activity guidebook that party direct",
+    "he read the book because he was interested in world history",
+]
+
+
+def test_golden_bleu(spark):
+    refs = [r.split() for r in REFERENCES]
+    assert abs(bleu_row(spark, HYPOTHESES[0].split(), refs)["bleu"] - 0.5045) < 1e-4
+    rows = [(1, HYPOTHESES[0], REFERENCES), (2, HYPOTHESES[2], ["he was interested in world history because he read the book"])]
+    both = similarity.matches(spark.createDataFrame(rows, "pair_id long, hypothesis string, references array<string>"))
+    assert abs(similarity.corpus(both).select(similarity.bleu(1)).first()[0] - 0.5920) < 1e-4
+    assert abs(both.agg(F.avg(similarity.bleu(1))).first()[0] - 0.6223) < 1e-4
+
+
+@pytest.mark.parametrize("hypothesis,n,want", [(0, 1, 0.9444), (1, 1, 0.5714), (0, 2, 0.588235), (1, 2, 0.07692)])
+def test_golden_precisions_over_three_references(spark, hypothesis, n, want):
+    r = bleu_row(spark, HYPOTHESES[hypothesis].split(), [r.split() for r in REFERENCES])
+    assert abs(r[f"num_{n}"] / r[f"den_{n}"] - want) < 1e-4
+
+
+@pytest.mark.parametrize("method,want", [(0, 0.4118), (1, 0.4118), (2, 0.4489), (3, 0.4118), (4, 0.4118), (5, 0.4905), (6, 0.4135), (7, 0.4905)])
+def test_golden_smoothing(spark, method, want):
+    reference = "It is a guide to action that ensures that the military will forever heed Party commands".split()
+    assert abs(bleu_row(spark, HYPOTHESES[0].split(), [reference], method, 5)["bleu"] - want) < 1e-4
+
+
+def test_awkward_pairs(spark):
+    rows = [(1, None, "a"), (2, "a", None), (3, "", ""), (4, "a", "a"), (5, "a b", "c d")]
+    got = {r["pair_id"]: r for r in similarity.matches(spark.createDataFrame(rows, "pair_id long, hypothesis string, reference string"), 5).select("*", *(similarity.bleu(m).alias(f"m{m}") for m in range(8))).collect()}
+    assert [got[k]["hyp_len"] for k in range(1, 6)] == [0, 1, 0, 1, 2]
+    assert all(got[k][f"m{m}"] == 0 for k in (1, 2, 3, 5) for m in range(8))
+    assert got[4]["m4"] is None and got[4]["m6"] is None and got[4]["m0"] > 0
+
+
 def test_splits_are_exact_whatever_the_partitions(spark):
     rows = spark.range(1003).withColumnRenamed("id", "k")
     found = []
