@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import strings
 from ..functions.code import column, docstring, parameters, replaced_docstring
@@ -120,43 +120,68 @@ REWRITE_PROMPT = "A task reads: {pb}\nInputs: {input_variables}. Rewrite it for
 VERIFY_PROMPT = "Do these ask for the same program? One: {inst_a}\nOther: {inst_b}\nAnswer yes or no."
 
 
-def proposed_scenarios(seeds: DataFrame, completer: Completer, wanted: int, rounds: int = 20, prompts: int = 10, seed: int = 7) -> DataFrame:
-    """name and text of scenarios: rounds of ten prompts over a growing pool until there are more than ``wanted``.
+SLOTS = 5
 
-    ``seeds`` has name and text. The pool is as small as ``wanted``; only it lives on the driver.
+
+def proposed_scenarios(seeds: DataFrame, completer: Completer, wanted: int, prompts: int = 10, seed: int = 7) -> DataFrame:
+    """name and text of all seeds and of the scenarios found: rounds of ten prompts over a growing pool until it has more than ``wanted``.
+
+    ``seeds`` has name and text, any number of rows; they stay a DataFrame. A round takes each prompt's slots
+    from the pool by md5 order (a top-k of ``SLOTS`` names a prompt) and brings at most its answers to the driver. There
+    are no more rounds than scenarios wanted.
     """
     spark = seeds.sparkSession
-    pool = {r["name"]: r["text"] for r in seeds.orderBy("name").limit(1000).collect()}
-    for turn in range(rounds):
-        if len(pool) > wanted:
+    found: dict[str, str] = {}
+    pool = seeds.select("name", "text").groupBy("name").agg(F.min("text").alias("text"))
+    count = pool.count()
+    for turn in range(wanted):
+        if count + len(found) > wanted or not count + len(found):
             break
+        everything = pool.unionByName(spark.createDataFrame(sorted(found.items()), "name string, text string")) if found else pool
         drawn = []
         for p in range(prompts):
-            order = sorted(pool, key=lambda n: hashlib.md5(f"{seed}|{turn}|{p}|{n}".encode()).hexdigest())
-            slots = {f"s{i + 1}": order[i % len(order)] for i in range(5)} | {"exp": pool[order[0]]}
+            first = everything.orderBy(F.md5(F.concat(F.lit(f"{seed}|{turn}|{p}|"), "name")), "name").limit(SLOTS).collect()
+            slots = {f"s{i + 1}": first[i % len(first)]["name"] for i in range(SLOTS)} | {"exp": first[0]["text"]}
             text = SCENARIO_PROMPT
             for k, v in slots.items():
-                text = text.replace("{" + k + "}", v)
+                text = text.replace("{" + k + "}", v or "")
             drawn.append((turn * prompts + p, text))
         asked = completed(spark.createDataFrame(drawn, "id long, prompt string"), completer, wait=0)
-        found = asked.select("id", F.explode(strings.tags(F.col("answer"), "scenario")).alias("name")).orderBy("id", "name").collect()
-        for r in found:
-            pool.setdefault(r["name"], r["name"])
-    return spark.createDataFrame(sorted(pool.items()), "name string, text string")
+        named = asked.select("id", F.explode(strings.tags(F.col("answer"), "scenario")).alias("name")).join(pool.select("name"), "name", "left_anti")
+        for r in named.orderBy("id", "name").collect():
+            found.setdefault(r["name"], r["name"])
+    return pool.unionByName(spark.createDataFrame(sorted(found.items()), "name string, text string"))
 
 
 def contexts(tasks: DataFrame, scenarios: DataFrame, completer: Completer, n: int, seed: int = 7) -> DataFrame:
-    """task_id, scenario and context: n scenarios a task, drawn by md5, each with the first context of its answer; no answer, no row."""
-    # Scenarios are a bounded pool.
-    pairs = tasks.crossJoin(F.broadcast(scenarios.select(F.col("name").alias("scenario"))))
-    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("task_id").cast("string"), "scenario"))
-    best = pairs.groupBy("task_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(draw.alias("d"), "scenario"))), 1, n).alias("s"), F.first("instruction").alias("instruction"), F.first("inputs").alias("inputs"))
-    each = best.select("task_id", "instruction", "inputs", F.explode("s.scenario").alias("scenario"))
+    """task_id, scenario and context: n scenarios a task, drawn by md5, each with the first context of its answer; no answer, no row.
+
+    Scenarios are numbered in the order of an md5; a task takes n numbers in a row (around the end)
+    from a place that its md5 gives. So n rows a task are joined and no other pair is made.
+    """
+    order = F.md5(F.concat(F.lit(f"{seed}|"), "name"))
+    total = scenarios.select("name").distinct().count()
+    numbered = ranked(scenarios.select("name").distinct().withColumn("d", order), "d", "name").select(F.col("name").alias("scenario"), F.col("place").alias("k"))
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("task_id").cast("string"))), 1, 13), 16, 10).cast("long")
+    each = tasks.withColumn("k", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max(0, min(n, total) - 1))), lambda i: F.pmod(start + i, F.lit(max(1, total)))))).join(numbered, "k").select("task_id", "instruction", "inputs", "scenario")
     asked = each.withColumn("prompt", strings.template(CONTEXT_PROMPT, {"pb": F.col("instruction"), "var": F.col("inputs"), "scenario": F.col("scenario")}))
     found = strings.tags(F.col("answer"), "context")
     return completed(asked, completer, wait=0).withColumn("context", F.try_element_at(found, F.lit(1))).where("context IS NOT NULL").drop("prompt", "answer", "cost_time")
 
 
+def ranked(rows: DataFrame, order: str, tie: str, bins: int = 4096) -> DataFrame:
+    """``rows`` with ``place``, their number from 0 in ``order`` (hexadecimal digits): ranks within the bins of its first digits, after a prefix sum over the bins."""
+    own = rows.withColumn("__bin", F.conv(F.substring(order, 1, 3), 16, 10).cast("int"))
+    counts, before, so_far = {r[0]: r[1] for r in own.groupBy("__bin").count().collect()}, [], 0
+    for b in range(bins):
+        before.append((b, so_far))
+        so_far += counts.get(b, 0)
+    # One narrow row a bin.
+    starts = F.broadcast(rows.sparkSession.createDataFrame(before, "__bin int, __start long"))
+    inside = F.row_number().over(Window.partitionBy("__bin").orderBy(order, tie)) - 1
+    return own.withColumn("__inside", inside).join(starts, "__bin").withColumn("place", F.col("__start") + F.col("__inside")).drop("__bin", "__start", "__inside")
+
+
 def rewritten(rows: DataFrame, completer: Completer) -> DataFrame:
     """Rows of contexts() with new_instruction; the bounds on its sentences follow the old one."""
     bound = strings.sentence_bound(F.col("instruction"))

@@ -69,34 +69,44 @@ def mutants(word: Column, seed: Column) -> Column:
     return F.concat(neighbour_swaps(word), letter_inserts(word, seed), character_deletes(word), homoglyphs(word))
 
 
+def once(value: Column) -> Column:
+    """``value`` as a row's own generated column, which later expressions read and do not repeat."""
+    return F.explode(F.array(value))
+
+
 def mutated_word(word: Column, seed: Column) -> Column:
     """A mutant drawn by md5, or the word itself where it has none."""
-    pool = mutants(word, seed)
-    n = F.size(pool)
     drawn = F.conv(F.substring(F.md5(F.concat_ws("|", seed, word)), 1, 7), 16, 10).cast("int")
-    return F.when(n > 0, F.try_element_at(pool, drawn % F.greatest(n, F.lit(1)) + 1)).otherwise(word)
+    # The one-element transform binds the pool, which is long, to a name.
+    return F.transform(F.array(mutants(word, seed)), lambda pool: F.coalesce(F.try_element_at(pool, drawn % F.greatest(F.size(pool), F.lit(1)) + 1), word))[0]
 
 
 def alphabetic(word: Column) -> Column:
     return word.rlike(r"^\p{L}+$")
 
 
+def mutated(rows: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
+    """``rows`` (key, text, candidate) as key, candidate and mutated: up to ``words`` alphabetic words, chosen by md5 order, are mutated.
+
+    Choice, mutants and text are generated one after the other, so each is computed once a row.
+    """
+    name = F.concat_ws("|", F.col(key).cast("string"), F.col("candidate").cast("string"))
+    tokens = F.transform(F.split(text, " "), lambda w, i: F.struct(F.md5(F.concat_ws("|", F.col("__seed"), i.cast("string"))).alias("d"), i.alias("i"), w.alias("w")))
+    picks = F.slice(F.array_sort(F.filter(tokens, lambda t: alphabetic(t["w"]))), 1, words)
+    out = rows.select(key, text, "candidate", name.alias("__seed"))
+    out = out.select(key, text, "candidate", "__seed", once(picks).alias("__picks"))
+    changed = F.map_from_entries(F.transform("__picks", lambda t: F.struct(t["i"], mutated_word(t["w"], F.col("__seed")))))
+    out = out.select(key, text, "candidate", once(changed).alias("__changed"))
+    done = F.transform(F.split(text, " "), lambda w, i: F.coalesce(F.try_element_at(F.col("__changed"), i), w))
+    return out.select(key, "candidate", F.array_join(done, " ").alias("mutated"))
+
+
 def mutated_sentences(rows: DataFrame, key: str, text: str, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """key, candidate and mutated: in each candidate up to ``words`` alphabetic words, chosen by md5 order, are mutated."""
-    tokens = F.split(text, " ")
-    picks = F.slice(
-        F.array_sort(F.filter(F.transform(tokens, lambda w, i: F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("candidate").cast("string"), i.cast("string"))).alias("d"), i.alias("i"), w.alias("w"))), lambda s: alphabetic(s["w"]))),
-        1,
-        words,
-    )
-    out = rows.select(key, F.col(text), F.explode(F.sequence(F.lit(1), F.lit(sentences))).alias("candidate"))
-    chosen = F.transform(picks, lambda s: s["i"])
-    seed = F.concat_ws("|", F.col(key).cast("string"), F.col("candidate").cast("string"))
-    mutated = F.transform(tokens, lambda w, i: F.when(F.array_contains(chosen, i), mutated_word(w, seed)).otherwise(w))
-    return out.select(key, "candidate", F.array_join(mutated, " ").alias("mutated"))
-
-
-def chosen_sentence(candidates: DataFrame, key: str) -> DataFrame:
-    """One of each key's candidates, by md5 order."""
-    draw = F.md5(F.concat_ws("|", F.lit("choice"), F.col(key).cast("string"), F.col("candidate").cast("string")))
-    return candidates.groupBy(key).agg(F.min_by("mutated", draw).alias("mutated"))
+    """key, candidate and mutated for ``sentences`` candidates of each row."""
+    return mutated(rows.select(key, text, F.explode(F.sequence(F.lit(1), F.lit(sentences))).alias("candidate")), key, text, words)
+
+
+def chosen_sentence(rows: DataFrame, key: str, text: str, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+    """key and mutated: the one of each row's candidates that comes first by md5 order. Which one does not depend on its words, so only it is mutated."""
+    draws = F.transform(F.sequence(F.lit(1), F.lit(sentences)), lambda c: F.struct(F.md5(F.concat_ws("|", F.lit("choice"), F.col(key).cast("string"), c.cast("string"))).alias("d"), c.alias("c")))
+    return mutated(rows.select(key, text, F.array_min(draws)["c"].alias("candidate")), key, text, words).drop("candidate")

