@@ -79,14 +79,15 @@ BROADCAST_ROWS = 500_000
 HOT = 1000
 
 
-def attached(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", size: str | None = None) -> DataFrame:
-    """``big`` joined with ``small``, a written table of narrow rows: by broadcast if it is counted small, else by shuffle.
+def attached(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", size: str | None = None, most: int | None = None) -> DataFrame:
+    """``big`` joined with ``small``, a written table of narrow rows: by broadcast if it is counted small (``most`` rows), else by shuffle.
 
     Beyond that bound, the rows of hot keys stay where they are: what ``small`` has for
     those (fewer than ``HOT`` keys) is broadcast, and only the rest is shuffled. ``size`` names a column of
     ``small`` with the number of rows of ``big`` for its key, where that is known.
     """
-    if small.count() <= BROADCAST_ROWS:
+    most = BROADCAST_ROWS if most is None else most
+    if most and small.count() <= most:
         return big.join(F.broadcast(small), on, how)
     keys = [on] if isinstance(on, str) else list(on)
     if size:

@@ -107,7 +107,7 @@ def met(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame
     """For sets (v, n, spare, low): pairs (a, b) by overlap counts, crowded sets (v, n), and ties (v, g, m) of shared columns."""
     posts = lists.select("v", "n", "spare", F.explode("low").alias("g"))
     shared = common.written(posts.groupBy("g").agg(F.count("v").alias("m")).where("m > 1"), "shared")
-    ties = common.written(graph.attached(posts, shared, "g", size="m"), "ties")
+    ties = common.written(graph.attached(posts, shared, "g", size="m", most=0), "ties")
     rows = ties.groupBy("v").agg(F.first("n").alias("n"), F.first("spare").alias("s"), F.count_if(F.col("m") > COMMON).alias("h"))
     rows = common.written(rows, "tied")
     # At most COMMON rows a column: COMMON / 2 pairs a row, fewer as sizes rule most out.
@@ -153,7 +153,7 @@ def candidates(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> Da
     crowded = crowded.select("v", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k"))
     members = common.written(ties.where(F.col("m") > COMMON).select("v", "g").join(crowded, "v"), "crowded")
     least = common.written(members.groupBy("g", "k").agg(F.min("v").alias("b"), F.count("v").alias("n")), "least")
-    named = graph.attached(members, least, ["g", "k"], size="n").where("v != b").select(F.xxhash64("v", "k").alias("a"), F.xxhash64("b", "k").alias("b"))
+    named = graph.attached(members, least, ["g", "k"], size="n", most=0).where("v != b").select(F.xxhash64("v", "k").alias("a"), F.xxhash64("b", "k").alias("b"))
     classes = graph.components(named).withColumnRenamed("v", "w")
     inside = crowded.withColumn("w", F.xxhash64("v", "k")).join(classes, "w").select("v", F.xxhash64("c", F.lit(1)).alias("c"))
     return common.written(pairs.select("v", "c").unionByName(inside), "groups")
@@ -248,7 +248,7 @@ def join(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # Equal sets have their least doc_id's class, sets alone in their class none but themselves: neither is joined unless it must be.
     equal = reps.where("copies > 1").join(named.select("v", "c", "m"), "v", "left").select("v", "c", F.coalesce("m", "doc_id").alias("m"), "copies")
     equal = common.written(equal.unionByName(named.where("copies = 1")), "equal")
-    out = graph.attached(whole.select("doc_id", "t", "n", "v"), equal, "v", "left", size="copies")
+    out = graph.attached(whole.select("doc_id", "t", "n", "v"), equal, "v", "left", size="copies", most=0)
     linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     component = F.when(linkable, F.coalesce("m", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(linkable, F.coalesce("c", "v")).alias("set_class"))
