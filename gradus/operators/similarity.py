@@ -137,9 +137,9 @@ def corpus(matched: DataFrame, orders: int = ORDERS) -> DataFrame:
 
 
 def weighted_recall(pairs: DataFrame, keywords: list[str], orders: int = ORDERS) -> DataFrame:
-    """pair_id, n, num and den: recall over the references; unigrams weigh 1 for keywords and 0.2 otherwise, longer n-grams 1.
+    """pair_id, n, num and den: recall of the references' n-grams, summed over them; unigrams weigh 1 for keywords and 0.2 otherwise, longer n-grams 1.
 
-    Of several references the one with the best recall of an order counts.
+    A reference without n-grams of an order adds 1 to its denominator.
     """
     ship(pairs.sparkSession)
     heavy = frozenset(keywords)
@@ -157,10 +157,8 @@ def weighted_recall(pairs: DataFrame, keywords: list[str], orders: int = ORDERS)
         for h, rs in zip(hypotheses.to_pylist(), others.to_pylist()):
             row = []
             for n in range(1, orders + 1):
-                found = [recall(h, r, n) for r in rs if len(r) >= n]
-                if found:
-                    num, den = max(found, key=lambda x: x[0] / x[1])
-                    row.append({"n": n, "num": num, "den": den})
+                found = [recall(h, r, n) for r in rs]
+                row.append({"n": n, "num": sum(f[0] for f in found), "den": sum(f[1] for f in found)})
             rows.append(row)
         return pa.array(rows, arrow)
 

@@ -52,7 +52,7 @@ def entries() -> dict[str, Entry]:
     e["f26_label_words"] = Entry(lambda s, d: s.createDataFrame([("ag_news", "|".join(classification.label_words("ag_news", True))), ("mrpc", "|".join(classification.label_words("mrpc", False)))], "dataset string, words string"), "SELECT * FROM (VALUES ('ag_news', 'ĠWorld|ĠSports|ĠBusiness|ĠTech'), ('mrpc', '▁no|▁yes')) t(dataset, words)")
     e["f28_patterns"] = Entry(lambda s, d: v.table(s, d, "benchmark").select("item_id", F.md5(classification.prompt("sst2", F.lit("Judge"), F.col("text"))).alias("h")), "SELECT item_id, md5(' Judge. Sentence: ' || text || ', Sentiment: ') AS h FROM benchmark")
     e["b05_reweighed"] = Entry(lambda s, d: _round(_matched(s, d).select("pair_id", similarity.bleu(1, reweigh=True).alias("bleu"))), f"{_MATCHES} SELECT pair_id, round({reweighed_sql()}, 6) AS bleu FROM matched")
-    recall = f"{v.PAIRS}, {_grams_sql('h')}, {_grams_sql('r')}, w AS (SELECT r.pair_id, r.n, r.k, coalesce(h.k, 0) AS hk, CASE WHEN r.n > 1 OR gram IN ('the','of') THEN 1.0 ELSE 0.2 END AS w FROM rg r LEFT JOIN hg h USING (pair_id, n, gram)), p AS (SELECT pair_id, n, sum(least(k, hk) * w) AS num, greatest(1.0, sum(k * w)) AS den FROM w GROUP BY ALL), c AS (SELECT n, sum(num) AS num, sum(den) AS den FROM p GROUP BY n)"
+    recall = f"{v.PAIRS}, {_grams_sql('h')}, {_grams_sql('r')}, w AS (SELECT r.pair_id, r.n, r.k, coalesce(h.k, 0) AS hk, CASE WHEN r.n > 1 OR gram IN ('the','of') THEN 1.0 ELSE 0.2 END AS w FROM rg r LEFT JOIN hg h USING (pair_id, n, gram)), p AS (SELECT e.pair_id, e.n, coalesce(sum(least(k, hk) * w), 0) AS num, greatest(1.0, coalesce(sum(k * w), 0)) AS den FROM (SELECT pair_id, unnest(range(1, 5)) AS n FROM pairs) e LEFT JOIN w ON w.pair_id = e.pair_id AND w.n = e.n GROUP BY ALL), c AS (SELECT n, sum(num) AS num, sum(den) AS den FROM p GROUP BY n)"
     e["b07_weighted_corpus"] = Entry(
         lambda s, d: _round(similarity.weighted_recall(v.pairs(s, d), ["the", "of"]).groupBy("n").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).agg(F.exp(F.avg(F.ln(F.col("num") / F.col("den")))).alias("score")), 5),
         f"WITH {recall} SELECT round(exp(avg(ln(num / den))), 5) AS score FROM c",

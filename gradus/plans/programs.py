@@ -22,7 +22,6 @@ SNIPPETS = (
     ("broken", "def broken(:\n    pass\n"),
     ("loop", "def loop(n):\n    i = 0\n    while i < n:\n        i = i + 1\n    return i\nif True:\n    assert loop(3) == 3\nloop(5)\nloop((1, 2))\nloop(x)\n"),
 )
-_ADD_DOC = "Add two numbers.\n>>> add(1, 2)\n3"
 
 
 def _snippets(spark: SparkSession):
@@ -37,15 +36,6 @@ def _gold(rows: list[tuple], *names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({', '.join(names)})"
 
 
-def _analysed(function, kind="string", named=True):
-    def run(s, d):
-        f = code.column(function, kind)
-        rows = _snippets(s)
-        return rows.select("name", (f(F.col("source"), F.col("name")) if named else f(F.col("source"))).alias("got"))
-
-    return run
-
-
 def _scratch(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
     return f"{base}/gradus-files-{uuid.uuid4().hex}"
@@ -69,12 +59,6 @@ def _rewrites(spark):
     return generation.verified(generation.rewritten(generation.contexts(_tasks(spark), scenes, stub, 3), stub), generation.StubCompleter("Yes."))
 
 
-def _programs(s, d):
-    tasks = _snippets(s).where("name IN ('add', 'scale')").select("name", F.col("source").alias("solution"))
-    runs = generation.samples(tasks, 2).withColumn("program", strings.program(F.lit("import sys"), F.col("solution"), F.when(F.col("name") == "add", "assert add(1, 2) == 3").otherwise("assert scale([1], 2) == 3")))
-    return generation.executed(runs).select("name", F.col("sample_id").cast("bigint").alias("sample_id"), "passed")
-
-
 def _round_trip(write, read):
     def run(s, d):
         path = _scratch(s)
@@ -101,35 +85,7 @@ _WORDS = ["the", "of", "and", "to", "in", "er", "th", "re"]
 
 def entries() -> dict[str, Entry]:
     e: dict[str, Entry] = {}
-    e["f30_docstring"] = Entry(_analysed(code.docstring), _gold([("add", _ADD_DOC), ("scale", "Scale values."), ("outer", None), ("broken", None), ("loop", None)], "name", "got"))
-    e["f31_replaced_docstring"] = Entry(_analysed(lambda s, n: code.docstring(code.replaced_docstring(s, n, "New."), n) if code.parseable(s) else None), _gold([("add", "New."), ("scale", "New."), ("outer", "New."), ("broken", None), ("loop", "New.")], "name", "got"))
-    e["f32_updated_docstring"] = Entry(_analysed(lambda s, n: code.docstring(code.updated_docstring(s, "Sum up."), n) if code.parseable(s) else None), _gold([("add", "Sum up.\n>>> add(1, 2)"), ("scale", "Sum up."), ("outer", None), ("broken", None), ("loop", None)], "name", "got"))
-    e["f33_docstring_names"] = Entry(_analysed(lambda s, n: ",".join(sorted(code.without_docstrings(s)[0])) if code.parseable(s) else None), _gold([("add", "add"), ("scale", "scale"), ("outer", ""), ("broken", None), ("loop", "")], "name", "got"))
-    e["f34_hoisted_imports"] = Entry(_analysed(lambda s: "|".join(code.hoisted_imports(s).split("\n")[:2]) if code.parseable(s) else None, named=False), _gold([("add", "def add(a, b=1):|    \"\"\"Add two numbers."), ("scale", "import math|from os import path"), ("outer", "def outer(n):|"), ("broken", None), ("loop", "def loop(n):|    i = 0")], "name", "got"))
-    e["f35_split_function"] = Entry(_analysed(lambda s, n: (lambda r: r and r[0].rstrip("\n").split("\n")[-1])(code.split_function(s, n))), _gold([("add", "def add(a, b=1):"), ("scale", "def scale(values, factor):"), ("outer", "def outer(n):"), ("broken", None), ("loop", "def loop(n):")], "name", "got"))
-    e["f36_function_names"] = Entry(_analysed(lambda s: ",".join(sorted(code.function_names(s))), named=False), _gold([("add", "add"), ("scale", "helper,scale"), ("outer", "inner,outer"), ("broken", ""), ("loop", "loop")], "name", "got"))
-    e["u07_without_builtins"] = Entry(_analysed(lambda s: ",".join(code.function_names(s + "\ndef sum(x):\n    return x\n")), named=False), _gold([("add", "add"), ("scale", "helper,scale"), ("outer", "outer,inner"), ("broken", ""), ("loop", "loop")], "name", "got"))
-    e["f37_parameters"] = Entry(_analysed(lambda s, n: ",".join(code.parameters(s, n))), _gold([("add", "a,b"), ("scale", "values,factor"), ("outer", "n"), ("broken", ""), ("loop", "n")], "name", "got"))
-    e["f38_call_arguments"] = Entry(_analysed(lambda s, n: "|".join(sorted(code.call_arguments(s, n)))), _gold([("add", ""), ("scale", ""), ("outer", ""), ("broken", ""), ("loop", "((1, 2),)|()|(3,)|(5,)")], "name", "got"))
-    e["f39_tested_inputs"] = Entry(_analysed(lambda s, n: (lambda r: "|".join(sorted(r)) if r else None)(code.tested_inputs(s, n))), _gold([("add", None), ("scale", None), ("outer", None), ("broken", None), ("loop", "(1, 2)|3|5|x")], "name", "got"))
-    e["f40_imports_and_asserts"] = Entry(_analysed(lambda s: "|".join(sum(code.imports_and_asserts(s), [])), named=False), _gold([("add", ""), ("scale", "import math|from os import path"), ("outer", ""), ("broken", ""), ("loop", "assert loop(3) == 3")], "name", "got"))
-    e["f41_checker"] = Entry(lambda s, d: _snippets(s).limit(1).select(code.column(lambda n: code.checker(["(1, 2)", "3"], ["3", "'x'"], n, "check({input_list}, {output_list}, {func_entry})"))(F.lit("add")).alias("got")), _gold([("check([(1, 2), (3,)], [3, 'x'], add)",)], "got"))
-    e["p15_tuple_inputs"] = Entry(lambda s, d: _values(s, code.is_tuple, "boolean"), _gold([("(1, 2)", True), ("[1]", False), ("{'a': 1.5}", False), ("('x', [1, 'y'])", True)], "text", "got"))
-    e["p16_parseable"] = Entry(_analysed(code.parseable, "boolean", False), _gold([("add", True), ("scale", True), ("outer", True), ("broken", False), ("loop", True)], "name", "got"))
-    e["f14_types"] = Entry(lambda s, d: _values(s, lambda t: "; ".join(code.described([t])[0])), _gold([("(1, 2)", "int; int"), ("[1]", "list of int"), ("{'a': 1.5}", "dict of str to float"), ("('x', [1, 'y'])", "str; list of int, str")], "text", "got"))
-    e["f05_instruction_and_examples"] = Entry(lambda s, d: _snippets(s).limit(1).select(code.column(lambda n: "#".join(code.instruction_and_examples(_ADD_DOC, n)))(F.lit("add")).alias("got")), _gold([("Add two numbers.#    >>>add(1, 2)\n    3",)], "got"))
-    e["f10_generations"] = Entry(
-        lambda s, d: (ship(s), s.createDataFrame([("python", "Here:\n```python\ndef f(x):\n    return x\n\nprint(f(1))\n```"), ("js", "```js\nfunction f(x) {\n  return x;\n}\nf(1);\n```"), ("java", "no code")], "language string, output string"))[1].select("language", code.column(lambda o, l: code.generation(o, "PROMPT\n", "f", l))(F.col("output"), F.col("language")).alias("got")),
-        _gold([("python", "def f(x):\n    return x"), ("js", "function f(x) {\n  return x;\n}"), ("java", "PROMPT\nno code")], "language", "got"),
-    )
-    e["f11_first_function"] = Entry(_analysed(lambda s: code.first_function(s)[0], named=False), _gold([("add", "add"), ("scale", "scale"), ("outer", "outer"), ("broken", "broken"), ("loop", "loop")], "name", "got"))
     e["f24_without_comments"] = Entry(lambda s, d: (ship(s), s.createDataFrame([("java", 'int a; // x\n/* y */ String s = "//";'), ("ruby", "# x"), ("python", "a = 1  # x\n\nb = 2\n")], "language string, source string"))[1].select("language", code.column(code.without_comments)(F.col("source"), F.col("language")).alias("got")), _gold([("java", 'int a;  \n  String s = "//";'), ("ruby", "# x"), ("python", "a = 1  \nb = 2")], "language", "got"))
-    e["b08_syntax_match"] = Entry(_analysed(lambda s: round(code.syntax_match(s, SNIPPETS[0][1]), 4), "double", False))
-    e["b09_data_flow"] = Entry(_analysed(lambda s: len(code.data_flow(s)), "bigint", False))
-    e["a22_flow_match"] = Entry(_analysed(lambda s: code.flow_match(s, s), "double", False), _gold([("add", 1.0), ("scale", 1.0), ("outer", 1.0), ("broken", 0.0), ("loop", 1.0)], "name", "got"))
-    e["b11_normalised_flow"] = Entry(_analysed(lambda s: str(code.normalised_flow(code.data_flow(s))), named=False))
-    e["e04_executed"] = Entry(_programs, _gold([("add", 0, True), ("add", 1, True), ("scale", 0, False), ("scale", 1, False)], "name", "sample_id", "passed"))
-    e["p12_validated"] = Entry(lambda s, d: generation.validated(_snippets(s).withColumn("program", F.col("source"))).select("name"), _gold([("add",), ("scale",), ("outer",)], "name"))
     e["e01_completed"] = Entry(lambda s, d: (ship(s), generation.completed(v.table(s, d, "benchmark").select("item_id", F.col("text").alias("prompt")), generation.StubCompleter("{digest}"), wait=0))[1].select("item_id", "answer"), "SELECT item_id, substring(md5(text), 1, 8) AS answer FROM benchmark")
     e["g01_scenarios"] = Entry(lambda s, d: (ship(s), generation.proposed_scenarios(_seeds(s), generation.StubCompleter(), 8))[1])
     e["g02_contexts"] = Entry(lambda s, d: (ship(s), generation.contexts(_tasks(s), _seeds(s), generation.StubCompleter(), 3))[1])
@@ -144,9 +100,7 @@ def entries() -> dict[str, Entry]:
     e["s06_board"] = Entry(_round_trip(lambda s, d, p: files.write_board(v.leaderboard_runs(s, d).groupBy("hyper", "model").agg(F.count(F.lit(1)).alias("n")), p), lambda s, p: s.read.option("header", True).csv(p).select("model", F.col("n").cast("bigint").alias("n"), F.col("hyper").cast("string").alias("hyper"))), f"WITH {v.BOARD} SELECT model, count(*) AS n, hyper FROM board GROUP BY ALL")
     e["s07_few_shot_rows"] = Entry(_round_trip(lambda s, d, p: v.fewshot(s, d).select(F.md5("text").alias("sentence"), "label").write.csv(p, sep="\t", header=True), lambda s, p: files.few_shot_rows(s, p)), f"WITH {v.FEWSHOT} SELECT md5(text) AS text, label FROM fewshot")
     e["s08_s15_write_once"] = Entry(_round_trip(lambda s, d, p: [files.write_once(v.table(s, d, t), p) for t in ("region", "nation")], lambda s, p: s.read.parquet(p)), "SELECT * FROM region")
-    e["s09_s10_programs"] = Entry(_round_trip(lambda s, d, p: _snippets(s).select("source").coalesce(1).write.text(p + "/sample_0"), lambda s, p: s.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(p).select(F.element_at(F.split("path", "/"), -2).alias("folder"))), "SELECT 'sample_0' AS folder")
     e["s11_lines"] = Entry(_round_trip(lambda s, d, p: s.createDataFrame([(" a \nb\n c",)], "value string").coalesce(1).write.text(p), lambda s, p: files.lines(s, p).where("line <> ''").select(F.col("line_no").cast("bigint").alias("line_no"), "line")), _gold([(0, "a"), (1, "b"), (2, "c")], "line_no", "line"))
-    e["s12_keywords"] = Entry(lambda s, d: s.createDataFrame([(len(files.PYTHON_KEYWORDS),)], "n long"), _gold([(35,)], "n"))
     e["s13_published"] = Entry(_round_trip(lambda s, d, p: files.publish(v.table(s, d, "supplier").withColumn("split", F.when(F.col("s_suppkey") % 2 == 0, "even").otherwise("odd")), p), lambda s, p: s.read.parquet(p).groupBy("split").agg(F.count(F.lit(1)).alias("n"))), "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS split, count(*) AS n FROM supplier GROUP BY ALL")
     e["s14_vocabulary"] = Entry(_round_trip(lambda s, d, p: s.createDataFrame([('{"a": 1, "b": 2}',)], "value string").write.text(p), lambda s, p: files.vocabulary(s, p)), _gold([("a", 1), ("b", 2)], "token", "id"))
     e["s16_latest"] = Entry(lambda s, d: files.latest(v.table(s, d, "orders").select(F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("name"))), "SELECT max('checkpoint-' || o_orderkey) AS latest FROM orders")
@@ -168,12 +122,6 @@ def _gold_int(rows) -> str:
     return f"SELECT * FROM (VALUES {', '.join(repr(tuple(r)) for r in rows)}) t(data_id, source, split, name)"
 
 
-def _values(spark: SparkSession, function, kind: str = "string"):
-    ship(spark)
-    rows = spark.createDataFrame([("(1, 2)",), ("[1]",), ("{'a': 1.5}",), ("('x', [1, 'y'])",)], "text string")
-    return rows.select("text", code.column(function, kind)(F.col("text")).alias("got"))
-
-
 def _streamed(spark: SparkSession, sf_dir: str):
     """The stream of runs, read to its end."""
     path = f"{sf_dir}/events.parquet"

@@ -210,7 +210,7 @@ def entries() -> dict[str, Entry]:
     keys = ["the", "of", "and", "to"]
     e["b06_weighted_recall"] = Entry(
         lambda s, d: _round(similarity.weighted_recall(v.pairs(s, d), keys).groupBy(F.col("n").cast("bigint").alias("n")).agg(F.sum("num").alias("num"), F.sum("den").alias("den")), 3),
-        f"WITH {v.PAIRS}, {_grams_sql('h')}, {_grams_sql('r')}, w AS (SELECT r.pair_id, r.n, r.k, coalesce(h.k, 0) AS hk, CASE WHEN r.n > 1 OR gram IN ('the','of','and','to') THEN 1.0 ELSE 0.2 END AS w FROM rg r LEFT JOIN hg h USING (pair_id, n, gram)), p AS (SELECT pair_id, n, sum(least(k, hk) * w) AS num, greatest(1.0, sum(k * w)) AS den FROM w GROUP BY ALL) SELECT CAST(n AS BIGINT) AS n, round(sum(num), 3) AS num, round(sum(den), 3) AS den FROM p GROUP BY n",
+        f"WITH {v.PAIRS}, {_grams_sql('h')}, {_grams_sql('r')}, w AS (SELECT r.pair_id, r.n, r.k, coalesce(h.k, 0) AS hk, CASE WHEN r.n > 1 OR gram IN ('the','of','and','to') THEN 1.0 ELSE 0.2 END AS w FROM rg r LEFT JOIN hg h USING (pair_id, n, gram)), p AS (SELECT e.pair_id, e.n, coalesce(sum(least(k, hk) * w), 0) AS num, greatest(1.0, coalesce(sum(k * w), 0)) AS den FROM (SELECT pair_id, unnest(range(1, 5)) AS n FROM pairs) e LEFT JOIN w ON w.pair_id = e.pair_id AND w.n = e.n GROUP BY ALL) SELECT CAST(n AS BIGINT) AS n, round(sum(num), 3) AS num, round(sum(den), 3) AS den FROM p GROUP BY n",
     )
 
     # Mutations

@@ -17,9 +17,9 @@ class Entry:
 
 
 def entries() -> dict[str, Entry]:
-    from .plans import extras, programs, scores, texts
+    from .plans import extras, programs, scores, sources, texts
 
-    return scores.entries() | texts.entries() | programs.entries() | extras.entries()
+    return scores.entries() | texts.entries() | programs.entries() | extras.entries() | sources.entries()
 
 
 def queries() -> dict[str, Query]:

@@ -16,8 +16,12 @@ DATASETS = (
     (5, "mbpp-variants", "agent-b", "MBPP_variants_b"),
 )
 
-#: Reserved words of Python.
-PYTHON_KEYWORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
+#: The keywords that weigh fully in weighted n-grams, by language; the other languages have none.
+KEYWORDS = {
+    "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split(),
+    "java": "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while".split(),
+    "c_sharp": "abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using virtual void volatile while add alias ascending async await by descending dynamic equals from get global group into join let nameof notnull on orderby partial remove select set unmanaged value var when where yield".split(),
+}
 
 
 def datasets(spark: SparkSession) -> DataFrame:
@@ -38,8 +42,8 @@ def models(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def lookup(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
-    """Join a small dimension; a key without a row raises when the plan runs."""
-    out = rows.join(F.broadcast(dimension.withColumn("__found", F.lit(True))), key, "left")
+    """Join a dimension, whose keys are unique; a key without a row raises when the plan runs. Spark broadcasts it if it is small."""
+    out = rows.join(dimension.withColumn("__found", F.lit(True)), key, "left")
     checked = F.when(F.col("__found").isNull(), F.raise_error(F.concat(F.lit("unknown id "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)
     return out.where(checked).drop("__found")
 
@@ -63,6 +67,29 @@ def program_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.element_at(parts, -1).alias("file"), F.element_at(parts, -2).alias("folder"), F.col("content").cast("string").alias("program"))
 
 
+def write_programs(rows: DataFrame, path: str) -> None:
+    """A file for each row of folder, file and program, below ``path``; each ends with a line's end.
+
+    Spark writes them as partitions of one row each; the driver, which sees names only, gives them
+    their names by the store's own file system, so any path that Spark reads will do.
+    """
+    spark = rows.sparkSession
+    named = rows.select(F.concat_ws("/", "folder", "file").alias("name"), F.regexp_replace("program", r"\n\z", "").alias("value"))
+    named.write.partitionBy("name").mode("overwrite").text(f"{path}/.parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(f"{path}/.parts")
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in system.listStatus(root):
+        if not folder.isDirectory():
+            continue
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().split("=", 1)[1])
+        target = hadoop.Path(f"{path}/{name}")
+        system.mkdirs(target.getParent())
+        for part in system.listStatus(folder.getPath()):
+            system.rename(part.getPath(), target)
+    system.delete(root, True)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no and trimmed line of a text file; the file is read whole, as a line's number depends on all before it."""
     rows = spark.read.text(path, wholetext=True)
