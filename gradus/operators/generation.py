@@ -36,19 +36,27 @@ class StubCompleter:
         return [self.pattern.replace("{digest}", hashlib.md5(p.encode()).hexdigest()[:8]) for p in prompts]
 
 
-def completed(rows: DataFrame, completer: Completer, prompt: str = "prompt", retries: int = 10, wait: float = 60.0, batch: int = 100) -> DataFrame:
+def completed(rows: DataFrame, completer: Completer, prompt: str = "prompt", retries: int = 10, wait: float = 60.0, batch: int = 100, pause: float | None = None) -> DataFrame:
     """``rows`` with ``answer`` and ``cost_time``. A failed prompt is retried by itself; after that its answer is the empty text.
 
+    A task asks for ``batch`` prompts at a time and rests ``pause`` seconds (as long as ``wait``, unless
+    given) before the next.
+
     The answer stays with its row, so failures shift nothing. Persist or write
     the result: the call is neither cheap nor repeatable.
     """
     schema = f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, answer string, cost_time double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = 0
         for frame in frames:
             answers, began = [], time.time()
             for at in range(0, len(frame), batch):
                 part = frame[prompt].iloc[at : at + batch].tolist()
+                if asked and asked + len(part) > batch:
+                    time.sleep(wait if pause is None else pause)
+                    asked = 0
+                asked += len(part)
                 got = completer.complete(part)
                 for k, answer in enumerate(got):
                     for tries in range(retries):

@@ -36,16 +36,54 @@ def pick(items: list, *keys):
     return items[int(draw(*keys) * len(items))]
 
 
-def phrases(text: str, level: str) -> list[str]:
-    """Words, sentences or spans of five words; phrases need a parser, which callers may pass by splitting beforehand."""
+def phrases(text: str, level: str, chunker: Callable[[str], list[str]] | None = None) -> list[str]:
+    """Words, sentences, spans of five words, or phrases: by ``chunker``, which a parser's user passes, else by function words and punctuation."""
     if level == "word":
         return text.split()
     if level == "sentence":
         return [s.strip() for s in text.replace("!", ".").replace("?", ".").split(".") if s.strip()]
+    if level == "phrase":
+        return (chunker or chunks)(text)
     words = text.split()
     return [" ".join(words[i : i + 5]) for i in range(0, len(words), 5)]
 
 
+#: Words that begin a new phrase where no parser tells.
+_BEGIN = frozenset("a an the this that these those and or but if when while that which who to of in on at by for with from into about as than is are was were be will would can could should must".split())
+
+
+def chunks(text: str) -> list[str]:
+    """Disjoint phrases in order: they end at punctuation and before a function word that follows another word."""
+    out: list[list[str]] = [[]]
+    for word in text.split():
+        if out[-1] and word.lower().strip(".,;:!?") in _BEGIN and out[-1][-1].lower() not in _BEGIN:
+            out.append([])
+        out[-1].append(word.strip(".,;:!?"))
+        if word[-1] in ".,;:!?":
+            out.append([])
+    return [" ".join(w for w in part if w) for part in out if any(part)]
+
+
+def _found(text: str, cases: list[tuple[str, str]], last: tuple[str, str]) -> str:
+    """As ``strings``' phrase edits: the first case found after the text's beginning changes everywhere, else the last."""
+    for old, new in cases:
+        if text.find(old) > 0:
+            return text.replace(old, new)
+    return text.replace(*last) if last[0] else text
+
+
+def edited(kind: str, text: str, one: str, other: str = "") -> str:
+    """delete ``one``; swap ``one`` and ``other``; add ``other`` after ``one`` (before all, where that is empty)."""
+    if kind == "delete":
+        return _found(text, [(f" {one}", " "), (f"{one} ", " ")], (one, ""))
+    if kind == "add":
+        return _found(text, [(f" {one}", f" {one} {other}"), (f"{one} ", f"{one} {other} ")], (one, one + other)) if one else f"{other} {text}"
+    for phrase, mark in ((one, "<1>"), (other, "<2>")):
+        spaced = f" {phrase} "
+        text = text.replace(spaced, f" {mark} ") if spaced in text else text.replace(phrase, mark)
+    return text.replace("<1>", other).replace("<2>", one)
+
+
 def edit_search(base: str, scorer: Scorer, rounds: int = 10, candidates: int = 5, patience: int = 3, level: str = "word", seed: int = 0) -> tuple[str, list[float]]:
     """Delete, swap and (once something was deleted) add phrases; the best candidate replaces the base when it scores higher."""
     best = scorer([base])[0]
@@ -59,13 +97,9 @@ def edit_search(base: str, scorer: Scorer, rounds: int = 10, candidates: int = 5
         made = []
         for c in range(candidates):
             kind, one, other = pick(kinds, seed, turn, c), pick(parts, seed, turn, c, "a"), pick(parts, seed, turn, c, "b")
-            if kind == "delete":
-                made.append((" ".join(base.replace(one, "", 1).split()), "delete", one))
-            elif kind == "swap":
-                made.append((base.replace(one, "\0").replace(other, one).replace("\0", other), "swap", None))
-            else:
-                new = pick(deleted, seed, turn, c, "d")
-                made.append((base.replace(one, f"{one} {new}", 1), "add", new))
+            if kind == "add":  # also before all
+                one, other = pick([*parts, ""], seed, turn, c, "a"), pick(deleted, seed, turn, c, "d")
+            made.append((" ".join(edited(kind, base, one, other).split()), kind, one if kind == "delete" else other))
         got = scorer([m[0] for m in made])
         k = int(np.argmax(got))
         if got[k] > best:
@@ -145,13 +179,13 @@ def genetic(vocabulary: list[str], scorer: Scorer, population: int = 128, mutant
 
 
 def swarm(vocabulary: list[str], scorer: Scorer, population: int = 128, rounds: int = 30, length: int = 5, seed: int = 0) -> tuple[str, list[float]]:
-    """Particles of tokens that turn towards their own and the swarm's best with velocities squashed to probabilities.
+    """Particles of tokens whose places turn towards their own and the swarm's best, each place with a velocity of its own.
 
-    Inertia falls from .8 to .2, as does the pull of the own best, while that of the swarm's rises from .2 to .8.
+    A velocity gains by 3 where a place has the best one's token and loses by 3 where not, with an inertia that falls from .8 to .2;
+    squashed, it is the chance that the place turns. The pull of the own best falls as the inertia does, that of the swarm's rises.
     """
-    rng = np.random.default_rng(seed)
     words = [[pick(vocabulary, seed, i, k) for k in range(length)] for i in range(population)]
-    speed = rng.uniform(-3, 3, population)
+    speed = [[6 * draw(seed, "v", i, k) - 3 for k in range(length)] for i in range(population)]
     own = [(list(w), s) for w, s in zip(words, scorer([" ".join(w) for w in words]))]
     best = max(own, key=lambda x: x[1])
     path = [best[1]]
@@ -159,18 +193,16 @@ def swarm(vocabulary: list[str], scorer: Scorer, population: int = 128, rounds:
         ease = turn / max(1, rounds)
         inertia, to_own, to_best = 0.8 - 0.6 * ease, 0.8 - 0.6 * ease, 0.2 + 0.6 * ease
         for i, w in enumerate(words):
-            same = 3 if w == own[i][0] else -3
-            near = 3 if w == best[0] else -3
-            speed[i] = inertia * speed[i] + (1 - inertia) * (same + near)
-            turned = 1 / (1 + np.exp(-speed[i]))
-            source = own[i][0] if rng.random() < to_own else None
-            if source and rng.random() < turned:
-                w = [b if rng.random() < turned else a for a, b in zip(w, source)]
-            if rng.random() < to_best:
-                w = [b if rng.random() < turned else a for a, b in zip(w, best[0])]
-            if rng.random() < 0.5:
-                w = [*w]
-                w[int(rng.integers(length))] = vocabulary[int(rng.integers(len(vocabulary)))]
+            for k in range(length):
+                same, near = (3 if w[k] == target[k] else -3 for target in (own[i][0], best[0]))
+                speed[i][k] = inertia * speed[i][k] + (1 - inertia) * (same + near)
+            turned = [1 / (1 + np.exp(-x)) for x in speed[i]]
+            for target, pull, name in ((own[i][0], to_own, "o"), (best[0], to_best, "b")):
+                if draw(seed, turn, name, i) < pull:
+                    w = [b if draw(seed, turn, name, i, k) < turned[k] else a for k, (a, b) in enumerate(zip(w, target))]
+            if draw(seed, turn, "m", i) < 0.5:  # a mutation in one place
+                k = int(draw(seed, turn, "p", i) * length)
+                w = [*w[:k], pick(vocabulary, seed, turn, "w", i), *w[k + 1 :]]
             words[i] = w
         for i, s in enumerate(scorer([" ".join(w) for w in words])):
             if s > own[i][1]:

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession, functions as F
 from ..functions import code, strings
 from ..operators import generation, search
 from ..registry import Entry
-from ..session import ship
+from ..session import shared_dir, ship
 from ..sources import files
 from ..streaming import passes
 from . import views as v
@@ -37,8 +37,7 @@ def _gold(rows: list[tuple], *names: str) -> str:
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base}/gradus-files-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/gradus-files-{uuid.uuid4().hex}"
 
 
 def _tasks(spark: SparkSession):
@@ -110,25 +109,33 @@ def entries() -> dict[str, Entry]:
     e["i02_edit_search"] = Entry(_searched(lambda f: (lambda r: (r[0], r[1][-1]))(search.edit_search("the of and xx yy", f, 3))))
     e["i03_model_search"] = Entry(_searched(lambda f: (lambda r: (r[0], r[1][-1]))(search.model_search(["the", "of"], f, lambda asked: ["the of and"], 2))))
     e["i04_first_demos"] = Entry(lambda s, d: v.fewshot(s, d).orderBy("doc_id").limit(3).select("doc_id", "label"), f"WITH {v.FEWSHOT} SELECT doc_id, label FROM fewshot ORDER BY doc_id LIMIT 3")
-    e["i05_greedy"] = Entry(_searched(lambda f: search.greedy(_WORDS, f, 2)))
-    e["i06_genetic"] = Entry(_searched(lambda f: (lambda r: (r[0], r[1][-1]))(search.genetic(_WORDS, f, 12, 6, 6, 3, 3))))
-    e["i07_random"] = Entry(_searched(lambda f: search.random_search(_WORDS, f, 12, 3)))
-    e["i08_swarm"] = Entry(_searched(lambda f: (lambda r: (r[0], r[1][-1]))(search.swarm(_WORDS, f, 8, 3, 3))))
+    e["i05_greedy"] = Entry(_searched(lambda f: search.greedy(_WORDS, f)))
+    e["i06_genetic"] = Entry(_searched(lambda f: (lambda r: (r[0], r[1][-1]))(search.genetic(_WORDS, f))))
+    e["i07_random"] = Entry(_searched(lambda f: search.random_search(_WORDS, f)))
+    e["i08_swarm"] = Entry(_searched(lambda f: (lambda r: (r[0], r[1][-1]))(search.swarm(_WORDS, f))))
+    e["s03_models"] = Entry(_models, "SELECT n_nationkey, 'provider' || n_regionkey AS provider, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'chat' ELSE 'completion' END AS kind FROM nation")
     e["x01_pass_stream"] = Entry(_streamed, "SELECT user_id AS task_id, count(*) AS n, count(*) FILTER (WHERE event_type <> 'error') AS c FROM events GROUP BY user_id")
     return e
 
 
+def _models(s, d):
+    """The model registry that a caller lists, looked up by tasks that name their model."""
+    listed = [(r["n_nationkey"], f"provider{r['n_regionkey']}", r["n_name"], "chat" if r["n_nationkey"] % 2 == 0 else "completion", 1) for r in v.table(s, d, "nation").collect()]
+    return files.lookup(v.table(s, d, "nation").select("n_nationkey", F.col("n_nationkey").alias("model_id")), files.models(s, listed), "model_id").select("n_nationkey", "provider", "name", "kind")
+
+
 def _gold_int(rows) -> str:
     return f"SELECT * FROM (VALUES {', '.join(repr(tuple(r)) for r in rows)}) t(data_id, source, split, name)"
 
 
 def _streamed(spark: SparkSession, sf_dir: str):
-    """The stream of runs, read to its end."""
+    """The stream of runs, read to its end into a table of changes; the newest row of each task."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if spark.read.format("binaryFile").load(path).count() == 1 else "*").parquet(folder if spark.read.format("binaryFile").load(path).count() == 1 else path)
+    single = spark.read.format("binaryFile").load(path).count() == 1
+    events = spark.readStream.schema(schema).option("pathGlobFilter", name if single else "*").parquet(folder if single else path)
     runs = events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("sample_id"), (F.col("event_type") != "error").alias("passed"))
-    table = f"passes_{uuid.uuid4().hex}"
+    table = _scratch(spark)
     passes.start(runs, table, _scratch(spark)).awaitTermination()
-    return spark.table(table).select("task_id", "n", "c")
+    return passes.latest(spark, table).select("task_id", "n", "c")

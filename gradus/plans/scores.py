@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import maths, strings
-from ..operators import metrics, sampling
+from ..operators import metrics, quantiles, sampling
 from ..registry import Entry
 from . import views as v
 
@@ -101,7 +101,7 @@ def entries() -> dict[str, Entry]:
         f"WITH {v.LOGITS}, per AS (SELECT prompt, count(*) AS n, avg(CAST(gap > 0 AS DOUBLE)) AS a FROM gaps GROUP BY prompt) SELECT round(sum(a * n) / sum(n), 6) AS accuracy FROM per",
     )
     e["a16_weighted_mean"] = Entry(lambda s, d: _round(v.table(s, d, "lineitem").groupBy("l_returnflag").agg((F.sum(F.col("l_discount") * F.col("l_quantity")) / F.sum("l_quantity")).alias("mean"), F.count(F.lit(1)).alias("n"))), "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS mean, count(*) AS n FROM lineitem GROUP BY l_returnflag")
-    e["a17_percentile"] = Entry(lambda s, d: _round(v.table(s, d, "events").groupBy("event_type").agg(*(F.percentile("value", p / 100).alias(f"p{p}") for p in (50, 90, 99)))), "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+    e["a17_percentile"] = Entry(lambda s, d: _round(quantiles.percentiles(v.table(s, d, "events"), "value", [0.5, 0.9, 0.99], ["event_type"]).toDF("event_type", "p50", "p90", "p99")), "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
     e["a18_dimension_moments"] = Entry(
         lambda s, d: _round(v.logits(s, d).select(F.posexplode("logits").alias("k", "x")).groupBy(F.col("k").cast("bigint").alias("k")).agg(F.avg("x").alias("mean"), F.median("x").alias("median"), F.var_samp("x").alias("variance"))),
         f"WITH {v.LOGITS}, x AS (SELECT unnest(range(10)) AS k, unnest(logits) AS x FROM logits) SELECT k, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(var_samp(x), 6) AS variance FROM x GROUP BY k",

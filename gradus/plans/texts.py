@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import maths, strings
-from ..operators import mutation, similarity
+from ..operators import mutation, quantiles, similarity
 from ..registry import Entry
 from . import views as v
 from .scores import _round
@@ -170,7 +170,7 @@ def entries() -> dict[str, Entry]:
     e["p11_two_parts"] = Entry(lambda s, d: v.table(s, d, "pages").where(F.size(F.split("url", ":")) >= 2).select("page_id"), "SELECT page_id FROM pages WHERE len(string_split(url, ':')) >= 2")
     e["p13_vocabulary_filter"] = Entry(lambda s, d: v.vocabulary(s, d).where(F.contains("token", F.lit("th")) & ~F.col("token").isin("the", "with")).select("token", "score"), f"WITH {v.VOCAB} SELECT token, score FROM vocab WHERE contains(token, 'th') AND token NOT IN ('the', 'with')")
     e["p14_alphabetic"] = Entry(lambda s, d: v.vocabulary(s, d).where(mutation.alphabetic(F.col("token"))).select("token"), f"WITH {v.VOCAB} SELECT token FROM vocab WHERE regexp_full_match(token, '\\p{{L}}+')")
-    e["p17_percentile_filter"] = Entry(lambda s, d: (lambda e_: e_.crossJoin(F.broadcast(e_.agg(F.percentile("value", 0.9).alias("least")))).where("value > least").select("event_id"))(v.table(s, d, "events")), "SELECT event_id FROM events WHERE value > (SELECT quantile_cont(value, 0.9) FROM events)")
+    e["p17_percentile_filter"] = Entry(lambda s, d: (lambda e_: e_.crossJoin(F.broadcast(quantiles.percentiles(e_, "value", [0.9], []).toDF("least"))).where("value > least").select("event_id"))(v.table(s, d, "events")), "SELECT event_id FROM events WHERE value > (SELECT quantile_cont(value, 0.9) FROM events)")
 
     # Joins
     e["j01_generated_and_seed"] = Entry(lambda s, d: v.table(s, d, "labels").join(_DOCS(s, d), "doc_id").select("doc_id", "quality", "lang"), "SELECT doc_id, quality, lang FROM labels JOIN documents USING (doc_id)")

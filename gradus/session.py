@@ -11,6 +11,22 @@ from pyspark.sql import SparkSession
 _SHIPPED: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        known = sc.getCheckpointDir()
+        if known:
+            return known
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="gradus-shared-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in every Python worker of the session."""
     sc = spark.sparkContext
