@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import uuid
 
@@ -17,19 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext.getCheckpointDir()
-        if known:
-            return known
-        found = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext.getCheckpointDir() or found
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+shared_dir = session.shared_dir
+
+#: Folders written by the functions that ``tidy`` wraps and that have not returned yet.
+_OPEN: list[list[str]] = []
 
 
 def tune(spark: SparkSession) -> int:
@@ -42,23 +34,51 @@ def tune(spark: SparkSession) -> int:
 def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    The copy survives the loss of executors; it stays until the folder is
-    cleared because the returned frame reads it lazily.
+    The copy survives the loss of executors; it stays until the ``tidy`` function that wrote it
+    returns, or longer if that one's result reads it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gradus-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).option("parquet.block.size", 16 << 20).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the folder of a frame made by ``written`` once nothing reads it any more."""
-    spark = df.sparkSession
     for name in df.inputFiles()[:1]:
         folder = name.rsplit("/", 1)[0]
         if "/gradus-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _deleted(df.sparkSession, folder)
+
+
+def tidy(function):
+    """A function whose written tables are deleted when it returns, but those that its result reads: they go with the function that called it."""
+
+    @functools.wraps(function)
+    def run(*args, **kwargs):
+        _OPEN.append([])
+        try:
+            out = function(*args, **kwargs)
+        finally:
+            own = _OPEN.pop()
+        read = {name.rsplit("/", 2)[-2] for name in out.inputFiles()} if isinstance(out, DataFrame) else set()
+        kept = [path for path in own if path.rsplit("/", 1)[1] in read]
+        if _OPEN:
+            _OPEN[-1] += kept
+        spark = SparkSession.getActiveSession()
+        for path in own:
+            if spark and path not in kept:
+                _deleted(spark, path)
+        return out
+
+    return run
 
 
 def swept(spark: SparkSession) -> None:

@@ -15,6 +15,7 @@ from . import common, tokens
 FINISH_EDGES = 500_000
 
 
+@common.tidy
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``v`` and ``c``, the smallest vertex of its component, for every vertex on an edge.
 
@@ -174,6 +175,7 @@ def placed(groups: DataFrame, block: int, first: int = 0) -> DataFrame:
 CONTRACTED, PIVOTS, TURNS = 4, 4, 3
 
 
+@common.tidy
 def spanned(groups: DataFrame, block: int, parts: int, rows, links) -> DataFrame:
     """Edges (a, b) that span the links within groups (v, c); ``rows`` adds to groups in blocks what ``links`` compares.
 

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common
+from . import common, tokens
 
 LEAST = 20
 ALPHA = 0.001
@@ -169,6 +169,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))))
 
 
+@common.tidy
 def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256 and spans of every document."""
     common.tune(docs.sparkSession)
@@ -186,7 +187,7 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, kinds)
 
     rows = common.whole_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = common.written(rows.mapInArrow(find, raw), "spans")
+    found = common.written(rows.mapInArrow(tokens.released(find), raw), "spans")
     tally = found.select(F.explode("more").alias("m")).groupBy("m.k", "m.p").count()
     least = thresholds([tuple(r) for r in tally.collect()], rate)
     final = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
@@ -202,7 +203,7 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
                     out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in final.split(", ")]))
 
-    return found.mapInArrow(settle, final)
+    return found.mapInArrow(tokens.released(settle), final)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -268,6 +268,7 @@ def _mark(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
+@common.tidy
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Learn the lexicon and the states' weights."""
     common.tune(docs.sparkSession)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, vectors
+from . import common, tokens, vectors
 
 #: Pivots for each component of the vectors.
 SHARE = 0.875
@@ -137,9 +137,10 @@ def pivot_table(df: DataFrame, pivots: np.ndarray) -> DataFrame:
             cut = pa.array(np.arange(len(d) + 1) * d.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([t["vec_id"].chunk(0), t["v"].chunk(0), pa.ListArray.from_arrays(cut, pa.array(d.reshape(-1)))], names=["vec_id", "v", "x"])
 
-    return df.mapInArrow(measure, "vec_id long, v array<double>, x array<double>")
+    return df.mapInArrow(tokens.released(measure), "vec_id long, v array<double>, x array<double>")
 
 
+@common.tidy
 def top_k(df: DataFrame, every: int, k: int, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id and score of each query's ``k`` largest integer inner products with other rows of ``vec_id``, ``v``."""
     spark = df.sparkSession

@@ -55,6 +55,7 @@ def runs(docs: DataFrame, path: str, end_id: int, keep: bool = True) -> DataFram
     return rows.mapInArrow(encode, _RUNS)
 
 
+@common.tidy
 def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, digest: bool = False, keep: bool = True) -> DataFrame:
     """Pieces of all documents with their ids (unsigned 32-bit, little-endian) or their crc32 as ids_crc32, sequence and offset."""
     placed = common.written(runs(docs, path, end_id, keep), "runs")
@@ -83,7 +84,7 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, digest:
                     done += take
             yield pa.RecordBatch.from_pydict(out, pa.schema(kinds))
 
-    return placed.mapInArrow(cut, _PIECES.replace("ids binary", "ids_crc32 long") if digest else _PIECES)
+    return placed.mapInArrow(tokens.released(cut), _PIECES.replace("ids binary", "ids_crc32 long") if digest else _PIECES)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -348,7 +348,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, block_tokens: in
                 got = coded_groups([np.frombuffer(x.as_buffer(), dtype=width) for x in part["ids"]], shared)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.binary())], schema=schema)
 
-    blocks.where("block >= 0").mapInArrow(code, _FILES).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(folder)
+    blocks.where("block >= 0").mapInArrow(tokens.released(code), _FILES).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(folder)
     common.dropped(blocks)
     return Table(freq)
 
@@ -383,7 +383,7 @@ def read(spark: SparkSession, folder: str, table: Table, digest: bool = False) -
                         begin += n
                 yield pa.RecordBatch.from_pydict(out, schema)
 
-    return files.select("part", "begin", "n_tokens", "doc_ids", "doc_tokens", "bytes").mapInArrow(decode, f"doc_id long, start long, n_tokens long, {last} {kind}")
+    return files.select("part", "begin", "n_tokens", "doc_ids", "doc_tokens", "bytes").mapInArrow(tokens.released(decode), f"doc_id long, start long, n_tokens long, {last} {kind}")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

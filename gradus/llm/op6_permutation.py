@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, vectors
+from . import common, tokens, vectors
 
 PIVOTS, PREFIX, ASKED = 1024, 32, 128
 SHARE = 0.2
@@ -113,6 +113,7 @@ class Search:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(np.repeat(self.rows, n)), pa.array(both[0].astype(np.int64)), pa.array(both[1])], schema=_KINDS)
 
 
+@common.tidy
 def neighbours(df: DataFrame, every: int, k: int, pivots: int = PIVOTS, prefix: int = PREFIX, asked: int = ASKED, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id and score of each query's nearest found, over ``vec_id``, ``v``."""
     spark = df.sparkSession
@@ -126,7 +127,7 @@ def neighbours(df: DataFrame, every: int, k: int, pivots: int = PIVOTS, prefix:
                 near = orders(vectors.matrix(t["v"].chunk(0)), chosen, prefix)
                 yield pa.RecordBatch.from_arrays([t["vec_id"].chunk(0), t["v"].chunk(0), pa.array([r.tobytes() for r in near], pa.binary())], names=["vec_id", "v", "x"])
 
-        index = vectors.indexed(rows.mapInArrow(post, "vec_id long, v array<double>, x binary"), "permutations")
+        index = vectors.indexed(rows.mapInArrow(tokens.released(post), "vec_id long, v array<double>, x binary"), "permutations")
         search = partial(Search, pivots=chosen, asked=asked, share=share, least=max(least, k + 1), k=k)
         found.append(common.written(vectors.crossed(index, every, parts, search, _FOUND), "near"))
         common.dropped(index)

@@ -123,6 +123,7 @@ def met(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame
     return counts.where("k >= least").select("a", "b"), rows.where("h > s").select("v", "n"), ties.select("v", "g", "m")
 
 
+@common.tidy
 def rarest(docs: DataFrame, reps: DataFrame, some: DataFrame, words: int, percent: int) -> DataFrame:
     """Of the sets in ``some`` (v): v, n, spare and as low columns the shingles that fewest of them hold, ties by hash."""
     chosen = common.written(reps.select("v", "doc_id", "n", "spare").join(some.select("v"), "v"), "chosen")
@@ -144,6 +145,7 @@ def rarest(docs: DataFrame, reps: DataFrame, some: DataFrame, words: int, percen
     return common.written(lists.select("v", "n", "spare", F.slice(F.col("all.g"), F.lit(1), most).alias("low")), "rarest", "none")
 
 
+@common.tidy
 def candidates(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """Groups (v, c) of ``reps`` (v, doc_id, n, spare, low); every linked pair is in one."""
     by_hash, crowded, _ = met(reps, percent)
@@ -206,6 +208,7 @@ def product(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent
     return list(zip(left[i].tolist(), right[j].tolist()))
 
 
+@common.tidy
 def linked(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """Edges (a, b) that span the links within each group (v, c) of representatives."""
     schema = pa.schema([("v", pa.int64()), ("c", pa.int64()), ("own", pa.int32()), ("blocks", pa.int32()), ("open", pa.int32()), ("row", pa.binary())])
@@ -230,6 +233,7 @@ def linked(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, perc
     return graph.spanned(groups, BLOCK, parts, rows, links)
 
 
+@common.tidy
 def join(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, t (a hash of the text, which tells rows that share a doc_id apart), n_shingles, component_id and set_class of every document.
 

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common
+from . import common, tokens
 
 PATH, LAST, WORDS, MEASURES = 384, 32, 32, 6
 SIZE = PATH + LAST + WORDS + MEASURES
@@ -529,7 +529,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["page_id"], pa.array(batch["url"].to_pylist(), pa.string()), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], schema=schema)
 
     rows = common.whole_text(pages, "html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return rows.mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tokens.released(read), "page_id long, url string, text string, n_chars long")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

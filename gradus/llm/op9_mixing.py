@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common
+from . import common, tokens
 
 TOPICS, BINS, SAMPLE = 8, 256, 4096
 CELLS = 200_000
@@ -51,6 +51,7 @@ def word_bins(text: str) -> tuple[np.ndarray, int]:
     return np.sqrt(np.bincount(places, minlength=BINS)), len(words)
 
 
+@common.tidy
 def centres(docs: DataFrame, rows: int = SAMPLE, rounds: int = 12) -> np.ndarray:
     """Unit topic centres of all documents: rounds of k-means from the centres of a bounded sample."""
     c = starting(docs, rows, rounds)
@@ -85,7 +86,7 @@ def moved(x: DataFrame, c: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(total[k, b])], names=["k", "b", "s"])
 
     out = np.zeros(c.shape)
-    for k, b, s in x.mapInArrow(tally, "k long, b long, s long").groupBy("k", "b").agg(F.sum("s")).collect():
+    for k, b, s in x.mapInArrow(tokens.released(tally), "k long, b long, s long").groupBy("k", "b").agg(F.sum("s")).collect():
         out[k, b] = s
     some = out.any(axis=1)
     out[some] /= np.linalg.norm(out[some], axis=1, keepdims=True)
@@ -192,6 +193,7 @@ def rake_frame(cells: DataFrame, temper: float, rounds: int = ROUNDS, precision:
     return state
 
 
+@common.tidy
 def probabilities(docs: DataFrame, temper: float = TEMPER, keep: float = KEEP, most: int = CELLS) -> DataFrame:
     """source, lang, topic, weight and probability of each cell of ``docs`` (with ``mix``)."""
     cells = common.written(docs.groupBy("source", "lang", F.col("mix.topic").alias("topic")).agg(F.sum("mix.tokens").cast("double").alias("mass")), "cells")
@@ -218,6 +220,7 @@ def probabilities(docs: DataFrame, temper: float = TEMPER, keep: float = KEEP, m
     return raked.select(*MARGINS, F.col("w").alias("weight"), F.least(F.lit(1.0), F.col("w") * high).alias("probability"))
 
 
+@common.tidy
 def mixed(docs: DataFrame, temper: float = TEMPER, keep: float = KEEP, seed: int = 9, column: str = "mix") -> DataFrame:
     """``docs`` with in ``column`` a struct of topic, tokens, weight, probability and sampled."""
     common.tune(docs.sparkSession)

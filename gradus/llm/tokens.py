@@ -179,19 +179,26 @@ def slices(ids: np.ndarray, count: np.ndarray) -> pa.Array:
 
 
 def released(function):
-    """A worker function that first lets go of the encoders that the worker holds from other tasks."""
+    """A worker function that first lets go of the encoders that the worker holds from other tasks, and in the end of the memory it used."""
 
     def run(batches):
         release()
         yield from function(batches)
+        trimmed()
 
     return run
 
 
 def release() -> None:
-    """Let go of this worker's encoders and give the pages back to the system."""
+    """Let go of this worker's encoders."""
     if _LOADED:
         _LOADED.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trimmed()
+
+
+def trimmed() -> None:
+    """Give free memory back to the system: workers wait for their next task beside others that need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import common
+from . import common, tokens
 
 #: Rows that pivots are chosen from, in the order of a hash of vec_id.
 PIVOT_SAMPLE = 4096
@@ -117,7 +117,7 @@ def crossed(index: DataFrame, every: int, parts: int, search: Callable, schema:
         if state is not None:
             yield state.found()
 
-    return cells.mapInArrow(solve, schema)
+    return cells.mapInArrow(tokens.released(solve), schema)
 
 
 def indexed(df: DataFrame, tag: str) -> DataFrame:
