@@ -51,7 +51,19 @@ def prompt(dataset: str, text: Column, first: Column, second: Column | None = No
     return template(ENDINGS[dataset], slots)
 
 
+#: What undoes Treebank tokens, in this order: (pattern, groups to keep). Patterns hold in Java's and in RE2's syntax.
+TREEBANK = (
+    (r"(?i)\b(can)\s(not)\b", r"\1\2"), (r"(?i)\b(gim)\s(me)\b", r"\1\2"), (r"(?i)\b(gon)\s(na)\b", r"\1\2"), (r"(?i)\b(got)\s(ta)\b", r"\1\2"), (r"(?i)\b(lem)\s(me)\b", r"\1\2"), (r"(?i)\b(wan)\s(na)\b", r"\1\2"),
+    (r"([^' ])\s('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1\2 "), (r"([^' ])\s('[sS]|'[mM]|'[dD]|') ", r"\1\2 "), (r"(\S)\s('')", r"\1\2"), (r"''", '"'),
+    (r" -- ", "--"), (r"([\[({<])\s", r"\1"), (r"\s([\])}>])", r"\1"),
+    (r"([^'])\s'\s", r"\1' "), (r"\s([?!])", r"\1"), (r"([^.])\s(\.)([\])}>\"']*)\s*$", r"\1\2\3"), (r"([#$])\s", r"\1"), (r"\s([;%])", r"\1"), (r"\s\.\.\.\s", "..."), (r"\s([:,])", r"\1"),
+    (r"([ (\[{<])\s``", r"\1``"), (r"(``)\s", r"\1"), (r"``", '"'),
+)
+
+
 def detokenised(words: Column) -> Column:
-    """Words joined with blanks, but none before closing and after opening punctuation."""
-    joined = F.array_join(words, " ")
-    return F.regexp_replace(F.regexp_replace(joined, r" ([.,;:!?)\]}])", "$1"), r"([(\[{]) ", "$1")
+    """Words joined with blanks, then the Treebank rules undone."""
+    out = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    for pattern, kept in TREEBANK:
+        out = F.regexp_replace(out, pattern, kept.replace("\\1", "$1").replace("\\2", "$2").replace("\\3", "$3"))
+    return F.btrim(out)

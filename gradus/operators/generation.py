@@ -219,3 +219,14 @@ def described_tasks(tasks: DataFrame) -> DataFrame:
     doc = column(lambda s, n: docstring(s, n))
     names = column(lambda s, n: ", ".join(parameters(s, n)))
     return tasks.withColumn("docstring", doc(F.col("solution"), F.col("entry_func"))).withColumn("inputs", names(F.col("solution"), F.col("entry_func")))
+
+
+#: The part of a completion's answer that is read.
+RESPONSE = "choices array<struct<text:string,message:struct<content:string>,logprobs:struct<tokens:array<string>,token_logprobs:array<double>>>>"
+
+
+def text_and_logprobs(rows: DataFrame, response: str = "response") -> DataFrame:
+    """``rows`` with text, tokens and logprobs of the first choice of a completion's JSON answer; the text of an answer that cannot be read is empty."""
+    first = F.try_element_at(F.from_json(response, RESPONSE)["choices"], F.lit(1))
+    text = F.coalesce(first["text"], first["message"]["content"], F.lit(""))
+    return rows.withColumns({"text": text, "tokens": first["logprobs"]["tokens"], "logprobs": first["logprobs"]["token_logprobs"]})

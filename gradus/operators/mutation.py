@@ -110,3 +110,27 @@ def chosen_sentence(rows: DataFrame, key: str, text: str, sentences: int = SENTE
     """key and mutated: the one of each row's candidates that comes first by md5 order. Which one does not depend on its words, so only it is mutated."""
     draws = F.transform(F.sequence(F.lit(1), F.lit(sentences)), lambda c: F.struct(F.md5(F.concat_ws("|", F.lit("choice"), F.col(key).cast("string"), c.cast("string"))).alias("d"), c.alias("c")))
     return mutated(rows.select(key, text, F.array_min(draws)["c"].alias("candidate")), key, text, words).drop("candidate")
+
+
+def masked(rows: DataFrame, key: str, text: str, candidates: int = 10, mark: str = "[MASK]", maskable: Column | None = None) -> DataFrame:
+    """key, place and prompt: up to ``candidates`` words, not at either end, each masked in a text of its own, in md5 order.
+
+    ``maskable`` is an array of booleans by word, such as a tagger's nouns and adjectives; without one, words of letters are.
+    """
+    words = F.split(text, " ")
+    fits = (lambda w, i: alphabetic(w)) if maskable is None else (lambda w, i: F.coalesce(F.get(maskable, i), F.lit(False)))
+    order = lambda i: F.md5(F.concat_ws("|", F.col(key).cast("string"), i.cast("string")))
+    places = F.filter(F.transform(words, lambda w, i: F.when((i > 0) & (i < F.size(words) - 1) & fits(w, i), F.struct(order(i).alias("d"), i.alias("i")))), lambda x: x.isNotNull())
+    out = rows.select(key, text, F.explode(F.slice(F.array_sort(places), 1, candidates)["i"]).alias("place"))
+    return out.select(key, "place", F.array_join(F.transform(words, lambda w, i: F.when(i == F.col("place"), F.lit(mark)).otherwise(w)), " ").alias("prompt"))
+
+
+def filled(prompts: DataFrame, fill, mark: str = "[MASK]") -> DataFrame:
+    """``prompts`` with ``mutated``: the mark replaced by what ``fill`` (prompts to words, in the workers) answers."""
+
+    def run(frames):
+        for frame in frames:
+            answers = fill(frame["prompt"].tolist())
+            yield frame.assign(mutated=[p.replace(mark, a, 1) for p, a in zip(frame["prompt"], answers)])
+
+    return prompts.mapInPandas(run, f"{', '.join(f'`{n}` {t}' for n, t in prompts.dtypes)}, mutated string")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+import hashlib
+
+from pyspark.sql import functions as F
 
 from ..functions import classification, code, maths, strings
-from ..operators import similarity
+from ..operators import generation, mutation, similarity
 from ..registry import Entry
 from ..session import ship
 from . import views as v
@@ -41,6 +43,31 @@ def _code_bleu(s, d):
     return _round(parts.withColumn("code_bleu", 0.25 * (F.col("bleu") + F.col("weighted") + F.col("syntax") + F.col("flow"))), 4)
 
 
+def _fill(prompts: list[str]) -> list[str]:
+    """A stand-in for a masked model: the prompt's digest."""
+    return [hashlib.md5(p.encode()).hexdigest()[:6] for p in prompts]
+
+
+def _validated_prompt(s, d):
+    """The prompt that does best on the validation split, and its accuracy on the test split as it is and with logits standardised by the validation split's moments."""
+    scored = _scored(s, d)
+    valid, test = scored.where(F.col("example") % 3 == 1), scored.where(F.col("example") % 3 == 2)
+    right = F.avg((F.col("gap") > 0).cast("double"))
+    best = valid.groupBy("prompt").agg(F.round(right, 9).alias("a")).agg(F.max_by("prompt", F.struct("a", "prompt")).alias("best"))
+    moments = valid.select(F.posexplode("logits").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v")).agg(F.array_sort(F.collect_list(F.struct("k", "m", "v"))).alias("s"))
+    # One row each: ten moments and a prompt.
+    own = test.crossJoin(F.broadcast(best)).where("prompt = best").crossJoin(F.broadcast(moments))
+    calibrated = maths.label_gap(maths.standardised(F.col("logits"), F.col("s.m"), F.col("s.v")), F.col("label"))
+    return _round(own.groupBy("best").agg(right.alias("accuracy"), F.avg((calibrated > 0).cast("double")).alias("calibrated")))
+
+
+_VALIDATED = f"""WITH {v.LOGITS}, acc AS (SELECT prompt, round(avg(CAST(gap > 0 AS DOUBLE)), 9) AS a FROM gaps WHERE example % 3 = 1 GROUP BY prompt), best AS (SELECT arg_max(prompt, struct_pack(a := a, b := prompt)) AS best FROM acc),
+x AS (SELECT example, unnest(range(10)) AS k, unnest(logits) AS x FROM logits WHERE example % 3 = 1), m AS (SELECT list(a ORDER BY k) AS m, list(b ORDER BY k) AS v FROM (SELECT k, avg(x) AS a, var_samp(x) AS b FROM x GROUP BY k)),
+t AS (SELECT gaps.label, gap, best, list_transform(range(1, 11), lambda i: (logits[i] - m[i]) / sqrt(v[i])) AS z FROM gaps, best, m WHERE example % 3 = 2 AND prompt = best),
+c AS (SELECT *, z[label + 1] - list_max(list_transform(z, lambda y: CASE WHEN y = z[label + 1] THEN -1.0 ELSE y END)) AS cal FROM t)
+SELECT best, round(avg(CAST(gap > 0 AS DOUBLE)), 6) AS accuracy, round(avg(CAST(cal > 0 AS DOUBLE)), 6) AS calibrated FROM c GROUP BY best"""
+
+
 def entries() -> dict[str, Entry]:
     e: dict[str, Entry] = {}
     e["p04_bigcode_rows"] = Entry(_bigcode, "SELECT * FROM (VALUES ('a_1', 'ps', 'task_func(1, 2)'), ('a_1', 'ps', 'task_func([4])')) t(data_id, solution, example)")
@@ -48,7 +75,14 @@ def entries() -> dict[str, Entry]:
         lambda s, d: v.table(s, d, "benchmark").select("item_id", F.size(strings.tokens(F.col("text"))).cast("bigint").alias("words"), F.size(F.filter(F.split("text", "[.!?]"), lambda x: F.trim(x) != "")).cast("bigint").alias("sentences"), F.ceil(F.size(strings.tokens(F.col("text"))) / 5).cast("bigint").alias("spans")),
         r"SELECT item_id, CAST(len(w) AS BIGINT) AS words, CAST(len(list_filter(string_split_regex(text, '[.!?]'), lambda x: trim(x) <> '')) AS BIGINT) AS sentences, CAST(ceil(len(w) / 5.0) AS BIGINT) AS spans FROM (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)",
     )
-    e["f23_detokenised"] = Entry(lambda s, d: v.table(s, d, "benchmark").select("item_id", F.md5(classification.detokenised(strings.tokens(F.regexp_replace("text", r"([.,])", " $1")))).alias("h")), r"SELECT item_id, md5(regexp_replace(array_to_string(list_filter(string_split_regex(regexp_replace(text, '([.,])', ' \1', 'g'), '\s+'), lambda x: x <> ''), ' '), ' ([.,;:!?)\]}])', '\1', 'g')) AS h FROM benchmark")
+    spaced = r"([.,;:!?()\[\]%])"
+    undone = r"' ' || array_to_string(list_filter(string_split_regex(regexp_replace(replace(text, 'the ', 'they ''re can not -- '), '([.,;:!?()\[\]%])', ' \1 ', 'g'), '\s+'), lambda x: x <> ''), ' ') || ' '"
+    for pattern, kept in classification.TREEBANK:
+        undone = "regexp_replace({}, '{}', '{}', 'g')".format(undone, pattern.replace("'", "''"), kept.replace("'", "''"))
+    e["f23_detokenised"] = Entry(
+        lambda s, d: v.table(s, d, "benchmark").select("item_id", F.md5(classification.detokenised(strings.tokens(F.regexp_replace(F.replace("text", F.lit("the "), F.lit("they 're can not -- ")), spaced, " $1 ")))).alias("h")),
+        f"SELECT item_id, md5(trim({undone})) AS h FROM benchmark",
+    )
     e["f26_label_words"] = Entry(lambda s, d: s.createDataFrame([("ag_news", "|".join(classification.label_words("ag_news", True))), ("mrpc", "|".join(classification.label_words("mrpc", False)))], "dataset string, words string"), "SELECT * FROM (VALUES ('ag_news', 'ĠWorld|ĠSports|ĠBusiness|ĠTech'), ('mrpc', '▁no|▁yes')) t(dataset, words)")
     e["f28_patterns"] = Entry(lambda s, d: v.table(s, d, "benchmark").select("item_id", F.md5(classification.prompt("sst2", F.lit("Judge"), F.col("text"))).alias("h")), "SELECT item_id, md5(' Judge. Sentence: ' || text || ', Sentiment: ') AS h FROM benchmark")
     e["b05_reweighed"] = Entry(lambda s, d: _round(_matched(s, d).select("pair_id", similarity.bleu(1, reweigh=True).alias("bleu"))), f"{_MATCHES} SELECT pair_id, round({reweighed_sql()}, 6) AS bleu FROM matched")
@@ -63,13 +97,18 @@ def entries() -> dict[str, Entry]:
         lambda s, d: (lambda t: t.crossJoin(F.broadcast(t.agg(F.percentile("kl", 0.5).alias("least")))).where("kl > least").select("label"))(_scored(s, d).groupBy("label").agg(F.round(F.sum(maths.kl(F.col("p"), F.col("q"))), 9).alias("kl"))),
         f"WITH {v.LOGITS}, t AS (SELECT label, round(sum(list_sum(list_transform(list_zip(p, q), lambda z: z[1] * ln(z[1] / z[2])))), 9) AS kl FROM soft GROUP BY label) SELECT label FROM t WHERE kl > (SELECT quantile_cont(kl, 0.5) FROM t)",
     )
-    e["i10_validated_prompt"] = Entry(lambda s, d: _accuracy(s, d).agg(F.max_by("prompt", F.struct("accuracy", "prompt")).alias("best")), f"{_ACC} SELECT arg_max(prompt, struct_pack(a := accuracy, b := prompt)) AS best FROM acc")
+    e["i10_validated_prompt"] = Entry(_validated_prompt, _VALIDATED)
     e["i11_seed_table"] = Entry(
         lambda s, d: _round(_scored(s, d).withColumn("seed", F.col("example") % 3).groupBy("prompt").pivot("seed", [0, 1, 2]).agg(F.avg((F.col("gap") > 0).cast("double"))).toDF("prompt", "seed_0", "seed_1", "seed_2")),
         f"WITH {v.LOGITS} SELECT prompt, {', '.join(f'round(avg(CAST(gap > 0 AS DOUBLE)) FILTER (WHERE example % 3 = {k}), 6) AS seed_{k}' for k in range(3))} FROM gaps GROUP BY prompt",
     )
     e["g14_filled_tokens"] = Entry(
-        lambda s, d: v.table(s, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("i", "w")).withColumn("last", F.max("i").over(Window.partitionBy("item_id"))).where("i > 0 AND i < last").where(F.col("w").rlike(r"^\p{L}+$")).groupBy("item_id").agg(F.min_by("i", F.md5(F.concat_ws("|", F.col("item_id").cast("string"), F.col("i").cast("string")))).cast("bigint").alias("masked")),
-        "WITH x AS (SELECT item_id, unnest(range(len(l))) AS i, unnest(l) AS w, len(l) - 1 AS last FROM (SELECT item_id, string_split(text, ' ') AS l FROM benchmark)) SELECT item_id, arg_min(i, md5(item_id || '|' || i)) AS masked FROM x WHERE i > 0 AND i < last AND regexp_full_match(w, '\\p{L}+') GROUP BY item_id",
+        lambda s, d: (ship(s), mutation.filled(mutation.masked(v.table(s, d, "benchmark"), "item_id", "text"), _fill))[1].select("item_id", F.col("place").cast("bigint").alias("place"), F.md5("mutated").alias("h")),
+        "WITH x AS (SELECT item_id, l, unnest(range(len(l))) AS i, unnest(l) AS w FROM (SELECT item_id, string_split(text, ' ') AS l FROM benchmark)), c AS (SELECT item_id, l, i FROM x WHERE i > 0 AND i < len(l) - 1 AND regexp_full_match(w, '\\p{L}+') QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY md5(item_id || '|' || i)) <= 10), p AS (SELECT item_id, i, array_to_string(list_transform(range(len(l)), lambda k: CASE WHEN k = i THEN '[MASK]' ELSE l[k + 1] END), ' ') AS prompt FROM c) SELECT item_id, i AS place, md5(replace(prompt, '[MASK]', substring(md5(prompt), 1, 6))) AS h FROM p",
+    )
+    said = "'{\"choices\": [{\"text\": \"' || event_type || '\", \"logprobs\": {\"tokens\": [\"' || event_type || '\", \".\"], \"token_logprobs\": [-' || CAST(event_id % 7 AS VARCHAR) || '.5, -1]}}]}'"
+    e["e03_text_logprobs"] = Entry(
+        lambda s, d: generation.text_and_logprobs(v.table(s, d, "events").select("event_id", F.when(F.col("event_id") % 11 == 0, F.lit("no answer")).otherwise(F.expr(said.replace("VARCHAR", "STRING"))).alias("response"))).select("event_id", "text", F.array_join("tokens", "|").alias("tokens"), F.aggregate("logprobs", F.lit(0.0), lambda a, x: a + x).alias("total")),
+        "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type END AS text, CASE WHEN event_id % 11 <> 0 THEN event_type || '|.' END AS tokens, CASE WHEN event_id % 11 <> 0 THEN -(event_id % 7) - 1.5 END AS total FROM events",
     )
     return e
