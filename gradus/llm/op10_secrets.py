@@ -2,8 +2,8 @@
 
 Base kinds are exact patterns: ``assign``, ``access`` and ``hex``; a span is the
 whole match. The battery adds spans of kind ``random``: unbroken strings of at
-least ``LEAST`` letters, digits and the signs of common encodings that overlap no
-base span. For each candidate
+least ``LEAST`` letters, digits and the signs of common encodings, what base spans
+leave of them. For each candidate
 
 1. an encoding is inferred from its characters (hexadecimal, base 32, letters
    only, letters and digits, base 64) and gives the alphabet;
@@ -25,6 +25,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -134,21 +135,35 @@ def battery(value: str) -> tuple[str, float, float, float, float] | None:
     return name, uniform, p_runs, serial, text
 
 
+def left_over(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a stretch outside sorted, disjoint ones."""
+    out, at = [], bisect.bisect_right(taken, (start, start)) - 1
+    at = at if at >= 0 and taken[at][1] > start else at + 1
+    while at < len(taken) and taken[at][0] < end:
+        if taken[at][0] > start:
+            out.append((start, taken[at][0]))
+        start = max(start, taken[at][1])
+        at += 1
+    return [*out, (start, end)] if start < end else out
+
+
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int]]:
     """(start, end, class, grid point of p) of the strings that might be random; 0 (p = 1) where the battery rejects randomness."""
+    base: list[tuple[int, int]] = []
+    for s, e, _ in sorted(taken):
+        if base and s <= base[-1][1]:
+            base[-1] = (base[-1][0], max(e, base[-1][1]))
+        else:
+            base.append((s, e))
     out = []
     for start, word in long_words(text, LEAST):
         for m in _CANDIDATE.finditer(word):
-            if m.end() - m.start() < LEAST:
-                continue
-            s, e = start + m.start(), start + m.end()
-            if any(s < y and x < e for x, y, _ in taken):
-                continue
-            got = battery(m[0])
-            if got:
-                name, *tests, p = got
-                point = 0 if min(tests) < ALPHA else min(END * GRID, int(-math.log10(max(p, 1e-300)) * GRID))
-                out.append((s, e, f"{name}{max(x for x in LENGTHS if x <= max(LEAST, len(m[0].rstrip('='))))}", point))
+            for s, e in left_over(start + m.start(), start + m.end(), base) if m.end() - m.start() >= LEAST else ():
+                got = battery(text[s:e]) if e - s >= LEAST else None
+                if got:
+                    name, *tests, p = got
+                    point = 0 if min(tests) < ALPHA else min(END * GRID, int(-math.log10(max(p, 1e-300)) * GRID))
+                    out.append((s, e, f"{name}{max(x for x in LENGTHS if x <= max(LEAST, len(text[s:e].rstrip('='))))}", point))
     return out
 
 

@@ -142,6 +142,26 @@ def test_battery_tells_random_strings_from_words(spark):
     assert sum(got[1000 + i] > 0 for i in range(200)) <= 2
 
 
+def test_keys_beside_base_spans_are_tested():
+    """What base spans leave of an unbroken string is a candidate of its own."""
+    key = "Zk9Qw3LxT7mVbN2cRfYh8PdUe5SgJa1oXiK4tB6u"
+    text = f"see api/0123456789abcdef0123/{key} and token=abcdefghijkl1234/{key}"
+    base = op10_secrets.base_spans(text)
+    found = [text[s:e] for s, e, _, _ in op10_secrets.candidates(text, base)]
+    assert found == [f"/{key}"]
+    r = random.Random(4)
+    for _ in range(500):
+        taken = sorted(r.sample(range(60), 8))
+        taken = list(zip(taken[::2], taken[1::2]))
+        low, high = sorted(r.sample(range(60), 2))
+        free = [k for k in range(low, high) if not any(a <= k < b for a, b in taken)]
+        assert [k for a, b in op10_secrets.left_over(low, high, taken) for k in range(a, b)] == free
+    began = time.process_time()
+    many = " ".join("0123456789abcdef0123" for _ in range(20_000))
+    op10_secrets.candidates(many, op10_secrets.base_spans(many))
+    assert time.process_time() - began < 3
+
+
 def test_secret_scan_takes_awkward_rows(spark):
     assert op10_secrets.scan(documents(spark)).count() == len(DOCS)
     assert op10_secrets.scan(documents(spark, DOCS[:0])).count() == 0
@@ -267,6 +287,44 @@ def test_sampling_follows_probabilities(spark):
     assert abs(got.sampled.mean() - got.probability.mean()) < 0.03
 
 
+def test_mixing_equals_brute_force(spark):
+    """Weights, probabilities and the sample by plain dictionaries over all documents."""
+    r = random.Random(21)
+    kinds = [["".join(r.choices("abcdefgh", k=6)) for _ in range(10)] for _ in range(4)]
+    rows = [(i, " ".join(r.choices(kinds[i % 4], k=r.randint(0, 30))), r.choice(("en", "de", None)), r.choice("aaab")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    topics = op9_mixing.centres(docs)
+    got = {x["doc_id"]: x for x in op9_mixing.mixed(docs).select("doc_id", "mix.*").collect()}
+    own = {i: (s, g, int((topics @ op9_mixing.word_bins(t)[0]).argmax())) for i, t, g, s in rows}
+    mass = {}
+    for i, t, *_ in rows:
+        mass[own[i]] = mass.get(own[i], 0) + len(t.split())
+    total = sum(mass.values())
+    goals = []
+    for m in range(3):
+        share = {}
+        for cell, x in mass.items():
+            share[cell[m]] = share.get(cell[m], 0) + x / total
+        root = {k: x**op9_mixing.TEMPER if x > 0 else 0.0 for k, x in share.items()}
+        goals.append({k: x / sum(root.values()) for k, x in root.items()})
+    weight = dict.fromkeys(mass, 1.0)
+    for _ in range(op9_mixing.ROUNDS):
+        for m in range(3):
+            have = {}
+            for cell, x in mass.items():
+                have[cell[m]] = have.get(cell[m], 0) + weight[cell] * x / total
+            weight = {cell: w * goals[m][cell[m]] / have[cell[m]] if have[cell[m]] else w for cell, w in weight.items()}
+    for i, cell in own.items():
+        assert got[i]["topic"] == cell[2] and got[i]["tokens"] == len(rows[i][1].split())
+        assert abs(got[i]["weight"] / weight[cell] - 1) < 1e-6
+    scale = max(got[i]["probability"] / got[i]["weight"] for i in got if got[i]["weight"])
+    assert all(abs(got[i]["probability"] - min(1.0, scale * got[i]["weight"])) < 1e-9 for i in got)
+    expected = sum(mass[c] * min(1.0, scale * weight[c]) for c in mass)
+    assert abs(expected / total - op9_mixing.KEEP) < 1e-6
+    chance = {x["doc_id"]: x["c"] for x in docs.select("doc_id", (F.pmod(F.xxhash64(F.lit(9), "doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("c")).collect()}
+    assert all(got[i]["sampled"] == (chance[i] < got[i]["probability"]) for i in got)
+
+
 def test_mixing_takes_awkward_rows(spark):
     rows = op9_mixing.mixed(documents(spark), column="__mix").select("doc_id", "mix", "__mix.*").collect()
     assert len(rows) == len(DOCS) and all(r["mix"] == "x" and r["sampled"] is not None for r in rows)
