@@ -172,7 +172,7 @@ def placed(groups: DataFrame, block: int, first: int = 0) -> DataFrame:
 
 
 #: Blocks from which a group is contracted by pivots first; pivots of a group in a turn, and turns at most.
-CONTRACTED, PIVOTS, TURNS = 4, 4, 3
+CONTRACTED, PIVOTS, TURNS = 16, 4, 3
 
 
 @common.tidy
