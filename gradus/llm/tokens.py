@@ -193,12 +193,12 @@ def release() -> None:
     """Let go of this worker's encoders."""
     if _LOADED:
         _LOADED.clear()
+        gc.collect()
         trimmed()
 
 
 def trimmed() -> None:
     """Give free memory back to the system: workers wait for their next task beside others that need it."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
