@@ -175,8 +175,42 @@ def _files(s, d):
     return files.program_files(s, path).select("folder", "file", F.md5("program").alias("h"))
 
 
+def _small_flow(show):
+    """A program of three assignments a nation, of which the second goes nowhere."""
+
+    def run(s, d):
+        ship(s)
+        rows = v.table(s, d, "nation")
+        n = F.col("n_nationkey").cast("string")
+        return rows.select("n_nationkey", code.column(show)(F.concat(F.lit("x"), n, F.lit(" = 1\ny = 2\nz = x"), n, F.lit("\n"))).alias("got"))
+
+    return run
+
+
+class Flaky:
+    """Fails for several prompts at once and answers one."""
+
+    def complete(self, prompts: list[str]) -> list[str | None]:
+        return [None] * len(prompts) if len(prompts) > 1 else generation.StubCompleter("{digest}").complete(prompts)
+
+
+def _json_sink(s, d):
+    from .programs import _scratch
+
+    path = _scratch(s)
+    files.write_json(v.table(s, d, "nation"), path)
+    return s.read.text(path).select(F.from_json("value", "n_nationkey int, n_name string").alias("r")).select("r.*")
+
+
 def entries() -> dict[str, Entry]:
     e: dict[str, Entry] = {}
+    e["b10_places"] = Entry(_small_flow(lambda x: "|".join(str(p) for _, p, *_ in code.data_flow(x))), "SELECT n_nationkey, '0|2|3' AS got FROM nation")
+    e["b12_pruned"] = Entry(_small_flow(lambda x: "|".join(f"{n}:{how}" for n, _, how, _, _ in code.data_flow(x))), "SELECT n_nationkey, 'x' || n_nationkey || ':computedFrom|z:computedFrom|x' || n_nationkey || ':comesFrom' AS got FROM nation")
+    in_order = code.column(lambda x, l: "|".join(str(n) for n in (len(flow.data_flow(x, l)), [e[1] for e in flow.data_flow(x, l)] == sorted(e[1] for e in flow.data_flow(x, l)))))
+    e["t07_edges_in_order"] = Entry(lambda s, d: _spoken(s, d, _FLOWING).select("n_nationkey", in_order(F.col("source"), F.col("language")).alias("got")), "SELECT n_nationkey, '7|True' AS got FROM nation")
+    e["s05_json_sink"] = Entry(_json_sink, "SELECT n_nationkey, n_name FROM nation")
+    e["e02_retried"] = Entry(lambda s, d: (ship(s), generation.completed(v.table(s, d, "benchmark").select("item_id", F.col("text").alias("prompt")), Flaky(), wait=0))[1].select("item_id", "answer"), "SELECT item_id, substring(md5(text), 1, 8) AS answer FROM benchmark")
+    e["e05_parallel"] = Entry(lambda s, d: (ship(s), generation.executed(v.table(s, d, "nation").select("n_nationkey", F.concat(F.lit("assert "), F.col("n_nationkey").cast("string"), F.lit(" % 3 != 1")).alias("program")), partitions=4))[1].select("n_nationkey", "passed"), "SELECT n_nationkey, n_nationkey % 3 <> 1 AS passed FROM nation")
     broken = lambda: F.concat("source", F.when(F.col("p_size") % 2 == 1, "(").otherwise(""))
     literal = lambda: F.concat(F.when(F.col("p_size") % 2 == 0, "(").otherwise("["), F.col("p_size").cast("string"), F.lit(", [1.5, 'x']"), F.when(F.col("p_size") % 2 == 0, ")").otherwise("]"))
     pairs = [
