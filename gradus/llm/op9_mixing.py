@@ -31,7 +31,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, tokens
@@ -52,19 +51,20 @@ def word_bins(text: str) -> tuple[np.ndarray, int]:
     return np.sqrt(np.bincount(places, minlength=BINS)), len(words)
 
 
-def all_bins(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed word counts and numbers of words of all texts (null: empty): Arrow cuts and numbers the words, each distinct one is hashed once."""
-    # Controls that part words for str.split() too.
-    texts = pc.replace_substring_regex(texts.fill_null(""), "[\\x1c-\\x1f\x85]", " ")
-    words = pc.utf8_split_whitespace(texts)
-    coded = words.flatten().dictionary_encode()
-    place = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BINS if w else BINS for w in coded.dictionary.to_pylist()], np.int64)
-    cut = words.offsets.to_numpy()
-    spot = np.repeat(np.arange(len(texts)) * (BINS + 1), np.diff(cut))
-    if len(place):
-        spot += place[coded.indices.to_numpy()]
-    counts = np.bincount(spot, minlength=len(texts) * (BINS + 1)).reshape(-1, BINS + 1)[:, :BINS]
-    return counts, counts.sum(axis=1)
+def packed(text: str) -> bytes:
+    """Hashed word counts: a byte each where all fit, else four."""
+    counts = np.rint(word_bins(text)[0] ** 2)
+    return counts.astype("u1" if counts.max() < 256 else "<i4").tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """Square roots of the counts, a row each."""
+    out = np.empty((len(rows), BINS))
+    for size, kind in ((BINS, "u1"), (4 * BINS, "<i4")):
+        own = [i for i, r in enumerate(rows) if len(r) == size]
+        if own:
+            out[own] = np.frombuffer(b"".join(rows[i] for i in own), kind).reshape(-1, BINS)
+    return np.sqrt(out, out=out)
 
 
 @common.tidy
@@ -74,7 +74,7 @@ def centres(docs: DataFrame, rows: int = SAMPLE, rounds: int = 12) -> np.ndarray
 
     @F.arrow_udf("binary")
     def bins(texts: pa.Array) -> pa.Array:
-        return pa.array([row.tobytes() for row in all_bins(texts)[0].astype("<i4")], pa.binary())
+        return pa.array([packed(t or "") for t in texts.to_pylist()], pa.binary())
 
     x = common.written(docs.select(bins("text").alias("x")), "bins")
     for _ in range(rounds):
@@ -91,8 +91,8 @@ def moved(x: DataFrame, c: np.ndarray) -> np.ndarray:
 
     def tally(batches):
         total = np.zeros(c.shape, dtype=np.int64)
-        for batch in batches:
-            rows = np.sqrt(np.frombuffer(b"".join(batch["x"].to_pylist()), "<i4").reshape(-1, BINS).astype(float))
+        for batch in tokens.gathered(batches, "x"):
+            rows = unpacked(batch["x"].to_pylist())
             rows = rows[rows.any(axis=1)]
             rows /= np.linalg.norm(rows, axis=1, keepdims=True)
             own = (rows @ c.T).argmax(axis=1)
@@ -117,8 +117,7 @@ def starting(docs: DataFrame, rows: int, rounds: int) -> np.ndarray:
 
     @F.arrow_udf("array<float>")
     def bins(texts: pa.Array) -> pa.Array:
-        x = np.sqrt(all_bins(texts)[0]).astype(np.float32)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * BINS, pa.int32()), pa.array(x.reshape(-1)))
+        return pa.array([word_bins(t or "")[0].astype(np.float32) for t in texts.to_pylist()], pa.list_(pa.float32()))
 
     x = np.array([r["x"] for r in picked.select("sampled", bins("text").alias("x")).orderBy("sampled").limit(rows).collect()], dtype=np.float64).reshape(-1, BINS)
     x = x[x.any(axis=1)]
@@ -143,9 +142,10 @@ def classified(docs: DataFrame, topics: np.ndarray, column: str = "mix") -> Data
 
     @F.arrow_udf("topic int, tokens long")
     def judge(texts: pa.Array) -> pa.Array:
-        counts, n = all_bins(texts)
-        topic = (np.sqrt(counts) @ topics.T).argmax(axis=1) if len(n) else []
-        return pa.StructArray.from_arrays([pa.array(topic, pa.int32()), pa.array(n, pa.int64())], names=["topic", "tokens"])
+        got = [word_bins(t or "") for t in texts.to_pylist()]
+        x = np.array([g[0] for g in got]).reshape(-1, BINS)
+        topic = (x @ topics.T).argmax(axis=1) if len(x) else []
+        return pa.StructArray.from_arrays([pa.array(topic, pa.int32()), pa.array([g[1] for g in got], pa.int64())], names=["topic", "tokens"])
 
     return docs.withColumn(column, judge("text"))
 
