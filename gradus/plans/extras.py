@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from ..functions import classification, code, maths, strings
+from ..functions import classification, maths, strings
 from ..operators import generation, mutation, similarity
 from ..registry import Entry
 from ..session import ship
@@ -29,19 +29,6 @@ def _accuracy(s, d):
 
 
 _ACC = f"WITH {v.LOGITS}, acc AS (SELECT prompt, round(avg(CAST(gap > 0 AS DOUBLE)), 6) AS accuracy FROM gaps GROUP BY prompt)"
-_PAIRED = [(1, "def f(a):\n    b = a + 1\n    return b\n", "def g(x):\n    y = x + 1\n    return y\n"), (2, "x = 1\n", "y = [i for i in z]\n")]
-
-
-def _code_bleu(s, d):
-    ship(s)
-    pairs = s.createDataFrame(_PAIRED, "pair_id long, reference string, hypothesis string")
-    matched = similarity.matches(pairs).select("pair_id", similarity.bleu(1).alias("bleu"))
-    recall = similarity.weighted_recall(pairs, ["def", "return", "for", "in"]).groupBy("pair_id").agg(F.exp(F.avg(F.ln(F.when(F.col("num") == 0, 0.1).otherwise(F.col("num")) / F.col("den")))).alias("weighted"))
-    syntax = code.column(code.syntax_match, "double")(F.col("reference"), F.col("hypothesis"))
-    flow = code.column(code.flow_match, "double")(F.col("reference"), F.col("hypothesis"))
-    parts = pairs.select("pair_id", syntax.alias("syntax"), flow.alias("flow")).join(matched, "pair_id").join(recall, "pair_id")
-    return _round(parts.withColumn("code_bleu", 0.25 * (F.col("bleu") + F.col("weighted") + F.col("syntax") + F.col("flow"))), 4)
-
 
 def _fill(prompts: list[str]) -> list[str]:
     """A stand-in for a masked model: the prompt's digest."""
@@ -91,7 +78,6 @@ def entries() -> dict[str, Entry]:
         lambda s, d: _round(similarity.weighted_recall(v.pairs(s, d), ["the", "of"]).groupBy("n").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).agg(F.exp(F.avg(F.ln(F.col("num") / F.col("den")))).alias("score")), 5),
         f"WITH {recall} SELECT round(exp(avg(ln(num / den))), 5) AS score FROM c",
     )
-    e["b13_code_bleu"] = Entry(_code_bleu)
     e["e03_best_tokens"] = Entry(lambda s, d: _scored(s, d).select("example", F.posexplode("p").alias("k", "p")).groupBy("example").agg(F.max_by("k", F.struct("p", -F.col("k"))).cast("bigint").alias("token")), f"WITH {v.LOGITS}, x AS (SELECT example, unnest(range(10)) AS k, unnest(p) AS p FROM soft) SELECT example, arg_max(k, struct_pack(a := p, b := -k)) AS token FROM x GROUP BY example")
     e["i09_pruned_vocabulary"] = Entry(
         lambda s, d: (lambda t: t.crossJoin(F.broadcast(t.agg(F.percentile("kl", 0.5).alias("least")))).where("kl > least").select("label"))(_scored(s, d).groupBy("label").agg(F.round(F.sum(maths.kl(F.col("p"), F.col("q"))), 9).alias("kl"))),

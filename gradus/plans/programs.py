@@ -74,7 +74,7 @@ def _searched(find):
         docs = v.table(s, d, "benchmark").select("text")
         scorer = search.frame_scorer(s, docs, F.size(F.array_intersect(F.split("text", " "), F.split("prompt", " "))).cast("double"))
         text, score = find(scorer)
-        return s.createDataFrame([(text, float(score))], "prompt string, score double")
+        return s.createDataFrame([(text, round(float(score), 6))], "prompt string, score double")
 
     return run
 
@@ -105,11 +105,16 @@ def entries() -> dict[str, Entry]:
     e["s16_latest"] = Entry(lambda s, d: files.latest(v.table(s, d, "orders").select(F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("name"))), "SELECT max('checkpoint-' || o_orderkey) AS latest FROM orders")
     for name, first in (("s17_first_variant", True), ("s18_all_variants", False)):
         e[name] = Entry(lambda s, d, first=first: files.variants(v.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("p"), F.split("p_type", " ").alias("x")), "p", "x", first).select("data_id", "variant"), "SELECT p || '____SPLIT____' || i AS data_id, x[i + 1] AS variant FROM (SELECT CAST(p_partkey AS VARCHAR) AS p, string_split(p_type, ' ') AS x, unnest(range(len(string_split(p_type, ' ')))) AS i FROM part)" + (" WHERE i = 0" if first else ""))
-    e["i01_scored_prompts"] = Entry(_searched(lambda f: ("the", f(["the"])[0])))
+    e["i01_scored_prompts"] = Entry(_searched(lambda f: ("the of", f(["the of"])[0])), "SELECT 'the of' AS prompt, round(avg(CAST(list_contains(w, 'the') AS INT) + CAST(list_contains(w, 'of') AS INT)), 6) AS score FROM (SELECT string_split(text, ' ') AS w FROM benchmark)")
     e["i02_edit_search"] = Entry(_searched(lambda f: (lambda r: (r[0], r[1][-1]))(search.edit_search("the of and xx yy", f, 3))))
     e["i03_model_search"] = Entry(_searched(lambda f: (lambda r: (r[0], r[1][-1]))(search.model_search(["the", "of"], f, lambda asked: ["the of and"], 2))))
     e["i04_first_demos"] = Entry(lambda s, d: v.fewshot(s, d).orderBy("doc_id").limit(3).select("doc_id", "label"), f"WITH {v.FEWSHOT} SELECT doc_id, label FROM fewshot ORDER BY doc_id LIMIT 3")
-    e["i05_greedy"] = Entry(_searched(lambda f: search.greedy(_WORDS, f)))
+    # A word adds the share of the texts that hold it, whatever stands before it: the greedy prompt is the five commonest.
+    listed = ", ".join(f"({i}, '{w}')" for i, w in enumerate(_WORDS))
+    e["i05_greedy"] = Entry(
+        _searched(lambda f: search.greedy(_WORDS, f)),
+        f"WITH t AS (SELECT string_split(text, ' ') AS w FROM benchmark), s AS (SELECT i, v, avg(CAST(list_contains(t.w, v) AS INT)) AS share FROM t, (VALUES {listed}) l(i, v) GROUP BY i, v), top AS (SELECT * FROM s ORDER BY share DESC, i LIMIT 5) SELECT string_agg(v, ' ' ORDER BY share DESC, i) AS prompt, round(sum(share), 6) AS score FROM top",
+    )
     e["i06_genetic"] = Entry(_searched(lambda f: (lambda r: (r[0], r[1][-1]))(search.genetic(_WORDS, f))))
     e["i07_random"] = Entry(_searched(lambda f: search.random_search(_WORDS, f)))
     e["i08_swarm"] = Entry(_searched(lambda f: (lambda r: (r[0], r[1][-1]))(search.swarm(_WORDS, f))))
