@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import op1_toxicity, op2_topk, op3_packing, op4_lines, op5_rans, op6_permutation, op7_jaccard, op8_html, op9_mixing, op10_secrets
+from . import op1_toxicity, op2_topk, op3_packing, op4_lines, op5_rans, op6_permutation, op7_jaccard, op8_html, op9_mixing, op10_secrets, oracles
 
 
 def queries() -> dict:
@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
