@@ -54,6 +54,48 @@ SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(least_of.m, s.
 FROM s LEFT JOIN reps ON s.doc_id IS NOT NULL AND reps.g = s.g LEFT JOIN least_of ON least_of.v = reps.v
 """
 
+FILTERS = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), least_of AS (
+  SELECT text, min(doc_id) AS first FROM d GROUP BY text
+), f AS (
+  SELECT d.r, d.doc_id, part, list_filter([
+    CASE WHEN len(w) < 50 THEN 'A' END,
+    CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+    CASE WHEN 100 * len(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 5 * length(d.text) THEN 'C' END,
+    CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' END,
+    CASE WHEN doc_id > first THEN 'E' END], lambda x: x IS NOT NULL) AS fails
+  FROM d JOIN least_of USING (text)
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+), p(o) AS (
+  SELECT '' UNION ALL SELECT o || x FROM p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE length(o) < 5 AND NOT contains(o, x)
+), s AS (
+  SELECT o AS filter_order, k AS step, o[k] AS own, string_split(o[:k - 1], '') AS before FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE length(o) = 5
+), e AS (
+  SELECT part, filter_order, step, own, n, good, toxic, len(fails) AS m,
+    list_contains(fails, own) AS here, list_has_any(fails, before) AS gone
+  FROM c, s
+), t AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (NOT here AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (here AND gone), 0) AS redundant, coalesce(sum(n) FILTER (here AND m = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (here AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT gone), 0) AS toxic_lost
+  FROM e GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM t
+"""
+
 
 def sql() -> dict[str, str]:
-    return {"op2_topk": TOP_K, "op7_jaccard": JACCARD}
+    return {"op2_topk": TOP_K, "op7_jaccard": JACCARD, "op11_filters": FILTERS}

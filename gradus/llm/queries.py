@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import op1_toxicity, op2_topk, op3_packing, op4_lines, op5_rans, op6_permutation, op7_jaccard, op8_html, op9_mixing, op10_secrets, oracles
+from . import op1_toxicity, op2_topk, op3_packing, op4_lines, op5_rans, op6_permutation, op7_jaccard, op8_html, op9_mixing, op10_secrets, op11_filters, op12_whitening, op13_language, oracles
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_html": op8_html.op8,
         "op9_mixing": op9_mixing.op9,
         "op10_secrets": op10_secrets.op10,
+        "op11_filters": op11_filters.op11,
+        "op12_whitening": op12_whitening.op12,
+        "op13_language": op13_language.op13,
         "pipeline": corpus_pipeline.run,
     }
 
