@@ -1,414 +1,177 @@
-"""Data flow and syntax of source in brace languages and Ruby, from tokens.
+"""Data flow of source code: an interpreter over syntax trees with one table of rules a language.
 
-One reader serves java, c_sharp, javascript, php and go; Ruby's blocks are given braces first.
-It knows statements, bracketed groups, declarations and assignments, which is what data
-flow needs, and no grammar beyond that. Python has the standard library's parser (``code``).
+An edge is (name, place, relation, sources, their places); places number all tokens. A name that is read
+comesFrom the places that may have defined it, or defines itself if none has; what is
+written is computedFrom (in declarations: comesFrom) the names of its value. Python has the standard library's
+parser (``code``); the other six differ as ``RULES`` says:
 
-An edge is (name, place, relation, sources, their places); places number all tokens.
-A read comesFrom the places that may have defined its name; a written name is
-computedFrom what its value reads. States of branches merge, loops run twice.
+* java, c_sharp and ruby add the state before a branch only where there is no else, go, php and javascript always;
+* plain assignments of javascript and short declarations of go only read their names;
+* loops over elements run twice where the language's table has them (java, c_sharp, php, ruby's for), loops of
+  a header once, and once more what follows the declaration in it (its update, in go).
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import lru_cache
 
+from . import syntax
+from .syntax import Node
+
 #: Names under which languages are asked for.
 LANGUAGES = {"java": "java", "js": "javascript", "javascript": "javascript", "c_sharp": "c_sharp", "cs": "c_sharp", "php": "php", "go": "go", "python": "python", "ruby": "ruby"}
 
-#: Words that begin or join statements.
-_FLOW = frozenset("if else elsif elseif unless for foreach while until do switch case default try catch finally rescue ensure begin return throw raise break continue goto yield await new in of as range defer go then end when".split())
-#: Words that stand before a declared name, or for types.
-_DECLARING = frozenset("var let const final int long short byte char double float bool boolean string String auto public private protected static readonly override virtual async abstract global local my".split())
-_DEFINING = frozenset("function func def fn".split())
-_NESTING = frozenset("class interface struct enum namespace module package import using trait extends implements".split())
-_VALUES = frozenset("true false null nil None True False this self super undefined".split())
-_ASSIGN = frozenset("= := += -= *= /= %= **= //= <<= >>= >>>= &= |= ^= &&= ||= ??= .=".split())
-_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
-
-_TOKEN = re.compile(
-    r"""(?P<skip>[ \t\r]+|//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<line>\n)|(?P<text>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?)|(?P<number>\d[\w.]*)|(?P<name>[$@]{0,2}[^\W\d]\w*[?!]?(?=\W|\Z)|[$@]{0,2}[^\W\d]\w*)|(?P<sign>>>>=|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|//=|===|!==|:=|=>|->|\+\+|--|[-+*/%&|^.<>=!]=|&&|\|\||::|<-|.)""",
-    re.S,
-)
-_HASH = re.compile(r"#[^\n]*")
-
-
-def tokens(source: str, language: str) -> list[tuple[str, str]]:
-    """(kind, text) of each token: name, text, number, sign or line (a line's end); comments are left out."""
-    out, at = [], 0
-    while at < len(source):
-        if source[at] == "#" and language in ("ruby", "php"):
-            at = _HASH.match(source, at).end()
-            continue
-        m = _TOKEN.match(source, at)
-        at = m.end()
-        kind, text = m.lastgroup, m[0]
-        if kind == "name" and text[-1] in "?!" and language != "ruby":
-            text, at = text[:-1], at - 1
-        if kind != "skip":
-            out.append((kind, text))
-    return out
-
-
-def braced(found: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Ruby's tokens with braces for its blocks, whose heads end at a line's end, then or do."""
-    out: list[tuple[str, str]] = []
-    head, depth = None, 0  # the opener whose head is being read
-    for k, (kind, text) in enumerate(found):
-        first = not out or out[-1][0] == "line" or out[-1][1] in ("{", "}", ";", "=")
-        if text in ("(", "["):
-            depth += 1
-        elif text in (")", "]"):
-            depth -= 1
-        if kind == "name" and text in ("if", "unless", "while", "until", "for", "def", "case", "class", "module") and first:
-            head = text
-            out.append((kind, text))
-        elif kind == "name" and text in ("begin", "do") and head is None:
-            out += [(kind, "try" if text == "begin" else text), ("sign", "{")]
-        elif kind == "name" and text in ("else", "elsif", "when", "rescue", "ensure"):
-            word = {"rescue": "catch", "ensure": "finally", "when": "elsif"}.get(text, text)
-            out += [("sign", "}"), (kind, word)]
-            if word in ("else", "finally"):
-                out.append(("sign", "{"))
-            else:
-                head = word
-        elif kind == "name" and text == "end":
-            out += [("sign", "}"), ("line", "\n")]
-        elif head and depth <= 0 and (kind == "line" or text in ("then", "do", ";")):
-            out.append(("sign", "{"))
-            head = None
-        else:
-            out.append((kind, text))
-    return out
+
+@dataclass(frozen=True)
+class Rules:
+    """Kinds of nodes by what they do."""
+
+    defines: dict[str, tuple[str, str]] = field(default_factory=dict)  # name and value fields; '' by position
+    assigns: tuple[str, ...] = ()
+    updates: tuple[str, ...] = ()
+    branches: tuple[str, ...] = ()
+    always: bool = False  # the state before a branch counts, else or not
+    apart: bool = False  # only branches of a branch start from the state before it, wherever they stand
+    headers: dict[str, tuple[str, str]] = field(default_factory=dict)  # the child after which all is read again, its field read first
+    elements: dict[str, tuple[str, str]] = field(default_factory=dict)  # written and read fields; '' by position
+    twice: tuple[str, ...] = ()
+
+
+#: What each language's nodes do.
+RULES = {
+    "java": Rules({"variable_declarator": ("name", "value")}, ("assignment_expression",), ("update_expression",), ("if_statement", "else"), headers={"for_statement": ("local_variable_declaration", "")}, elements={"enhanced_for_statement": ("name", "value")}, twice=("while_statement",)),
+    "c_sharp": Rules({"variable_declarator": ("", "")}, ("assignment_expression",), ("postfix_unary_expression",), ("if_statement", "else"), headers={"for_statement": ("local_variable_declaration", "")}, elements={"for_each_statement": ("left", "right")}, twice=("while_statement",)),
+    "javascript": Rules({"variable_declarator": ("name", "value")}, ("assignment_pattern", "augmented_assignment_expression"), ("update_expression",), ("if_statement", "else"), True, headers={"for_statement": ("variable_declaration", "")}, twice=("while_statement",)),
+    "php": Rules({"simple_parameter": ("name", "default_value")}, ("assignment_expression", "augmented_assignment_expression"), ("update_expression",), ("if_statement", "else_clause"), True, headers={"for_statement": ("assignment_expression", "")}, elements={"foreach_statement": ("", "")}, twice=("while_statement",)),
+    "go": Rules({"var_spec": ("name", "value")}, ("assignment_statement",), ("inc_statement",), ("if_statement", "else"), True, headers={"for_statement": ("for_clause", "update")}),
+    "ruby": Rules({"keyword_parameter": ("name", "value")}, ("assignment", "operator_assignment"), (), ("if", "elsif", "else", "unless", "when"), apart=True, elements={"for": ("pattern", "value")}, twice=("while_modifier", "until")),
+}
+State = dict[str, tuple[int, ...]]
+
+
+def _names(node: Node | None) -> list[Node]:
+    """The tokens that may name variables: all but words and signs."""
+    return [x for x in node.leaves() if x.named] if node else []
 
 
 class Flow:
-    """Reads one source and gathers its edges."""
-
-    def __init__(self, source: str, language: str):
-        found = tokens(source, language)
-        self.tokens = braced(found) if language == "ruby" else found
-        self.language, self.edges = language, []
-        self.places, n = [], 0
-        for kind, _ in self.tokens:
-            self.places.append(n)
-            n += kind != "line"
-        self.mates = self._mates()
-
-    def _mates(self) -> dict[int, int]:
-        """Where the brackets that open are closed; those that are not, at the end."""
-        out, stack = {}, []
-        for i, (kind, text) in enumerate(self.tokens):
-            if kind == "sign" and text in _OPEN:
-                stack.append(i)
-            elif kind == "sign" and text in _CLOSE:
-                while stack and _OPEN[self.tokens[stack[-1]][1]] != text:
-                    out[stack.pop()] = i
-                if stack:
-                    out[stack.pop()] = i
-        return out | {i: len(self.tokens) for i in stack}
-
-    def text(self, i: int) -> str:
-        return self.tokens[i][1] if i < len(self.tokens) else ""
-
-    def skip(self, i: int, end: int) -> int:
-        while i < end and (self.tokens[i][0] == "line" or self.text(i) == ";"):
-            i += 1
-        return i
-
-    def names(self, i: int, end: int) -> list[int]:
-        """Tokens that may name variables: no keywords, values, members after a dot, or names of types and functions being declared."""
-        out = []
-        for k in range(i, min(end, len(self.tokens))):
-            kind, text = self.tokens[k]
-            if kind == "name" and text not in _FLOW and text not in _DECLARING and text not in _VALUES and text not in _DEFINING and text not in _NESTING and (k == 0 or self.text(k - 1) not in (".", "->", "::")):
-                out.append(k)
-        return out
-
-    def read(self, i: int, end: int, state: dict) -> list[int]:
-        """Edges of the names read; those tokens."""
-        found = self.names(i, end)
-        for k in found:
-            known = state.get(self.text(k), ())
-            self.edges.append((self.text(k), self.places[k], "comesFrom", (self.text(k),) if known else (), tuple(sorted(known))))
-        return found
-
-    def write(self, targets: list[int], sources: list[int], state: dict) -> None:
-        for k in targets:
-            name = self.text(k)
-            self.edges.append((name, self.places[k], "computedFrom", tuple(self.text(s) for s in sources), tuple(self.places[s] for s in sources)))
-            state[name] = {self.places[k]}
-
-    @staticmethod
-    def merged(*states: dict) -> dict:
-        out: dict = {}
-        for s in states:
-            for k, v in s.items():
-                out[k] = out.get(k, set()) | set(v)
-        return out
-
-    def split(self, i: int, end: int, sign: str) -> list[tuple[int, int]]:
-        """The stretches between a sign outside brackets."""
-        out, first, k = [], i, i
-        while k < end:
-            if k in self.mates:
-                k = min(self.mates[k], end)
-            elif self.text(k) == sign:
-                out.append((first, k))
-                first = k + 1
-            k += 1
-        return [*out, (first, end)]
-
-    def groups(self, i: int, end: int) -> Iterator[int]:
-        """Opening braces outside other brackets."""
-        k = i
-        while k < end:
-            if self.text(k) == "{":
-                yield k
-            k = min(self.mates[k], end) + 1 if k in self.mates else k + 1
-
-    def block(self, i: int, end: int, state: dict) -> dict:
-        i = self.skip(i, end)
-        while i < end:
-            i, state = self.statement(i, end, state)
-            i = self.skip(i, end)
+    """Reads one tree and gathers its edges; a state maps names to the places that may have defined them."""
+
+    def __init__(self, language: str):
+        self.language, self.rules, self.edges = language, RULES[language], []
+
+    def edge(self, node: Node, how: str, sources=(), places=()) -> None:
+        self.edges.append((node.text, node.place, how, tuple(sources), tuple(places)))
+
+    def visit(self, node: Node | None, state: State) -> State:
+        """The state after a node."""
+        if node is None:
+            return state
+        r, kind = self.rules, node.kind
+        if node.text is not None:
+            return self.read(node, state)
+        if kind in r.defines:
+            return self.define(node, *self.fields(node, *r.defines[kind]), state)
+        if kind in r.assigns:
+            return self.assign(node, state)
+        if kind in r.updates:
+            own = _names(node)
+            return self.written(own, own, "computedFrom", state)
+        if kind in r.branches:
+            return self.branch(node, state)
+        if kind in r.headers:
+            return self.header(node, *r.headers[kind], state)
+        if kind in r.elements:
+            target, value = self.fields(node, *r.elements[kind])
+            for _ in range(2):
+                state = self.written(_names(target), _names(value), "computedFrom", self.visit(value, state))
+                state = self.visit(node.fields.get("body"), state)
+            return state
+        for _ in range(2 if kind in r.twice else 1):
+            state = self.each(node.children, state)
         return state
 
-    def body(self, i: int, end: int, state: dict) -> tuple[int, dict]:
-        """A block in braces, or one statement."""
-        i = self.skip(i, end)
-        if self.text(i) == "{":
-            stop = min(self.mates[i], end)
-            return stop + 1, self.block(i + 1, stop, state)
-        return self.statement(i, end, state) if i < end else (end, state)
-
-    def head(self, i: int, end: int) -> tuple[int, int, int]:
-        """A head's stretch, and where what follows begins: in parentheses, or up to a brace."""
-        i = self.skip(i, end)
-        if self.text(i) == "(" and self.language != "go" and self.language != "ruby":
-            stop = min(self.mates[i], end)
-            return i + 1, stop, stop + 1
-        stop = next(self.groups(i, end), end)
-        return i, stop, stop
-
-    def statement(self, i: int, end: int, state: dict) -> tuple[int, dict]:
-        word = self.text(i)
-        if word == "{":
-            stop = min(self.mates[i], end)
-            return stop + 1, self.block(i + 1, stop, state)
-        if word in ("if", "unless", "elsif", "elseif"):
-            return self.branch(i + 1, end, state)
-        if word in ("while", "until"):
-            a, b, i = self.head(i + 1, end)
-            for _ in range(2):
-                self.read(a, b, state)
-                stop, after = self.body(i, end, dict(state))
-                state = self.merged(state, after)
-            return stop, state
-        if word in ("for", "foreach"):
-            return self.loop(i + 1, end, state)
-        if word == "do":
-            for _ in range(2):
-                stop, after = self.body(i + 1, end, dict(state))
-                state = self.merged(state, after)
-            k = self.skip(stop, end)
-            if self.text(k) == "while":
-                a, b, stop = self.head(k + 1, end)
-                self.read(a, b, state)
-            return stop, state
-        if word == "switch" or word == "case" and self.language == "ruby":
-            a, b, i = self.head(i + 1, end)
-            self.read(a, b, state)
-            stop, after = self.body(i, end, dict(state))
-            return stop, self.merged(state, after)
-        if word in ("case", "default"):  # a label: its branch may be left out
-            stop = next((k for k in range(i, end) if self.text(k) in (":", "->", "=>")), i)
-            self.read(i + 1, stop, state)
-            return stop + 1, self.merged(state)
-        if word == "try":
-            stop, after = self.body(i + 1, end, dict(state))
-            paths = [after]
-            while self.text(k := self.skip(stop, end)) in ("catch", "finally"):
-                a, b, i = self.head(k + 1, end) if self.text(k) == "catch" else (k, k, k + 1)
-                start = self.merged(state, *paths)
-                self.read(a, b, start)
-                stop, after = self.body(i, end, start)
-                paths = [after] if self.text(k) == "finally" else [*paths, after]
-            return stop, self.merged(state, *paths)
-        return self.simple(i, end, state)
-
-    def branch(self, i: int, end: int, state: dict) -> tuple[int, dict]:
-        a, b, i = self.head(i, end)
-        parts = self.split(a, b, ";")
-        for low, high in parts[:-1]:  # Go's statement before the condition
-            self.assign(low, high, state)
-        self.read(*parts[-1], state)
-        stop, taken = self.body(i, end, dict(state))
-        k = self.skip(stop, end)
-        if self.text(k) in ("elsif", "elseif"):
-            stop, other = self.branch(k + 1, end, dict(state))
-        elif self.text(k) == "else":
-            stop, other = self.body(k + 1, end, dict(state))
-        else:
-            other = state
-        return stop, self.merged(taken, other)
-
-    def loop(self, i: int, end: int, state: dict) -> tuple[int, dict]:
-        a, b, i = self.head(i, end)
-        parts = self.split(a, b, ";")
-        if len(parts) == 3:
-            self.assign(*parts[0], state)
-            for _ in range(2):
-                self.read(*parts[1], state)
-                stop, after = self.body(i, end, dict(state))
-                self.assign(*parts[2], after)
-                state = self.merged(state, after)
-            return stop, state
-        over = next((k for k in range(a, b) if self.text(k) in ("in", "of", "as", "range", ":")), None)
-        for _ in range(2):
-            if over is None:
-                self.read(a, b, state)
-            elif self.text(over) == "as":  # PHP names the element last
-                self.write(self.names(over + 1, b), self.read(a, over, state), state)
-            else:
-                mark = next((k for k in range(a, over) if self.text(k) in (":=", "=")), over)
-                names = self.names(a, mark)
-                # A declared element is the last name: those before it are types.
-                plain = [k for k in names if self.text(k + 1) in (",", "in", "of", ":", ":=", "=")]
-                self.write(plain or names[-1:], self.read(over + 1, b, state), state)
-            stop, after = self.body(i, end, dict(state))
-            state = self.merged(state, after)
-        return stop, state
-
-    def simple(self, i: int, end: int, state: dict) -> tuple[int, dict]:
-        """A statement without a word of its own, up to its end; blocks of functions and classes in it are read by themselves."""
-        stop, own = i, []
-        while stop < end and self.text(stop) != ";":
-            if self.text(stop) == "{":
-                own.append(stop)
-            if stop in self.mates:
-                stop = min(self.mates[stop], end - 1)
-                if own and self.mates.get(own[-1]) == stop and self.text(i) not in ("return",) and "=" not in [self.text(k) for k in range(i, own[-1])]:
-                    stop += 1
-                    break
-            elif self.tokens[stop][0] == "line" and self.language != "java" and self.language != "c_sharp" and self.language != "php" and self.ended(i, stop):
-                break
-            stop += 1
-        define = next((k for k in range(i, stop) if self.text(k) in _DEFINING), None)
-        if own and (define is not None or self.signature(i, own[0])):
-            return stop, self.function(i, own[0], state)
-        if own and any(self.text(k) in _NESTING for k in range(i, own[0])):
-            return stop, self.block(own[0] + 1, min(self.mates[own[0]], end), state)
-        if self.text(i) in _NESTING:
-            return stop, state
-        self.assign(i, stop, state)
-        return stop, state
-
-    def ended(self, i: int, k: int) -> bool:
-        """Whether a line's end ends the statement: not after a sign that wants more."""
-        last = next((self.tokens[j] for j in range(k - 1, i - 1, -1) if self.tokens[j][0] != "line"), None)
-        return last is not None and not (last[0] == "sign" and last[1] not in (")", "]", "}", "++", "--"))
-
-    def signature(self, i: int, brace: int) -> bool:
-        """Whether a name with parentheses, and perhaps types, stands before a brace: a method."""
-        opens = [k for k in range(i, brace) if self.text(k) == "(" and k and self.tokens[k - 1][0] == "name"]
-        return bool(opens) and not any(self.text(k) in _ASSIGN for k in range(i, opens[0]))
-
-    def function(self, i: int, brace: int, state: dict) -> dict:
-        """Parameters are defined where they stand; the body's definitions may hold after it."""
-        inner = dict(state)
-        opens = [k for k in range(i, brace) if self.text(k) == "("]
-        # Go's receiver comes before the name.
-        opens = opens[1:] if len(opens) > 1 and self.language == "go" and self.text(opens[0] - 1) == "func" else opens
-        stretch = (opens[0] + 1, min(self.mates[opens[0]], brace)) if opens else (brace, brace)
-        if not opens and self.language == "ruby":
-            stretch = (i + 2, brace)
-        for low, high in self.split(*stretch, ","):
-            equal = next((k for k in range(low, high) if self.text(k) == "="), high)
-            names = self.names(low, equal)
-            own = names[:1] if self.language in ("go", "javascript", "ruby") else names[-1:]
-            sources = self.read(equal + 1, high, state)
-            for k in own:
-                self.edges.append((self.text(k), self.places[k], "comesFrom", tuple(self.text(s) for s in sources), tuple(self.places[s] for s in sources)))
-                inner[self.text(k)] = {self.places[k]}
-        return self.merged(state, self.block(brace + 1, min(self.mates[brace], len(self.tokens)), inner))
-
-    def assign(self, i: int, end: int, state: dict) -> None:
-        """Assignments, declarations and updates of a stretch; else what it reads."""
-        i = self.skip(i, end)
-        declared = self.text(i) in _DECLARING or self.declares(i, end)
-        parts = self.split(i, end, ",") if declared and self.language != "go" else [(i, end)]
-        for low, high in parts:
-            mark = self.marked(low, high)
-            if mark is None:
-                names = self.names(low, high)
-                if any(self.text(k) in ("++", "--") for k in range(low, high)) and names:
-                    self.read(low, high, state)
-                    self.write(names[:1], names[:1], state)
-                elif declared and names and (low != i or len(names) > 1 or self.text(low) in _DECLARING):
-                    k = names[-1]
-                    self.edges.append((self.text(k), self.places[k], "comesFrom", (), ()))
-                    state[self.text(k)] = {self.places[k]}
-                else:
-                    self.inside(low, high, state)
-                continue
-            left, right = self.split(low, mark, ","), self.split(mark + 1, high, ",")
-            again = self.marked(mark + 1, high)
-            if again is not None:  # a = b = c
-                self.assign(mark + 1, high, state)
-                right = [(mark + 1, again)]
-            if len(left) != len(right):
-                left, right = [(low, mark)], [(mark + 1, high)]
-            found = [self.names(a, b) if again is not None else self.inside(a, b, state) for a, b in right]
-            for (a, b), sources in zip(left, found):
-                names = self.names(a, b)
-                self.write(names[-1:] if declared and self.text(b - 1) != "]" else names, sources, state)
-
-    def declares(self, i: int, end: int) -> bool:
-        """Two names in a row, the first a type (with its brackets): a declaration."""
-        k = i
-        if k < end and self.tokens[k][0] == "name" and self.text(k) not in _FLOW:
-            k += 1
-            while k < end and self.text(k) in (".", "<", ">", "[", "]", ",", "?") or k < end and self.tokens[k][0] == "name" and self.text(k - 1) in (".", "<", ","):
-                k += 1
-            return k < end and self.tokens[k][0] == "name" and self.text(k) not in _FLOW and k > i and (self.tokens[k - 1][0] == "name" or self.text(k - 1) in (">", "]", "?"))
-        return False
-
-    def marked(self, i: int, end: int) -> int | None:
-        """The first sign of assignment outside brackets."""
-        k = i
-        while k < end:
-            if self.text(k) in _ASSIGN:
-                return k
-            k = self.mates[k] + 1 if k in self.mates else k + 1
-        return None
-
-    def inside(self, i: int, end: int, state: dict) -> list[int]:
-        """What an expression reads; functions and Ruby's blocks in it are read by themselves."""
-        k, out, low = i, [], i
-        while k < end:
-            if self.language == "ruby" and self.text(k) == "{":
-                stop, first = min(self.mates[k], end), k + 1
-                out += self.read(low, k, state)
-                if self.text(first) == "|":  # what the block is called with comes from what it is called on
-                    last = next((j for j in range(first + 1, stop) if self.text(j) == "|"), first)
-                    self.write(self.names(first + 1, last), list(out), state)
-                    first = last + 1
-                after = self.block(first, stop, dict(state))
-                state.update(self.merged(state, after))
-                k = low = stop + 1
+    def each(self, nodes, state: State) -> State:
+        for child in nodes:
+            state = self.visit(child, state)
+        return state
+
+    def fields(self, node: Node, first: str, second: str) -> tuple[Node | None, Node | None]:
+        """A node's two parts by field; by position where they have no names: a declarator's children, and the last two variables of a loop's head, source first."""
+        if first:
+            return node.fields.get(first), node.fields.get(second)
+        if node.kind in self.rules.elements:
+            found = [c for c in node.children if c.kind == "variable_name"]
+            return (found[1], found[0]) if len(found) > 1 else (None, found[0] if found else None)
+        return node.children[0], node.children[1] if len(node.children) == 2 else None
+
+    def read(self, node: Node, state: State) -> State:
+        if not node.named:
+            return state
+        known = state.get(node.text)
+        self.edge(node, "comesFrom", (node.text,) if known else (), known or ())
+        return state if known or node.kind != "identifier" else {**state, node.text: (node.place,)}
+
+    def written(self, targets: list[Node], sources: list[Node], how: str, state: State) -> State:
+        for x in targets:
+            if sources:
+                self.edge(x, how, (s.text for s in sources), (s.place for s in sources))
+            state = {**state, x.text: (x.place,)}
+        return state
+
+    def define(self, node: Node, name: Node | None, value: Node | None, state: State) -> State:
+        own = _names(name)
+        if value is None:
+            for x in own:
+                self.edge(x, "comesFrom")
+            return state | {x.text: (x.place,) for x in own}
+        return self.written(own, _names(value), "comesFrom", self.visit(value, state))
+
+    def assign(self, node: Node, state: State) -> State:
+        left, right = node.fields.get("left"), node.fields.get("right")
+        pairs = [(left, right)]
+        if left and right and self.rules.apart and node.kind != "operator_assignment":
+            # As many targets as values: each from its own.
+            lists = [[c for c in x.children if c.kind != ","] if x.kind.endswith("_list") else [x] for x in (left, right)]
+            pairs = list(zip(*lists)) if len(lists[0]) == len(lists[1]) else pairs
+        for _, value in pairs:
+            state = self.visit(value, state)
+        for target, value in pairs:
+            state = self.written(_names(target), _names(value), "computedFrom", state)
+        return state
+
+    def branch(self, node: Node, state: State) -> State:
+        current, others = state, []
+        parted = False
+        for child in node.children:
+            own = child.kind in self.rules.branches
+            if own and not self.rules.apart:
+                parted = True
+            if child.text is not None and not child.named:
                 continue
-            if self.text(k) in _DEFINING or self.text(k) in ("=>", "->") and self.text(k + 1) == "{":
-                brace = next((j for j in range(k, end) if self.text(j) == "{"), None)
-                if brace is not None:
-                    out += self.read(low, k, state)
-                    self.function(k, brace, state) if self.text(k) in _DEFINING else self.block(brace + 1, min(self.mates[brace], end), dict(state))
-                    k = low = min(self.mates[brace], end) + 1
-                    continue
-            k += 1
-        return out + self.read(min(low, end), end, state)
+            if own or parted:
+                others.append(self.visit(child, state))
+            else:
+                current = self.visit(child, current)
+        whole = "else" in node.kind or any("else" in c.kind for c in node.children)
+        return _merged([*others, current, *([state] if self.rules.always or not whole else [])])
+
+    def header(self, node: Node, mark: str, first: str, state: State) -> State:
+        state = self.each(node.children, state)
+        at = next((i for i, c in enumerate(node.children) if c.kind == mark), None)
+        if at is None:
+            return state
+        return self.each(node.children[at + 1 :], self.visit(node.children[at].fields.get(first), state))
+
+
+def _merged(states: list[State]) -> State:
+    out: dict[str, set[int]] = {}
+    for s in states:
+        for k, v in s.items():
+            out.setdefault(k, set()).update(v)
+    return {k: tuple(sorted(v)) for k, v in out.items()}
 
 
 def data_flow(source: str, language: str) -> list:
@@ -418,50 +181,23 @@ def data_flow(source: str, language: str) -> list:
     language = LANGUAGES[language]
     if language == "python":
         return python_flow(source)
-    flow = Flow(source, language)
-    flow.block(0, len(flow.tokens), {})
+    flow = Flow(language)
+    try:
+        flow.visit(syntax.parsed(source, language), {})
+    except RecursionError:  # nested beyond any program
+        return []
     return pruned(flow.edges)
 
 
 def subtrees(source: str, language: str) -> list[str]:
-    """S-expressions of the source's nested groups: kinds of tokens, keywords as they are, groups by their bracket."""
+    """What stands for each inner node of the source's tree; equal ones have equal shapes."""
     from .code import subtrees as python_subtrees
 
     language = LANGUAGES[language]
     if language == "python":
         return python_subtrees(source)
-    flow, out = Flow(source, language), []
-    if not flow.tokens:
-        return []
-
-    def shape(i: int, end: int) -> str:
-        parts, k, line = [], i, []
-
-        def close():
-            if line:
-                parts.append(f"({' '.join(line)})" if len(line) > 1 else line[0])
-                line.clear()
-
-        while k < end:
-            kind, text = flow.tokens[k]
-            if k in flow.mates:
-                stop = min(flow.mates[k], end)
-                inner = f"({ {'(': 'group', '[': 'index', '{': 'block'}[text] } {shape(k + 1, stop)})"
-                out.append(inner)
-                line.append(inner)
-                k = stop
-                if text == "{":
-                    close()
-            elif kind == "line" or text == ";":
-                close()
-            else:
-                line.append(text if kind == "sign" or text in _FLOW or text in _DEFINING or text in _DECLARING else kind)
-            k += 1
-        close()
-        return " ".join(parts)
-
-    whole = shape(0, len(flow.tokens))
-    return [f"(source {whole})", *out]
+    tree = syntax.parsed(source, language)
+    return syntax.subtrees(tree) if tree.children else []
 
 
 def matched(kind: Callable[[str, str], list], normal: Callable[[list], list], clipped: bool) -> Callable[[str, list[str], str], tuple[int, int]]:

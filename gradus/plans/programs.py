@@ -99,7 +99,6 @@ def entries() -> dict[str, Entry]:
     e["s06_board"] = Entry(_round_trip(lambda s, d, p: files.write_board(v.leaderboard_runs(s, d).groupBy("hyper", "model").agg(F.count(F.lit(1)).alias("n")), p), lambda s, p: s.read.option("header", True).csv(p).select("model", F.col("n").cast("bigint").alias("n"), F.col("hyper").cast("string").alias("hyper"))), f"WITH {v.BOARD} SELECT model, count(*) AS n, hyper FROM board GROUP BY ALL")
     e["s07_few_shot_rows"] = Entry(_round_trip(lambda s, d, p: v.fewshot(s, d).select(F.md5("text").alias("sentence"), "label").write.csv(p, sep="\t", header=True), lambda s, p: files.few_shot_rows(s, p)), f"WITH {v.FEWSHOT} SELECT md5(text) AS text, label FROM fewshot")
     e["s08_s15_write_once"] = Entry(_round_trip(lambda s, d, p: [files.write_once(v.table(s, d, t), p) for t in ("region", "nation")], lambda s, p: s.read.parquet(p)), "SELECT * FROM region")
-    e["s11_lines"] = Entry(_round_trip(lambda s, d, p: s.createDataFrame([(" a \nb\n c",)], "value string").coalesce(1).write.text(p), lambda s, p: files.lines(s, p).where("line <> ''").select(F.col("line_no").cast("bigint").alias("line_no"), "line")), _gold([(0, "a"), (1, "b"), (2, "c")], "line_no", "line"))
     e["s13_published"] = Entry(_round_trip(lambda s, d, p: files.publish(v.table(s, d, "supplier").withColumn("split", F.when(F.col("s_suppkey") % 2 == 0, "even").otherwise("odd")), p), lambda s, p: s.read.parquet(p).groupBy("split").agg(F.count(F.lit(1)).alias("n"))), "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS split, count(*) AS n FROM supplier GROUP BY ALL")
     e["s14_vocabulary"] = Entry(_round_trip(lambda s, d, p: s.createDataFrame([('{"a": 1, "b": 2}',)], "value string").write.text(p), lambda s, p: files.vocabulary(s, p)), _gold([("a", 1), ("b", 2)], "token", "id"))
     e["s16_latest"] = Entry(lambda s, d: files.latest(v.table(s, d, "orders").select(F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("name"))), "SELECT max('checkpoint-' || o_orderkey) AS latest FROM orders")

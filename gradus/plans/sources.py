@@ -10,13 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import code, flow, strings
-from ..operators import codebleu, generation
+from ..functions import code, strings
+from ..operators import generation
 from ..registry import Entry
 from ..session import ship
 from ..sources import files
 from . import views as v
-from .scores import _round
 
 _PROGRAM = """import math
 
@@ -79,7 +78,6 @@ _FUNCTIONS = {
     "ruby": "def f(x)\n  y = {n}\n  while x > 0\n    y = y + x\n  end\n  y\nend",
 }
 _GENERATED = ("python", "java", "cs", "cpp", "js", "ts", "php", "sh")
-_FLOWING = ("python", "java", "cs", "js", "php", "go", "ruby")
 
 
 def _case(by: str, values: dict, sql: bool):
@@ -122,37 +120,6 @@ def _flow_hits(s, d):
     return v.table(s, d, "part").select("p_partkey", F.round(code.column(code.flow_match, "double")(own, other), 6).alias("got"))
 
 
-def _edges(s, d):
-    f = code.column(lambda x, l: "|".join(f"{n}:{how}:{','.join(names)}" for n, _, how, names, _ in flow.data_flow(x, l)))
-    return _spoken(s, d, _FLOWING).select("n_nationkey", f(F.col("source"), F.col("language")).alias("got"))
-
-
-#: y = n; while (x > 0) y = y + x; return y: the edges in the order of their places.
-_EDGES = "x:comesFrom:|y:computedFrom:|x:comesFrom:x|y:computedFrom:y,x|y:comesFrom:y|x:comesFrom:x|y:comesFrom:y"
-
-
-def _normalised(s, d):
-    f = code.column(lambda x, l: "|".join(f"{n}:{how}:{','.join(names)}" for n, how, names in code.normalised_flow(flow.data_flow(x, l))))
-    return _spoken(s, d, _FLOWING).select("n_nationkey", f(F.col("source"), F.col("language")).alias("got"))
-
-
-def _syntax(s, d):
-    """Every function against itself, or (odd keys) against its first line alone."""
-    f = code.column(lambda a, b, l: "|".join(map(str, flow.counters()[0](b, [a], l))) if a != b else "same" if len(set(flow.counters()[0](b, [a], l))) == 1 else "differs")
-    rows = _spoken(s, d, _FLOWING)
-    other = F.when(F.col("n_nationkey") % 2 == 0, F.col("source")).otherwise(F.lit(""))
-    return rows.select("n_nationkey", f(F.col("source"), other, F.col("language")).alias("got")).withColumn("got", F.regexp_extract("got", "^(same|0)", 1))
-
-
-def _code_bleu(language: str):
-    def run(s, d):
-        rows = _spoken(s, d, (language,))
-        pairs = rows.select(F.col("n_nationkey").cast("bigint").alias("pair_id"), F.col("source").alias("hypothesis"), F.col("source").alias("reference"))
-        return _round(codebleu.code_bleu(pairs, language))
-
-    return run
-
-
 def _executed(s, d):
     ship(s)
     rows = v.table(s, d, "region").select("r_regionkey", F.concat(F.lit("assert "), F.col("r_regionkey").cast("string"), F.lit(" < 3")).alias("program"))
@@ -165,16 +132,6 @@ def _validated(s, d):
     return generation.validated(rows).select("r_regionkey")
 
 
-def _files(s, d):
-    """Programs written as files of their own and read back."""
-    from .programs import _scratch
-
-    ship(s)
-    path = _scratch(s)
-    files.write_programs(programs(s, d).where("p_partkey <= 20").select(F.lit("sample_0").alias("folder"), F.concat(F.lit("code_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file"), F.col("source").alias("program")), path)
-    return files.program_files(s, path).select("folder", "file", F.md5("program").alias("h"))
-
-
 def _small_flow(show):
     """A program of three assignments a nation, of which the second goes nowhere."""
 
@@ -206,8 +163,6 @@ def entries() -> dict[str, Entry]:
     e: dict[str, Entry] = {}
     e["b10_places"] = Entry(_small_flow(lambda x: "|".join(str(p) for _, p, *_ in code.data_flow(x))), "SELECT n_nationkey, '0|2|3' AS got FROM nation")
     e["b12_pruned"] = Entry(_small_flow(lambda x: "|".join(f"{n}:{how}" for n, _, how, _, _ in code.data_flow(x))), "SELECT n_nationkey, 'x' || n_nationkey || ':computedFrom|z:computedFrom|x' || n_nationkey || ':comesFrom' AS got FROM nation")
-    in_order = code.column(lambda x, l: "|".join(str(n) for n in (len(flow.data_flow(x, l)), [e[1] for e in flow.data_flow(x, l)] == sorted(e[1] for e in flow.data_flow(x, l)))))
-    e["t07_edges_in_order"] = Entry(lambda s, d: _spoken(s, d, _FLOWING).select("n_nationkey", in_order(F.col("source"), F.col("language")).alias("got")), "SELECT n_nationkey, '7|True' AS got FROM nation")
     e["s05_json_sink"] = Entry(_json_sink, "SELECT n_nationkey, n_name FROM nation")
     e["e02_retried"] = Entry(lambda s, d: (ship(s), generation.completed(v.table(s, d, "benchmark").select("item_id", F.col("text").alias("prompt")), Flaky(), wait=0))[1].select("item_id", "answer"), "SELECT item_id, substring(md5(text), 1, 8) AS answer FROM benchmark")
     e["e05_parallel"] = Entry(lambda s, d: (ship(s), generation.executed(v.table(s, d, "nation").select("n_nationkey", F.concat(F.lit("assert "), F.col("n_nationkey").cast("string"), F.lit(" % 3 != 1")).alias("program")), partitions=4))[1].select("n_nationkey", "passed"), "SELECT n_nationkey, n_nationkey % 3 <> 1 AS passed FROM nation")
@@ -238,14 +193,8 @@ def entries() -> dict[str, Entry]:
     fenced = f"WITH {_spoken_sql(_GENERATED)} SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 4 THEN 'PROMPT' || {_NL} || 'no code' ELSE source END AS got FROM spoken"
     e["f10_generations"] = Entry(_generations, fenced)
     e["a22_flow_match"] = Entry(_flow_hits, "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE round(3 / 9.0, 6) END AS got FROM part")
-    e["b09_data_flow"] = Entry(_edges, f"WITH {_spoken_sql(_FLOWING)} SELECT n_nationkey, CASE WHEN language = 'php' THEN regexp_replace(regexp_replace('{_EDGES}', '([xy])', '$\\1', 'g'), '([x$y]om|com|put)', '\\1') ELSE '{_EDGES}' END AS got FROM spoken")
-    e["b08_syntax_match"] = Entry(_syntax, f"WITH {_spoken_sql(_FLOWING)} SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'same' ELSE '0' END AS got FROM spoken")
-    e["b11_normalised_flow"] = Entry(_normalised, "SELECT n_nationkey, 'var_0:comesFrom:|var_1:computedFrom:|var_0:comesFrom:var_0|var_1:computedFrom:var_1,var_0|var_1:comesFrom:var_1|var_0:comesFrom:var_0|var_1:comesFrom:var_1' AS got FROM nation")
-    for language in ("java", "python", "go"):
-        e[f"b13_code_bleu_{language}"] = Entry(_code_bleu(language), "SELECT 1.0 AS ngram, 1.0 AS weighted, 1.0 AS syntax, 1.0 AS flow, 1.0 AS code_bleu")
     e["e04_executed"] = Entry(_executed, "SELECT r_regionkey, r_regionkey < 3 AS passed FROM region")
     e["p12_validated"] = Entry(_validated, "SELECT r_regionkey FROM region WHERE r_regionkey % 2 = 0")
-    e["s09_s10_programs"] = Entry(_files, "WITH p AS (SELECT *, CAST(p_partkey AS VARCHAR) AS k, CAST(p_size AS VARCHAR) AS n FROM part WHERE p_partkey <= 20) SELECT 'sample_0' AS folder, 'code_' || k || '.py' AS file, md5(replace(replace(replace('" + _PROGRAM.replace("'", "''") + "', '{k}', k), '{n}', n), '{name}', p_name)) AS h FROM p")
     e["s12_keywords"] = Entry(_keywords, "SELECT * FROM (VALUES ('c_sharp', CAST(107 AS BIGINT)), ('java', 50), ('python', 35)) t(language, n)")
     return e
 

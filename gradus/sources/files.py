@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.strings import ID_SEPARATOR
+from ..session import shared_dir
+from . import store
 
 #: The datasets by id: source, split and display name.
 DATASETS = (
@@ -68,32 +72,35 @@ def program_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_programs(rows: DataFrame, path: str) -> None:
-    """A file for each row of folder, file and program, below ``path``; each ends with a line's end.
+    """A file for each row of folder (task/sample), file and program, below ``path`` (``store``)."""
+    store.register(rows.sparkSession)
+    parts = F.split("folder", "/", 2)
+    named = rows.select(parts[0].alias("task"), F.coalesce(F.get(parts, 1), F.lit("sample_0")).alias("sample"), "file", "program")
+    named.write.format("programs").mode("overwrite").save(path)
 
-    Spark writes them as partitions of one row each; the driver, which sees names only, gives them
-    their names by the store's own file system, so any path that Spark reads will do.
-    """
-    spark = rows.sparkSession
-    named = rows.select(F.concat_ws("/", "folder", "file").alias("name"), F.regexp_replace("program", r"\n\z", "").alias("value"))
-    named.write.partitionBy("name").mode("overwrite").text(f"{path}/.parts")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(f"{path}/.parts")
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in system.listStatus(root):
-        if not folder.isDirectory():
-            continue
-        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().split("=", 1)[1])
-        target = hadoop.Path(f"{path}/{name}")
-        system.mkdirs(target.getParent())
-        for part in system.listStatus(folder.getPath()):
-            system.rename(part.getPath(), target)
-    system.delete(root, True)
+
+#: Blocks of files whose first lines' numbers a broadcast may hold.
+BLOCKS = 200_000
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no and trimmed line of a text file; the file is read whole, as a line's number depends on all before it."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
+    """line_no (from 0) and trimmed line of text files, which are read as many tasks read them.
+
+    Files follow one another in the order of their paths. Lines are written once with their
+    block of bytes and their place in what its task read; sums over the blocks before give the number of a
+    block's first line. Reading once keeps the blocks: a second scan may cut the files elsewhere.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    table = f"{shared_dir(spark)}/gradus-lines-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(table)
+    held = spark.read.schema(rows.schema).parquet(table)
+    counted = held.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    # One row a block: a hundred bytes for what a task reads.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counted.select("file", "block", "first", before.alias("before"))
+    numbered = held.join(F.broadcast(blocks) if counted.count() <= BLOCKS else blocks, ["file", "block"])
+    return numbered.select((F.col("before") + F.col("at") - F.col("first")).alias("line_no"), F.trim("value").alias("line"))
 
 
 def keywords(spark: SparkSession, path: str) -> DataFrame:
