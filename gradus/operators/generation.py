@@ -71,6 +71,75 @@ def completed(rows: DataFrame, completer: Completer, prompt: str = "prompt", ret
     return rows.mapInPandas(run, schema)
 
 
+#: Part of a minute that clocks of executors may differ by, and that a batch may be late in its window.
+TOLERANCE = 0.1
+
+
+def paced(rows: DataFrame, completer: Completer, prompt: str = "prompt", limit: int = 100, minute: float = 60.0, partitions: int = 8, retries: int = 10) -> DataFrame:
+    """``rows`` with ``answer``: no more than ``limit`` requests in any minute over all tasks together.
+
+    Time is cut into windows of a minute (and a little), and batches of ``limit`` prompts are numbered over all
+    partitions by a prefix sum of their counts. Of N batches, number k may be asked in the windows k,
+    k + N, k + 2N and so on, within the first ``TOLERANCE`` of one: no window is another batch's, so a
+    task that starts late waits for its next one and never shares. Failed prompts come again in a later window of
+    their task, ahead of those not yet asked, and are the empty text after ``retries`` of them. The result is
+    not repeatable: persist or write it.
+    """
+    part = F.pmod(F.xxhash64(prompt), F.lit(partitions)).cast("int")
+    held = rows.withColumn("__part", part)
+    # One number a partition.
+    counts = {r["__part"]: -(-r["count"] // limit) for r in held.groupBy("__part").count().collect()}
+    first, whole = {}, 0
+    for p in range(partitions):
+        first[p] = whole
+        whole += counts.get(p, 0)
+    width, began = minute * (1 + 2 * TOLERANCE), time.time()
+    names = rows.columns
+
+    def wait(slots: range) -> None:
+        """Sleep until the next window of one of the slots begins."""
+        now = (time.time() - began) / width
+        # A window that has just begun will do; the minute between two starts is kept by the windows' width.
+        turn = now if now % 1 <= TOLERANCE / (1 + 2 * TOLERANCE) else int(now) + 1
+        due = min((s + whole * max(0, -(-(int(turn) - s) // whole)) for s in slots))
+        time.sleep(max(0.0, began + due * width - time.time()))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queue: list[tuple[int, dict]] = []
+        slots, last = None, None
+
+        def ask() -> pd.DataFrame:
+            nonlocal last
+            while True:
+                wait(slots)
+                window = int((time.time() - began) / width)
+                if window != last:
+                    break
+                time.sleep(width * 2 * TOLERANCE)
+            last = window
+            own, queue[:limit] = queue[:limit], []
+            done, again = [], []
+            for (tries, row), answer in zip(own, completer.complete([row[prompt] for _, row in own])):
+                if answer is None and tries + 1 < retries:
+                    again.append((tries + 1, row))
+                else:
+                    done.append(row | {"answer": answer or ""})
+            queue[:0] = again
+            return pd.DataFrame(done, columns=[*names, "answer"])
+
+        for frame in frames:
+            if slots is None and len(frame):
+                p = int(frame["__part"].iloc[0])
+                slots = range(first[p], first[p] + counts[p])
+            queue += [(0, row) for row in frame[names].to_dict("records")]
+            while len(queue) >= limit:
+                yield ask()
+        while queue:
+            yield ask()
+
+    return held.repartitionById(partitions, F.col("__part")).mapInPandas(run, f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, answer string")
+
+
 def execute(source: str, seconds: float = 3.0, megabytes: int = 512) -> tuple[bool, str]:
     """Run a program in a child interpreter of its own: (exit code is 0, standard error or 'timeout').
 
@@ -97,6 +166,55 @@ def execute(source: str, seconds: float = 3.0, megabytes: int = 512) -> tuple[bo
             return False, "timeout"
 
 
+#: Part of a bin's load from which a program is placed by itself; stretches of the order of all others.
+LARGE, STRETCHES = 0.05, 4096
+
+
+def balanced(rows: DataFrame, key: str, cost: str, bins: int) -> DataFrame:
+    """``rows`` in ``bins`` partitions of about equal sums of ``cost`` (predicted seconds, above 0), with ``bin``.
+
+    Rows that cost more than ``LARGE`` of a bin's fair share, fewer than bins / LARGE, are placed longest first into
+    the bin with least load. The others follow one another in the order of an md5 of their key, and the sum of
+    costs before a row tells the bin whose room it falls in: a prefix sum over stretches of that order, then within each. So a bin
+    exceeds its room by one small row at most. ``key`` tells rows apart.
+    """
+    spark = rows.sparkSession
+    whole = rows.agg(F.sum(cost)).first()[0] or 0.0
+    own = rows.withColumn("__order", F.md5(F.col(key).cast("string"))).withColumn("__stretch", F.conv(F.substring("__order", 1, 3), 16, 10).cast("int"))
+    least = float(whole) / bins * LARGE
+    large = own.where(F.col(cost) > least).select(key, F.col(cost).cast("double").alias("c")).collect()
+    load, place = [0.0] * bins, []
+    for r in sorted(large, key=lambda r: (-r["c"], str(r[key]))):
+        b = load.index(min(load))
+        load[b] += r["c"]
+        place.append((r[key], b))
+    # Room left under one level for all bins, found by filling the emptiest first.
+    rest, level = float(whole) - sum(load), 0.0
+    for n in range(bins, 0, -1):
+        level = (sum(sorted(load)[:n]) + rest) / n
+        if n == 1 or sorted(load)[n - 1] <= level:
+            break
+    ends, total = [], 0.0
+    for x in load:
+        total += max(0.0, level - x)
+        ends.append(total)
+    sums = {r["__stretch"]: r["s"] for r in own.where(F.col(cost) <= least).groupBy("__stretch").agg(F.sum(cost).alias("s")).collect()}
+    starts, total = [], 0.0
+    for k in range(STRETCHES):
+        starts.append((k, total))
+        total += float(sums.get(k, 0.0))
+    # A number a stretch, a bin for each large row: bounded tables.
+    before = F.broadcast(spark.createDataFrame(starts, "__stretch int, __start double"))
+    placed = F.broadcast(spark.createDataFrame(place, f"`{key}` {dict(rows.dtypes)[key]}, __bin int"))
+    inside = F.sum(cost).over(Window.partitionBy("__stretch").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1))
+    small = own.where(F.col(cost) <= least).withColumn("__inside", F.coalesce(inside, F.lit(0.0))).join(before, "__stretch")
+    bin_ = F.size(F.filter(F.array(*map(F.lit, ends[:-1])), lambda e: e <= F.col("__start") + F.col("__inside"))) if bins > 1 else F.lit(0)
+    out = small.select(*rows.columns, bin_.cast("int").alias("bin"))
+    if place:
+        out = out.unionByName(own.where(F.col(cost) > least).join(placed, key).select(*rows.columns, F.col("__bin").alias("bin")))
+    return out.repartitionById(bins, F.col("bin"))
+
+
 def executed(programs: DataFrame, seconds: float = 3.0, partitions: int | None = None) -> DataFrame:
     """``programs`` (with ``program``) with ``passed`` and ``error``. Spread first: programs' costs differ widely."""
     schema = f"{', '.join(f'`{n}` {t}' for n, t in programs.dtypes)}, passed boolean, error string"

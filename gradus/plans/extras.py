@@ -14,26 +14,12 @@ from . import views as v
 from .scores import _round, _scored
 from .texts import _MATCHES, _grams_sql, _matched, reweighed_sql
 
-_BIG = '{"examples": [">>> task_func(1, 2)", ">>> other(3)", " >>> task_func([4])"]}'
-
-
-def _bigcode(s, d):
-    rows = s.createDataFrame([("a/1", "p", "s", _BIG, "task_func")], "task_id string, complete_prompt string, canonical_solution string, doc_struct string, entry_point string")
-    shown = F.transform(F.from_json("doc_struct", "examples array<string>")["examples"], lambda x: F.btrim(F.replace(x, F.lit(">>>"), F.lit(""))))
-    own = F.filter(shown, lambda x: F.contains(x, F.col("entry_point")))
-    return rows.select(strings.safe_id(F.col("task_id")).alias("data_id"), F.concat("complete_prompt", "canonical_solution").alias("solution"), F.explode(own).alias("example"))
-
-
 def _accuracy(s, d):
     return _scored(s, d).groupBy("prompt").agg(F.round(F.avg((F.col("gap") > 0).cast("double")), 6).alias("accuracy"))
 
 
 _ACC = f"WITH {v.LOGITS}, acc AS (SELECT prompt, round(avg(CAST(gap > 0 AS DOUBLE)), 6) AS accuracy FROM gaps GROUP BY prompt)"
 
-def _fill(prompts: list[str]) -> list[str]:
-    """A stand-in for a masked model: the prompt's digest."""
-    return [hashlib.md5(p.encode()).hexdigest()[:6] for p in prompts]
-
 
 def _validated_prompt(s, d):
     """The prompt that does best on the validation split, and its accuracy on the test split as it is and with logits standardised by the validation split's moments."""
@@ -57,7 +43,6 @@ SELECT best, round(avg(CAST(gap > 0 AS DOUBLE)), 6) AS accuracy, round(avg(CAST(
 
 def entries() -> dict[str, Entry]:
     e: dict[str, Entry] = {}
-    e["p04_bigcode_rows"] = Entry(_bigcode, "SELECT * FROM (VALUES ('a_1', 'ps', 'task_func(1, 2)'), ('a_1', 'ps', 'task_func([4])')) t(data_id, solution, example)")
     e["f22_sentences"] = Entry(
         lambda s, d: v.table(s, d, "benchmark").select("item_id", F.size(strings.tokens(F.col("text"))).cast("bigint").alias("words"), F.size(F.filter(F.split("text", "[.!?]"), lambda x: F.trim(x) != "")).cast("bigint").alias("sentences"), F.ceil(F.size(strings.tokens(F.col("text"))) / 5).cast("bigint").alias("spans")),
         r"SELECT item_id, CAST(len(w) AS BIGINT) AS words, CAST(len(list_filter(string_split_regex(text, '[.!?]'), lambda x: trim(x) <> '')) AS BIGINT) AS sentences, CAST(ceil(len(w) / 5.0) AS BIGINT) AS spans FROM (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)",
@@ -70,8 +55,6 @@ def entries() -> dict[str, Entry]:
         lambda s, d: v.table(s, d, "benchmark").select("item_id", F.md5(classification.detokenised(strings.tokens(F.regexp_replace(F.replace("text", F.lit("the "), F.lit("they 're can not -- ")), spaced, " $1 ")))).alias("h")),
         f"SELECT item_id, md5(trim({undone})) AS h FROM benchmark",
     )
-    e["f26_label_words"] = Entry(lambda s, d: s.createDataFrame([("ag_news", "|".join(classification.label_words("ag_news", True))), ("mrpc", "|".join(classification.label_words("mrpc", False)))], "dataset string, words string"), "SELECT * FROM (VALUES ('ag_news', 'ĠWorld|ĠSports|ĠBusiness|ĠTech'), ('mrpc', '▁no|▁yes')) t(dataset, words)")
-    e["f28_patterns"] = Entry(lambda s, d: v.table(s, d, "benchmark").select("item_id", F.md5(classification.prompt("sst2", F.lit("Judge"), F.col("text"))).alias("h")), "SELECT item_id, md5(' Judge. Sentence: ' || text || ', Sentiment: ') AS h FROM benchmark")
     e["b05_reweighed"] = Entry(lambda s, d: _round(_matched(s, d).select("pair_id", similarity.bleu(1, reweigh=True).alias("bleu"))), f"{_MATCHES} SELECT pair_id, round({reweighed_sql()}, 6) AS bleu FROM matched")
     recall = f"{v.PAIRS}, {_grams_sql('h')}, {_grams_sql('r')}, w AS (SELECT r.pair_id, r.n, r.k, coalesce(h.k, 0) AS hk, CASE WHEN r.n > 1 OR gram IN ('the','of') THEN 1.0 ELSE 0.2 END AS w FROM rg r LEFT JOIN hg h USING (pair_id, n, gram)), p AS (SELECT e.pair_id, e.n, coalesce(sum(least(k, hk) * w), 0) AS num, greatest(1.0, coalesce(sum(k * w), 0)) AS den FROM (SELECT pair_id, unnest(range(1, 5)) AS n FROM pairs) e LEFT JOIN w ON w.pair_id = e.pair_id AND w.n = e.n GROUP BY ALL), c AS (SELECT n, sum(num) AS num, sum(den) AS den FROM p GROUP BY n)"
     e["b07_weighted_corpus"] = Entry(
@@ -88,10 +71,6 @@ def entries() -> dict[str, Entry]:
         lambda s, d: _round(_scored(s, d).withColumn("seed", F.col("example") % 3).groupBy("prompt").pivot("seed", [0, 1, 2]).agg(F.avg((F.col("gap") > 0).cast("double"))).toDF("prompt", "seed_0", "seed_1", "seed_2")),
         f"WITH {v.LOGITS} SELECT prompt, {', '.join(f'round(avg(CAST(gap > 0 AS DOUBLE)) FILTER (WHERE example % 3 = {k}), 6) AS seed_{k}' for k in range(3))} FROM gaps GROUP BY prompt",
     )
-    e["g14_filled_tokens"] = Entry(
-        lambda s, d: (ship(s), mutation.filled(mutation.masked(v.table(s, d, "benchmark"), "item_id", "text"), _fill))[1].select("item_id", F.col("place").cast("bigint").alias("place"), F.md5("mutated").alias("h")),
-        "WITH x AS (SELECT item_id, l, unnest(range(len(l))) AS i, unnest(l) AS w FROM (SELECT item_id, string_split(text, ' ') AS l FROM benchmark)), c AS (SELECT item_id, l, i FROM x WHERE i > 0 AND i < len(l) - 1 AND regexp_full_match(w, '\\p{L}+') QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY md5(item_id || '|' || i)) <= 10), p AS (SELECT item_id, i, array_to_string(list_transform(range(len(l)), lambda k: CASE WHEN k = i THEN '[MASK]' ELSE l[k + 1] END), ' ') AS prompt FROM c) SELECT item_id, i AS place, md5(replace(prompt, '[MASK]', substring(md5(prompt), 1, 6))) AS h FROM p",
-    )
     said = "'{\"choices\": [{\"text\": \"' || event_type || '\", \"logprobs\": {\"tokens\": [\"' || event_type || '\", \".\"], \"token_logprobs\": [-' || CAST(event_id % 7 AS VARCHAR) || '.5, -1]}}]}'"
     e["e03_text_logprobs"] = Entry(
         lambda s, d: generation.text_and_logprobs(v.table(s, d, "events").select("event_id", F.when(F.col("event_id") % 11 == 0, F.lit("no answer")).otherwise(F.expr(said.replace("VARCHAR", "STRING"))).alias("response"))).select("event_id", "text", F.array_join("tokens", "|").alias("tokens"), F.aggregate("logprobs", F.lit(0.0), lambda a, x: a + x).alias("total")),

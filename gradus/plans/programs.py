@@ -14,21 +14,6 @@ from ..sources import files
 from ..streaming import passes
 from . import views as v
 
-#: Programs to analyse: name of the entry function and source.
-SNIPPETS = (
-    ("add", 'def add(a, b=1):\n    """Add two numbers.\n    >>> add(1, 2)\n    3\n    """\n    return a + b\n'),
-    ("scale", 'import math\n\ndef helper(x):\n    return x * 2\n\ndef scale(values, factor):\n    """Scale values."""\n    from os import path\n    total = 0\n    for v in values:\n        total += v * factor\n    return total\n'),
-    ("outer", "def outer(n):\n    def inner(m):\n        return m + n\n    if n > 0:\n        out = inner(n)\n    else:\n        out = 0\n    return out\n"),
-    ("broken", "def broken(:\n    pass\n"),
-    ("loop", "def loop(n):\n    i = 0\n    while i < n:\n        i = i + 1\n    return i\nif True:\n    assert loop(3) == 3\nloop(5)\nloop((1, 2))\nloop(x)\n"),
-)
-
-
-def _snippets(spark: SparkSession):
-    ship(spark)
-    return spark.createDataFrame(SNIPPETS, "name string, source string")
-
-
 def _gold(rows: list[tuple], *names: str) -> str:
     def show(x):
         return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else repr(x) if isinstance(x, float) else f"CAST({x} AS BIGINT)" if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
@@ -40,24 +25,6 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/gradus-files-{uuid.uuid4().hex}"
 
 
-def _tasks(spark: SparkSession):
-    ship(spark)
-    rows = [(i, n, s.split("\n")[0], s, "", "the task") for i, (n, s) in enumerate(SNIPPETS[:2])]
-    tasks = spark.createDataFrame(rows, "task_id int, entry_func string, prefix string, solution string, demo_str string, x string")
-    tasks = tasks.withColumn("prefix", F.concat(F.lit("def "), "entry_func", F.lit("(a, b):")))
-    return generation.described_tasks(tasks).withColumn("instruction", F.col("docstring"))
-
-
-def _seeds(spark):
-    return spark.createDataFrame([(f"area{i}:topic{i}", f"text {i}") for i in range(6)], "name string, text string")
-
-
-def _rewrites(spark):
-    stub = generation.StubCompleter()
-    scenes = generation.proposed_scenarios(_seeds(spark), stub, 8)
-    return generation.verified(generation.rewritten(generation.contexts(_tasks(spark), scenes, stub, 3), stub), generation.StubCompleter("Yes."))
-
-
 def _round_trip(write, read):
     def run(s, d):
         path = _scratch(s)
@@ -84,15 +51,7 @@ _WORDS = ["the", "of", "and", "to", "in", "er", "th", "re"]
 
 def entries() -> dict[str, Entry]:
     e: dict[str, Entry] = {}
-    e["f24_without_comments"] = Entry(lambda s, d: (ship(s), s.createDataFrame([("java", 'int a; // x\n/* y */ String s = "//";'), ("ruby", "# x"), ("python", "a = 1  # x\n\nb = 2\n")], "language string, source string"))[1].select("language", code.column(code.without_comments)(F.col("source"), F.col("language")).alias("got")), _gold([("java", 'int a;  \n  String s = "//";'), ("ruby", "# x"), ("python", "a = 1  \nb = 2")], "language", "got"))
     e["e01_completed"] = Entry(lambda s, d: (ship(s), generation.completed(v.table(s, d, "benchmark").select("item_id", F.col("text").alias("prompt")), generation.StubCompleter("{digest}"), wait=0))[1].select("item_id", "answer"), "SELECT item_id, substring(md5(text), 1, 8) AS answer FROM benchmark")
-    e["g01_scenarios"] = Entry(lambda s, d: (ship(s), generation.proposed_scenarios(_seeds(s), generation.StubCompleter(), 8))[1])
-    e["g02_contexts"] = Entry(lambda s, d: (ship(s), generation.contexts(_tasks(s), _seeds(s), generation.StubCompleter(), 3))[1])
-    e["g03_rewritten"] = Entry(lambda s, d: (ship(s), generation.rewritten(generation.contexts(_tasks(s), _seeds(s), generation.StubCompleter(), 3), generation.StubCompleter()))[1])
-    e["g05_verified"] = Entry(lambda s, d: generation.verified(generation.rewritten(generation.contexts(_tasks(s), _seeds(s), generation.StubCompleter("<context>c</context><instruction>i</instruction>"), 3), generation.StubCompleter("<instruction>i</instruction>")), generation.StubCompleter("No, they differ")).groupBy("task_id").agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(0 AS INT) AS task_id, CAST(0 AS BIGINT) AS n WHERE false")
-    e["g06_pipeline"] = Entry(lambda s, d: _rewrites(s))
-    e["g04_new_tasks"] = Entry(lambda s, d: generation.new_tasks(_tasks(s), _rewrites(s)).select("task_id", "entry_func", "doc_string", "solution"))
-    e["s02_datasets"] = Entry(lambda s, d: files.datasets(s), _gold_int(files.DATASETS))
     e["s03_lookup"] = Entry(lambda s, d: files.lookup(v.table(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), v.table(s, d, "nation").select("n_nationkey", "n_name"), "n_nationkey"), "SELECT n_nationkey, c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
     e["s01_scan"] = Entry(lambda s, d: v.table(s, d, "nation"), "SELECT * FROM nation")
     e["s04_json"] = Entry(_round_trip(lambda s, d, p: files.write_json(v.table(s, d, "region"), p), lambda s, p: files.json_rows(s, p, "r_regionkey int, r_name string", whole=False)), "SELECT r_regionkey, r_name FROM region")
@@ -100,7 +59,6 @@ def entries() -> dict[str, Entry]:
     e["s07_few_shot_rows"] = Entry(_round_trip(lambda s, d, p: v.fewshot(s, d).select(F.md5("text").alias("sentence"), "label").write.csv(p, sep="\t", header=True), lambda s, p: files.few_shot_rows(s, p)), f"WITH {v.FEWSHOT} SELECT md5(text) AS text, label FROM fewshot")
     e["s08_s15_write_once"] = Entry(_round_trip(lambda s, d, p: [files.write_once(v.table(s, d, t), p) for t in ("region", "nation")], lambda s, p: s.read.parquet(p)), "SELECT * FROM region")
     e["s13_published"] = Entry(_round_trip(lambda s, d, p: files.publish(v.table(s, d, "supplier").withColumn("split", F.when(F.col("s_suppkey") % 2 == 0, "even").otherwise("odd")), p), lambda s, p: s.read.parquet(p).groupBy("split").agg(F.count(F.lit(1)).alias("n"))), "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS split, count(*) AS n FROM supplier GROUP BY ALL")
-    e["s14_vocabulary"] = Entry(_round_trip(lambda s, d, p: s.createDataFrame([('{"a": 1, "b": 2}',)], "value string").write.text(p), lambda s, p: files.vocabulary(s, p)), _gold([("a", 1), ("b", 2)], "token", "id"))
     e["s16_latest"] = Entry(lambda s, d: files.latest(v.table(s, d, "orders").select(F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("name"))), "SELECT max('checkpoint-' || o_orderkey) AS latest FROM orders")
     for name, first in (("s17_first_variant", True), ("s18_all_variants", False)):
         e[name] = Entry(lambda s, d, first=first: files.variants(v.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("p"), F.split("p_type", " ").alias("x")), "p", "x", first).select("data_id", "variant"), "SELECT p || '____SPLIT____' || i AS data_id, x[i + 1] AS variant FROM (SELECT CAST(p_partkey AS VARCHAR) AS p, string_split(p_type, ' ') AS x, unnest(range(len(string_split(p_type, ' ')))) AS i FROM part)" + (" WHERE i = 0" if first else ""))

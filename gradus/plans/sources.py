@@ -144,13 +144,6 @@ def _small_flow(show):
     return run
 
 
-class Flaky:
-    """Fails for several prompts at once and answers one."""
-
-    def complete(self, prompts: list[str]) -> list[str | None]:
-        return [None] * len(prompts) if len(prompts) > 1 else generation.StubCompleter("{digest}").complete(prompts)
-
-
 def _json_sink(s, d):
     from .programs import _scratch
 
@@ -164,7 +157,6 @@ def entries() -> dict[str, Entry]:
     e["b10_places"] = Entry(_small_flow(lambda x: "|".join(str(p) for _, p, *_ in code.data_flow(x))), "SELECT n_nationkey, '0|2|3' AS got FROM nation")
     e["b12_pruned"] = Entry(_small_flow(lambda x: "|".join(f"{n}:{how}" for n, _, how, _, _ in code.data_flow(x))), "SELECT n_nationkey, 'x' || n_nationkey || ':computedFrom|z:computedFrom|x' || n_nationkey || ':comesFrom' AS got FROM nation")
     e["s05_json_sink"] = Entry(_json_sink, "SELECT n_nationkey, n_name FROM nation")
-    e["e02_retried"] = Entry(lambda s, d: (ship(s), generation.completed(v.table(s, d, "benchmark").select("item_id", F.col("text").alias("prompt")), Flaky(), wait=0))[1].select("item_id", "answer"), "SELECT item_id, substring(md5(text), 1, 8) AS answer FROM benchmark")
     e["e05_parallel"] = Entry(lambda s, d: (ship(s), generation.executed(v.table(s, d, "nation").select("n_nationkey", F.concat(F.lit("assert "), F.col("n_nationkey").cast("string"), F.lit(" % 3 != 1")).alias("program")), partitions=4))[1].select("n_nationkey", "passed"), "SELECT n_nationkey, n_nationkey % 3 <> 1 AS passed FROM nation")
     broken = lambda: F.concat("source", F.when(F.col("p_size") % 2 == 1, "(").otherwise(""))
     literal = lambda: F.concat(F.when(F.col("p_size") % 2 == 0, "(").otherwise("["), F.col("p_size").cast("string"), F.lit(", [1.5, 'x']"), F.when(F.col("p_size") % 2 == 0, ")").otherwise("]"))
@@ -195,16 +187,4 @@ def entries() -> dict[str, Entry]:
     e["a22_flow_match"] = Entry(_flow_hits, "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE round(3 / 9.0, 6) END AS got FROM part")
     e["e04_executed"] = Entry(_executed, "SELECT r_regionkey, r_regionkey < 3 AS passed FROM region")
     e["p12_validated"] = Entry(_validated, "SELECT r_regionkey FROM region WHERE r_regionkey % 2 = 0")
-    e["s12_keywords"] = Entry(_keywords, "SELECT * FROM (VALUES ('c_sharp', CAST(107 AS BIGINT)), ('java', 50), ('python', 35)) t(language, n)")
     return e
-
-
-def _keywords(s, d):
-    """The lists, written as files of one word a line and read back."""
-    from .programs import _scratch
-
-    path = _scratch(s)
-    for language, words in files.KEYWORDS.items():
-        s.createDataFrame([(w,) for w in words], "value string").coalesce(1).write.text(f"{path}/{language}")
-    found = [files.keywords(s, f"{path}/{language}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(language).alias("language"), "n") for language in files.KEYWORDS]
-    return found[0].unionByName(found[1]).unionByName(found[2])

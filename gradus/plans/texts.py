@@ -131,7 +131,6 @@ def entries() -> dict[str, Entry]:
         "SELECT doc_id, true AS same FROM documents",
     )
     e["f07_truncated"] = Entry(lambda s, d: _DOCS(s, d).select("doc_id", F.md5(strings.truncate_at(F.col("text"), ["\nThe", "\nA", " is "])).alias("h")), f"SELECT doc_id, md5(substring(text, 1, coalesce(least(nullif(instr(text, {_NL} || 'The'), 0), nullif(instr(text, {_NL} || 'A'), 0), nullif(instr(text, ' is '), 0)) - 1, length(text)))) AS h FROM documents")
-    e["f08_stops"] = Entry(lambda s, d: s.createDataFrame([(k, len(x)) for k, x in strings.STOPS.items()], "kind string, n long"), "SELECT * FROM (VALUES ('chat', CAST(0 AS BIGINT)), ('completion', 11), ('python', 5), ('ts', 5)) t(kind, n)")
     e["f09_cleaned"] = Entry(lambda s, d: _fenced(s, d).select("doc_id", F.md5(strings.cleaned(F.col("answer"), ["\nThe"])).alias("h")), f"SELECT doc_id, md5(substring(t, 1, coalesce(nullif(instr(t, {_NL} || 'The'), 0) - 1, length(t)))) AS h FROM (SELECT doc_id, trim(text, ' ' || chr(10) || chr(9)) AS t FROM documents)")
     e["f12_last_line_dropped"] = Entry(lambda s, d: _DOCS(s, d).select("doc_id", F.md5(strings.drop_last_line(F.col("text"))).alias("h")), "SELECT doc_id, md5(array_to_string(l[1:len(l) - 1], chr(10))) AS h FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
     e["f13_template"] = Entry(lambda s, d: _DOCS(s, d).select("doc_id", F.md5(strings.template("Task in {lang} from {source}: {text} {other}", {"lang": F.col("lang"), "source": F.col("source"), "text": F.col("text")})).alias("h")), "SELECT doc_id, md5('Task in ' || lang || ' from ' || source || ': ' || text || ' {other}') AS h FROM documents")
@@ -230,5 +229,4 @@ def entries() -> dict[str, Entry]:
         + " SELECT item_id, string_agg(coalesce(m, w), ' ' ORDER BY i) AS mutated FROM (SELECT x.item_id, x.i, x.w, mutant.m FROM x LEFT JOIN mutant ON x.item_id = mutant.item_id AND x.i = mutant.i) GROUP BY item_id"
     )
     e["g13_mutated_sentences"] = Entry(lambda s, d: mutation.chosen_sentence(v.table(s, d, "benchmark"), "item_id", "text"), chosen)
-    e["g13_candidates"] = Entry(lambda s, d: mutation.mutated_sentences(v.table(s, d, "benchmark"), "item_id", "text").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.size(F.split("mutated", " ")) > 0).cast("bigint")).alias("whole")), "SELECT item_id, CAST(50 AS BIGINT) AS n, CAST(50 AS BIGINT) AS whole FROM benchmark")
     return e

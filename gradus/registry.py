@@ -17,9 +17,9 @@ class Entry:
 
 
 def entries() -> dict[str, Entry]:
-    from .plans import extras, languages, programs, scores, sources, texts
+    from .plans import bound, extras, languages, programs, scores, sources, texts
 
-    return scores.entries() | texts.entries() | programs.entries() | extras.entries() | sources.entries() | languages.entries()
+    return scores.entries() | texts.entries() | programs.entries() | extras.entries() | sources.entries() | languages.entries() | bound.entries()
 
 
 def queries() -> dict[str, Query]:

@@ -10,16 +10,6 @@ from ..functions.strings import ID_SEPARATOR
 from ..session import shared_dir
 from . import store
 
-#: The datasets by id: source, split and display name.
-DATASETS = (
-    (0, "humaneval-seed", "test", "HumanEval"),
-    (1, "mbpp-seed", "test", "MBPP"),
-    (2, "humaneval-variants", "agent-a", "HumanEval_variants_a"),
-    (3, "mbpp-variants", "agent-a", "MBPP_variants_a"),
-    (4, "humaneval-variants", "agent-b", "HumanEval_variants_b"),
-    (5, "mbpp-variants", "agent-b", "MBPP_variants_b"),
-)
-
 #: The keywords that weigh fully in weighted n-grams, by language; the other languages have none.
 KEYWORDS = {
     "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split(),
@@ -28,18 +18,25 @@ KEYWORDS = {
 }
 
 
-def datasets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DATASETS, "data_id int, source string, split string, name string")
+#: A registry of datasets.
+DATASET = "data_id int, source string, split string, name string"
 
 
-def dataset(spark: SparkSession, data_id: int) -> dict:
-    """The registry's row; an unknown id raises."""
-    found = datasets(spark).where(F.col("data_id") == data_id).first()
+def dataset(registry: DataFrame, data_id: int) -> dict:
+    """The row of a registry (``DATASET``) as the caller keeps it; an unknown id raises."""
+    found = registry.where(F.col("data_id") == data_id).first()
     if found is None:
         raise NotImplementedError(f"no dataset {data_id}")
     return found.asDict()
 
 
+def loaded(registry: DataFrame, data_id: int, root: str) -> DataFrame:
+    """The split of a registry's dataset, below ``root``/source, with its name."""
+    row = dataset(registry, data_id)
+    rows = registry.sparkSession.read.parquet(f"{root}/{row['source']}")
+    return rows.where(F.col("split") == row["split"]).drop("split").withColumn("dataset", F.lit(row["name"]))
+
+
 def models(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """A model dimension: id, provider, name, kind and tensor parallelism, as the caller lists them."""
     return spark.createDataFrame(rows, "model_id int, provider string, name string, kind string, parallel int")
@@ -104,7 +101,10 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def keywords(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
+    """The distinct words of lists of one word a line, with the columns of the folders they lie in."""
+    rows = spark.read.text(path)
+    folders = [c for c in rows.columns if c != "value"]
+    return rows.select(F.trim("value").alias("word"), *folders).where("word <> ''").distinct()
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
