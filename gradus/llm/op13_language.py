@@ -9,9 +9,9 @@
    spans. The prediction is the language with the most letters in its spans, and the score
    is its share of the letters times its posterior over its own words.
 
-Most texts are of one language: if no stretch of words gains ``SWITCH`` / 2 for another than the best
-single language, no path with changes can be better (with m changes at most m + 1 stretches
-gain), and the path is known without going word by word.
+Most texts are of one language: if no stretch of words gains more than ``SWITCH`` for another than the best
+single language, nor the best first and last stretches together, no path with changes can be better (each
+change pays for one stretch within, and one for both ends), and the path is known without going word by word.
 
 Counts come from all training rows (non-null language outside the held-out fold); tasks
 count characters over distinct words, and Spark adds the counts up, so what is shuffled is trigrams a
@@ -186,7 +186,7 @@ def spans(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     n, k = scores.shape
     best = int(scores.sum(axis=0).argmax())
     rise = np.vstack([np.zeros((1, k)), np.cumsum(scores - scores[:, best : best + 1], axis=0)])
-    if (rise - np.minimum.accumulate(rise, axis=0)).max() <= switch / 2:
+    if (rise - np.minimum.accumulate(rise, axis=0)).max() <= switch and rise.max() + (rise[-1] - rise.min(axis=0)).max() <= switch:
         return np.full(n, best)
     value, come = scores[0].copy(), np.zeros((n, k), np.int64)
     own = np.arange(k)
@@ -207,18 +207,19 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
-        self.table = np.zeros((0, len(model.languages)))
+        self.table, self.sizes = np.zeros((0, len(model.languages))), np.zeros(0)
 
     def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The score rows of each text's words."""
+        """The rows of ``table`` and ``sizes`` of each text's words."""
         if len(self.known) > CACHE_WORDS:
-            self.known, self.table = {}, self.table[:0]
+            self.known, self.table, self.sizes = {}, self.table[:0], self.sizes[:0]
         known = self.known
-        new = list(dict.fromkeys(w for words in texts for w in words if w not in known))
+        new = sorted(set().union(*texts) - known.keys())
         if new:
             known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
             self.table = np.vstack([self.table, self.model.scores(new)])
-        out = [self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))] for words in texts]
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), np.float64, len(new))])
+        out = [np.array([known[w] for w in words], np.int64) for words in texts]
         for w in new:
             if len(w) > CACHED:
                 del known[w]
@@ -229,12 +230,13 @@ class Labeller:
         names = self.model.languages
         words = [_WORD.findall(t.lower()) if t and names else [] for t in texts]
         out = []
-        for text, own, s in zip(texts, words, self.rows(words)):
-            if not own:
+        for text, own in zip(texts, self.rows(words)):
+            if not len(own):
                 out.append(("und", 0.0, []))
                 continue
+            s = self.table[own]
             path = spans(s)
-            letters = np.bincount(path, np.fromiter(map(len, own), np.float64, len(own)), len(names))
+            letters = np.bincount(path, self.sizes[own], len(names))
             k = int(letters.argmax())
             total = s[path == k].sum(axis=0)
             sure = 1.0 / np.exp(np.minimum(total - total[k], 700.0)).sum()
