@@ -18,7 +18,8 @@ Nulls, ties: vectors that are null, empty or hold null or non-finite components
 take no part, nor do rows without vec_id; vectors are searched among those of their own
 length. Equal scores go to the smaller vec_id. A repeated vec_id is a row of
 its own, both as query and as candidate; a query's own rows are those of its
-vec_id. Empty tables give no rows; other columns are ignored.
+vec_id. A component whose floor leaves 64 bits counts as the nearest 64-bit integer, and so does a
+score. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,9 +78,9 @@ class Pivots:
 
 
 def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer inner products; beyond the range in which doubles are exact, with Python's integers."""
+    """Integer inner products; beyond the range in which doubles are exact, with Python's integers, and beyond 64 bits the nearest of those."""
     if len(x) and np.abs(x).max() * np.abs(q).max(initial=0) * x.shape[1] >= 2.0**52:
-        return np.array([sum(int(a) * int(b) for a, b in zip(row, q)) for row in x.tolist()], dtype=np.int64)
+        return np.array([max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(row, q)))) for row in x.tolist()], dtype=np.int64)
     return (x @ q).astype(np.int64)
 
 
@@ -108,6 +109,7 @@ class Search:
             own = slice(first, first + BOUNDS)
             upper = self.y[own] @ y.T + self.rest[own, None] * rest[None, :]
             upper += 1e-6 * (self.norms[own, None] + norms[None, :] + 1)
+            np.maximum(upper, -(2.0**63), out=upper)  # no score is less
             for i, bound in enumerate(upper, first):
                 best_ids, best = self.best[i]
                 least = max(self.least[i], best[-1]) if len(best) == self.k else self.least[i]
@@ -119,7 +121,7 @@ class Search:
                     part = open_[at : at + STEP]
                     self.evaluated += len(part)
                     named, s = np.concatenate((best_ids, ids[part])), np.concatenate((best, scores(x[part], self.q[i])))
-                    keep = np.lexsort((named, -s))[: self.k]
+                    keep = np.lexsort((named, ~s))[: self.k]  # ~ turns the order of all integers round
                     best_ids, best = named[keep], s[keep]
                 self.best[i] = best_ids, best
 

@@ -38,6 +38,20 @@ def test_exact_top_k_equals_brute_force(spark, monkeypatch):
         assert [(i, s) for _, i, s in sorted(found)] == [(i, -s) for s, i in best]
 
 
+def test_components_and_scores_beyond_64_bits(spark):
+    """Finite components of any size: floors and scores are the nearest 64-bit integers, ties to the smaller vec_id."""
+    rows = [(0, [1e20, 1e20]), (1, [1e20, -1e20]), (2, [1e20, 1.0]), (50, [-1e20, 1e18]), (3, [2.0**31, 0.5]), (4, [2.0**33, 2.0**33]), (100, [3e38, 1e-3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = vectors.valid(df).withColumn("v", F.transform("v", lambda x: F.floor(x * 256.0).cast("double")))
+    ints = {i: [int(max(-(2**63), min(float(2**63), np.floor(c * 256)))) for c in v] for i, v in rows}
+    got = {}
+    for r in op2_topk.top_k(whole, 50, 3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in (0, 50, 100):
+        scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(ints[q], v)))), i) for i, v in ints.items() if i != q)[:3]
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in scored]
+
+
 def test_permutation_index_recall(spark):
     df, rows = table(spark, 3000)
     got = {}
