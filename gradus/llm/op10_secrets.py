@@ -9,9 +9,10 @@ leave of them. For each candidate
    only, letters and digits, base 64) and gives the alphabet;
 2. chi-squared uniformity over the alphabet, a runs test and a serial
    correlation test must each not reject randomness at ``ALPHA``;
-3. a p-value says how likely ordinary text of the same length would look as
-   uniform: chi-squared's mean and variance under the letter frequencies of
-   text, both of which depend on the length.
+3. a p-value says how likely an ordinary string of the same length would look as random. It combines,
+   by Fisher's method, the same three questions asked of ordinary strings: how uniform its letters are
+   against the frequencies of text, how often its kind of character changes against the runs of
+   words, numbers and codes (``CHANGES``), and how seldom vowels and consonants take turns against syllables.
 
 Discoveries are controlled by Benjamini-Hochberg at ``RATE`` over all candidates
 of the corpus in each class of encoding and length. p-values are rounded up on
@@ -56,7 +57,18 @@ LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 _SHARE = np.array(LETTERS) / sum(LETTERS)
-_S2, _S3 = float((_SHARE**2).sum()), float((_SHARE**3).sum())
+
+#: Surprise of each letter under the frequencies of text, and its mean, deviation and skewness there.
+_BITS = -np.log(_SHARE)
+_MEAN = float((_SHARE * _BITS).sum())
+_DEVIATION = float((_SHARE * (_BITS - _MEAN) ** 2).sum()) ** 0.5
+_SKEW = float((_SHARE * (_BITS - _MEAN) ** 3).sum()) / _DEVIATION**3
+#: How often one of two neighbours in an ordinary string is of another kind (small, capital, digit, sign): codes come in blocks,
+#: names of several words in humps. And how often vowels and consonants take turns in syllables, at least.
+CHANGES = {"hex": 0.1, "base32": 0.1, "letters": 0.1, "alnum": 0.25, "base64": 0.25}
+TURNS = 0.5
+#: Letters, and pairs of letters, from which they say something.
+ENOUGH = 8
 _ENCODINGS = (
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), "0123456789abcdef"),
     ("base32", re.compile(r"(?=.*[2-7])[A-Z2-7]+"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -96,6 +108,33 @@ def upper_tail(x: float, freedom: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def lower_tail(k: int, n: int, q: float) -> float:
+    """Chance of at most k of n, each at q."""
+    if k < 0:
+        return 0.0
+    if n > 300:
+        return 0.5 * math.erfc((n * q - k - 0.5) / math.sqrt(2 * n * q * (1 - q)))
+    return min(1.0, sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k + 1)))
+
+
+def ordinary(value: str, name: str) -> float:
+    """p of a string that looks as random as this under ordinary ones of its encoding, by the questions that it has enough letters for."""
+    letters = np.array([ord(c) - 97 for c in value.lower() if "a" <= c <= "z"])
+    n, p = len(letters), []
+    if n >= ENOUGH and name != "hex":  # six letters are no text: codes of them may have any frequencies
+        z = (float(_BITS[letters].sum()) - n * _MEAN) / (_DEVIATION * math.sqrt(n))
+        freedom = 8 * n / _SKEW**2
+        p.append(upper_tail(max(0.0, freedom + math.sqrt(2 * freedom) * z), freedom))
+    kinds = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "+" for c in value]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    p.append(lower_tail(len(value) - 1 - changes, len(value) - 1, 1 - CHANGES[name]))
+    pairs = [(a in "aeiou", b in "aeiou") for a, b in zip(value.lower(), value.lower()[1:]) if a.isalpha() and b.isalpha()]
+    if len(pairs) >= ENOUGH and name != "hex":
+        p.append(lower_tail(sum(a != b for a, b in pairs), len(pairs), TURNS))
+    x = -sum(math.log(max(q, 1e-300)) for q in p)
+    return min(1.0, math.exp(-x) * sum(x**i / math.factorial(i) for i in range(len(p))))
+
+
 def battery(value: str) -> tuple[str, float, float, float, float] | None:
     """Encoding, p of uniformity, runs and serial correlation under randomness, and p under ordinary text."""
     value = value.rstrip("=")
@@ -106,7 +145,7 @@ def battery(value: str) -> tuple[str, float, float, float, float] | None:
     if not found:
         return None
     name, alphabet = found
-    value = value.replace("-", "+").replace("_", "/") if name == "base64" else value if name not in ("hex", "letters") else value.lower()
+    shown, value = value, value.replace("-", "+").replace("_", "/") if name == "base64" else value if name not in ("hex", "letters") else value.lower()
     k = len(alphabet)
     place = np.array([alphabet.index(c) for c in value])
     counts = np.bincount(place, minlength=k).astype(float)
@@ -129,10 +168,7 @@ def battery(value: str) -> tuple[str, float, float, float, float] | None:
     power = float((centred**2).sum())
     r = float((centred[1:] * centred[:-1]).sum()) / power if power else 1.0
     serial = math.erfc(abs(r + 1 / n) * math.sqrt(n) / math.sqrt(2))
-    mean2 = n + n * (n - 1) * _S2
-    var2 = 4 * n * (n - 1) * (n - 2) * _S3 + 2 * n * (n - 1) * _S2 - 2 * n * (n - 1) * (2 * n - 3) * _S2**2
-    text = 0.5 * math.erfc(-(squares - mean2) / math.sqrt(2 * var2))
-    return name, uniform, p_runs, serial, text
+    return name, uniform, p_runs, serial, ordinary(shown, name)
 
 
 def left_over(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:

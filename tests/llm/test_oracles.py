@@ -17,12 +17,12 @@ NEAR = [(20, WORDS, "en", "a", 1), (21, WORDS.upper() + " end", "en", "a", 1), (
 
 
 def rows(frame):
-    return sorted((tuple(None if x is None else int(x) for x in r) for r in frame), key=str)
+    return sorted((tuple(x if x is None or isinstance(x, str) else int(x) for x in r) for r in frame), key=str)
 
 
 def expected(folder, name, columns):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')" if os.path.isdir(f"{folder}/{t}.parquet") else f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return rows(con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall())
 
@@ -32,6 +32,7 @@ def awkward(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("awkward"))
     fixtures.documents(spark, fixtures.DOCS + NEAR).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(1, 1, 0), (9, 0, 1), (9, 1, 1), (22, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder
 
 

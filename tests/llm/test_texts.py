@@ -142,6 +142,40 @@ def test_battery_tells_random_strings_from_words(spark):
     assert sum(got[1000 + i] > 0 for i in range(200)) <= 2
 
 
+@pytest.mark.parametrize("length", [32, 40])
+def test_power_and_false_discoveries_by_encoding(spark, length):
+    """Random keys among ordinary strings of their class, a tenth of them: nine of ten found, at most one finding in a hundred is none."""
+    r = random.Random(length)
+    words = "anti dis establish ment tion inter nation value count user name list file path error handler request config load data time zone".split()
+    codes = "HTTP API JSON URL ID DB IO XML".split()
+    alphabets = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "hex": "0123456789ABCDEF"}
+
+    def blocks(letters, digits):
+        out = ""
+        while len(out) < length:
+            out += "".join(r.choices(letters, k=r.randint(4, 9))) + "".join(r.choices(digits, k=r.randint(4, 9)))
+        return out[:length]
+
+    def camel():
+        out = r.choice(words)
+        while len(out) < length:
+            out += r.choice((r.choice(words).capitalize(), r.choice(words).capitalize(), r.choice(codes), str(r.randint(1, 99)), "/" + r.choice(words)))
+        return out[:length]
+
+    plain = {"base64": camel, "base32": lambda: blocks("ETAOINSHRDLU", "234567"), "hex": lambda: blocks("AABCDEF", "0123456789")}
+    rows, keys = [], {}
+    for kind, alphabet in alphabets.items():
+        for i in range(2000):
+            key = i % 10 == 0
+            keys[len(rows)] = kind if key else None
+            rows.append((len(rows), "x " + ("".join(r.choices(alphabet, k=length)) if key else plain[kind]()) + " y"))
+    got = {x["doc_id"]: x["n_random"] for x in op10_secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in alphabets:
+        assert sum(got[i] > 0 for i, k in keys.items() if k == kind) >= 180, kind
+    false = sum(got[i] > 0 for i, k in keys.items() if k is None)
+    assert false <= 6, [rows[i][1] for i, k in keys.items() if k is None and got[i]]
+
+
 def test_keys_beside_base_spans_are_tested():
     """What base spans leave of an unbroken string is a candidate of its own."""
     key = "Zk9Qw3LxT7mVbN2cRfYh8PdUe5SgJa1oXiK4tB6u"
