@@ -227,13 +227,22 @@ class Grammar:
 
     def _clause(self, clause: str, out: list[float]) -> bool:
         machine, symbols, weights = grammar_machine(), *self.lexicon(clause)
-        paths = {0: ()}  # state -> marks so far; one path accepts, so paths never meet
+        # State -> its path's sums by mark. One path accepts, so paths never meet; a clause costs time in proportion to its words.
+        paths = {0: (0.0,) * len(MARKS)}
         for x, w in zip(symbols, weights):
-            paths = {to: (*marks, (y, w)) if y != OTHER else marks for state, marks in paths.items() for y, to in machine.arcs.get((state, x), ())}
-        found = next(marks for state, marks in paths.items() if state in machine.final)
-        for mark, w in found:
-            out[MARKS.index(mark)] += w
-        return bool(found)
+            step = {}
+            for state, own in paths.items():
+                for y, to in machine.arcs.get((state, x), ()):
+                    if y == OTHER:
+                        step[to] = own
+                    else:
+                        k = MARKS.index(y)
+                        step[to] = (*own[:k], own[k] + w, *own[k + 1 :])
+            paths = step
+        found = next(own for state, own in paths.items() if state in machine.final)
+        for k, w in enumerate(found):
+            out[k] += w
+        return any(found)
 
     def score(self, text: str) -> tuple[float, int]:
         sums, clauses = self.sums(text)

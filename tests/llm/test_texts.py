@@ -84,6 +84,17 @@ def test_composition_equals_brute_force():
         assert both.run(clause) == [out for mid in first.run(clause) for out in second.run(mid)]
 
 
+def test_a_clause_of_many_insults_costs_time_in_proportion():
+    g = op1_toxicity.Grammar({"idiot": 2.0}, {})
+    took = []
+    for n in (20_000, 200_000):
+        began = time.process_time()
+        sums, clauses = g.sums("idiot " * n + "and not an idiot, you")
+        took.append(time.process_time() - began)
+        assert clauses == 1 and dict(zip(op1_toxicity.MARKS, sums)) == {"plain": 0.0, "aimed": 2.0 * n, "negated": 2.0, "reported": 0.0, "threat": 0.0}
+    assert took[1] < 30 * took[0] + 1
+
+
 def test_sentences_score_in_order(spark):
     docs, labels, _ = toxic_corpus(spark)
     grammar = op1_toxicity.fit(docs, labels)
