@@ -251,13 +251,14 @@ def in_order(rows: DataFrame, parts: int) -> DataFrame:
     """``rows`` range-partitioned and sorted by doc_id and their text's hash.
 
     The ranges come from quantiles of doc_id alone, so the texts are not read to sample
-    them. Equal ids stay together; where one holds more than a part's share, or where
+    them. Equal ids stay together; where one (or rows without an id) holds more than a part's share, or where
     there are too many parts for an expression, Spark's own range partitioning by both keys takes over.
     """
     keys = [F.col("doc_id"), F.xxhash64("text")]
     ids = rows.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    if len(set(cuts)) != parts - 1 or parts > 1000:
+    seen = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("cuts"), F.count_if(F.col("doc_id").isNull()).alias("nameless"), F.count(F.lit(1)).alias("n")).first()
+    cuts = seen["cuts"] or []
+    if len(set(cuts)) != parts - 1 or parts > 1000 or seen["nameless"] * parts > seen["n"]:
         return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
     def place(low: int, high: int):

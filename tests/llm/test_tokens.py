@@ -58,6 +58,19 @@ def test_files_round_trip(spark, tmp_path):
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
 
 
+def test_rows_without_an_id_are_dealt_to_all_parts(spark, tmp_path):
+    rows = [(i if i < 300 else None, f"text number {i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    most = max(len(x) for x in op5_rans.in_order(docs, 4).rdd.glom().collect())
+    assert most <= 2000
+    table = op5_rans.write(docs, f"file://{tmp_path}/n", BYTE, 0)
+    got = op5_rans.read(spark, f"file://{tmp_path}/n", table).orderBy("start").collect()
+    want = [(i, ids.tobytes()) for i, ids in expected(BYTE, 0, rows)]
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in got) == sorted((str(i), x) for i, x in want)
+    ids = [r["doc_id"] for r in got]
+    assert ids[:3700] == [None] * 3700 and ids[3700:] == list(range(300))
+
+
 def test_a_document_of_millions_of_ids(spark, tmp_path):
     """Longer than any block: its blocks are bounded, its ids are whole."""
     rows = [(1, "short"), (2, "w " * 2_500_000 + "end"), (3, "short too")]
