@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,8 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 shared_dir = session.shared_dir
 
-#: Folders written by the functions that ``tidy`` wraps and that have not returned yet.
-_OPEN: list[list[str]] = []
+
+class _Open(threading.local):
+    """Folders written by this thread's functions that ``tidy`` wraps and that have not returned yet."""
+
+    def __init__(self):
+        self.folders: list[list[str]] = []
+
+
+_OPEN = _Open()
 
 
 def tune(spark: SparkSession) -> int:
@@ -40,8 +48,8 @@ def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gradus-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).option("parquet.block.size", 16 << 20).parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.folders:
+        _OPEN.folders[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,15 +71,15 @@ def tidy(function):
 
     @functools.wraps(function)
     def run(*args, **kwargs):
-        _OPEN.append([])
+        _OPEN.folders.append([])
         try:
             out = function(*args, **kwargs)
         finally:
-            own = _OPEN.pop()
+            own = _OPEN.folders.pop()
         read = {name.rsplit("/", 2)[-2] for name in out.inputFiles()} if isinstance(out, DataFrame) else set()
         kept = [path for path in own if path.rsplit("/", 1)[1] in read]
-        if _OPEN:
-            _OPEN[-1] += kept
+        if _OPEN.folders:
+            _OPEN.folders[-1] += kept
         spark = SparkSession.getActiveSession()
         for path in own:
             if spark and path not in kept:

@@ -98,7 +98,8 @@ def attached(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "
         counts = common.written(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "keys")
         total = counts.agg(F.sum("__n")).first()[0] or 0
         hot = counts.where(F.col("__n") * HOT > total).select(*keys)
-    hot = common.written(hot.na.drop().coalesce(1), "hot")
+    # After a shuffle: the scan of all counts stays with its own tasks.
+    hot = common.written(hot.na.drop().repartition(1), "hot")
     if hot.isEmpty():
         return big.join(small, on, how)
     there = big.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(small.join(F.broadcast(hot), on, "left_semi")), on, how)

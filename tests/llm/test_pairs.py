@@ -1,4 +1,5 @@
 import random
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
@@ -66,6 +67,24 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, words, percent, lar
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(sets(t, words)) for i, t in rows}
 
 
+def test_a_passage_that_hundreds_of_unlike_texts_share(spark, monkeypatch):
+    shrunk(monkeypatch)
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(i, passage + " " + " ".join(word() for _ in range(r.randint(1, 40)))) for i in range(300)]
+    got = op7_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == brute(rows, 3, 90)
+
+
+def test_joins_in_two_threads_keep_their_own_tables(spark):
+    tables = [near_copies(40, seed) for seed in (8, 9)]
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(lambda rows: op7_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect(), tables))
+    for rows, got in zip(tables, found):
+        assert {x["doc_id"]: x["component_id"] for x in got} == brute(rows, 3, 90)
+
+
 def test_jaccard_join_takes_awkward_rows(spark):
     got = op7_jaccard.join(documents(spark), 3, 90).collect()
     want = brute([(i, t) for i, t, *_ in DOCS], 3, 90)
