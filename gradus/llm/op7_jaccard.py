@@ -139,9 +139,14 @@ def rarest(docs: DataFrame, reps: DataFrame, some: DataFrame, words: int, percen
     rows = graph.attached(text, chosen, "doc_id").select("v", "n", "spare", "text")
     rows = rows.mapInArrow(tokens.released(build), "v long, n long, spare int, all array<bigint>").select("v", "n", "spare", F.explode("all").alias("g"))
     rows = common.written(rows, "shingles")
-    # What one set holds alone needs no row; the rows of hot shingles stay in place.
+    # What one set holds alone needs no row; hot shingles (fewer than ``graph.HOT``, by their share) are dealt over all tasks.
     shared = common.written(rows.groupBy("g").agg(F.count("v").alias("m")).where("m > 1"), "shared")
-    rows = graph.attached(rows, shared, "g", "left", size="m", most=0).withColumn("m", F.coalesce("m", F.lit(1)))
+    total = shared.agg(F.sum("m")).first()[0] or 0
+    hot = F.col("g").isin([r["g"] for r in shared.where(F.col("m") * graph.HOT > total).select("g").collect()])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.sequence(F.lit(0), F.when(hot, parts - 1).otherwise(0))
+    rows = rows.withColumn("k", F.when(hot, F.pmod(F.xxhash64("v"), F.lit(parts))).otherwise(0).cast("int"))
+    rows = rows.join(shared.select("g", "m", F.explode(salts).alias("k")), ["g", "k"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
     ranked = F.array_sort(F.array_distinct(F.collect_list(F.struct("m", "g"))))
     lists = rows.groupBy("v").agg(F.first("n").alias("n"), F.first("spare").alias("spare"), ranked.alias("all"))
     most = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 + F.col("spare")).cast("int")
