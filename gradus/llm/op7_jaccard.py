@@ -42,7 +42,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import common, graph, tokens
 
@@ -52,6 +52,9 @@ COMMON = 64
 #: Columns of the incidence matrix in a dense block of the product.
 COLUMNS = 8192
 
+#: Values that a task's sketch of frequent ones keeps: its error is below half of one row in ``graph.HOT``.
+TRACKED = 4 * graph.HOT + 96
+
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -123,6 +126,13 @@ def met(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame
     return counts.where("k >= least").select("a", "b"), rows.where("h > s").select("v", "n"), ties.select("v", "g", "m")
 
 
+def frequent(rows: DataFrame, column: str) -> list[int]:
+    """Every value that holds more than one row in ``graph.HOT``, among fewer than twice as many; by a sketch, without a shuffle of rows."""
+    # Its counts are upper bounds, by less than half a row in ``graph.HOT``.
+    found = rows.agg(F.expr(f"approx_top_k({column}, {2 * graph.HOT}, {TRACKED})").alias("top"), F.count(column).alias("n")).first()
+    return [x["item"] for x in found["top"] if x["count"] * graph.HOT > found["n"]]
+
+
 @common.tidy
 def rarest(docs: DataFrame, reps: DataFrame, some: DataFrame, words: int, percent: int) -> DataFrame:
     """Of the sets in ``some`` (v): v, n, spare and as low columns the shingles that fewest of them hold, ties by hash."""
@@ -139,14 +149,13 @@ def rarest(docs: DataFrame, reps: DataFrame, some: DataFrame, words: int, percen
     rows = graph.attached(text, chosen, "doc_id").select("v", "n", "spare", "text")
     rows = rows.mapInArrow(tokens.released(build), "v long, n long, spare int, all array<bigint>").select("v", "n", "spare", F.explode("all").alias("g"))
     rows = common.written(rows, "shingles")
-    # What one set holds alone needs no row; hot shingles (fewer than ``graph.HOT``, by their share) are dealt over all tasks.
-    shared = common.written(rows.groupBy("g").agg(F.count("v").alias("m")).where("m > 1"), "shared")
-    total = shared.agg(F.sum("m")).first()[0] or 0
-    hot = F.col("g").isin([r["g"] for r in shared.where(F.col("m") * graph.HOT > total).select("g").collect()])
+    # Any order of the shingles will do that all sets share: hot ones come last, by hash. They are dealt over
+    # all tasks; the others' sets are counted where they lie, so no row is shuffled twice or joined.
+    hot = F.col("g").isin(frequent(rows, "g"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = F.sequence(F.lit(0), F.when(hot, parts - 1).otherwise(0))
     rows = rows.withColumn("k", F.when(hot, F.pmod(F.xxhash64("v"), F.lit(parts))).otherwise(0).cast("int"))
-    rows = rows.join(shared.select("g", "m", F.explode(salts).alias("k")), ["g", "k"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    held = F.count(F.lit(1)).over(Window.partitionBy("g", "k"))
+    rows = rows.withColumn("m", F.when(hot, F.lit(2**62)).otherwise(held))
     ranked = F.array_sort(F.array_distinct(F.collect_list(F.struct("m", "g"))))
     lists = rows.groupBy("v").agg(F.first("n").alias("n"), F.first("spare").alias("spare"), ranked.alias("all"))
     most = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 + F.col("spare")).cast("int")

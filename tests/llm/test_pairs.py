@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gradus.llm import graph, op4_lines, op7_jaccard
@@ -77,6 +78,24 @@ def test_a_passage_that_hundreds_of_unlike_texts_share(spark, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in got} == brute(rows, 3, 90)
 
 
+def test_frequent_values_are_all_found(spark):
+    n = 300_000
+    value = F.when(F.col("id") % 3 == 0, -7).when(F.col("id") % 3 == 1, F.col("id") % 700).otherwise(F.xxhash64("id"))
+    rows = spark.range(n).select(value.alias("g"))
+    often = {r["g"] for r in rows.groupBy("g").count().where(f"count * {graph.HOT} > {n}").collect()}
+    found = op7_jaccard.frequent(rows, "g")
+    assert often <= set(found) and len(found) == len(set(found)) < 2 * graph.HOT
+    assert op7_jaccard.frequent(rows.where("g IS NULL"), "g") == []
+
+
+def test_hot_shingles_are_the_last_of_any_set(spark):
+    own = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(60)]
+    docs = documents(spark, [(i, f"{' '.join(f'p{j}' for j in range(12))} {t}", "en", "a", 0) for i, t in enumerate(own)])
+    reps = op7_jaccard.sets(docs, 3, 90)
+    low = {r["v"]: set(r["low"]) for r in op7_jaccard.rarest(docs, reps, reps, 3, 90).collect()}
+    assert len(low) == 60 and all(not a & b for a, b in combinations(low.values(), 2))
+
+
 def test_joins_in_two_threads_keep_their_own_tables(spark):
     tables = [near_copies(40, seed) for seed in (8, 9)]
     with ThreadPoolExecutor(2) as pool:
