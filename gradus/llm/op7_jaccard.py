@@ -135,7 +135,7 @@ def frequent(rows: DataFrame, column: str) -> list[int]:
 
 @common.tidy
 def rarest(docs: DataFrame, reps: DataFrame, some: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the sets in ``some`` (v): v, n, spare and as low columns the shingles that fewest of them hold, ties by hash."""
+    """Of the sets in ``some`` (v): v, n, spare and as low columns the shingles that fewest of them hold, ties by hash, hot ones last."""
     chosen = common.written(reps.select("v", "doc_id", "n", "spare").join(some.select("v"), "v"), "chosen")
     text = common.whole_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
