@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _SHIPPED: dict[str, str] = {}
+#: Threads that start together set a session up once.
+_SETUP = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
+    with _SETUP:
+        return _shared_dir(spark)
+
+
+def _shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -29,7 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in every Python worker of the session."""
-    sc = spark.sparkContext
+    with _SETUP:
+        _ship(spark.sparkContext)
+
+
+def _ship(sc) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
