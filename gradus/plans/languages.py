@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import code, flow, tables
 from ..operators import codebleu, mutation
 from ..registry import Entry
-from ..session import ship
+from ..session import ship, spread
 from ..sources import files, store
 from . import views as v
 from .programs import _scratch
@@ -68,7 +68,8 @@ def spoken(s: SparkSession, d: str) -> DataFrame:
     """p_partkey, language (by the key), n (the size) and k (2 to 6 statements) of every part."""
     ship(s)
     language = F.get(F.array(*map(F.lit, LANGUAGES)), (F.col("p_partkey") % len(LANGUAGES)).cast("int"))
-    return v.table(s, d, "part").select("p_partkey", language.alias("language"), F.col("p_size").cast("string").alias("n"), (F.col("p_size") % 5 + 2).cast("int").alias("k"))
+    rows = spread(v.table(s, d, "part").select("p_partkey", "p_size"))
+    return rows.select("p_partkey", language.alias("language"), F.col("p_size").cast("string").alias("n"), (F.col("p_size") % 5 + 2).cast("int").alias("k"))
 
 
 _SPOKEN = f"spoken AS (SELECT p_partkey, {list(LANGUAGES)}[CAST(p_partkey % {len(LANGUAGES)} AS INT) + 1] AS language, CAST(p_size AS VARCHAR) AS n, p_size % 5 + 2 AS k FROM part)"
