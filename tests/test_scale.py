@@ -53,3 +53,9 @@ def test_long_sources_are_not_kept(read):
     for _ in range(2):
         assert len(flow.subtrees(text, "java")) and len(flow.data_flow(text, "java"))
     assert len(read) == 4 and not flow._recent_flow.cache_info().currsize
+
+
+def test_b09_rows_are_dealt_and_recurring_sources_read_once(spark, read):
+    assert dealt(languages._flow_rows(spark, SF))
+    assert len({languages._shown("let a = b;", x) for x in ("js", "javascript") * 5}) == 1
+    assert len(read) == 1
