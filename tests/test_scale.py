@@ -2,7 +2,7 @@
 
 import pytest
 
-from gradus.functions import flow, syntax
+from gradus.functions import code, flow, syntax
 from gradus.plans import languages
 from gradus.session import TASKS
 
@@ -59,3 +59,11 @@ def test_b09_rows_are_dealt_and_recurring_sources_read_once(spark, read):
     assert dealt(languages._flow_rows(spark, SF))
     assert len({languages._shown("let a = b;", x) for x in ("js", "javascript") * 5}) == 1
     assert len(read) == 1
+
+
+def test_b11_renamed_rows_are_dealt_and_recurring_sources_read_once(spark, read):
+    assert dealt(languages._renamed(spark, SF))
+    for _ in range(5):
+        a, b = (code.normalised_flow(flow.data_flow(x, "java")) for x in ("int a = c;", "int b = d;"))
+        assert a == b and a
+    assert len(read) == 2
