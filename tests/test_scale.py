@@ -67,3 +67,8 @@ def test_b11_renamed_rows_are_dealt_and_recurring_sources_read_once(spark, read)
         a, b = (code.normalised_flow(flow.data_flow(x, "java")) for x in ("int a = c;", "int b = d;"))
         assert a == b and a
     assert len(read) == 2
+
+
+def test_x02_edges_are_made_in_all_tasks(spark):
+    rows = languages._edge_rows(spark, SF)
+    assert rows.rdd.getNumPartitions() >= TASKS * spark.sparkContext.defaultParallelism and dealt(rows)
