@@ -95,6 +95,12 @@ def _shown(source: str, language: str) -> str:
     return "|".join(f"{n}{p}{'<' if how == 'comesFrom' else '='}{','.join(map(str, places))}" for n, p, how, _, places in flow.data_flow(source, language))
 
 
+def _in_order(source: str, language: str) -> str:
+    """Whether a source's edges stand in the order of their places, and the first place."""
+    places = [p for _, p, *_ in flow.data_flow(source, language)]
+    return f"{places == sorted(places)}{places[0]}"
+
+
 def _flow_rows(s, d) -> DataFrame:
     return spoken(s, d).select("p_partkey", "language", "n", _filled(_FLOWING).alias("source"))
 
@@ -225,8 +231,7 @@ def entries() -> dict[str, Entry]:
     # Names: a, b, c, d, i and two literals, one of which only go's short declaration drops.
     counts = {k: f"'{t.count('|') + 1}|True|{6 if k == 'go' else 7}'" for k, t in _EDGES.items()}
     e["b11_normalised_flow"] = Entry(_renamed, f"WITH {_SPOKEN} SELECT p_partkey, {_case(counts)} AS got FROM spoken")
-    in_order = code.column(lambda x, l: str([y[1] for y in flow.data_flow(x, l)] == sorted(y[1] for y in flow.data_flow(x, l))) + str(flow.data_flow(x, l)[0][1]))
-    e["t07_edges_in_order"] = Entry(lambda s, d: _flow_rows(s, d).select("p_partkey", in_order(F.col("source"), F.col("language")).alias("got")), f"WITH {_SPOKEN} SELECT p_partkey, 'True' || {_case({k: t[1] and repr(t[1]) for k, t in _EDGES.items()})} AS got FROM spoken")
+    e["t07_edges_in_order"] = Entry(lambda s, d: _flow_rows(s, d).select("p_partkey", code.column(_in_order)(F.col("source"), F.col("language")).alias("got")), f"WITH {_SPOKEN} SELECT p_partkey, 'True' || {_case({k: t[1] and repr(t[1]) for k, t in _EDGES.items()})} AS got FROM spoken")
     for language in LANGUAGES:
         e[f"b13_code_bleu_{language}"] = Entry(_code_bleu(language), _code_bleu_sql(language))
     accepted = code.column(lambda x: flow.LANGUAGES.get(x, "none") + "|" + str(len(flow.subtrees("x = 1", x))) if x in flow.LANGUAGES else "none")

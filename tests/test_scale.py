@@ -72,3 +72,9 @@ def test_b11_renamed_rows_are_dealt_and_recurring_sources_read_once(spark, read)
 def test_x02_edges_are_made_in_all_tasks(spark):
     rows = languages._edge_rows(spark, SF)
     assert rows.rdd.getNumPartitions() >= TASKS * spark.sparkContext.defaultParallelism and dealt(rows)
+
+
+def test_t07_a_row_is_read_once(monkeypatch):
+    asked, found = [], flow.data_flow
+    monkeypatch.setattr(languages.flow, "data_flow", lambda source, language: asked.append(source) or found(source, language))
+    assert languages._in_order("int a = b;", "java") == "True1" and len(asked) == 1
