@@ -1,6 +1,7 @@
 """Work on rows is dealt over all cores, and what recurs is read once."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradus.functions import code, flow, syntax
 from gradus.plans import languages
@@ -78,3 +79,9 @@ def test_t07_a_row_is_read_once(monkeypatch):
     asked, found = [], flow.data_flow
     monkeypatch.setattr(languages.flow, "data_flow", lambda source, language: asked.append(source) or found(source, language))
     assert languages._in_order("int a = b;", "java") == "True1" and len(asked) == 1
+
+
+@pytest.mark.parametrize("language", ["php"])
+def test_b13_pairs_are_dealt(spark, language):
+    pairs = languages.repeated(spark, SF).where(F.col("language") == language)
+    assert dealt(pairs) and pairs.count() > TASKS
