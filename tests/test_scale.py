@@ -81,7 +81,7 @@ def test_t07_a_row_is_read_once(monkeypatch):
     assert languages._in_order("int a = b;", "java") == "True1" and len(asked) == 1
 
 
-@pytest.mark.parametrize("language", ["php", "javascript", "c_sharp", "java", "go"])
+@pytest.mark.parametrize("language", ["php", "javascript", "c_sharp", "java", "go", "ruby"])
 def test_b13_pairs_are_dealt(spark, language):
     pairs = languages.repeated(spark, SF).where(F.col("language") == language)
     assert dealt(pairs) and pairs.count() > TASKS
