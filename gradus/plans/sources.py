@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import code, strings
 from ..operators import generation
 from ..registry import Entry
-from ..session import ship
+from ..session import ship, spread
 from ..sources import files
 from . import views as v
 
@@ -42,7 +42,7 @@ _SQL = "p AS (SELECT p_partkey, p_partkey AS k, p_size AS n, p_name AS name, p_t
 def programs(s: SparkSession, d: str) -> DataFrame:
     """p_partkey, entry, source, and the part's name, size and type."""
     ship(s)
-    rows = v.table(s, d, "part")
+    rows = spread(v.table(s, d, "part").select("p_partkey", "p_name", "p_size", "p_type"))
     slots = {"k": F.col("p_partkey").cast("string"), "n": F.col("p_size").cast("string"), "name": F.col("p_name")}
     return rows.select("p_partkey", "p_name", "p_size", "p_type", F.concat(F.lit("scale_"), F.col("p_partkey").cast("string")).alias("entry"), strings.template(_PROGRAM, slots).alias("source"))
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradus.functions import code, flow, syntax
-from gradus.plans import languages
+from gradus.plans import languages, sources
 from gradus.session import TASKS
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +85,8 @@ def test_t07_a_row_is_read_once(monkeypatch):
 def test_b13_pairs_are_dealt(spark, language):
     pairs = languages.repeated(spark, SF).where(F.col("language") == language)
     assert dealt(pairs) and pairs.count() > TASKS
+
+
+@pytest.mark.parametrize("name", ["f31_replaced_docstring"])
+def test_programs_are_dealt_before_they_are_parsed(spark, name):
+    assert dealt(sources.entries()[name].run(spark, SF))
