@@ -117,7 +117,7 @@ def _flow_hits(s, d):
     ship(s)
     own = F.lit("t = n\nfor v in w:\n    t = t + v\nr = t\n")
     other = F.when(F.col("p_size") % 2 == 0, F.lit("a = b\nfor c in e:\n    a = a + c\ng = a\n")).otherwise(F.lit("t = n\nr = t\n"))
-    return v.table(s, d, "part").select("p_partkey", F.round(code.column(code.flow_match, "double")(own, other), 6).alias("got"))
+    return spread(v.table(s, d, "part").select("p_partkey", "p_size")).select("p_partkey", F.round(code.column(code.flow_match, "double")(own, other), 6).alias("got"))
 
 
 def _executed(s, d):
