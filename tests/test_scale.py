@@ -87,6 +87,6 @@ def test_b13_pairs_are_dealt(spark, language):
     assert dealt(pairs) and pairs.count() > TASKS
 
 
-@pytest.mark.parametrize("name", ["f31_replaced_docstring", "f32_updated_docstring", "f34_hoisted_imports", "f33_docstring_names"])
+@pytest.mark.parametrize("name", ["f31_replaced_docstring", "f32_updated_docstring", "f34_hoisted_imports", "f33_docstring_names", "a22_flow_match"])
 def test_programs_are_dealt_before_they_are_parsed(spark, name):
     assert dealt(sources.entries()[name].run(spark, SF))
