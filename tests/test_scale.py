@@ -1,9 +1,14 @@
 """Work on rows is dealt over all cores, and what recurs is read once."""
 
+import re
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gradus.functions import code, flow, syntax
+from gradus.operators import similarity, tagging
 from gradus.plans import languages, sources
 from gradus.session import TASKS
 
@@ -87,6 +92,29 @@ def test_b13_pairs_are_dealt(spark, language):
     assert dealt(pairs) and pairs.count() > TASKS
 
 
-@pytest.mark.parametrize("name", ["f31_replaced_docstring", "f32_updated_docstring", "f34_hoisted_imports", "f33_docstring_names", "a22_flow_match"])
+@pytest.mark.parametrize("name", ["f31_replaced_docstring", "f32_updated_docstring", "f34_hoisted_imports", "f05_instruction_and_examples", "f33_docstring_names", "a22_flow_match"])
 def test_programs_are_dealt_before_they_are_parsed(spark, name):
     assert dealt(sources.entries()[name].run(spark, SF))
+
+
+def test_f05_examples_compile_no_pattern_by_name(monkeypatch):
+    monkeypatch.setattr(re, "_compile", lambda *_: pytest.fail("compiled"))
+    for k in range(3):
+        assert code.instruction_and_examples(f"Scale.\n>>> f{k}([1])\n2\n>>> g(1)\n3", f"f{k}") == ("Scale.\n>>> g(1)\n3".replace("\n", ""), f"    >>>f{k}([1])\n    2")
+
+
+def test_b03_b04_words_of_few_rows_are_held_at_a_time():
+    held, whole = [], pa.array([["a", "b"]] * 100)
+    for n, _ in enumerate(similarity._rows(whole, whole)):
+        held.append(n)
+    assert held == list(range(100)) and similarity.TOGETHER < 100
+
+
+def test_texts_decoded_together_have_the_paths_they_have_alone():
+    r = np.random.default_rng(2)
+    for _ in range(20):
+        tagger = tagging.Tagger(r.integers(0, 3, (11, 10)).astype(float), r.integers(0, 3, (10, len(tagging.SHAPES))).astype(float))
+        tagger.pairs, tagger.shapes = np.round(tagger.pairs), np.round(tagger.shapes)  # many ties
+        own = [r.integers(0, len(tagging.SHAPES), r.integers(0, 40)) for _ in range(60)]
+        got = dict(tagger.paths(own))
+        assert sorted(got) == [k for k, s in enumerate(own) if len(s)] and all((tagger.path(own[k]) == p).all() for k, p in got.items())
