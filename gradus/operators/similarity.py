@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +20,8 @@ from ..session import ship
 
 ORDERS = 4
 EPSILON, ALPHA, K = 0.1, 5.0, 5.0
+#: Rows of a batch that are Python values at a time.
+TOGETHER = 16
 
 
 def grams(rows: DataFrame, text: str, orders: int = ORDERS) -> DataFrame:
@@ -29,6 +32,12 @@ def grams(rows: DataFrame, text: str, orders: int = ORDERS) -> DataFrame:
     return long.groupBy("pair_id", "n", "gram").agg(F.count(F.lit(1)).alias("k"))
 
 
+def _rows(*columns: pa.Array) -> Iterator[tuple]:
+    """A batch's rows as Python values, a few at a time: all words of a batch at once take many times its size."""
+    for at in range(0, len(columns[0]), TOGETHER):
+        yield from zip(*(c.slice(at, TOGETHER).to_pylist() for c in columns))
+
+
 def counted(words: list[str], n: int) -> Counter:
     """How often each n-gram occurs."""
     return Counter(words if n == 1 else zip(*(words[i:] for i in range(n))))
@@ -62,7 +71,7 @@ def matches(pairs: DataFrame, orders: int = ORDERS) -> DataFrame:
     @F.arrow_udf(", ".join(f"{n} long" for n in names))
     def count(hypotheses: pa.Array, others: pa.Array) -> pa.Array:
         rows = []
-        for h, rs in zip(hypotheses.to_pylist(), others.to_pylist()):
+        for h, rs in _rows(hypotheses, others):
             near = min((len(r) for r in rs), key=lambda n: (abs(n - len(h)), n), default=0)
             rows.append((len(h), near, *clipped(h, rs, orders)))
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names=names)
@@ -154,7 +163,7 @@ def weighted_recall(pairs: DataFrame, keywords: list[str], orders: int = ORDERS)
     @F.arrow_udf(kind)
     def count(hypotheses: pa.Array, others: pa.Array) -> pa.Array:
         rows = []
-        for h, rs in zip(hypotheses.to_pylist(), others.to_pylist()):
+        for h, rs in _rows(hypotheses, others):
             row = []
             for n in range(1, orders + 1):
                 found = [recall(h, r, n) for r in rs]
