@@ -22,7 +22,7 @@ def structure(pairs: DataFrame, language: str) -> DataFrame:
     @F.arrow_udf(", ".join(f"{n} long" for n in names))
     def count(hypotheses: pa.Array, references: pa.Array) -> pa.Array:
         syntax, data = flow.counters()
-        rows = [(*syntax(h or "", [r for r in rs if r is not None], language), *data(h or "", [r for r in rs if r is not None], language)) for h, rs in zip(hypotheses.to_pylist(), references.to_pylist())]
+        rows = [(*syntax(h or "", [r for r in rs if r is not None], language), *data(h or "", [r for r in rs if r is not None], language)) for h, rs in similarity._rows(hypotheses, references)]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=names)
 
     return pairs.select("pair_id", count(F.col("hypothesis"), similarity.references(pairs)).alias("s")).select("pair_id", "s.*")
