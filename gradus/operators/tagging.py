@@ -11,6 +11,9 @@ between single blanks, as in ``mutation.masked``, so tags and words have the sam
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -34,11 +37,13 @@ SHAPES = (*sorted({w for own in CLOSED.values() for w in own}), *SUFFIXES, "#",
 #: Pseudo-counts: of every pair, of what suffixes speak for, and of known words.
 LEAST, SPOKEN, KNOWN = 0.5, 50.0, 1e6
 ROUNDS = 3
+#: Texts decoded together, places times texts at most, and characters of the words whose shapes a worker keeps.
+TOGETHER, CELLS, SHORT = 256, 1 << 18, 32
 #: Pairs of tags that follow one another often in the beginning.
 FOLLOWS = {("DET", "NOUN"): 60, ("DET", "ADJ"): 30, ("ADJ", "NOUN"): 60, ("NOUN", "VERB"): 30, ("NOUN", "ADP"): 30, ("ADP", "DET"): 40, ("ADP", "NOUN"): 30, ("VERB", "DET"): 30, ("VERB", "ADV"): 15, ("PRON", "VERB"): 60, ("CONJ", "NOUN"): 20, ("NUM", "NOUN"): 40, ("ADV", "VERB"): 20}
 
 _SHAPE = {s: i for i, s in enumerate(SHAPES)}
-_ENDS = sorted(SUFFIXES, key=len, reverse=True)
+_LENGTHS = sorted({len(s) for s in SUFFIXES}, reverse=True)
 
 
 def shape(word: str) -> int:
@@ -48,9 +53,9 @@ def shape(word: str) -> int:
         return _SHAPE[w]
     if not w:
         return _SHAPE["?"]
-    if any(c.isdigit() for c in w):
+    if not w.isalpha() and any(c.isdigit() for c in w):
         return _SHAPE["#"]
-    return _SHAPE[next((s for s in _ENDS if len(w) > len(s) + 1 and w.endswith(s)), "")]
+    return next((_SHAPE[w[-n:]] for n in _LENGTHS if len(w) > n + 1 and w[-n:] in SUFFIXES), _SHAPE[""])
 
 
 class Tagger:
@@ -92,13 +97,53 @@ class Tagger:
             out[i - 1] = come[i, out[i]]
         return out
 
+    def paths(self, sequences: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """Number and ``path`` of each sequence that is not empty: those of about one length are decoded together, place by place."""
+        order = sorted((k for k, s in enumerate(sequences) if len(s)), key=lambda k: -len(sequences[k]))
+        at = 0
+        while at < len(order):
+            longest = len(sequences[order[at]])
+            own = order[at : at + max(1, min(TOGETHER, CELLS // longest))]
+            at += len(own)
+            yield from zip(own, self._together([sequences[k] for k in own]))
+
+    def _together(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
+        """Paths of sequences whose lengths fall. The same sums as in ``path``; where a value came from is looked up on the way back, for the best tag only."""
+        lengths = np.array([len(s) for s in sequences])
+        longest, step = int(lengths[0]), self.pairs[1:]
+        shapes = np.zeros((longest, len(sequences)), np.int64)
+        for k, s in enumerate(sequences):
+            shapes[: len(s), k] = s
+        # Sequences that go on at a place.
+        going = np.searchsorted(-lengths, -np.arange(longest), side="left")
+        values = [self.pairs[0][:, None] + self.shapes[:, shapes[0]]]
+        for i in range(1, longest):
+            n = going[i]
+            values.append((values[-1][:, None, :n] + step[:, :, None]).max(axis=0) + self.shapes[:, shapes[i, :n]])
+        out = np.zeros((longest, len(sequences)), np.int64)
+        for i in range(longest - 1, -1, -1):
+            on = going[i + 1] if i + 1 < longest else 0
+            out[i, on : going[i]] = values[i][:, on:].argmax(axis=0)
+            if on:
+                out[i, :on] = (values[i][:, :on] + step[:, out[i + 1, :on]]).argmax(axis=0)
+        return [out[: len(s), k] for k, s in enumerate(sequences)]
+
     def worth(self, shapes, path) -> float:
         """The logarithm of a path's weight."""
         return float(sum(self.pairs[0 if i == 0 else path[i - 1] + 1, t] + self.shapes[t, s] for i, (s, t) in enumerate(zip(shapes, path))))
 
 
+_known_shape = lru_cache(maxsize=1 << 16)(shape)
+
+
 def _shaped(text: str | None) -> np.ndarray:
-    return np.array([shape(w) for w in text.split(" ")], np.int64) if text is not None else np.zeros(0, np.int64)
+    return np.array([_known_shape(w) if len(w) <= SHORT else shape(w) for w in text.split(" ")], np.int16) if text is not None else np.zeros(0, np.int16)
+
+
+def _pieces(texts: pa.Array) -> Iterator[list[str | None]]:
+    """A batch's texts, a few at a time: a batch may be large."""
+    for at in range(0, len(texts), TOGETHER):
+        yield texts.slice(at, TOGETHER).to_pylist()
 
 
 def fit(texts: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Tagger:
@@ -110,12 +155,11 @@ def fit(texts: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Tagger:
         def count(batches, tagger=tagger):
             pairs, shapes = np.zeros((n + 1) * n), np.zeros(n * m)
             for batch in batches:
-                for value in batch.column(0).to_pylist():
-                    own = _shaped(value)
-                    if len(own):
-                        path = tagger.path(own)
-                        np.add.at(pairs, np.concatenate(([0], path[:-1] + 1)) * n + path, 1)
-                        np.add.at(shapes, path * m + own, 1)
+                for piece in _pieces(batch.column(0)):
+                    own = [_shaped(value) for value in piece]
+                    for k, path in tagger.paths(own):
+                        pairs += np.bincount(np.concatenate(([0], path[:-1] + 1)) * n + path, minlength=len(pairs))
+                        shapes += np.bincount(path * m + own[k], minlength=len(shapes))
             whole = np.concatenate((pairs, shapes))
             at = np.flatnonzero(whole)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(whole[at])], names=["at", "n"])
@@ -133,7 +177,11 @@ def tags(tagger: Tagger, text: Column) -> Column:
 
     @F.arrow_udf("array<string>")
     def tag(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else [TAGS[k] for k in tagger.path(_shaped(t))] for t in texts.to_pylist()], pa.list_(pa.string()))
+        out = []
+        for piece in _pieces(texts):
+            found = dict(tagger.paths([_shaped(t) for t in piece]))
+            out += [None if t is None else [TAGS[tag] for tag in found[k]] for k, t in enumerate(piece)]
+        return pa.array(out, pa.list_(pa.string()))
 
     return tag(text)
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import classification, code, strings
 from ..operators import generation, infill, mutation, phrases, tagging
 from ..registry import Entry
-from ..session import ship
+from ..session import ship, spread
 from ..sources import files
 from . import views as v
 from .programs import _scratch
@@ -64,14 +64,14 @@ def _filled_tokens(s, d):
 def _tagged_tokens(s, d):
     """As g14_filled_tokens, at nouns and adjectives of a tagger fitted to the documents."""
     tagger = tagging.fit(v.table(s, d, "documents"))
-    rows = tagging.tagged(v.table(s, d, "benchmark"), tagger)
+    rows = tagging.tagged(spread(v.table(s, d, "benchmark")), tagger)
     prompts = mutation.masked(rows, "item_id", "text", maskable=F.col("maskable"))
     return infill.filled(prompts, _model(s, d, "benchmark")).select("item_id", "place", "mutated")
 
 
 def _phrases(s, d):
     tagger = tagging.fit(v.table(s, d, "documents"))
-    return phrases.phrased(v.table(s, d, "benchmark"), tagger).select("item_id", F.posexplode("phrases").alias("n", "phrase"))
+    return phrases.phrased(spread(v.table(s, d, "benchmark")), tagger).select("item_id", F.posexplode("phrases").alias("n", "phrase"))
 
 
 def _candidates(s, d):
