@@ -11,6 +11,7 @@ import sys
 import tempfile
 import time
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
@@ -323,20 +324,27 @@ def verified(rows: DataFrame, completer: Completer) -> DataFrame:
     return completed(asked, completer, wait=0).where(F.lower("answer").startswith("yes")).drop("prompt", "answer", "cost_time")
 
 
+@lru_cache(maxsize=256)
+def _replaced(source: str, name: str, text: str) -> str:
+    """A task's rewrites stand together after the join: equal ones are rendered once."""
+    return replaced_docstring(source, name, text)
+
+
 def new_tasks(tasks: DataFrame, rewrites: DataFrame) -> DataFrame:
     """Tasks with prefix and solution under the new docstring; joined on task_id, so a missing task gives no row."""
     both = tasks.join(rewrites.select("task_id", "new_instruction"), "task_id")
     doc = F.concat(F.lit("\n    "), F.trim("new_instruction"), F.lit("\n"), F.coalesce("demo_str", F.lit("")), F.lit("\n    "))
-    replace = column(lambda s, n, d: replaced_docstring(s, n, d))
+    replace = column(lambda s, n, d: _replaced(s, n, d))
     out = both.withColumn("doc_string", doc)
     return out.withColumn("solution", replace(F.col("solution"), F.col("entry_func"), F.col("doc_string"))).withColumn("prefix", replace(F.concat("prefix", F.lit("\n    pass")), F.col("entry_func"), F.col("doc_string")))
 
 
 def described_tasks(tasks: DataFrame) -> DataFrame:
     """Tasks with docstring and inputs (the parameters' names)."""
-    doc = column(lambda s, n: docstring(s, n))
-    names = column(lambda s, n: ", ".join(parameters(s, n)))
-    return tasks.withColumn("docstring", doc(F.col("solution"), F.col("entry_func"))).withColumn("inputs", names(F.col("solution"), F.col("entry_func")))
+    # One pass of Python over the solutions for both.
+    found = column(lambda s, n: [docstring(s, n), ", ".join(parameters(s, n))], "array<string>")
+    both = tasks.withColumn("__found", found(F.col("solution"), F.col("entry_func")))
+    return both.withColumns({"docstring": F.get("__found", F.lit(0)), "inputs": F.get("__found", F.lit(1))}).drop("__found")
 
 
 #: The part of a completion's answer that is read.

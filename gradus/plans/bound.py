@@ -129,20 +129,28 @@ _SCENARIOS = "SELECT 'area' || n_regionkey || ':topic' || n_nationkey AS name FR
 _PICKED = f"sc AS (SELECT name AS scenario, row_number() OVER (ORDER BY md5('7|' || name), name) - 1 AS k, count(*) OVER () AS total FROM ({_SCENARIOS})), pick AS (SELECT p_partkey AS task_id, (CAST('0x' || substring(md5('7|' || p_partkey), 1, 13) AS BIGINT) + unnest(range(3))) % (SELECT any_value(total) FROM sc) AS k FROM part), chosen AS (SELECT task_id, scenario FROM pick JOIN sc USING (k))"
 
 
-def _contexts(s, d):
-    return generation.contexts(_tasks(s, d), _seeds(s, d), _SAID, 3)
+def _contexts(s, d, tasks: DataFrame | None = None):
+    return generation.contexts(_tasks(s, d) if tasks is None else tasks, _seeds(s, d), _SAID, 3)
 
 
-def _rewrites(s, d):
-    return generation.rewritten(_contexts(s, d), _SAID)
+def _rewrites(s, d, tasks: DataFrame | None = None):
+    return generation.rewritten(_contexts(s, d, tasks), _SAID)
 
 
 def _new_tasks(s, d):
     doc = code.column(lambda x, n: code.docstring(x, n))
-    out = generation.new_tasks(_tasks(s, d), generation.verified(_rewrites(s, d), generation.StubCompleter("Yes.")))
+    tasks = _tasks(s, d)
+    out = generation.new_tasks(tasks, generation.verified(_rewrites(s, d, tasks), generation.StubCompleter("Yes.")))
     return out.select("task_id", "entry_func", F.trim(doc(F.col("solution"), F.col("entry_func"))).alias("said"), F.length("doc_string").cast("bigint").alias("n"))
 
 
+def _verified(s, d):
+    """Rewrites of even tasks, which are said to agree, and none of odd ones."""
+    rows = _rewrites(s, d, _tasks(s, d))
+    parts = (generation.verified(rows.where(F.col("task_id") % 2 == k), generation.StubCompleter(answer)) for k, answer in enumerate(("Yes.", "No.")))
+    return next(parts).unionByName(next(parts)).groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _scenarios(s, d):
     stub = generation.StubCompleter("<scenario>case {digest}</scenario>")
     return generation.proposed_scenarios(_seeds(s, d), stub, 30)
@@ -275,7 +283,7 @@ def entries() -> dict[str, Entry]:
     e["g02_contexts"] = Entry(lambda s, d: _contexts(s, d).select("task_id", "scenario", "context"), f"WITH {_PICKED} SELECT task_id, scenario, {said} AS context FROM chosen JOIN (SELECT p_partkey AS task_id, p_partkey AS k, p_size AS n, p_name AS name FROM part) USING (task_id)")
     e["g03_rewritten"] = Entry(lambda s, d: _rewrites(s, d).select("task_id", "scenario", "new_instruction"), f"WITH {_PICKED} SELECT task_id, scenario, 'Do it.' AS new_instruction FROM chosen")
     e["g04_new_tasks"] = Entry(_new_tasks, "SELECT p_partkey AS task_id, 'scale_' || p_partkey AS entry_func, 'Do it.' AS said, CAST(17 AS BIGINT) AS n FROM part, range(3)")
-    e["g05_verified"] = Entry(lambda s, d: generation.verified(_rewrites(s, d).where("task_id % 2 = 0"), generation.StubCompleter("Yes.")).unionByName(generation.verified(_rewrites(s, d).where("task_id % 2 = 1"), generation.StubCompleter("No."))).groupBy("task_id").agg(F.count(F.lit(1)).alias("n")), "SELECT p_partkey AS task_id, CAST(3 AS BIGINT) AS n FROM part WHERE p_partkey % 2 = 0")
+    e["g05_verified"] = Entry(_verified, "SELECT p_partkey AS task_id, CAST(3 AS BIGINT) AS n FROM part WHERE p_partkey % 2 = 0")
     e["g06_pipeline"] = Entry(_pipeline, "SELECT p_partkey AS task_id, CAST(3 AS BIGINT) AS n FROM part")
     kept = " ".join(f"WHEN '{k}' THEN {len(x)}" for k, x in strings.STOPS.items())
     e["f08_stops"] = Entry(_stops, f"SELECT n_nationkey, kind, CAST(CASE kind {kept} END AS BIGINT) AS n, n_name || CASE kind WHEN 'chat' THEN {_NL} || 'xtail' ELSE '' END AS kept FROM (SELECT *, {_KINDS}[n_nationkey % {len(_KINDS)} + 1] AS kind FROM nation)")

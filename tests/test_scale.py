@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions import code, flow, syntax
 from gradus.operators import similarity, tagging
-from gradus.plans import languages, sources
+from gradus.plans import bound, languages, sources
 from gradus.session import TASKS
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +118,11 @@ def test_texts_decoded_together_have_the_paths_they_have_alone():
         own = [r.integers(0, len(tagging.SHAPES), r.integers(0, 40)) for _ in range(60)]
         got = dict(tagger.paths(own))
         assert sorted(got) == [k for k, s in enumerate(own) if len(s)] and all((tagger.path(own[k]) == p).all() for k, p in got.items())
+
+
+@pytest.mark.parametrize("query", ["g04_new_tasks", "g05_verified"])
+def test_tasks_are_written_once_and_by_all_cores(spark, monkeypatch, query):
+    made, tasks = [], bound._tasks
+    monkeypatch.setattr(bound, "_tasks", lambda s, d: made.append(tasks(s, d)) or made[-1])
+    assert bound.entries()[query].run(spark, SF).count() and len(made) == 1
+    assert len(made[0].inputFiles()) >= TASKS * spark.sparkContext.defaultParallelism
