@@ -36,14 +36,16 @@ _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, se
 
 
 def runs(docs: DataFrame, path: str, end_id: int, keep: bool = True) -> DataFrame:
-    """Ids of each document, placed within its partition's run. Without ``keep`` a task leaves no encoder behind in its worker."""
+    """Ids of each document, placed within its partition's run. Without ``keep`` a task holds few texts at once and leaves no encoder behind in its worker."""
     common.tune(docs.sparkSession)
     schema = pa.schema([("part", pa.int32()), ("begin", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            tokens.trimmed()  # what earlier stages' tasks left in this worker
         enc = tokens.encoder(path) if keep else tokens.encoder(path, CACHE_WORDS)
         part, begin = TaskContext.get().partitionId(), 0
-        for batch in tokens.gathered(batches):
+        for batch in tokens.gathered(batches, most=tokens.BYTES if keep else tokens.FEW_BYTES):
             ids, n = enc.closed(batch["text"].chunk(0), end_id)
             first = begin + np.concatenate(([0], np.cumsum(n)))
             begin = int(first[-1])

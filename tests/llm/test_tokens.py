@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -120,3 +121,16 @@ def test_frequencies_sum_to_the_scale():
     for counts in ({3: 1}, {i: 1 for i in range(50_000)}, {i: 10**6 // (i + 1) + 1 for i in range(50_000)}):
         freq = op5_rans.scaled(counts, 50_257)
         assert freq.sum() == 1 << op5_rans.SCALE_BITS and all(freq[i] > 0 for i in counts)
+
+
+def test_packing_beside_other_stages_holds_few_texts_at_once(spark, monkeypatch):
+    batches = [pa.RecordBatch.from_pydict({"text": ["x" * 1000] * 256}) for _ in range(40)]
+    sizes = [t.nbytes for t in tokens.gathered(iter(batches), most=tokens.FEW_BYTES)]
+    assert max(sizes) < 1.1 * tokens.FEW_BYTES <= 0.3 * tokens.BYTES and sum(sizes) > 40 * 256_000
+    asked = []
+    monkeypatch.setattr(tokens, "gathered", lambda batches, column="text", most=tokens.BYTES: asked.append(most) or iter(()))
+    monkeypatch.setattr(op3_packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema: list(f(iter(()))))
+    for keep in (True, False):
+        op3_packing.runs(documents(spark), WORD, 2, keep)
+    assert asked == [tokens.BYTES, tokens.FEW_BYTES]
