@@ -42,17 +42,21 @@ def _places_sql(candidates: int) -> str:
     )
 
 
-def _model(s: SparkSession, d: str, table: str) -> infill.Model:
+def _model(s: SparkSession, d: str, table: str, asked: DataFrame | None = None) -> infill.Model:
     ship(s)
     path = _scratch(s)
-    infill.triples(v.table(s, d, table)).write.parquet(path)
+    counted = infill.triples(v.table(s, d, table))
+    (counted if asked is None else infill.narrowed(counted, asked)).write.parquet(path)
     return infill.fit(s.read.parquet(path))
 
 
 def _masked_scores(s, d):
     """What the documents' model says of three words at two places of every benchmark text."""
     asked = infill.marked(mutation.masked(v.table(s, d, "benchmark"), "item_id", "text", 2)).withColumn("w", F.explode(F.array(*map(F.lit, ("the", "of", "unheardof")))))
-    return _round(infill.scored(asked, _model(s, d, "documents")).select("item_id", F.col("place").cast("bigint").alias("place"), "w", "p"), 9)
+    path = _scratch(s)
+    asked.select("item_id", "place", "u", "v", "w").write.parquet(path)
+    asked = s.read.parquet(path)
+    return _round(infill.scored(asked, _model(s, d, "documents", asked)).select("item_id", F.col("place").cast("bigint").alias("place"), "w", "p"), 9)
 
 
 def _filled_tokens(s, d):

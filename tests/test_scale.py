@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradus.functions import code, flow, syntax
-from gradus.operators import similarity, tagging
+from gradus.operators import infill, similarity, tagging
 from gradus.plans import bound, languages, sources
 from gradus.session import TASKS
 
@@ -126,3 +126,20 @@ def test_tasks_are_written_once_and_by_all_cores(spark, monkeypatch, query):
     monkeypatch.setattr(bound, "_tasks", lambda s, d: made.append(tasks(s, d)) or made[-1])
     assert bound.entries()[query].run(spark, SF).count() and len(made) == 1
     assert len(made[0].inputFiles()) >= TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_e07_a_narrowed_model_scores_as_the_whole_one(spark):
+    r = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(40)]
+    texts = spark.createDataFrame([(" ".join(r.choice(words, int(r.integers(0, 30)))),) for _ in range(60)] + [(None,), ("",)], "text string")
+    asked = spark.createDataFrame([("w1", "w2", "w3"), ("w1", "w2", "none"), ("<s>", "w5", "w9"), ("w7", "</s>", "w0"), ("odd", "odder", "w1"), ("w1", "odd", None)], "u string, v string, w string")
+    counted = infill.triples(texts)
+    for few in (100, 0):
+        less = infill.narrowed(counted, asked, few)
+        got, want = (sorted(map(str, infill.scored(asked, infill.fit(x)).select("u", "v", "w", "p").collect())) for x in (less, counted))
+        assert got == want and less.agg(F.sum("kinds")).first()[0] == counted.count() and less.count() < counted.count() / 2
+
+
+def test_e07_triples_are_those_of_the_definition(spark):
+    got = infill.triples(spark.createDataFrame([("A b\n a",), ("b",), ("b",), (" ",), (None,)], "text string"))
+    assert sorted(map(tuple, got.collect())) == [("<s>", "a", "b", 1), ("<s>", "b", "</s>", 2), ("a", "b", "a", 1), ("b", "a", "</s>", 1)]
