@@ -15,6 +15,7 @@ from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import strings
@@ -48,12 +49,13 @@ def completed(rows: DataFrame, completer: Completer, prompt: str = "prompt", ret
     """
     schema = f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, answer string, cost_time double"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = 0
-        for frame in frames:
+        for rows in batches:
             answers, began = [], time.time()
-            for at in range(0, len(frame), batch):
-                part = frame[prompt].iloc[at : at + batch].tolist()
+            for at in range(0, rows.num_rows, batch):
+                # Only the prompts that are asked for now become Python values; the other columns stay as they came.
+                part = rows[prompt].slice(at, batch).to_pylist()
                 if asked and asked + len(part) > batch:
                     time.sleep(wait if pause is None else pause)
                     asked = 0
@@ -67,9 +69,10 @@ def completed(rows: DataFrame, completer: Completer, prompt: str = "prompt", ret
                             time.sleep(wait)
                         answer = completer.complete([part[k]])[0]
                     answers.append(answer or "")
-            yield frame.assign(answer=answers, cost_time=(time.time() - began) / max(1, len(frame)))
+            cost = (time.time() - began) / max(1, rows.num_rows)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(answers, pa.string()), pa.array([cost] * rows.num_rows, pa.float64())], names=[*rows.schema.names, "answer", "cost_time"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 #: Part of a minute that clocks of executors may differ by, and that a batch may be late in its window.

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradus.functions import code, flow, syntax
-from gradus.operators import infill, similarity, tagging
+from gradus.operators import generation, infill, similarity, tagging
 from gradus.plans import bound, languages, sources
 from gradus.session import TASKS
 
@@ -143,3 +143,20 @@ def test_e07_a_narrowed_model_scores_as_the_whole_one(spark):
 def test_e07_triples_are_those_of_the_definition(spark):
     got = infill.triples(spark.createDataFrame([("A b\n a",), ("b",), ("b",), (" ",), (None,)], "text string"))
     assert sorted(map(tuple, got.collect())) == [("<s>", "a", "b", 1), ("<s>", "b", "</s>", 2), ("a", "b", "a", 1), ("b", "a", "</s>", 1)]
+
+
+def test_g06_columns_beside_the_prompt_stay_as_they_came(spark, monkeypatch):
+    """The prompts alone become Python values, a hundred at a time; nulls and lists beside them are not converted."""
+    held, asked, made = spark.range(2).select("id", F.lit("p").alias("prompt")), [], []
+
+    class Asked:
+        def complete(self, prompts):
+            asked.append(len(prompts))
+            return [p.upper() for p in prompts]
+
+    monkeypatch.setattr(type(held), "mapInArrow", lambda self, run, schema: made.append(run))
+    generation.completed(held, Asked(), wait=0)
+    batch = pa.RecordBatch.from_pydict({"n": [None, 1] * 125, "list": [[1]] * 250, "prompt": ["p"] * 250})
+    (out,) = made[0](iter([batch]))
+    assert asked == [100, 100, 50] and out["answer"].to_pylist() == ["P"] * 250
+    assert out["n"].equals(batch["n"]) and out["list"].equals(batch["list"])
