@@ -1,5 +1,6 @@
 """Work on rows is dealt over all cores, and what recurs is read once."""
 
+import ast
 import re
 
 import numpy as np
@@ -160,3 +161,13 @@ def test_g06_columns_beside_the_prompt_stay_as_they_came(spark, monkeypatch):
     (out,) = made[0](iter([batch]))
     assert asked == [100, 100, 50] and out["answer"].to_pylist() == ["P"] * 250
     assert out["n"].equals(batch["n"]) and out["list"].equals(batch["list"])
+
+
+@pytest.mark.parametrize("name", ["hoisted_imports", "without_docstrings", "updated_docstring"])
+def test_f32_f33_f34_look_at_statements_only(monkeypatch, name):
+    source = 'def f(x):\n    """Add.\n    >>> f(1)\n    """\n    try:\n        import a\n    except E:\n        from b import c\n    return x\nclass K:\n    import d\n'
+    monkeypatch.setattr(ast, "walk", lambda *_: pytest.fail("walked expressions"))
+    monkeypatch.setattr(ast.NodeTransformer, "generic_visit", lambda *_: pytest.fail("visited expressions"))
+    got = {"hoisted_imports": code.hoisted_imports, "without_docstrings": code.without_docstrings, "updated_docstring": lambda s: code.updated_docstring(s, "Sum.")}[name](source)
+    want = {"hoisted_imports": "import a\nfrom b import c\nimport d\n\ndef f(x):", "without_docstrings": "'f': 'Add.", "updated_docstring": ">>> f(1)"}[name]
+    assert want in (str(got[0]) if name == "without_docstrings" else got)
