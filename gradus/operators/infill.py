@@ -37,7 +37,7 @@ def words(text: Column) -> Column:
 def triples(texts: DataFrame, text: str = "text") -> DataFrame:
     """u, w, v and c, how often w stands between u and v."""
     own = texts.where(F.col(text).isNotNull()).select(once(F.concat(F.array(F.lit(START)), words(F.col(text)), F.array(F.lit(END)))).alias("own"))
-    # A triple is one string, since words hold no blanks: a third of the bytes of three columns go over the shuffle.
+    # A triple is one string, since words hold no blanks: narrower rows than three columns make.
     each = F.when(F.size("own") > 2, F.transform(F.sequence(F.lit(1), F.size("own") - 2), lambda i: F.concat_ws(" ", F.get("own", i - 1), F.get("own", i), F.get("own", i + 1))))
     counted = own.select(F.explode(each).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
     return counted.withColumn("t", F.split("t", " ")).select(*(F.get("t", F.lit(k)).alias(n) for k, n in enumerate("uwv")), "c")
