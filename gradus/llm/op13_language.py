@@ -13,6 +13,9 @@ Most texts are of one language: if no stretch of words gains more than ``SWITCH`
 single language, nor the best first and last stretches together, no path with changes can be better (each
 change pays for one stretch within, and one for both ends), and the path is known without going word by word.
 
+Texts are cut at all ASCII characters but letters, which no word goes beyond, and only runs between the cuts that a worker
+does not remember are read for words.
+
 Counts come from all training rows (non-null language outside the held-out fold); tasks
 count characters over distinct words, and Spark adds the counts up, so what is shuffled is trigrams a
 task and language. The model keeps the ``GRAMS`` most frequent trigrams and bigrams of each language: the rest
@@ -25,6 +28,10 @@ give a row; other columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -39,8 +46,10 @@ SWITCH, CLIP = 15.0, 6.0
 GRAMS = 50_000
 #: Share of a language's letters from which a script is one of its own.
 SCRIPT_SHARE = 0.02
-#: Words whose scores a worker remembers, and their greatest length.
+#: Words whose scores a worker remembers at most before the next texts, and the greatest length, in bytes, of the runs they stand in.
 CACHE_WORDS, CACHED = 300_000, 64
+#: Words of a text whose scores are plain numbers at a time.
+STRETCH = 4096
 #: Distinct trigrams that a task gathers before it passes them on.
 HELD = 1 << 20
 #: Letters of alphabets that were never seen share this part of a language's mass.
@@ -69,6 +78,7 @@ NAMES = [*SCRIPTS, "other"]
 _RANGES = sorted((low, high, NAMES.index(name)) for name, ranges in SCRIPTS.items() for low, high in ranges)
 _LOW, _HIGH, _SCRIPT = (np.array(x) for x in zip(*_RANGES))
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_BLANKS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 #: Marks before and after a word, below every letter.
 _START, _END = 2, 3
 _BITS = 21
@@ -188,49 +198,90 @@ def spans(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     rise = np.vstack([np.zeros((1, k)), np.cumsum(scores - scores[:, best : best + 1], axis=0)])
     if (rise - np.minimum.accumulate(rise, axis=0)).max() <= switch and rise.max() + (rise[-1] - rise.min(axis=0)).max() <= switch:
         return np.full(n, best)
-    value, come = scores[0].copy(), np.zeros((n, k), np.int64)
-    own = np.arange(k)
-    for i in range(1, n):
-        top = int(value.argmax())
-        moved = value[top] - switch > value
-        come[i] = np.where(moved, top, own)
-        value = np.where(moved, value[top] - switch, value) + scores[i]
+    # Few languages: plain numbers are faster than arrays. Before each word: all values, the best one's language, and what a change is worth.
+    values, tops, changed = array("d"), array("q"), array("d")
+    value = [0.0] * k
+    for at in range(0, n, STRETCH):
+        for row in scores[at : at + STRETCH].tolist():
+            most = max(value)
+            least = most - switch
+            values.extend(value)
+            tops.append(value.index(most))
+            changed.append(least)
+            value = [(least if least > v else v) + s for v, s in zip(value, row)]
+    own = value.index(max(value))
     out = np.zeros(n, np.int64)
-    out[-1] = int(value.argmax())
+    out[-1] = own
     for i in range(n - 1, 0, -1):
-        out[i - 1] = come[i, out[i]]
+        if changed[i] > values[i * k + own]:
+            own = tops[i]
+        out[i - 1] = own
     return out
 
 
+def runs(text: str) -> list[bytes]:
+    """The lower-cased text in UTF-8, cut at all ASCII characters but letters: no word goes beyond a run."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_BLANKS).split()
+
+
+def words_of(run: bytes) -> list[str]:
+    return _WORD.findall(run.decode("utf-8", "surrogatepass"))
+
+
+class _Numbered(dict):
+    """Numbers what it is asked for in turn; ``new`` has what was not known."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+        self.next = 0
+
+    def __missing__(self, key: bytes) -> int:
+        self.new.append(key)
+        self[key] = k = self.next
+        self.next += 1
+        return k
+
+
 class Labeller:
-    """Labels texts; a worker remembers the scores of words."""
+    """Labels texts; a worker remembers the scores of the words of each run."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-        self.table, self.sizes = np.zeros((0, len(model.languages))), np.zeros(0)
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Numbered()
+        self.table, self.sizes, self.ends = np.zeros((0, len(self.model.languages))), np.zeros(0), np.zeros(1, np.int64)
 
-    def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
+    def rows(self, texts: list[str]) -> list[np.ndarray]:
         """The rows of ``table`` and ``sizes`` of each text's words."""
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.table, self.sizes = {}, self.table[:0], self.sizes[:0]
+        if max(len(self.table), self.known.next) > CACHE_WORDS:
+            self._forget()
         known = self.known
-        new = sorted(set().union(*texts) - known.keys())
-        if new:
-            known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.vstack([self.table, self.model.scores(new)])
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), np.float64, len(new))])
-        out = [np.array([known[w] for w in words], np.int64) for words in texts]
-        for w in new:
-            if len(w) > CACHED:
-                del known[w]
+        found = [np.fromiter(map(known.__getitem__, own), np.int64, len(own)) for own in map(runs, texts)]
+        if known.new:
+            each = [words_of(x) for x in known.new]
+            words = [w for own in each for w in own]
+            self.table = np.vstack([self.table, self.model.scores(words)])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, words), np.float64, len(words))])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))])
+            for x in known.new:
+                if len(x) > CACHED:
+                    del known[x]
+            known.new = []
+        out = []
+        for own in found:
+            first = self.ends[own]
+            size = self.ends[own + 1] - first
+            stop = np.cumsum(size)
+            out.append(np.repeat(first - stop + size, size) + np.arange(stop[-1] if len(stop) else 0))
         return out
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Language, score and spans (start, end, language in code points) of each text; spans tile the text."""
         names = self.model.languages
-        words = [_WORD.findall(t.lower()) if t and names else [] for t in texts]
         out = []
-        for text, own in zip(texts, self.rows(words)):
+        for text, own in zip(texts, self.rows([t if t and names else "" for t in texts])):
             if not len(own):
                 out.append(("und", 0.0, []))
                 continue
@@ -248,7 +299,7 @@ class Labeller:
         starts = [0]
         if cuts:
             # Lower-casing may lengthen a text but keeps its words.
-            places = [m.start() for m in _WORD.finditer(text)]
+            places = [m.start() for m in islice(_WORD.finditer(text), cuts[-1] + 1)]
             starts += [places[min(c, len(places) - 1)] for c in cuts]
         ends = [*starts[1:], len(text)]
         return [(a, b, self.model.languages[path[c]]) for a, b, c in zip(starts, ends, [0, *cuts])]
@@ -271,12 +322,14 @@ def fit(rows: DataFrame, most: int = GRAMS) -> Model:
             held.clear()
 
         for batch in batches:
-            found: dict[str, dict[str, int]] = {}
+            found: dict[str, Counter] = {}
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
-                own = found.setdefault(lang, {})
-                for w in _WORD.findall(text.lower()):
-                    own[w] = own.get(w, 0) + 1
-            for lang, own in found.items():
+                found.setdefault(lang, Counter()).update(runs(text))
+            for lang, seen in found.items():
+                own: dict[str, int] = {}
+                for run, n in seen.items():
+                    for w in words_of(run):
+                        own[w] = own.get(w, 0) + n
                 if own:
                     keys, owner, _ = spelled(list(own))
                     keys, place = np.unique(keys, return_inverse=True)

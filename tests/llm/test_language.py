@@ -106,3 +106,23 @@ def test_held_out_accuracy(spark):
     own = got.where("held_out").join(truth, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"), F.count("*").alias("n")).first()
     assert own["n"] > 100 and own["right"] >= 0.98
     assert got.count() == truth.count()
+
+
+def test_words_are_read_once_in_runs_that_hold_them_whole(model, monkeypatch):
+    odd = ["ΟΔΟΣ ΟΔΟΣ, ΑΣ.ΑΣ ΣΑΣ", "İstanbul İx", "́́ x éa", "a b\x1cd\x85e​f", "中文字、中文", "y,z" * 40, "a'b-c_d9e ß ǅ x\x00y", "\ud800abc d"]
+    for text in (*odd, " ".join(odd)):
+        assert [w for run in op13_language.runs(text) for w in op13_language.words_of(run)] == op13_language._WORD.findall(text.lower())
+    read = []
+    words_of = op13_language.words_of
+    monkeypatch.setattr(op13_language, "words_of", lambda run: read.append(run) or words_of(run))
+    held = op13_language.Labeller(model)
+    assert len({held.label([f"{EN}, {EN.upper()}! {EN}."])[0][:2] for _ in range(3)}) == 1
+    assert len(read) == len(set(EN.split()))
+
+
+def test_long_words_leave_the_table(model, monkeypatch):
+    monkeypatch.setattr(op13_language, "CACHE_WORDS", 5)
+    held = op13_language.Labeller(model)
+    for k in range(20):
+        held.label(["ab" * 40 + "c" * k])
+        assert len(held.table) <= 6
