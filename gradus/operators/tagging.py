@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ship
@@ -43,6 +44,7 @@ TOGETHER, CELLS, SHORT = 256, 1 << 18, 32
 FOLLOWS = {("DET", "NOUN"): 60, ("DET", "ADJ"): 30, ("ADJ", "NOUN"): 60, ("NOUN", "VERB"): 30, ("NOUN", "ADP"): 30, ("ADP", "DET"): 40, ("ADP", "NOUN"): 30, ("VERB", "DET"): 30, ("VERB", "ADV"): 15, ("PRON", "VERB"): 60, ("CONJ", "NOUN"): 20, ("NUM", "NOUN"): 40, ("ADV", "VERB"): 20}
 
 _SHAPE = {s: i for i, s in enumerate(SHAPES)}
+_SUFFIX = {s: _SHAPE[s] for s in SUFFIXES}
 _LENGTHS = sorted({len(s) for s in SUFFIXES}, reverse=True)
 
 
@@ -55,7 +57,11 @@ def shape(word: str) -> int:
         return _SHAPE["?"]
     if not w.isalpha() and any(c.isdigit() for c in w):
         return _SHAPE["#"]
-    return next((_SHAPE[w[-n:]] for n in _LENGTHS if len(w) > n + 1 and w[-n:] in SUFFIXES), _SHAPE[""])
+    size = len(w) - 1
+    for n in _LENGTHS:
+        if size > n and (found := _SUFFIX.get(w[-n:])) is not None:
+            return found
+    return _SHAPE[""]
 
 
 class Tagger:
@@ -150,13 +156,22 @@ def fit(texts: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Tagger:
     """A tagger re-estimated ``rounds`` times on all texts."""
     ship(texts.sparkSession)
     tagger, n, m = Tagger(), len(TAGS), len(SHAPES)
+
+    def shapes_of(batches):
+        for batch in batches:
+            for piece in _pieces(batch.column(0)):
+                # Their bytes: two for each word.
+                yield pa.RecordBatch.from_arrays([pa.array([_shaped(value).tobytes() for value in piece], pa.binary())], names=["shapes"])
+
+    # Every round reads the shapes, not the texts.
+    shaped = texts.select(text).mapInArrow(shapes_of, "shapes binary").persist(StorageLevel.DISK_ONLY)
     for _ in range(rounds):
 
         def count(batches, tagger=tagger):
             pairs, shapes = np.zeros((n + 1) * n), np.zeros(n * m)
             for batch in batches:
                 for piece in _pieces(batch.column(0)):
-                    own = [_shaped(value) for value in piece]
+                    own = [np.frombuffer(value, np.int16) for value in piece]
                     for k, path in tagger.paths(own):
                         pairs += np.bincount(np.concatenate(([0], path[:-1] + 1)) * n + path, minlength=len(pairs))
                         shapes += np.bincount(path * m + own[k], minlength=len(shapes))
@@ -164,11 +179,12 @@ def fit(texts: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Tagger:
             at = np.flatnonzero(whole)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(whole[at])], names=["at", "n"])
 
-        got = texts.select(text).mapInArrow(count, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        got = shaped.mapInArrow(count, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
         whole = np.zeros((n + 1) * n + n * m)
         for r in got:
             whole[r["at"]] = r["n"]
         tagger = Tagger(whole[: (n + 1) * n].reshape(n + 1, n), whole[(n + 1) * n :].reshape(n, m))
+    shaped.unpersist()
     return tagger
 
 

@@ -171,3 +171,18 @@ def test_f32_f33_f34_look_at_statements_only(monkeypatch, name):
     got = {"hoisted_imports": code.hoisted_imports, "without_docstrings": code.without_docstrings, "updated_docstring": lambda s: code.updated_docstring(s, "Sum.")}[name](source)
     want = {"hoisted_imports": "import a\nfrom b import c\nimport d\n\ndef f(x):", "without_docstrings": "'f': 'Add.", "updated_docstring": ">>> f(1)"}[name]
     assert want in (str(got[0]) if name == "without_docstrings" else got)
+
+
+def test_f22_and_g14_rounds_read_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([("the quick nation is running .",), (None,), ("",), ("a b  the",)], "text string").coalesce(1)
+
+    def told(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    got = tagging.fit(rows.mapInArrow(told, "text string"), rounds=3)
+    assert read.value == 4
+    again = tagging.fit(rows, rounds=3)
+    assert np.array_equal(got.pairs, again.pairs) and np.array_equal(got.shapes, again.shapes)
