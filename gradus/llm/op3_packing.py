@@ -29,7 +29,7 @@ from . import common, tokens
 
 WINDOW = 4096
 #: Words a worker remembers where other stages follow in the same workers.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 40_000
 
 _RUNS = "part int, begin long, doc_id long, n_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, boundary boolean"

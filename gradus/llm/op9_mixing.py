@@ -224,8 +224,10 @@ def probabilities(docs: DataFrame, temper: float = TEMPER, keep: float = KEEP, m
             targets.append(tempered(np.bincount(codes[m], weights=mass, minlength=len(names)) / max(mass.sum(), 1e-300), temper))
         w = rake(codes, mass, targets)
         s = scale(w, mass, keep)
-        out = [(r[0], r[1], r[2], float(x), float(min(1.0, s * x))) for r, x in zip(rows, w)]
-        return spark.createDataFrame(out, "source string, lang string, topic int, weight double, probability double")
+        kinds = [("source", pa.string()), ("lang", pa.string()), ("topic", pa.int32()), ("weight", pa.float64()), ("probability", pa.float64())]
+        columns = [[r[k] for r in rows] for k in range(3)] + [w.tolist(), np.minimum(1.0, s * w).tolist()]
+        # As Arrow: rows given as a list go through Python workers of another kind, which stay beside the others for minutes.
+        return spark.createDataFrame(pa.table([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], schema=pa.schema(kinds)), "source string, lang string, topic int, weight double, probability double")
     raked = rake_frame(cells, temper)
     low, high = 0.0, raked.where("w > 0 AND mass > 0").agg(1 / F.min("w")).first()[0] or 1.0
     total = raked.agg(F.sum("mass")).first()[0]

@@ -324,6 +324,16 @@ def test_frames_rake_as_arrays_do(spark):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-3 for k in a)
 
 
+def test_probabilities_need_no_python_on_executors(spark, monkeypatch):
+    """A list of rows would be sent through Python workers of its own, which stay beside those of the stages."""
+    cells = spark.createDataFrame([("a", None, "x y"), (None, "en", "z"), ("b", "de", None)], "source string, lang string, text string")
+    mixed = op9_mixing.classified(cells, np.eye(2, op9_mixing.BINS))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_: pytest.fail("a list of rows"))
+    got = op9_mixing.probabilities(mixed)
+    assert got.dtypes == [("source", "string"), ("lang", "string"), ("topic", "int"), ("weight", "double"), ("probability", "double")]
+    assert {tuple(r)[:2] for r in got.collect()} == {("a", None), (None, "en"), ("b", "de")}
+
+
 def test_sampling_follows_probabilities(spark):
     rows = [(i, f"word{i % 50} " * (5 + i % 20), "en" if i % 4 else "de", f"s{0 if i % 3 else i % 5}") for i in range(3000)]
     got = op9_mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("mix.*").toPandas()

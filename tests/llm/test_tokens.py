@@ -134,3 +134,13 @@ def test_packing_beside_other_stages_holds_few_texts_at_once(spark, monkeypatch)
     for keep in (True, False):
         op3_packing.runs(documents(spark), WORD, 2, keep)
     assert asked == [tokens.BYTES, tokens.FEW_BYTES]
+
+
+def test_packing_beside_other_stages_remembers_few_words(monkeypatch):
+    """Words beyond them are encoded each time, with the same ids."""
+    assert op3_packing.CACHE_WORDS <= 50_000 and tokens.FEW_BYTES <= 1 << 20
+    enc = tokens.Encoder(WORD, 10)
+    texts = pa.array([" ".join(f"word{k}x{j}" for j in range(30)) for k in range(20)])
+    ids, n = enc.closed(texts, 2)
+    whole, count = tokens.Encoder(WORD).closed(texts, 2)
+    assert len(enc.known) <= 10 and (ids == whole).all() and (n == count).all()
