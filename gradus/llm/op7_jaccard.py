@@ -18,7 +18,8 @@ and the smallest doc_id of its component of links.
    within a class of sizes: stars, never all pairs. Sizes of linked
    sets differ by at most one class; each set is in its own and the next.
 3. The components of the pairs, and those of the stars of each class, bound the full
-   product: every linked pair lies within one. Large components are contracted by the sets that link to a few of
+   product: every linked pair lies within one. Components beyond one block are parted first where parities of their sets' shingles,
+   a fiftieth of the sets, rule links out (``graph.refined``). Large components are contracted by the sets that link to a few of
    their members (``graph.spanned``); what is left is cut into blocks of about ``BLOCK`` sets, and each pair of blocks
    is a product of its own.
 4. A block product runs over column blocks of the incidence matrix and adds up
@@ -239,6 +240,22 @@ def linked(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, perc
             out = pa.RecordBatch.from_arrays([*(batch[c] for c in ("v", "c", "own", "blocks", "open")), pa.array([s.tobytes() for s in got], pa.binary())], schema=schema)
             yield out.filter(pa.array(ok))
 
+    def outline(batches):
+        for batch in batches:
+            got = [shingles(t, words) for t in batch["text"].to_pylist()]
+            v = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in got], np.int64)
+            ok = v == batch["v"].to_numpy()
+            out = pa.RecordBatch.from_arrays([batch["v"], pa.array([graph.sketch(s, len(s)) for s in got], pa.binary())], names=["v", "row"])
+            yield out.filter(pa.array(ok))
+
+    def sketches(members):
+        chosen = common.written(members.join(reps.select("v", "doc_id"), "v"), "outlined")
+        held = graph.attached(text, chosen, "doc_id").select("text", "v").mapInArrow(tokens.released(outline), "v long, row binary")
+        return held.dropDuplicates(["v"])  # rows may repeat
+
+    def bound(a, b):
+        return np.where(100 * np.minimum(a, b) >= percent * np.maximum(a, b), a + b - 2 * -(-(a + b) * percent // (100 + percent)), -1)
+
     def rows(cells):
         chosen = common.written(cells.join(reps.select("v", "doc_id"), "v"), "placed")
         held = graph.attached(text, chosen, "doc_id")
@@ -247,7 +264,7 @@ def linked(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, perc
     def links(cells):
         return [product([np.frombuffer(x, np.int64) for x in held], left, right, percent) for held, left, right in cells]
 
-    return graph.spanned(groups, BLOCK, parts, rows, links)
+    return graph.spanned(graph.refined(groups, BLOCK, parts, sketches, bound), BLOCK, parts, rows, links)
 
 
 @common.tidy
