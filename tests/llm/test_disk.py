@@ -80,6 +80,25 @@ def test_sketches_part_no_linked_sets(percent):
     assert len(set(root)) > 1
 
 
+def test_sketches_of_lines_part_none_within_the_distance():
+    r = random.Random(4)
+    for length in (1, 3, 4, 24, 60, 149, 150, 400, 1500):
+        line = "".join(r.choices("abcdefgh ", k=length))
+        lines = [line]
+        for _ in range(30):
+            chars = list(line)
+            for _ in range(max(2, length // 50)):
+                at = r.randrange(len(chars) + 1)
+                chars[at : at + r.choice((0, 1))] = r.choice(("", "x", "ß"))
+            lines.append("".join(chars))
+        rows = [op4_lines.outlined(x) for x in lines]
+        found = graph.alike([(rows, np.arange(len(rows)), np.arange(1))], lambda a, b: op4_lines.differing(a, b, 2))[0]
+        root = graph.forest(len(rows), found)
+        for k, other in enumerate(lines):
+            most = max(2, min(len(line), len(other)) // 50)
+            assert op4_lines.edit_distance(line, other, most) > most or root[k] == root[0]
+
+
 def test_op7_unlike_sets_of_one_group_are_parted_before_they_are_sent(spark, monkeypatch):
     r = random.Random(1)
     passage = " ".join(str(r.random()) for _ in range(40))
@@ -93,3 +112,18 @@ def test_op7_unlike_sets_of_one_group_are_parted_before_they_are_sent(spark, mon
     name = {x["v"]: x["doc_id"] for x in reps.collect()}
     assert {tuple(sorted((name[a], name[b]))) for a, b in edges.collect()} == {(0, 200), (1, 201), (2, 202)}
     assert sizes[0] == 203 and sizes[-1] == 2
+
+
+def test_op4_unlike_lines_of_one_group_are_parted_before_they_are_sent(spark, monkeypatch):
+    r = random.Random(2)
+    passage = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=300))
+    lines = [passage + "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=300)) for _ in range(200)]
+    lines += [x + "!" for x in lines[:3]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    star = [(x, y) for x, y in zip(range(1, 203), [0] * 202)]
+    names = [x["h"] for x in op4_lines.line_rows(docs, 1).orderBy("doc_id").collect()]
+    monkeypatch.setattr(op4_lines, "stars", lambda *_: spark.createDataFrame([(names[a], names[b]) for a, b in star], "a long, b long"))
+    sizes = spanned_sizes(monkeypatch)
+    gone = op4_lines.repeats(docs).select("doc_id").collect()
+    assert sorted(x[0] for x in gone) == [200, 201, 202]
+    assert sizes[0] == 203 and sizes[-1] == 2
